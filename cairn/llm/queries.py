@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, fingerprints, licenses, mixing, near_duplicates, quality, secret_scan, sharding, topk
+from cairn.llm import bpe, fingerprints, licenses, mixing, near_duplicates, quality, repeats, secret_scan, sharding, topk
 from cairn.session import table
 
 QUERIES: dict = {}
@@ -85,6 +85,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents")).drop("curve")
