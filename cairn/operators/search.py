@@ -20,8 +20,23 @@ def score_of(distance: Column, tolerance: float = 1e-6) -> Column:
     return F.when((snapped < 0) | (snapped > 2) | F.isnan(snapped), F.raise_error(F.lit("distance outside [0, 2]")).cast("double")).otherwise(1 - snapped / 2)
 
 
-def cosine_topk(vectors: DataFrame, probe: list[float], k: int) -> DataFrame:
-    """rank, vec_id and score of the k nearest vectors; ties to the smaller id. Spark keeps k rows a task."""
+def scored(vectors: DataFrame, probe: list[float]) -> DataFrame:
+    """vectors with their score against one query, to six decimals."""
     q = F.array(*[F.lit(float(x)) for x in probe])
-    best = vectors.select("vec_id", F.round(score_of(cosine_distance(F.col("embedding"), q)), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    return vectors.withColumn("score", F.round(score_of(cosine_distance(F.col("embedding"), q)), 6))
+
+
+def cosine_topk(vectors: DataFrame, probe: list[float], k: int) -> DataFrame:
+    """rank, vec_id and score of the k nearest vectors; ties to the smaller id. Each task keeps k rows."""
+    best = scored(vectors, probe).select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(k)
     return best.select("vec_id", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("rank"), "score")
+
+
+def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
+    """query_id, vec_id and score of the k nearest of each query; the queries are few (checked) and go to every task."""
+    few = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).limit(most + 1)
+    if few.count() > most:
+        raise ValueError(f"more than {most} queries")
+    pairs = vectors.crossJoin(F.broadcast(few)).select("query_id", "vec_id", F.round(score_of(cosine_distance(F.col("embedding"), F.col("q"))), 6).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return pairs.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")

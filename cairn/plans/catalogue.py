@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.functions import paths, text
+from cairn.operators import chunk, documents, embed, intervals, parse, scan, search, sync
+from cairn.plans import virtual
+from cairn.plans.virtual import FILES_SQL, LOWER_NAME, quoted
 from cairn.session import table
 
 QUERIES: dict = {}
@@ -21,14 +25,435 @@ def query(sql: str | None = None):
     return register
 
 
+# --- search -----------------------------------------------------------------------------------------------------------
+
+PROBE = "(SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]"
+SCORE = "round(1 - (1 - list_cosine_similarity({a}::DOUBLE[], {b})) / 2, 6)"
+
+
+def probe(spark: SparkSession, sf_dir: str) -> list[float]:
+    return table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+
+
+@query(f"SELECT vec_id, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank, score FROM (SELECT vec_id, {SCORE.format(a='embedding', b=PROBE)} AS score FROM embeddings) ORDER BY score DESC, vec_id LIMIT 10")
+def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.cosine_topk(table(spark, sf_dir, "embeddings"), probe(spark, sf_dir), 10)
+
+
 @query(
-    """SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank, score FROM (
-       SELECT vec_id, round(1 - (1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[])) / 2, 6) AS score
-       FROM embeddings) ORDER BY score DESC, vec_id LIMIT 10"""
+    f"""SELECT label, vec_id, rank, score FROM (SELECT label, vec_id, score, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS INT) AS rank
+    FROM (SELECT label, vec_id, {SCORE.format(a="embedding", b=PROBE)} AS score FROM embeddings)) WHERE rank <= 5"""
 )
-def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cairn.operators.search import cosine_topk
+def search_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of each namespace (label)."""
+    scored = search.scored(table(spark, sf_dir, "embeddings"), probe(spark, sf_dir))
+    order = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("label", "vec_id", "rank", "score")
+
 
+@query(
+    f"""SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {SCORE.format(a="v.embedding", b="q.embedding::DOUBLE[]")} AS score FROM embeddings v, embeddings q WHERE q.vec_id < 8
+    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {SCORE.format(a="v.embedding", b="q.embedding::DOUBLE[]")} DESC, v.vec_id) <= 10"""
+)
+def search_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of eight stated queries."""
     vectors = table(spark, sf_dir, "embeddings")
-    probe = vectors.filter("vec_id = 0").select("embedding").first()[0]
-    return cosine_topk(vectors, probe, 10)
+    return search.cosine_topk_batch(vectors, vectors.filter("vec_id < 8"), 10)
+
+
+@query(
+    f"""SELECT vec_id, path, score FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'B' ELSE 'a' END || CAST(vec_id % 5 AS VARCHAR) || '.py' AS path,
+    round({SCORE.format(a="embedding", b=PROBE)}, 1) AS score FROM embeddings) ORDER BY score DESC, lower(path), path, vec_id LIMIT 50"""
+)
+def search_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse scores: ties go by folded path, path and id."""
+    scored = search.scored(table(spark, sf_dir, "embeddings"), probe(spark, sf_dir))
+    path = F.concat(F.when(F.col("vec_id") % 2 == 0, "B").otherwise("a"), (F.col("vec_id") % 5).cast("string"), F.lit(".py"))
+    return scored.select("vec_id", path.alias("path"), F.round("score", 1).alias("score")).orderBy(F.desc("score"), *paths.path_order(F.col("path")), "vec_id").limit(50)
+
+
+@query("SELECT vec_id, 0.5::DOUBLE AS score FROM embeddings WHERE label = -1")
+def search_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A namespace without rows gives none."""
+    return search.scored(table(spark, sf_dir, "embeddings").filter("label = -1"), probe(spark, sf_dir)).select("vec_id", "score")
+
+
+BROKEN_SQL = "CASE WHEN vec_id % 7 = 0 THEN embedding[1:63] WHEN vec_id % 11 = 0 THEN list_concat(embedding[1:63], ['nan'::FLOAT]) ELSE embedding END"
+
+
+@query(f"SELECT vec_id, len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS valid FROM (SELECT vec_id, {BROKEN_SQL} AS v FROM embeddings)")
+def vector_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 11 == 0, F.concat(F.slice("embedding", 1, 63), F.array(F.lit(float("nan")).cast("float")))).otherwise(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", embed.vector_valid(broken, 64).alias("valid"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / 3)::FLOAT::DOUBLE)), 6) AS total FROM embeddings")
+def vector_float32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thirds = embed.float32(F.transform("embedding", lambda x: x.cast("double") / 3))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(thirds, F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+# --- scan -------------------------------------------------------------------------------------------------------------
+
+EXT = f"regexp_extract(ltrim({LOWER_NAME}, '.'), '^.+(\\.[^.]+)$', 1)"
+TEMPLATE_SQL = f"regexp_matches({LOWER_NAME}, '\\.env\\.(example|sample|template)$')"
+SENSITIVE_SQL = f"""({LOWER_NAME} IN ({quoted(scan.SENSITIVE_NAMES)}) OR regexp_matches({LOWER_NAME}, '\\.(pem|key|p12|pfx)$')
+    OR (({LOWER_NAME} LIKE '%.env' OR {LOWER_NAME} LIKE '%.env.%') AND NOT {TEMPLATE_SQL}))"""
+SUPPORTED_SQL = f"""({TEMPLATE_SQL} OR {LOWER_NAME} IN ({quoted(scan.SPECIAL_NAMES)})
+    OR (contains({LOWER_NAME}, '.') AND '.' || split_part({LOWER_NAME}, '.', -1) IN ({quoted([*scan.SOURCE_EXTENSIONS, *scan.CONFIG_EXTENSIONS, *scan.DOCUMENT_EXTENSIONS])})))"""
+REASON_SQL = f"""CASE WHEN {SENSITIVE_SQL} THEN 'sensitive_file' WHEN {LOWER_NAME} IN ({quoted(scan.LOCKFILES)}) THEN 'lockfile'
+    WHEN regexp_matches({LOWER_NAME}, '\\.min\\.(js|css)$') THEN 'minified' WHEN NOT {SUPPORTED_SQL} THEN 'unsupported_type' WHEN size_bytes > 8192 THEN 'too_large' END"""
+ABOVE = "list_slice(string_split(lower(relative_path), '/'), 1, -2)"
+STEM = f"left({LOWER_NAME}, length({LOWER_NAME}) - length({EXT}))"
+CATEGORY_SQL = f"""CASE WHEN list_has_any({ABOVE}, [{quoted(scan.TEST_DIRECTORIES)}]) OR ({EXT} IN ({quoted(scan.SOURCE_EXTENSIONS)})
+      AND ({STEM} LIKE 'test\\_%' ESCAPE '\\' OR {STEM} LIKE '%test' OR {LOWER_NAME} LIKE '%.test.%' OR {LOWER_NAME} LIKE '%.spec.%')) THEN 'test'
+    WHEN {EXT} IN ('.sql', '.prisma') OR list_has_any({ABOVE}, ['migration', 'migrations']) THEN 'database'
+    WHEN {LOWER_NAME} IN ({quoted(scan.BUILD_NAMES)}) THEN 'build'
+    WHEN {LOWER_NAME} IN ({quoted(scan.CONFIG_NAMES)}) OR {TEMPLATE_SQL} OR {EXT} IN ({quoted(scan.CONFIG_EXTENSIONS)}) THEN 'config'
+    WHEN {EXT} IN ('.md', '.rst') OR regexp_matches({LOWER_NAME}, '^({"|".join(scan.DOCUMENT_STEMS)})') THEN 'documentation'
+    WHEN {EXT} IN ({quoted(scan.SOURCE_EXTENSIONS)}) THEN 'source' ELSE 'other_text' END"""
+LANGUAGE_SQL = f"""coalesce(CASE {LOWER_NAME} {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scan.NAMED_LANGUAGES.items())} END,
+    CASE {EXT} {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scan.LANGUAGES.items())} END)"""
+NOT_PRUNED = f"NOT list_has_any({ABOVE}, [{quoted(scan.IGNORED_DIRECTORIES)}])"
+CLASSIFIED_SQL = f"""{FILES_SQL}, classified AS (SELECT namespace, relative_path, split_part(relative_path, '/', -1) AS filename, {EXT} AS extension,
+    {LANGUAGE_SQL} AS language, {CATEGORY_SQL} AS category, size_bytes, {REASON_SQL} AS reason FROM files WHERE {NOT_PRUNED})"""
+
+
+@query(f"WITH {CLASSIFIED_SQL} SELECT * FROM classified")
+def scan_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.classify_files(virtual.files(spark, sf_dir), 8192)
+
+
+@query(f"WITH {CLASSIFIED_SQL} SELECT coalesce(reason, 'included') AS reason, category, count(*) AS files FROM classified GROUP BY ALL")
+def scan_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classified = scan.classify_files(virtual.files(spark, sf_dir), 8192)
+    return classified.groupBy(F.coalesce("reason", F.lit("included")).alias("reason"), "category").agg(F.count("*").alias("files"))
+
+
+@query(f"WITH {CLASSIFIED_SQL} SELECT namespace, count(*) AS total_files_seen, count(*) FILTER (reason IS NULL) AS included_files, count(*) FILTER (reason IS NOT NULL) AS ignored_files FROM classified GROUP BY namespace")
+def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.scan_counters(scan.classify_files(virtual.files(spark, sf_dir), 8192))
+
+
+@query(f"WITH {CLASSIFIED_SQL} SELECT namespace, relative_path FROM classified WHERE reason IS NULL AND category IN ('source', 'test') AND language IN ({quoted(scan.PARSED)})")
+def parse_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a parser takes."""
+    return scan.classify_files(virtual.files(spark, sf_dir), 8192).filter("reason is null and category in ('source', 'test')").filter(F.col("language").isin(*scan.PARSED)).select("namespace", "relative_path")
+
+
+@query(f"WITH {FILES_SQL} SELECT namespace, count(*) AS total_files, CAST(sum(size_bytes) AS BIGINT) AS repository_size_bytes FROM files GROUP BY namespace")
+def tree_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.tree_measure(virtual.files(spark, sf_dir))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE (n - length(regexp_replace(t, '[\x00-\x07\x0B\x0E-\x1F\x7F]', '', 'g'))) / n END AS share,
+    n > 0 AND (n - length(regexp_replace(t, '[\x00-\x07\x0B\x0E-\x1F\x7F]', '', 'g'))) / n > 0.3 AS is_binary
+    FROM (SELECT doc_id, t, length(t) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', chr(1)) WHEN doc_id % 3 = 1 THEN regexp_replace(text, '[a-z]', chr(2), 'g') ELSE text END AS t FROM documents))"""
+)
+def binary_control_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("e"), F.lit("\x01"))).when(F.col("doc_id") % 3 == 1, F.regexp_replace("text", "[a-z]", "\x02")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", scan.control_share(t).alias("share"), scan.is_binary(t.cast("binary")).alias("is_binary"))
+
+
+URLS_SQL = """urls AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'https://github.com/owner' || page_id || '/repo.git' WHEN 1 THEN 'http://GitHub.com/a-b/' || page_id
+    WHEN 2 THEN 'https://github.com/-a/b' WHEN 3 THEN 'https://github.com/a/b/c' WHEN 4 THEN 'https://github.com/a/b.git.git' WHEN 5 THEN 'https://user@github.com/a/b'
+    WHEN 6 THEN url ELSE 'https://github.com/a/b?x=' || page_id END AS url FROM pages)"""
+SHAPE_SQL = r"'(?i)^https?://github\.com/([^/?#%@:\s]+)/([^/?#%@:\s]+)$'"
+
+
+@query(
+    f"""WITH {URLS_SQL}, parts AS (SELECT page_id, regexp_matches(url, {SHAPE_SQL}) AS shaped, regexp_extract(url, {SHAPE_SQL}, 1) AS o, regexp_replace(regexp_extract(url, {SHAPE_SQL}, 2), '\\.git$', '') AS r FROM urls),
+    judged AS (SELECT *, shaped AND regexp_full_match(o, '[A-Za-z0-9]([A-Za-z0-9-]{{0,37}}[A-Za-z0-9])?') AND regexp_full_match(r, '[A-Za-z0-9._-]{{1,100}}') AND r NOT IN ('.', '..') AND NOT ends_with(r, '.git') AS accepted FROM parts)
+    SELECT page_id, accepted, CASE WHEN accepted THEN o END AS owner, CASE WHEN accepted THEN r END AS repo, CASE WHEN accepted THEN 'https://github.com/' || o || '/' || r END AS normalized FROM judged"""
+)
+def url_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, p = table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
+    made = [
+        F.concat(F.lit("https://github.com/owner"), p, F.lit("/repo.git")), F.concat(F.lit("http://GitHub.com/a-b/"), p), F.lit("https://github.com/-a/b"), F.lit("https://github.com/a/b/c"),
+        F.lit("https://github.com/a/b.git.git"), F.lit("https://user@github.com/a/b"), F.col("url"), F.concat(F.lit("https://github.com/a/b?x="), p),
+    ]
+    url = F.element_at(F.array(*made), (F.col("page_id") % 8 + 1).cast("int"))
+    return pages.select("page_id", paths.repository_address(url).alias("a")).select("page_id", "a.*")
+
+
+# --- text, offsets, hashes ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY ALL")
+def content_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(text.content_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+
+
+LINES_SQL = """lines AS (SELECT doc_id, line, CAST(coalesce(sum(strlen(body) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS line FROM documents))"""
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, line, start FROM lines")
+def line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.line_starts(F.col("text"))).alias("pos", "start"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("line"), "start")
+
+
+@query(
+    f"""WITH {LINES_SQL}, o AS (SELECT doc_id, CAST(strlen(text) * 2 // 3 AS INT) AS off FROM documents)
+    SELECT doc_id, off, max(line) AS line, off - max(start) AS "column" FROM o JOIN lines USING (doc_id) WHERE start <= off GROUP BY doc_id, off"""
+)
+def offset_to_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.floor(F.octet_length("text") * 2 / 3).cast("int")
+    where = text.locate(text.line_starts(F.col("text")), F.col("off"))
+    return table(spark, sf_dir, "documents").withColumn("off", at).select("doc_id", "off", where["line"].alias("line"), where["column"].alias("column"))
+
+
+def fragments_sql(target: int, most: int) -> str:
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, text, strlen(text) AS n, encode(text) AS b FROM documents),
+    lf AS (SELECT doc_id, list(start ORDER BY start) FILTER (start > 0) AS ends FROM (
+        SELECT doc_id, sum(strlen(body) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS start, line, count(*) OVER (PARTITION BY doc_id) AS m
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)) WHERE line < m GROUP BY doc_id),
+    cut AS (
+      SELECT doc_id, -1 AS fragment_index, 0::BIGINT AS start, 0::BIGINT AS "end" FROM d
+      UNION ALL
+      SELECT c.doc_id, c.fragment_index + 1, c."end", CASE WHEN d.n - c."end" <= {most} THEN d.n ELSE coalesce(
+          list_max(list_filter(l.ends, lambda e: e > c."end" AND e <= c."end" + {target})), list_max(list_filter(l.ends, lambda e: e > c."end" AND e <= c."end" + {most})),
+          list_max(list_filter([c."end" + {most}, c."end" + {most} - 1, c."end" + {most} - 2, c."end" + {most} - 3], lambda p: hex(d.b[p + 1:p + 1])[1] NOT IN ('8', '9', 'A', 'B')))) END
+      FROM cut c JOIN d USING (doc_id) LEFT JOIN lf l USING (doc_id) WHERE c."end" < d.n OR (d.n = 0 AND c.fragment_index < 0))
+    SELECT doc_id, CAST(fragment_index AS INT) AS fragment_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS fragment_count, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end"
+    FROM cut WHERE fragment_index >= 0"""
+
+
+@query(fragments_sql(chunk.TARGET, chunk.MOST))
+def fragments_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.fragments(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+@query(fragments_sql(96, 128))
+def fragments_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.fragments(table(spark, sf_dir, "documents"), "text", ["doc_id"], 96, 128)
+
+
+@query(
+    f"""WITH {FILES_SQL} SELECT doc_id, sha256('["{chunk.TAG}",' || to_json(namespace) || ',' || to_json(relative_path) || ',"context","","","",0,' || size_bytes || ',0]') AS chunk_id FROM files"""
+)
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    ident = text.chunk_id(chunk.TAG, F.col("namespace"), F.col("relative_path"), F.lit("context"), none, none, none, F.lit(0), F.col("size_bytes"), F.lit(0))
+    return virtual.files(spark, sf_dir).select("doc_id", ident.alias("chunk_id"))
+
+
+DOCUMENT_SQL = f"""'{documents.VERSION}' || chr(10) || '{{"chunk_kind":"context","language":"python","parent_qualified_name":null,"qualified_name":' || to_json('m.' || namespace) || ',"relative_path":' || to_json(relative_path)
+    || ',"symbol_kind":null}}' || chr(10) || '---' || chr(10) || content"""
+
+
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    doc = documents.embedding_document(F.lit("context"), F.lit("python"), none, F.concat(F.lit("m."), F.col("namespace")), F.col("relative_path"), none, F.col("content"))
+    return virtual.files(spark, sf_dir).select("doc_id", doc.alias("text"))
+
+
+@query(f"WITH {FILES_SQL} SELECT doc_id, sha256({DOCUMENT_SQL}) AS document_hash, CAST(strlen({DOCUMENT_SQL}) AS INT) AS bytes FROM files")
+def embedding_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered(spark, sf_dir).select("doc_id", text.content_hash(F.col("text")).alias("document_hash"), F.octet_length("text").alias("bytes"))
+
+
+@query(f"WITH {FILES_SQL} SELECT doc_id FROM files WHERE strlen({DOCUMENT_SQL}) > {documents.INPUT_BYTES}")
+def oversize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.oversize(rendered(spark, sf_dir)).select("doc_id")
+
+
+BOUND = "CASE WHEN hex(encode(t)[{k}:{k}])[1] NOT IN ('8', '9', 'A', 'B') THEN decode(encode(t)[1:{j}]) END"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents)
+    SELECT doc_id, sha256(CASE WHEN strlen(t) <= 1000 THEN t ELSE coalesce({", ".join(BOUND.format(k=998 - k, j=997 - k) for k in range(4))}) || '…' END) AS bounded FROM s"""
+)
+def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(text.bounded_text(F.col("text"))).alias("bounded"))
+
+
+@query(
+    f"""SELECT doc_id, array_to_string(list_filter([{quoted(text.MODIFIERS)}], lambda m: list_contains(list_transform(w, lambda x: lower(x)), m)), ' ') AS modifiers
+    FROM (SELECT doc_id, list_concat(string_split(text, ' ')[1:5], CASE WHEN doc_id % 2 = 0 THEN ['STATIC', 'public', 'static', 'what'] ELSE ['Final', 'abstract'] END) AS w FROM documents)"""
+)
+def modifiers_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, ("STATIC", "public", "static", "what")))).otherwise(F.array(F.lit("Final"), F.lit("abstract")))
+    words = F.concat(F.slice(F.split("text", " "), 1, 5), more)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.normalized_modifiers(words), " ").alias("modifiers"))
+
+
+# --- inventories and intervals ------------------------------------------------------------------------------------------
+
+
+def two_inventories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = virtual.files(spark, sf_dir).select("doc_id", F.concat_ws("#", "relative_path", "doc_id").alias("relative_path"))
+    return files.filter("doc_id % 7 <> 0").select("relative_path"), files.filter("doc_id % 11 <> 0").select("relative_path")
+
+
+PAIRS_SQL = f"WITH {FILES_SQL}, p AS (SELECT doc_id, relative_path || '#' || doc_id AS relative_path FROM files), a AS (SELECT relative_path FROM p WHERE doc_id % 7 <> 0), b AS (SELECT relative_path FROM p WHERE doc_id % 11 <> 0)"
+
+
+@query(f"{PAIRS_SQL} SELECT relative_path FROM a JOIN b USING (relative_path)")
+def inventory_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = two_inventories(spark, sf_dir)
+    return a.join(b, "relative_path")
+
+
+@query(f"{PAIRS_SQL} SELECT relative_path, 'files' AS only_in FROM a ANTI JOIN b USING (relative_path) UNION ALL SELECT relative_path, 'parsed' FROM b ANTI JOIN a USING (relative_path)")
+def inventory_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.unpaired(*two_inventories(spark, sf_dir))
+
+
+def line_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested intervals over each text: the whole, its thirds, and every line of the first two thirds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n")).filter("n >= 90")
+    made = "array(struct(0L as id, 0L as start, n as end), struct(1L as id, 1L as start, n div 3 as end), struct(2L as id, n div 3 as start, 2 * (n div 3) as end), struct(3L as id, n div 3 + 2 as start, n div 3 + 12 as end), struct(4L as id, n div 3 + 5 as start, n div 3 + 8 as end))"
+    return docs.select("doc_id", F.inline(F.expr(made)))
+
+
+INTERVALS_SQL = """i AS (SELECT doc_id, unnest([0, 1, 2, 3, 4])::BIGINT AS id, unnest([0, 1, n // 3, n // 3 + 2, n // 3 + 5])::BIGINT AS start, unnest([n, n // 3, 2 * (n // 3), n // 3 + 12, n // 3 + 8])::BIGINT AS "end"
+    FROM (SELECT doc_id, strlen(text) AS n FROM documents) WHERE n >= 90)"""
+
+
+@query(
+    f"""WITH {INTERVALS_SQL} SELECT c.doc_id, c.id, c.start, c."end", arg_min(p.id, p."end" - p.start) AS parent FROM i c LEFT JOIN i p ON p.doc_id = c.doc_id AND p.id <> c.id AND p.start <= c.start AND p."end" >= c."end"
+    GROUP BY ALL"""
+)
+def containment_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.containment_parents(line_intervals(spark, sf_dir), ["doc_id"]).select("doc_id", "id", "start", "end", "parent")
+
+
+@query(f"""WITH {INTERVALS_SQL} SELECT doc_id, id, start, "end", max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC ROWS UNBOUNDED PRECEDING) AS max_end FROM i""")
+def running_max_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.running_end(line_intervals(spark, sf_dir), ["doc_id"]).select("doc_id", "id", "start", "end", "max_end")
+
+
+@query(f"""WITH {INTERVALS_SQL} SELECT doc_id, id FROM i WHERE start < doc_id % 40 + 1 + 10 AND doc_id % 40 + 10 < "end" """)
+def unsafe_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals that an issue of no width touches, one issue a document."""
+    rows = line_intervals(spark, sf_dir)
+    at = F.col("doc_id") % 40 + 10
+    issues = rows.filter("id = 0").select("doc_id", at.alias("start"), at.alias("end"))
+    return intervals.unsafe(rows, issues, ["doc_id"]).select("doc_id", "id")
+
+
+@query(
+    f"""WITH {INTERVALS_SQL} SELECT doc_id, a AS start, b AS "end" FROM (
+      SELECT doc_id, 0 AS a, 1 AS b FROM i WHERE id = 1 UNION ALL
+      SELECT x.doc_id, x."end", y.start FROM i x JOIN i y USING (doc_id) WHERE x.id = 1 AND y.id = 2 UNION ALL
+      SELECT x.doc_id, x."end", y."end" FROM i x JOIN i y USING (doc_id) WHERE x.id = 2 AND y.id = 0) WHERE b > a"""
+)
+def residual_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What intervals 1 and 2 leave of the whole text."""
+    rows = line_intervals(spark, sf_dir)
+    return intervals.residual_gaps(rows.filter("id in (1, 2)"), rows.filter("id = 0"), ["doc_id"])
+
+
+@query("SELECT doc_id, text_hash FROM (SELECT doc_id, md5(text) AS text_hash, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal records of a source, the first."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text_hash"))
+    return intervals.first_of_each(rows, ["source", "text_hash"], "doc_id").select("doc_id", "text_hash")
+
+
+# --- synchronisation ----------------------------------------------------------------------------------------------------
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots of the documents by fixed rules: some gone, some edited, some new."""
+    docs = table(spark, sf_dir, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("chunk_id"), "doc_id", "text")
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    current = docs.filter("doc_id % 10 <> 0").select("chunk_id", F.sha2(edited, 256).alias("content_hash"))
+    return current, docs.filter("doc_id % 13 <> 0").select("chunk_id", F.sha2("text", 256).alias("content_hash"))
+
+
+SNAP_SQL = """WITH c AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS chunk_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 0),
+    s AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS chunk_id, sha256(text) AS h FROM documents WHERE doc_id % 13 <> 0),
+    d AS (SELECT coalesce(c.chunk_id, s.chunk_id) AS chunk_id, CASE WHEN s.h IS NULL THEN 'new' WHEN c.h IS NULL THEN 'deleted' WHEN c.h = s.h THEN 'unchanged' ELSE 'updated' END AS class, coalesce(c.h, s.h) AS h FROM c FULL JOIN s USING (chunk_id))"""
+COUNTERS_SQL = """SELECT count(*) FILTER (class <> 'deleted') AS total_chunks, count(*) FILTER (class = 'unchanged') AS reused_chunks, count(*) FILTER (class IN ('new', 'updated')) AS embedded_chunks,
+    count(*) FILTER (class = 'new') AS inserted_chunks, count(*) FILTER (class = 'updated') AS updated_chunks, count(*) FILTER (class = 'deleted') AS deleted_chunks,
+    CASE WHEN count(*) FILTER (class <> 'unchanged') = 0 THEN 'unchanged' ELSE 'success' END AS status FROM """
+
+
+@query(f"{SNAP_SQL} SELECT chunk_id, class FROM d")
+def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.sync_diff(*snapshots(spark, sf_dir))
+
+
+@query(f"{SNAP_SQL} {COUNTERS_SQL} d")
+def sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.sync_counters(sync.sync_diff(*snapshots(spark, sf_dir)))
+
+
+@query(f"{SNAP_SQL} {COUNTERS_SQL} (SELECT 'unchanged' AS class FROM s)")
+def sync_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = snapshots(spark, sf_dir)[1]
+    return sync.sync_counters(sync.sync_diff(stored, stored))
+
+
+@query(f"{SNAP_SQL} SELECT chunk_id, CASE WHEN class = 'unchanged' THEN 'updated' ELSE class END AS class FROM d")
+def sync_incompatible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.sync_diff(*snapshots(spark, sf_dir), compatible=False)
+
+
+@query(f"{SNAP_SQL} SELECT chunk_id, h AS content_hash, CASE WHEN class = 'unchanged' THEN 'reused' ELSE 'embedded' END AS origin FROM d WHERE class <> 'deleted'")
+def next_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current, stored = snapshots(spark, sf_dir)
+    diff = sync.sync_diff(current, stored)
+    fresh = current.join(diff.filter("class in ('new', 'updated')").select("chunk_id"), "chunk_id", "left_semi").withColumn("origin", F.lit("embedded"))
+    return sync.next_manifest(diff, stored.withColumn("origin", F.lit("reused")), fresh)
+
+
+@query("SELECT CAST(n AS INT) AS attempt, least(0.25 * 2 ** n, 2.0)::DOUBLE AS delay FROM range(5) r(n)")
+def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(embed.retry_delays(6))), "attempt int, delay double")
+
+
+@query(
+    """SELECT status, CASE WHEN status IN (401, 403) THEN 'authentication' WHEN status = 413 THEN 'input_too_large' WHEN status = 429 THEN 'rate_limit' WHEN status = 408 OR status >= 500 THEN 'transient'
+    WHEN status >= 400 THEN 'invalid_request' END AS error FROM (SELECT CAST(range AS BIGINT) AS status FROM range(200, 600))"""
+)
+def http_error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(200, 600).select(F.col("id").alias("status"), embed.http_error_class(F.col("id")).alias("error"))
+
+
+# --- parsing ------------------------------------------------------------------------------------------------------------
+
+
+def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id").cast("string")
+    lines = [F.concat(F.lit("import m"), d), F.concat(F.lit("class C"), d, F.lit(":")), F.lit("    X = 1"), F.lit("    def f(self):"), F.concat(F.lit("        return g"), d, F.lit("(1)")), F.lit("")]
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *lines).alias("content"))
+
+
+LEN = "length(CAST(doc_id AS VARCHAR))"
+
+
+@query(
+    f"""SELECT doc_id, unnest(['class', 'constant', 'method']) AS kind, unnest(['C' || doc_id, 'X', 'f']) AS name, unnest(['C' || doc_id, 'C' || doc_id || '.X', 'C' || doc_id || '.f']) AS qualified_name,
+    CAST(unnest([9 + {LEN}, 22 + 2 * {LEN}, 32 + 2 * {LEN}]) AS INT) AS start_byte, CAST(unnest([64 + 3 * {LEN}, 27 + 2 * {LEN}, 64 + 3 * {LEN}]) AS INT) AS end_byte FROM documents"""
+)
+def parse_symbols_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse.parse_python(python_sources(spark, sf_dir), ["doc_id"])
+    return parsed.select("doc_id", F.inline("symbols")).select("doc_id", "kind", "name", "qualified_name", "start_byte", "end_byte")
+
+
+@query("SELECT doc_id, 'm' || doc_id AS module, 'C' || doc_id || '.f' AS caller, 'g' || doc_id AS callee FROM documents")
+def parse_imports_calls_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse.parse_python(python_sources(spark, sf_dir), ["doc_id"])
+    return parsed.select("doc_id", F.inline("imports"), "calls").select("doc_id", "module", F.inline("calls")).select("doc_id", "module", F.col("caller_qualified_name").alias("caller"), F.col("callee_text").alias("callee"))
+
+
+@query(
+    f"""SELECT doc_id, unnest(['class', 'interface']) AS kind, unnest(['K' || doc_id, 'I']) AS name, CAST(unnest([11 + {LEN}, 57 + 2 * {LEN}]) AS BIGINT) AS start, CAST(unnest([84 + 2 * {LEN}, 82 + 2 * {LEN}]) AS BIGINT) AS "end",
+    unnest([NULL, 'K' || doc_id]) AS parent_name FROM documents"""
+)
+def parse_declarations_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id").cast("string")
+    source = F.concat(F.lit("package p"), d, F.lit(";\nclass K"), d, F.lit(' {\n  String s = "} {"; // }\n  /* { */\n interface I { void f(); }\n}\n'))
+    return parse.declarations(table(spark, sf_dir, "documents").select("doc_id", source.alias("content")), ["doc_id"])
