@@ -31,8 +31,9 @@ def next_documents(rows: DataFrame, parts: int) -> DataFrame:
         same = F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == F.element_at(top_of, bucket)
         ghosts = F.when(same, F.element_at(by_bucket, bucket))
     dealt = rows.withColumn("b", F.explode(F.when(ghosts.isNotNull(), F.concat(home, F.array(F.struct(ghosts.cast("int").alias("bucket"), F.lit(True).alias("ghost"))))).otherwise(home)))
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    return dealt.select("doc_id", "text", "b.bucket", "b.ghost").withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
+    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text_hash")
+    dealt = dealt.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "b.bucket", "b.ghost").repartition(parts, "bucket")
+    return dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
 
 
 def uniform(hash_: Column, shift: int, bits: int) -> Column:
@@ -60,7 +61,8 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
 def signatures(rows: DataFrame, keys: list[str], text_col: str, samples: int) -> DataFrame:
     """keys and `signature`, an array of `samples` longs. Terms are the words between white space, weighted 1 + ln(count).
 
-    The keys hold the partition column of rows, so that counting and sampling need no further shuffle.
+    The keys hold the partition column of rows, so that counting and sampling need no further shuffle; they are few and
+    narrow, as the counts hold them once a term.
     """
     words = rows.select(*keys, F.explode(F.split(text_col, r"\s+")).alias("word")).select(*keys, F.xxhash64("word").alias("term"))
     terms = words.groupBy(*keys, "term").agg(F.log1p(F.log(F.count("*").cast("double"))).alias("log_weight"))
@@ -88,29 +90,27 @@ def fingerprint_documents(docs: DataFrame, samples: int = 16, id_col: str = "doc
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task counts the terms of all its texts at once
     half = "cast(floor(length(text) / 2) as int)"
-    # The last ghost of a bucket has no next; it is dropped in the end.
-    placed = next_documents(rows, parts).select(
-        "bucket", "ghost", "place", "doc_id", "text",
-        F.length("text").cast("long").alias("n_chars"),
-        F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(coalesce(next_text, ''), 1, {half}))").alias("edited"),
-    )
-    both = placed.select("bucket", "place", "ghost", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    keys = ["bucket", "place", "ghost", "doc_id", "n_chars", "edited_sha256"]
-    signed = signatures(both, [*keys, "which"], "text", samples)
-    pairs = signed.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("of_edited"))
-    order = Window.partitionBy("bucket").orderBy("place")
-    return (
-        pairs.withColumn("of_next", F.lead("own").over(order))
-        .filter(~F.col("ghost"))
+    placed = next_documents(rows, parts).withColumn(
+        "edited", F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(coalesce(next_text, ''), 1, {half}))")
+    )
+    # Two steps a place: its text, then its edited text; so the next document's text is two steps on.
+    both = placed.select("bucket", F.posexplode(F.array("text", "edited")).alias("which", "text"), "place").select("bucket", (2 * F.col("place") + F.col("which")).alias("step"), "text")
+    order = Window.partitionBy("bucket").orderBy("step")
+    signed = (
+        signatures(both, ["bucket", "step"], "text", samples)
+        .select("bucket", "step", F.col("signature").alias("own"), F.lead("signature", 1).over(order).alias("of_edited"), F.lead("signature", 2).over(order).alias("of_next"))
+        .filter("step % 2 = 0")
         .select(
-            "doc_id",
-            "n_chars",
-            "edited_sha256",
+            "bucket",
+            F.expr("cast(step div 2 as int)").alias("place"),
             fingerprint_text(F.col("own")).alias("fingerprint"),
             fingerprint_text(F.col("of_edited")).alias("edited_fingerprint"),
             likeness(F.col("own"), F.col("of_edited"), samples).alias("near_edited"),
             likeness(F.col("own"), F.col("of_next"), samples).alias("near_next"),
         )
     )
+    # The same shuffle of the texts serves both sides; ghosts have no row here.
+    known = placed.filter(~F.col("ghost")).select("bucket", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    return known.join(signed, ["bucket", "place"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
