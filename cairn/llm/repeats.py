@@ -16,7 +16,8 @@ from cairn.llm.common import small_batches, texts
 from cairn.session import discard, materialize
 
 LENGTH = 200
-GRAM = 32
+#: Bytes of a suffix that its key covers: shorter repeats, as of a common line, never reach the edges' comparison.
+GRAM = 80
 U = np.uint64
 PIECE = 1 << 22
 TABLE = np.random.default_rng(9).integers(1, 2**63, 256).astype(U)
@@ -148,9 +149,9 @@ def among(keys: DataFrame, most_bits: int = 1 << 24):
 class SuffixFamily:
     """Levels of sampled suffixes, each sorted and of distinct (key, ctx), twice as many batches each as the one below.
 
-    A level is a table bucketed and sorted by (key, ctx), so that a scan of two levels side by side and the merge of two are
-    joins without a shuffle. A new batch is scanned against every level; levels of equal rank are merged, so a suffix is
-    rewritten as often as the logarithm of the number of batches.
+    A level is a table bucketed and sorted by (key, ctx), with the count of places, so that a scan of two levels side by side
+    and the merge of two are joins without a shuffle. A new batch is scanned against every level; levels of equal rank are
+    merged, so a suffix is rewritten as often as the logarithm of the number of batches.
     """
 
     def __init__(self, spark: SparkSession, buckets: int):
@@ -166,8 +167,7 @@ class SuffixFamily:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Add the samples of a batch; returns the (key, ctx) of it that occur twice, in the batch or in a level."""
-        own = batch.groupBy("key", "ctx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "tk", "first", "wins")])
-        table = self.write(own.repartition(self.buckets, "key", "ctx"))
+        table = self.write(batch.groupBy("key", "ctx").agg(F.count("*").alias("n")))  # combined before the shuffle
         new = self.spark.table(table)
         found = new.filter("n > 1").select("key", "ctx")
         for _, level in self.levels:
@@ -185,18 +185,17 @@ class SuffixFamily:
 
     @staticmethod
     def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        b = b.toDF(*[c if c in ("key", "ctx") else f"b_{c}" for c in b.columns])
-        both = a.join(b, ["key", "ctx"], "full")
-        old = F.col("n").isNotNull()
-        kept = [F.when(old, F.col(c)).otherwise(F.col(f"b_{c}")).alias(c) for c in ("doc_id", "tk", "first", "wins")]
-        return both.select("key", "ctx", (F.coalesce("n", F.lit(0)) + F.coalesce("b_n", F.lit(0))).alias("n"), *kept)
-
-    def all(self) -> DataFrame:
-        """All levels as one; (key, ctx) of two levels appear twice."""
-        out = self.spark.table(self.levels[0][1])
+        both = a.join(b.withColumnRenamed("n", "m"), ["key", "ctx"], "full")
+        return both.select("key", "ctx", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+
+    def shared_keys(self) -> DataFrame:
+        """Keys that begin suffixes of several contexts."""
+        out = self.spark.table(self.levels[0][1]).select("key", "ctx")
         for _, t in self.levels[1:]:
-            out = out.unionByName(self.spark.table(t))
-        return out
+            out = out.unionByName(self.spark.table(t).select("key", "ctx"))
+        if len(self.levels) > 1:
+            out = out.distinct()
+        return out.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
 
     def drop(self) -> None:
         for _, t in self.levels:
@@ -214,17 +213,18 @@ def with_texts(rows: DataFrame, lists: DataFrame, how: str = "inner") -> DataFra
     return rows.join(lists, rows["doc_id"].eqNullSafe(lists["l_doc_id"]) & (rows["tk"] == lists["l_tk"]), how)
 
 
-def partial_marks(family: SuffixFamily, rows: DataFrame) -> DataFrame:
+def partial_marks(family: SuffixFamily, samples: DataFrame, rows: DataFrame) -> DataFrame:
     """Windows repeated at the edges of a match: doc_id, tk, first, wins = 1.
 
     There two suffixes begin alike but their runs of windows differ. Of each key with several contexts, one place of each
     context lists its windows by hash; windows of two contexts are repeated. (A context with two places is marked already.)
     """
-    index = family.all()
-    several = index.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    edge = materialize(index.join(several, "key", "left_semi"), "suffix-edges")
-    chosen = edge.select(doc_hash().alias("h"))
-    test = among(chosen)
+    several = materialize(family.shared_keys(), "suffix-shared")
+    family.drop()
+    test_key = among(several)
+    alike = samples.filter(test_key("key")).join(several, "key", "left_semi")
+    edge = materialize(alike.groupBy("key", "ctx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "tk", "first", "wins")]), "suffix-edges")
+    test = among(edge.select(doc_hash().alias("h")))
     lists = edge.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("key", "n", "first", "wins")).alias("list"))
     have = with_texts(rows.filter(test(doc_hash())), lists).select("doc_id", "tk", "text", "l_list").dropDuplicates(["doc_id", "tk"])
     kind = dict(rows.dtypes)["doc_id"]
@@ -279,8 +279,7 @@ def remove_repeats(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", te
     repeated = materialize(repeated.distinct(), "suffix-repeated")
     test = among(repeated.select(F.xxhash64("key", "ctx").alias("h")))
     whole = samples.filter(test(F.xxhash64("key", "ctx"))).join(repeated, ["key", "ctx"], "left_semi").select("doc_id", "tk", "first", "wins")
-    marks = materialize(whole.unionByName(partial_marks(family, rows)), "suffix-marks")
-    family.drop()
+    marks = materialize(whole.unionByName(partial_marks(family, samples, rows)), "suffix-marks")
     discard(samples)
 
     spans = marks.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("first", "wins")).alias("list"))
