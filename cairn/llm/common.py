@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,3 +22,24 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Keep Arrow batches short, as texts can be long: a batch holds `rows` texts at most."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def among(keys: DataFrame, most_bits: int = 1 << 24):
+    """A test that is true for every hash in keys (one long column) and for few others: a bitmap of most_bits bits at most.
+
+    It only spares rows a shuffle; joins decide. A fuller bitmap spares less, and its size stays bounded.
+    """
+    n = keys.count()
+    bits = min(most_bits, max(1 << 10, 1 << int(16 * max(n, 1) - 1).bit_length()))
+    slot = F.pmod(keys[keys.columns[0]], F.lit(bits))
+    words = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toPandas()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    sent = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        s = np.mod(h.to_numpy(np.int64), bits)
+        return pd.Series((sent.value[s >> 6].view(np.uint64) >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return test

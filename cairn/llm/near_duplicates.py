@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small_batches, texts
+from cairn.llm.common import among, small_batches, texts
 from cairn.session import discard, materialize
 
 SHINGLE = 5
@@ -120,14 +120,14 @@ def signed(rows: DataFrame) -> DataFrame:
     return every.groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
 
 
-def similar_pairs(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) with their similarity `s`, kept where it is the threshold or more; exact, from the texts.
+def bags_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, elements and counts (packed arrays) of the given nodes, from the texts.
 
-    Copies of a text are combined before the shuffle. Only texts that are in a pair become bags; pairs meet their bags by two joins, which Spark splits where a text has many
-    pairs.
+    A bitmap of bounded size keeps most other texts out of the shuffle; copies of a text are combined before it.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = rows.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi")
+    nodes = nodes.select("node").distinct()
+    test = among(nodes.select(F.xxhash64("node").alias("h")))
+    chosen = rows.filter(test(F.xxhash64("node"))).groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node", "left_semi")
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,7 +136,15 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFr
                 [b.column(0), pa.array([e.tobytes() for e, _ in found], pa.binary()), pa.array([w.astype(np.int32).tobytes() for _, w in found], pa.binary())], ["node", "elements", "counts"]
             )
 
-    bags = materialize(chosen.mapInArrow(bag, "node binary, elements binary, counts binary"), "near-bags")
+    return materialize(chosen.mapInArrow(bag, "node binary, elements binary, counts binary"), "near-bags")
+
+
+def similar_pairs(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose similarity is the threshold or more; exact, from the texts.
+
+    Pairs meet their bags by two joins, which Spark splits where a text has many pairs.
+    """
+    bags = bags_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -155,6 +163,74 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFr
     return scored.filter(F.col("s") >= threshold)
 
 
+def linking_pairs(nodes: list, roots: list, bags: list[tuple[np.ndarray, np.ndarray]], low: np.ndarray, high: np.ndarray, threshold: float) -> list[tuple]:
+    """Links between rows `low` and rows `high` that join two roots: enough of them for the components, not all.
+
+    Overlaps of one row with all others come from postings of its elements, so they cost the elements that rows share.
+    """
+    parent = {r: r for r in roots}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    at = np.concatenate([np.full(len(bags[j][0]), j) for j in high]) if len(high) else np.zeros(0, np.int64)
+    elements = np.concatenate([bags[j][0] for j in high]) if len(high) else np.zeros(0, U)
+    counts = np.concatenate([bags[j][1] for j in high]) if len(high) else np.zeros(0, np.int64)
+    order = np.argsort(elements, kind="stable")
+    elements, at, counts = elements[order], at[order], counts[order]
+    total = np.array([b[1].sum() for b in bags])
+    out = []
+    for i in low:
+        e, c = bags[i]
+        lo, hi = np.searchsorted(elements, e, "left"), np.searchsorted(elements, e, "right")
+        n = hi - lo
+        where = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(at[where], np.minimum(counts[where], np.repeat(c, n)), len(bags))
+        for j in np.flatnonzero(both >= threshold * (total[i] + total - both) - 1e-9):
+            x, y = find(roots[i]), find(roots[j])
+            if x != y and both[j] / (total[i] + total[j] - both[j]) >= threshold:
+                parent[max(x, y)] = min(x, y)
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
+def links_between(open_: DataFrame, rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) that join components of one cluster; open_: cluster, node, weight, root.
+
+    A cluster is cut by weight, in steps of 1 / threshold (similar bags are in one step or the next), and a step into parts
+    of about `block` nodes. A task takes two parts; two parts of the same single component are left out. Each task sends
+    the links that its components need, fewer than its nodes.
+    """
+    step = F.floor(F.log(F.greatest("weight", F.lit(1)).cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
+    stepped = open_.withColumn("step", step)
+    sizes = stepped.groupBy("cluster", "step").agg(F.count("*").alias("n"))
+    dealt = stepped.join(sizes, ["cluster", "step"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / block)).cast("int")).drop("n")
+    dealt = materialize(dealt, "near-dealt")
+    parts = dealt.groupBy("cluster", "step", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    other = parts.select(F.col("cluster").alias("c2"), F.col("step").alias("step2"), F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    near = (F.col("cluster") == F.col("c2")) & F.col("step2").between(F.col("step"), F.col("step") + 1) & ((F.col("step2") > F.col("step")) | (F.col("part2") >= F.col("part")))
+    one = (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("lo2")) & (F.col("lo") == F.col("hi2"))
+    tasks = parts.join(other, near & ~one).select("cluster", F.struct("step", "part", "step2", "part2").alias("task"))
+    seats = tasks.select("cluster", "task", F.explode(F.array_distinct(F.array(F.struct(F.col("task.step").alias("step"), F.col("task.part").alias("part")), F.struct(F.col("task.step2"), F.col("task.part2"))))).alias("seat"))
+    seats = seats.select("cluster", "task", F.col("seat.step").alias("step"), F.col("seat.part").alias("part"))
+    bags = bags_of(dealt.select("node"), rows)
+    seated = dealt.join(bags, "node").join(seats, ["cluster", "step", "part"]).select("cluster", "task.*", F.col("step").alias("own_step"), F.col("part").alias("own_part"), "node", "root", "elements", "counts")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, s1, p1, s2, p2 = key
+        held = [(np.frombuffer(e, U), np.frombuffer(c, np.int32)) for e, c in zip(pdf["elements"], pdf["counts"], strict=True)]
+        first = ((pdf["own_step"] == s1) & (pdf["own_part"] == p1)).to_numpy()
+        second = ((pdf["own_step"] == s2) & (pdf["own_part"] == p2)).to_numpy()
+        nodes, roots = [bytes(x) for x in pdf["node"]], [bytes(x) for x in pdf["root"]]
+        found = linking_pairs(nodes, roots, held, np.flatnonzero(first), np.flatnonzero(second), threshold)
+        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+
+    return seated.groupBy("cluster", "step", "part", "step2", "part2").applyInPandas(run, "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its connected component, for all nodes with an edge.
 
@@ -175,14 +251,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (least doc_id of its class), class_size: classes of texts linked by similarity `threshold` or more.
 
     Similarity is the Jaccard similarity of the multisets of five-word shingles. Texts of equal words are one node. Nodes
     that share a band (four registers of 128: a pair at 0.8 shares none of 32 with probability 5e-8) are candidates. In
-    a bucket all members are compared with its least one; where a bucket then still spans several components, its members
-    of different components are compared with each other, less pairs whose sizes rule the threshold out. So the classes
-    are those of all candidate pairs, while a group of copies costs one comparison a member.
+    a bucket all members are compared with its least one, which settles groups of copies at one comparison a member. Where
+    a bucket then still spans several components, its members join a cluster; clusters are compared in blocks of members of
+    like weight, which send only the links that join components. So the classes are those of all candidate pairs, and no
+    pair but such a link leaves a task.
 
     Null or empty text: the words of none, one class. Null doc_ids take part; a class of such rows alone has class_id null.
     Repeated rows: each its own row. An empty table: no rows.
@@ -191,29 +268,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     rows = texts(docs, id_col, text_col).withColumn("node", bag_node())
     members = materialize(rows.select("doc_id", "node"), "near-members")
     nodes = materialize(signed(rows), "near-nodes")
-    banded = nodes.select(F.explode("bands").alias("bucket"), "node", "weight")
+    banded = nodes.select(F.explode("bands").alias("bucket"), "node")
     leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     shared = materialize(banded.join(leaders, "bucket"), "near-buckets")
-    light, heavy = F.least("weight", "other_weight"), F.greatest("weight", "other_weight")
-    stars = materialize(shared.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
-    links = materialize(similar_pairs(stars, rows, threshold).select("a", "b"), "near-links")
+    stars = shared.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    links = materialize(similar_pairs(materialize(stars, "near-stars"), rows, threshold).select("a", "b"), "near-links")
     roots = components(links)
 
-    placed = shared.filter("n > 2").join(roots, "node", "left").select("bucket", "node", "weight", F.coalesce("root", "node").alias("root"))
+    placed = shared.filter("n > 2").join(roots, "node", "left").select("bucket", "leader", "node", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    placed = materialize(placed.join(split, "bucket", "left_semi"), "near-split")
-    other = placed.select("bucket", F.col("node").alias("other"), F.col("weight").alias("other_weight"), F.col("root").alias("other_root"))
-    cross = (
-        placed.join(other, (placed["bucket"] == other["bucket"]) & (placed["root"] < other["other_root"]) & (light >= F.lit(threshold) * heavy))
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    cross = materialize(cross, "near-cross")
-    if cross.limit(1).count():
-        more = materialize(similar_pairs(cross, rows, threshold).select("a", "b"), "near-links")
-        if more.limit(1).count():
-            roots = components(links.unionByName(more))
+    spokes = materialize(placed.join(split, "bucket", "left_semi").filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-spokes")
+    if spokes.limit(1).count():
+        clusters = components(spokes).withColumnRenamed("root", "cluster")
+        open_ = clusters.join(nodes.select("node", "weight"), "node").join(roots, "node", "left").select("cluster", "node", "weight", F.coalesce("root", "node").alias("root"))
+        more = materialize(links_between(open_, rows, threshold, block), "near-links")
+        roots = components(links.unionByName(more))
     placed = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return placed.join(classes, "root").select("doc_id", "class_id", "class_size")

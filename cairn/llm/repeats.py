@@ -7,12 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small_batches, texts
+from cairn.llm.common import among, small_batches, texts
 from cairn.session import discard, materialize
 
 LENGTH = 200
@@ -125,27 +124,6 @@ def sampled_suffixes(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tk", "text").mapInArrow(run, SAMPLE.format(kind=dict(rows.dtypes)["doc_id"]))
 
 
-def among(keys: DataFrame, most_bits: int = 1 << 24):
-    """A test that is true for every hash in keys (one long column) and for few others: a bitmap of most_bits bits at most.
-
-    It only spares rows a shuffle; joins decide. A fuller bitmap spares less, and its size stays bounded.
-    """
-    n = keys.count()
-    bits = min(most_bits, max(1 << 10, 1 << int(16 * max(n, 1) - 1).bit_length()))
-    slot = F.pmod(keys[keys.columns[0]], F.lit(bits))
-    words = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toPandas()
-    bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    sent = keys.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        s = np.mod(h.to_numpy(np.int64), bits)
-        return pd.Series((sent.value[s >> 6].view(U) >> (s & 63).astype(U)) & U(1) == 1)
-
-    return test
-
-
 class SuffixFamily:
     """Levels of sampled suffixes, each sorted and of distinct (key, ctx), twice as many batches each as the one below.
 
