@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import paths, text
-from cairn.operators import chunk, documents, embed, intervals, parse, scan, search, sync
+from cairn.operators import asserts, chunk, documents, embed, intervals, parse, scan, search, sync
 from cairn.plans import virtual
 from cairn.plans.virtual import FILES_SQL, LOWER_NAME, quoted
 from cairn.session import table
@@ -457,3 +457,67 @@ def parse_declarations_java(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id").cast("string")
     source = F.concat(F.lit("package p"), d, F.lit(";\nclass K"), d, F.lit(' {\n  String s = "} {"; // }\n  /* { */\n interface I { void f(); }\n}\n'))
     return parse.declarations(table(spark, sf_dir, "documents").select("doc_id", source.alias("content")), ["doc_id"])
+
+
+# --- contract checks and publishing -------------------------------------------------------------------------------------
+
+
+@query("SELECT content_hash, count(*) AS times FROM (SELECT sha256(text) AS content_hash FROM documents) GROUP BY content_hash HAVING count(*) > 1")
+def assert_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(text.content_hash(F.col("text")).alias("content_hash"))
+    return asserts.repeated(rows, ["content_hash"])
+
+
+@query(f"""WITH {INTERVALS_SQL} SELECT doc_id, id FROM (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM i) WHERE start < b""")
+def assert_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asserts.overlapping(line_intervals(spark, sf_dir), ["doc_id"]).select("doc_id", "id")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, n_chars, lag(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) WHERE n_chars <= b")
+def assert_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return asserts.out_of_order(rows, ["source"], "doc_id", "n_chars").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 > 0")
+def assert_unsafe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.element_at(F.array(F.lit("a/b.py"), F.lit("/a"), F.lit("a/../b"), F.lit("C:/x")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return asserts.unsafe_paths(table(spark, sf_dir, "documents").select("doc_id", path.alias("relative_path"))).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 9 = 0")
+def assert_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    now = docs.withColumn("content", F.when(F.col("doc_id") % 9 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return asserts.stale(now, docs.select("doc_id", text.content_hash(F.col("content")).alias("source_sha256")), ["doc_id"])
+
+
+@query("SELECT 0::BIGINT AS wrong")
+def assert_wrong_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks of all documents agree with their ranges."""
+    files = virtual.files(spark, sf_dir).select("namespace", F.concat_ws("#", "relative_path", "doc_id").alias("relative_path"), "content")
+    keys = ["namespace", "relative_path"]
+    chunks = chunk.chunk_rows(chunk.fragments(files, "content", keys).withColumn("kind", F.lit("fragment")), files, keys)
+    return asserts.wrong_chunks(chunks, files, keys).agg(F.count("*").alias("wrong"))
+
+
+@query("SELECT sha256(CAST(doc_id AS VARCHAR)) AS chunk_id, sha256(text) AS content_hash FROM documents WHERE doc_id < 200")
+def publish_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A namespace indexed twice, the second time with fewer and edited chunks, then read by the pointer."""
+    import tempfile
+
+    from cairn.operators import index
+
+    store, provider = index.VectorIndex(spark, tempfile.mkdtemp(prefix="cairn-index-")), embed.HashProvider(4)
+    docs = table(spark, sf_dir, "documents").filter("doc_id < 220")
+    chunks = docs.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("chunk_id"), "doc_id", F.concat_ws("/", "source", "doc_id").alias("relative_path"), F.col("text").alias("content"), "text")
+    edited = chunks.withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit("?"))).otherwise(F.col("content")))
+    index.synchronize(store, "n", edited.withColumn("content_hash", F.sha2("content", 256)), provider)
+    index.synchronize(store, "n", chunks.filter("doc_id < 200").withColumn("content_hash", F.sha2("content", 256)), provider)
+    return store.read("n", store.active("n")).select("chunk_id", "content_hash")
+
+
+@query("SELECT size_bytes, CASE WHEN size_bytes < 1000 THEN size_bytes || ' B' ELSE format('{:.1f} kB', size_bytes / 1000) END AS readable FROM (SELECT DISTINCT CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents WHERE strlen(text) < 999000)")
+def readable_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "documents").select(F.octet_length("text").cast("bigint").alias("size_bytes")).filter("size_bytes < 999000").distinct()
+    return sizes.select("size_bytes", text.readable_size(F.col("size_bytes")).alias("readable"))
