@@ -18,10 +18,9 @@ def text_key() -> Column:
     return F.xxhash64("text")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches short, as texts can be long: a batch holds `rows` texts at most."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, most: str = "1m") -> None:
+    """Keep Arrow batches small by bytes, as texts can be long: a batch ends once it holds `most`; narrow rows still fill it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def among(keys: DataFrame, most_bits: int = 1 << 24):

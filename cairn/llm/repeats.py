@@ -17,6 +17,8 @@ from cairn.session import discard, materialize
 LENGTH = 200
 #: Bytes of a suffix that its key covers: shorter repeats, as of a common line, never reach the edges' comparison.
 GRAM = 80
+#: Each window of a suffix holds this many bytes before its gram, or as many after it.
+HALF = (LENGTH - GRAM) // 2
 U = np.uint64
 PIECE = 1 << 22
 TABLE = np.random.default_rng(9).integers(1, 2**63, 256).astype(U)
@@ -52,7 +54,11 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def suffix_samples(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def grams(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    return scramble(rolling(raw, gram)) if len(raw) >= gram else np.zeros(0, U)
+
+
+def suffix_samples(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, h: np.ndarray | None = None):
     """Sampled suffixes of texts laid end to end: (text, suffix start, first window, windows, key) as arrays.
 
     Each string of `length` bytes (window) names one of its suffixes, the one whose first `gram` bytes have the least hash,
@@ -63,7 +69,7 @@ def suffix_samples(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length
     if len(raw) < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
-    h = scramble(rolling(raw, gram))
+    h = grams(raw, gram) if h is None else h
     ranked = (h & ~U(0xFFFFFF)) | np.arange(len(h), dtype=U)
     least = sliding_min(ranked, w)
     span = np.maximum(ends - starts - length + 1, 0)
@@ -78,16 +84,28 @@ def suffix_samples(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length
     return text[head], name[head], at[head], count, h[name[head]].view(np.int64)
 
 
+def halves(h: np.ndarray, name: np.ndarray, first: np.ndarray, wins: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """32 bits of the grams HALF bytes before and after each sampled suffix's, null where no window of its run holds them.
+
+    With the suffix's own gram they stand for the HALF + GRAM bytes before its end, and the GRAM + HALF bytes after its start.
+    """
+    out = []
+    for at, held in ((name - HALF, first <= name - HALF), (name + HALF, first + wins - 1 >= name - HALF)):
+        out.append(pa.array(h[np.where(held, at, 0)].astype(np.uint32).view(np.int32), mask=~held))
+    return out[0], out[1]
+
+
 def text_number() -> Column:
     """With doc_id it tells rows of one id but different texts apart."""
     return (F.crc32(F.col("text").cast("binary")) - (1 << 31)).cast("int")
 
 
-SAMPLE = "doc_id {kind}, tk int, key long, ctx long, first int, wins int"
+SAMPLE = "doc_id {kind}, tk int, key long, ctx long, first int, wins int, anchor short, before int, after int"
 
 
 def sampled_suffixes(rows: DataFrame) -> DataFrame:
-    """doc_id, tk, key (hash of the suffix's first bytes), ctx (hash of all bytes of its windows), first, wins."""
+    """doc_id, tk, key (hash of the suffix's first bytes), ctx (hash of all bytes of its windows), first, wins, anchor (where
+    the suffix starts, from first), before and after (of halves)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -110,15 +128,20 @@ def sampled_suffixes(rows: DataFrame) -> DataFrame:
                 joined = b"".join(p[2] for p in g)
                 ends = np.cumsum([len(p[2]) for p in g])
                 starts = ends - [len(p[2]) for p in g]
-                text, name, first, wins, key = suffix_samples(np.frombuffer(joined, np.uint8), starts, ends)
+                raw = np.frombuffer(joined, np.uint8)
+                h = grams(raw)
+                text, name, first, wins, key = suffix_samples(raw, starts, ends, h=h)
+                if not len(text):
+                    continue
+                before, after = halves(h, name, first, wins)
                 view = memoryview(joined)
                 ctx = np.fromiter((xxh3_64_intdigest(view[a : a + n + LENGTH - 1]) for a, n in zip(first.tolist(), wins.tolist(), strict=True)), U, len(first)).view(np.int64)
-                row = np.array([p[0] for p in g])[text] if len(text) else np.zeros(0, np.int64)
-                offset = np.array([p[1] for p in g])[text] - starts[text] if len(text) else np.zeros(0, np.int64)
+                row = np.array([p[0] for p in g])[text]
+                offset = np.array([p[1] for p in g])[text] - starts[text]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(key), pa.array(ctx), pa.array((first + offset).astype(np.int32)), pa.array(wins.astype(np.int32))],
-                    ["doc_id", "tk", "key", "ctx", "first", "wins"],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(key), pa.array(ctx), pa.array((first + offset).astype(np.int32)), pa.array(wins.astype(np.int32)), pa.array((name - first).astype(np.int16)), before, after],
+                    ["doc_id", "tk", "key", "ctx", "first", "wins", "anchor", "before", "after"],
                 )
 
     return rows.select("doc_id", "tk", "text").mapInArrow(run, SAMPLE.format(kind=dict(rows.dtypes)["doc_id"]))
@@ -191,17 +214,33 @@ def with_texts(rows: DataFrame, lists: DataFrame, how: str = "inner") -> DataFra
     return rows.join(lists, rows["doc_id"].eqNullSafe(lists["l_doc_id"]) & (rows["tk"] == lists["l_tk"]), how)
 
 
+def shared_halves(edge: DataFrame) -> DataFrame:
+    """The edges with first and wins cut down to the windows that hold a half which another context of the key has too."""
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("half")), F.struct(F.lit(1).alias("side"), F.col("after").alias("half")))).alias("s")
+    each = edge.select("key", "ctx", sides).select("key", "ctx", "s.side", "s.half").filter("half is not null")
+    several = each.groupBy("key", "side", "half").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    shared = each.join(several, ["key", "side", "half"], "left_semi").groupBy("key", "ctx").agg(F.max(F.col("side") == 0).alias("in_before"), F.max(F.col("side") == 1).alias("in_after"))
+    middle = F.col("anchor").cast("int") - HALF  # the one window that holds both halves
+    start = F.when(F.col("in_before"), 0).otherwise(F.greatest(middle, F.lit(0)))
+    end = F.when(F.col("in_after"), F.col("wins")).otherwise(F.least(F.col("wins"), middle + 1))
+    cut = edge.join(shared, ["key", "ctx"]).select("key", "ctx", "n", "doc_id", "tk", (F.col("first") + start).alias("first"), (end - start).alias("wins"))
+    return materialize(cut.filter("wins > 0"), "suffix-halves")
+
+
 def partial_marks(family: SuffixFamily, samples: DataFrame, rows: DataFrame) -> DataFrame:
     """Windows repeated at the edges of a match: doc_id, tk, first, wins = 1.
 
     There two suffixes begin alike but their runs of windows differ. Of each key with several contexts, one place of each
     context lists its windows by hash; windows of two contexts are repeated. (A context with two places is marked already.)
+    A window holds the HALF bytes before the gram or those after it; where no other context has the same there, the windows
+    that hold them are in one context only and aren't listed.
     """
     several = materialize(family.shared_keys(), "suffix-shared")
     family.drop()
     test_key = among(several)
     alike = samples.filter(test_key("key")).join(several, "key", "left_semi")
-    edge = materialize(alike.groupBy("key", "ctx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "tk", "first", "wins")]), "suffix-edges")
+    edge = materialize(alike.groupBy("key", "ctx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "tk", "first", "wins", "anchor", "before", "after")]), "suffix-edges")
+    edge = shared_halves(edge)
     test = among(edge.select(doc_hash().alias("h")))
     lists = edge.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("key", "n", "first", "wins")).alias("list"))
     have = with_texts(rows.filter(test(doc_hash())), lists).select("doc_id", "tk", "text", "l_list").dropDuplicates(["doc_id", "tk"])
@@ -244,7 +283,7 @@ def remove_repeats(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", te
     no bytes. Repeated rows are repeats of each other. Texts are moved only where they hold marks.
     """
     spark = docs.sparkSession
-    small_batches(spark, 128)
+    small_batches(spark)
     rows = texts(docs, id_col, text_col).withColumn("tk", text_number())
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
