@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import among, small_batches, texts
-from cairn.session import discard, materialize
+from cairn.session import materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -214,7 +214,7 @@ def links_between(open_: DataFrame, rows: DataFrame, threshold: float, block: in
     near = (F.col("cluster") == F.col("c2")) & F.col("step2").between(F.col("step"), F.col("step") + 1) & ((F.col("step2") > F.col("step")) | (F.col("part2") >= F.col("part")))
     one = (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("lo2")) & (F.col("lo") == F.col("hi2"))
     tasks = parts.join(other, near & ~one).select("cluster", F.struct("step", "part", "step2", "part2").alias("task"))
-    seats = tasks.select("cluster", "task", F.explode(F.array_distinct(F.array(F.struct(F.col("task.step").alias("step"), F.col("task.part").alias("part")), F.struct(F.col("task.step2"), F.col("task.part2"))))).alias("seat"))
+    seats = tasks.select("cluster", "task", F.explode(F.array_distinct(F.array(F.struct(F.col("task.step").alias("step"), F.col("task.part").alias("part")), F.struct(F.col("task.step2").alias("step"), F.col("task.part2").alias("part"))))).alias("seat"))
     seats = seats.select("cluster", "task", F.col("seat.step").alias("step"), F.col("seat.part").alias("part"))
     bags = bags_of(dealt.select("node"), rows)
     seated = dealt.join(bags, "node").join(seats, ["cluster", "step", "part"]).select("cluster", "task.*", F.col("step").alias("own_step"), F.col("part").alias("own_part"), "node", "root", "elements", "counts")
@@ -234,20 +234,31 @@ def links_between(open_: DataFrame, rows: DataFrame, threshold: float, block: in
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its connected component, for all nodes with an edge.
 
-    Labels go down to the least of the neighbours', then jump to the label's label, until no label changes: the number of
-    rounds is logarithmic on paths. Joins and least labels are combined before the shuffle; each round is written down.
+    In a round every node points to the least of itself and its neighbours; pointers jump to their end, and edges between
+    trees go on as edges between their roots. Each tree has two nodes at least, so a round leaves half of them at most; a
+    star is settled by one. Neighbours' least labels are combined before the shuffle; each step is written down.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), "near-edges")
-    labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "near-labels")
+    left = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-edges")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jumped = lower.join(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
-        new = materialize(jumped, "near-labels")
-        changed = new.filter(F.col("root") != F.col("old")).limit(1).count()
-        discard(labels)
-        labels = new.select("node", "root")
-        if not changed:
+        both = left.select("a", "b").union(left.select("b", "a")).toDF("node", "other")
+        up = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "near-up")
+        while True:
+            further = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            jumped = materialize(up.join(further, "root").select("node", "root", "far"), "near-up")
+            moved = jumped.filter("root <> far").limit(1).count()
+            up = jumped.select("node", F.col("far").alias("root"))
+            if not moved:
+                break
+        if labels is None:
+            labels = up
+        else:
+            further = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            labels = materialize(labels.join(further, "root", "left").select("node", F.coalesce("far", "root").alias("root")), "near-labels")
+        ends = [up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+        met = left.join(ends[0], "a").join(ends[1], "b").filter("a_root <> b_root")
+        left = materialize(met.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "near-edges")
+        if not left.limit(1).count():
             return labels
 
 
