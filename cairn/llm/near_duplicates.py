@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import among, small_batches, texts
+from cairn.llm.common import among, small_batches, text_key, texts
 from cairn.session import materialize
 
 SHINGLE = 5
@@ -262,22 +262,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), class_size: classes of texts linked by similarity `threshold` or more.
-
-    Similarity is the Jaccard similarity of the multisets of five-word shingles. Texts of equal words are one node. Nodes
-    that share a band (four registers of 128: a pair at 0.8 shares none of 32 with probability 5e-8) are candidates. In
-    a bucket all members are compared with its least one, which settles groups of copies at one comparison a member. Where
-    a bucket then still spans several components, its members join a cluster; clusters are compared in blocks of members of
-    like weight, which send only the links that join components. So the classes are those of all candidate pairs, and no
-    pair but such a link leaves a task.
-
-    Null or empty text: the words of none, one class. Null doc_ids take part; a class of such rows alone has class_id null.
-    Repeated rows: each its own row. An empty table: no rows.
-    """
-    small_batches(docs.sparkSession)
-    rows = texts(docs, id_col, text_col).withColumn("node", bag_node())
-    members = materialize(rows.select("doc_id", "node"), "near-members")
+def roots_of(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    """node and root, the least node of its class, for the nodes that have a link; rows: doc_id, text, node."""
     nodes = materialize(signed(rows), "near-nodes")
     banded = nodes.select(F.explode("bands").alias("bucket"), "node")
     leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
@@ -294,6 +280,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
         open_ = clusters.join(nodes.select("node", "weight"), "node").join(roots, "node", "left").select("cluster", "node", "weight", F.coalesce("root", "node").alias("root"))
         more = materialize(links_between(open_, rows, threshold, block), "near-links")
         roots = components(links.unionByName(more))
-    placed = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    return roots
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (least doc_id of its class), class_size: classes of texts linked by similarity `threshold` or more.
+
+    Similarity is the Jaccard similarity of the multisets of five-word shingles. Texts of equal words are one node. Nodes
+    that share a band (four registers of 128: a pair at 0.8 shares none of 32 with probability 5e-8) are candidates. In
+    a bucket all members are compared with its least one, which settles groups of copies at one comparison a member. Where
+    a bucket then still spans several components, its members join a cluster; clusters are compared in blocks of members of
+    like weight, which send only the links that join components. So the classes are those of all candidate pairs, and no
+    pair but such a link leaves a task.
+
+    Null or empty text: the words of none, one class. Null doc_ids take part; a class of such rows alone has class_id null.
+    Repeated rows: each its own row. An empty table: no rows.
+    """
+    small_batches(docs.sparkSession)
+    rows = texts(docs, id_col, text_col).withColumn("node", bag_node())
+    members = materialize(rows.select("doc_id", "node"), "near-members")
+    placed = members.join(roots_of(rows, threshold, block), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return placed.join(classes, "root").select("doc_id", "class_id", "class_size")
+
+
+def least_of_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and text_key of the least row of each class of near_duplicates(), by doc_id (null last), then text_key."""
+    small_batches(docs.sparkSession)
+    rows = texts(docs, id_col, text_col).withColumn("node", bag_node())
+    members = materialize(rows.select("doc_id", text_key().alias("text_key"), "node"), "near-members")
+    placed = members.join(roots_of(rows, threshold, block), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"))
+    return least.select("least.doc_id", "least.text_key")

@@ -29,11 +29,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of least doc_id; of repeated rows, one."""
-    classes = near_duplicates.near_duplicates(docs).select("doc_id", "class_id")
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "__id")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class of near duplicates, that of least doc_id (null last) and text key; of repeated rows, one."""
+    kept = near_duplicates.least_of_classes(docs).withColumnRenamed("text_key", "__key")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = keyed(again(docs, kept)).groupBy("doc_id", "__key").agg(F.min(F.struct(*others, "text")).alias("__row"))
+    return one.select("doc_id", "__row.*").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it: none, once or more."""
-    taken = mixing.mix_sources(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """Each document as many times as the mix takes it: none, once or more. Ids may repeat: a decision goes by the whole row."""
+    named = docs.withColumn("__row", F.concat_ws(":", "doc_id", F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])))
+    taken = mixing.mix_sources(named, id_col="__row").groupBy(F.col("doc_id").alias("__row")).agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    # Equal rows are one row here, with the copies of all of them.
+    return named.dropDuplicates(["__row"]).join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

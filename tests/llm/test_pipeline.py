@@ -2,9 +2,11 @@
 
 import corpus_pipeline as p
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import queries, quality, secret_scan
 from cairn.session import materialize, table
+from tests.llm import cases
 from tests.llm.test_operators import brute_classes
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +67,28 @@ def test_stages_take_nulls_and_no_rows(spark, stage):
     docs = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "a b", None, None, None), (2, "", "en", "s", 0)], table(spark, SF, "documents").schema)
     stage(spark, docs, SF).collect()
     assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_distinct_texts_of_null_and_repeated_ids_stay(spark, outs):
+    a, b, c, d, e = (cases.prose(70 + k, 60) for k in range(5))
+    given = [(1, a), (1, b), (2, b), (None, c), (None, d), (None, d), (None, e), (3, cases.edited(e, 1, 1)), (4, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t or "")) for k, (i, t) in enumerate(given)], outs[0].schema)
+    kept = p.keep_distinct(spark, docs, SF)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(rows_of(kept), key=repr) == sorted([(1, a), (1, b), (None, c), (None, d), given[7], (4, None)], key=repr)
+    # Of one class and one id, the text of least key; other rows of the class go.
+    near = spark.createDataFrame([(5, t, "en", "s", len(t)) for t in (a, cases.edited(a, 2, 1))], outs[0].schema)
+    least = near.orderBy(F.xxhash64("text")).first()["text"]
+    assert rows_of(p.keep_distinct(spark, near, SF)) == [(5, least)]
+
+
+def test_mix_decides_each_row_of_an_id(spark, outs):
+    given = [(k if k % 9 == 0 else None, cases.prose(100 + k, 20 + k % 7), "en", f"s{k % 2}", 1) for k in range(90)] + [(None, "[SECRET] same", None, "en", 1), (None, "[SECRET] same", "en", None, 1)]
+    taken = rows_of(p.mix(spark, spark.createDataFrame(given, outs[0].schema), SF))
+    size = lambda x: sum(len(t.split()) for _, t in x)
+    assert all(taken.count(r) <= 2 for r in set(taken) if "same" not in r[1]) and taken.count((None, "[SECRET] same")) <= 4
+    assert abs(size(taken) - 1.5 * size([r[:2] for r in given])) < 0.05 * size(taken)
+
+
+def rows_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.collect()]
