@@ -23,13 +23,14 @@ CLASSES = {
     "entropy_hex": (re.compile(r"[0-9A-Fa-f]{24,}"), 24, 3.0),
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.9),
 }
-#: Strings like these are no secrets: UUIDs, placeholders, paths and dashed words.
+#: Whole strings like these are no secrets: UUIDs, paths and dashed words.
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"(?i).*(example|sample|placeholder|changeme|your[-_]|xxxx|dummy).*",
     r"[A-Za-z]+([-_/][A-Za-z]+)*",
     r"[0-9]+",
 )
+#: A window that overlaps one of these is no secret; the rest of its string still can be.
+PLACEHOLDER = r"(?i)example|sample|placeholder|changeme|your[-_]|x{4,}|dummy"
 
 
 def windows_over(s: str, window: int, least: float) -> list[tuple[int, int, float]]:
@@ -72,7 +73,16 @@ def mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
-def find_secrets(text: str, classes=CLASSES, allow=None) -> list[tuple[str, int, int, float]]:
+def without(s: str, placeholder: re.Pattern) -> Iterator[tuple[int, str]]:
+    """The parts of s between placeholders, each with its place."""
+    at = 0
+    for m in placeholder.finditer(s):
+        yield at, s[at : m.start()]
+        at = m.end()
+    yield at, s[at:]
+
+
+def find_secrets(text: str, classes=CLASSES, allow=None, placeholder=re.compile(PLACEHOLDER)) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, bits) by start, then kind; offsets in code points. Base spans stay whatever is allowed."""
     allow = allow or re.compile("|".join(f"(?:{a})" if not a.startswith("(?i)") else f"(?i:{a[4:]})" for a in ALLOW))
     found = [("assign", m.start(), m.end(), 0.0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -83,9 +93,12 @@ def find_secrets(text: str, classes=CLASSES, allow=None) -> list[tuple[str, int,
             s = m[0]
             if not mixed(s) or allow.fullmatch(s):
                 continue
-            for a, b, bits in windows_over(s, window, least):
-                if mixed(s[a:b]) and not allow.fullmatch(s[a:b]):
-                    found.append((kind, m.start() + a, m.start() + b, round(bits, 6)))
+            for at, part in without(s, placeholder):
+                if len(part) < window:  # no whole window between placeholders
+                    continue
+                for a, b, bits in windows_over(part, window, least):
+                    if mixed(part[a:b]) and not allow.fullmatch(part[a:b]):
+                        found.append((kind, m.start() + at + a, m.start() + at + b, round(bits, 6)))
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
 

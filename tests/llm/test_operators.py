@@ -71,6 +71,21 @@ def test_redaction(docs):
     assert "[SECRET]\" token:abc [SECRET] [SECRET]" in got and None in got and not any("hunter2hunter2" in (t or "") for t in got)
 
 
+def test_placeholders_hide_only_their_windows():
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWabcdefghijklmnopqrstuvw0123456789+/") for _ in range(n))
+    key = draw(40)
+    spans = lambda t: [(a, b) for k, a, b, _ in secret_scan.find_secrets(t) if k == "entropy_base64"]
+    path = f"config/sample/{key}"
+    (span,) = spans(path)
+    assert span[0] >= len("config/sample") and span[1] == len(path) and span[0] <= len("config/sample/")
+    assert key not in secret_scan.redact(f"see {path} for it")
+    long = draw(3000) + "XxXx" + draw(3000)
+    hidden = set(range(len(long))) - {k for a, b in spans(long) for k in range(a, b)}
+    assert set(range(3000, 3004)) <= hidden and len(hidden) < 0.02 * len(long)
+    assert spans(f"a1B2c3-example-{draw(12)}") == [] and spans("your-key-dummy-xxxxxxxxxxxxxxxxxxxxxxxxx1") == []
+
+
 # 2
 
 
