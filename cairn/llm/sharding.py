@@ -39,32 +39,55 @@ def hilbert_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
     return index
 
 
-def ordinal(name: str, kind: str) -> Column:
-    """A double in the order of the column: numbers by their logarithm, strings by their first seven bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
-    return F.log1p(F.greatest(F.col(name).cast("double"), F.lit(0.0)))
+def ranked(rows: DataFrame, order: list[Column], tag: str) -> tuple[DataFrame, int]:
+    """rows with `__rank`, their place (0, 1, ...) in the order, and how many there are.
+
+    Rows are sorted by ranges and numbered within them; the driver holds a count for each range, no rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The range cuts are sampled anew by every job, so the sorted rows are written down before they are counted.
+    ordered = materialize(ordered.withColumn("place", F.monotonically_increasing_id()), tag)
+    part, within = F.shiftrightunsigned("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    counts = sorted(ordered.groupBy(part.alias("part")).count().collect())  # a row for each range partition
+    total, starts = 0, {}
+    for p, n in counts:
+        starts[p], total = total, total + n
+    offset = F.element_at(F.create_map(*[F.lit(v) for kv in starts.items() for v in kv]), part) if starts else F.lit(0)
+    return ordered.withColumn("__rank", offset.cast("long") + within).drop("place"), total
 
 
 def hilbert_order(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
-    """Adds `curve`: each dimension quantised to 2**bits - 1 steps of its range (0: null), then put on the curve.
+    """Adds `curve`: each dimension quantised to 2**bits - 1 steps (0: null), then put on the curve.
 
-    Two passes: the ranges (one row), then the index. An empty table or a constant dimension gets step 1.
+    Strings are quantised by the rank of the distinct value over the whole column, so that each value has a step of its own,
+    whatever its prefix; where values are more than the steps, there are more bits, as far as a long holds the curve, and
+    neighbours share a step beyond that. Numbers are quantised by their logarithm over its range. An empty table or a
+    constant dimension gets step 1.
     """
     kinds = dict(rows.dtypes)
-    codes = {d: ordinal(d, kinds[d]) for d in dimensions}
-    ends = rows.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(codes.values()) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    strings = [d for d in dimensions if kinds[d] == "string"]
+    ranks = {d: ranked(rows.filter(F.col(d).isNotNull()).select(d).distinct(), [F.col(d)], "shard-values") for d in strings}
+    bits = min(max([bits, *(n.bit_length() for _, n in ranks.values())]), 63 // len(dimensions))
+    top = (1 << bits) - 2
+    codes = {d: F.log1p(F.greatest(F.col(d).cast("double"), F.lit(0.0))) for d in dimensions if d not in ranks}
+    ends = rows.agg(F.lit(1), *[f(c).alias(f"{n}_{d}") for d, c in codes.items() for n, f in (("lo", F.min), ("hi", F.max))]).first()
     steps = []
-    for i, c in enumerate(codes.values()):
-        lo, hi = ends[f"lo_{i}"], ends[f"hi_{i}"]
+    for d in dimensions:
+        if d in ranks:
+            values, n = ranks[d]
+            rows = rows.join(values.select(d, F.expr(f"__rank * {top} div {max(n - 1, 1)} + 1").alias(f"__step_{d}")), d, "left")
+            steps.append(F.coalesce(f"__step_{d}", F.lit(0)).cast("long"))
+            continue
+        lo, hi = ends[f"lo_{d}"], ends[f"hi_{d}"]
         span = (hi - lo) if lo is not None and hi > lo else 1.0
-        steps.append(F.coalesce(F.floor((c - F.lit(lo or 0.0)) / F.lit(span) * F.lit(float((1 << bits) - 2))).cast("long") + 1, F.lit(0)))
+        steps.append(F.coalesce(F.floor((codes[d] - F.lit(lo or 0.0)) / F.lit(span) * F.lit(float(top))).cast("long") + 1, F.lit(0)))
 
     @F.pandas_udf("long")
     def curve(points: pd.DataFrame) -> pd.Series:
         return pd.Series(hilbert_index([points[c].to_numpy() for c in points.columns], bits))
 
-    return rows.withColumn("curve", curve(F.struct(*[s.alias(f"a{i}") for i, s in enumerate(steps)])))
+    return rows.withColumn("curve", curve(F.struct(*[s.alias(f"a{i}") for i, s in enumerate(steps)]))).drop(*[f"__step_{d}" for d in strings])
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...] = ("lang", "source", "size"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,7 +98,6 @@ def hilbert_shards(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...
     scan. Columns: doc_id, size, text_crc32, curve, law, shard, slot, grown_shard. Null text: size 16, crc32 0; null lang or
     source: the lowest step; repeated rows: each takes a slot; an empty table: no rows.
     """
-    spark = docs.sparkSession
     text = docs[text_col]
     metadata = [docs[d].alias(d) for d in dimensions if d != "size"]
     rows = docs.select(
@@ -86,23 +108,12 @@ def hilbert_shards(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...
     )
     rows = materialize(rows, "shard-rows")
     order = [F.col("curve"), F.col("text_crc32"), F.col("doc_id").asc_nulls_last()]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = hilbert_order(rows, list(dimensions)).select("doc_id", "size", "text_crc32", "curve").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # The range cuts are sampled anew by every job, so the sorted rows are written down before they are counted.
-    ordered = materialize(ordered.withColumn("place", F.monotonically_increasing_id()), "shard-order")
-    part, within = F.shiftrightunsigned("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    counts = sorted(ordered.groupBy(part.alias("part")).count().collect())  # a row for each range partition
-    total, starts = 0, {}
-    for p, n in counts:
-        starts[p], total = total, total + n
-    offset = F.element_at(F.create_map(*[F.lit(v) for kv in starts.items() for v in kv]), part) if starts else F.lit(0)
-    rank = offset.cast("long") + within
+    ordered, total = ranked(hilbert_order(rows, list(dimensions)).select("doc_id", "size", "text_crc32", "curve"), order, "shard-order")
     n = max(total, 1)
     shard = F.floor(F.expr("__rank * %d div %d" % (shards, n)))
     first = F.expr("(__shard * %d + %d) div %d" % (n, shards - 1, shards))
     return (
-        ordered.withColumn("__rank", rank)
-        .withColumn("__shard", shard)
+        ordered.withColumn("__shard", shard)
         .select("doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), F.col("__shard").cast("int").alias("shard"), (F.col("__rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 

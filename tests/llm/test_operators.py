@@ -408,6 +408,26 @@ def test_shards(docs, texts, tmp_path):
     assert back.count() == some.count() and {r[0] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
 
 
+@pytest.mark.parametrize("names", [[*(f"src{k}" for k in range(20)), "hot"], [f"common/prefix/{k:02}" for k in range(20)]])
+def test_shards_cover_few_sources(spark, names):
+    rng = random.Random(8)
+    rows = [(k, "x" * int(math.exp(rng.uniform(3, 7))), rng.choice(["en", "de", "fr", None]), rng.choice(names)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    steps = sharding.hilbert_order(df.select("source"), ["source"]).groupBy("curve").agg(F.countDistinct("source").alias("n")).collect()
+    assert [r["n"] for r in steps] == [1] * len(names)  # each source has its own step
+    source, held = {r[0]: r[3] for r in rows}, defaultdict(set)
+    for r in sharding.hilbert_shards(df).collect():
+        held[r["shard"]].add(source[r["doc_id"]])
+    assert len(held) == 40 and np.mean([len(s) for s in held.values()]) < 0.5 * len(names)
+
+
+def test_many_strings_have_steps_of_their_own(spark):
+    df = spark.createDataFrame([(f"source-{k % 1000:04}" if k % 7 else None,) for k in range(3000)], "source string")
+    got = sharding.hilbert_order(df, ["source"]).distinct().collect()
+    assert len({r["curve"] for r in got}) == len(got) == len({r["source"] for r in got}) == 1001
+    assert [r["source"] for r in sorted(got, key=lambda r: r["curve"])] == [None, *(f"source-{k:04}" for k in range(1000))]
+
+
 @pytest.mark.parametrize("n, bits", [(2, 4), (3, 2), (3, 3)])
 def test_hilbert(n, bits):
     points = np.array(list(itertools.product(range(1 << bits), repeat=n)))
