@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import texts
 
+SAMPLES = 64
+
 
 def next_documents(rows: DataFrame, parts: int) -> DataFrame:
     """rows with `bucket`, `place` and `next_text`: the text of the next row by descending doc_id; after the last, the first.
@@ -78,7 +80,7 @@ def fingerprint_text(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda s: F.lpad(F.lower(F.hex(s.bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
 
 
-def fingerprint_documents(docs: DataFrame, samples: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and how alike they are.
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next document's text. Texts are

@@ -314,6 +314,27 @@ def test_fingerprint_collisions(spark):
     assert np.mean([p == q for p, q in zip(*s)]) == pytest.approx(true, abs=0.17)
 
 
+def test_likeness_at_the_querys_own_samples(spark):
+    """near_next and near_edited against the exact generalised Jaccard similarity, with the number of samples that op7 takes."""
+    texts = []
+    for k in range(40):
+        texts += [cases.prose(200 + k, 150), cases.edited(cases.prose(200 + k, 150), k, 30 + 2 * k)]
+    weights = lambda t: {w: 1 + math.log(c) for w, c in Counter(t.split()).items()}
+
+    def exact(a, b):
+        x, y = weights(a), weights(b)
+        return sum(min(x.get(w, 0), y.get(w, 0)) for w in x | y) / sum(max(x.get(w, 0), y.get(w, 0)) for w in x | y)
+
+    rows = fingerprints.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    off = []
+    for r in rows:
+        own, after, half = texts[r["doc_id"]], texts[r["doc_id"] - 1], len(texts[r["doc_id"]]) // 2
+        if r["doc_id"] % 2:
+            off.append(r["near_next"] - exact(own, after))
+        off.append(r["near_edited"] - exact(own, own[: len(own) - half] + after[:half]))
+    assert len(off) == 120 and np.sqrt(np.mean(np.square(off))) < 0.08 and max(map(abs, off)) < 0.25 and abs(np.mean(off)) < 0.02
+
+
 def test_single_document(spark):
     (r,) = fingerprints.fingerprint_documents(spark.createDataFrame([(4, "a b c d")], "doc_id long, text string")).collect()
     assert r["edited_sha256"] == sha("a b a b"[:4] + "a b") and r["near_next"] == 1
