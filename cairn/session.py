@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set in a local session, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="cairn-")
         shared_dir.own = path
     return path
@@ -44,10 +46,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the folders of frames that materialize() returned and nothing reads any more."""
+    """Empty the folders of frames that materialize() returned and nothing reads any more."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            df.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(folder)
