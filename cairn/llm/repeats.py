@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import among, small_batches, texts
 from cairn.session import discard, materialize
 
 LENGTH = 200
-#: Bytes of a suffix that its key covers: shorter repeats, as of a common line, never reach the edges' comparison.
+#: Bytes of a suffix that its first block covers: shorter repeats, as of a common line, never reach the edges' comparison.
 GRAM = 80
-#: Each window of a suffix holds this many bytes before its gram, or as many after it.
-HALF = (LENGTH - GRAM) // 2
+#: Windows in a cell of an edge.
+CELL = 20
 U = np.uint64
 PIECE = 1 << 22
 TABLE = np.random.default_rng(9).integers(1, 2**63, 256).astype(U)
@@ -84,34 +84,23 @@ def suffix_samples(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length
     return text[head], name[head], at[head], count, h[name[head]].view(np.int64)
 
 
-def halves(h: np.ndarray, name: np.ndarray, first: np.ndarray, wins: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """32 bits of the grams HALF bytes before and after each sampled suffix's, null where no window of its run holds them.
+def text_id() -> Column:
+    """16 bytes that name a text: rows of equal texts lose the same bytes, so they need no name of their own."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
 
-    With the suffix's own gram they stand for the HALF + GRAM bytes before its end, and the GRAM + HALF bytes after its start.
-    """
-    out = []
-    for at, held in ((name - HALF, first <= name - HALF), (name + HALF, first + wins - 1 >= name - HALF)):
-        out.append(pa.array(h[np.where(held, at, 0)].astype(np.uint32).view(np.int32), mask=~held))
-    return out[0], out[1]
-
-
-def text_number() -> Column:
-    """With doc_id it tells rows of one id but different texts apart."""
-    return (F.crc32(F.col("text").cast("binary")) - (1 << 31)).cast("int")
 
-
-SAMPLE = "doc_id {kind}, tk int, key long, ctx long, first int, wins int, anchor short, before int, after int"
+SAMPLE = "tk binary, key long, ctx long, first int, wins int, anchor short"
 
 
 def sampled_suffixes(rows: DataFrame) -> DataFrame:
-    """doc_id, tk, key (hash of the suffix's first bytes), ctx (hash of all bytes of its windows), first, wins, anchor (where
-    the suffix starts, from first), before and after (of halves)."""
+    """tk, key (name of the suffix's first block), ctx (name of all bytes of its windows), first, wins, anchor (where the suffix
+    starts, from first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for b in batches:
-            raws = [t.encode() for t in b.column(2).to_pylist()]
+            raws = [t.encode() for t in b.column(1).to_pylist()]
             pieces = []  # (row, offset, bytes): long texts in pieces that overlap by a window less one byte
             for k, r in enumerate(raws):
                 pieces += [(k, o, r[o : o + PIECE + LENGTH - 1]) for o in range(0, max(len(r) - LENGTH + 1, 0), PIECE)]
@@ -128,180 +117,229 @@ def sampled_suffixes(rows: DataFrame) -> DataFrame:
                 joined = b"".join(p[2] for p in g)
                 ends = np.cumsum([len(p[2]) for p in g])
                 starts = ends - [len(p[2]) for p in g]
-                raw = np.frombuffer(joined, np.uint8)
-                h = grams(raw)
-                text, name, first, wins, key = suffix_samples(raw, starts, ends, h=h)
+                text, name, first, wins, key = suffix_samples(np.frombuffer(joined, np.uint8), starts, ends)
                 if not len(text):
                     continue
-                before, after = halves(h, name, first, wins)
                 view = memoryview(joined)
                 ctx = np.fromiter((xxh3_64_intdigest(view[a : a + n + LENGTH - 1]) for a, n in zip(first.tolist(), wins.tolist(), strict=True)), U, len(first)).view(np.int64)
                 row = np.array([p[0] for p in g])[text]
                 offset = np.array([p[1] for p in g])[text] - starts[text]
-                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(key), pa.array(ctx), pa.array((first + offset).astype(np.int32)), pa.array(wins.astype(np.int32)), pa.array((name - first).astype(np.int16)), before, after],
-                    ["doc_id", "tk", "key", "ctx", "first", "wins", "anchor", "before", "after"],
+                    [b.column(0).take(pa.array(row)), pa.array(key), pa.array(ctx), pa.array((first + offset).astype(np.int32)), pa.array(wins.astype(np.int32)), pa.array((name - first).astype(np.int16))],
+                    ["tk", "key", "ctx", "first", "wins", "anchor"],
                 )
 
-    return rows.select("doc_id", "tk", "text").mapInArrow(run, SAMPLE.format(kind=dict(rows.dtypes)["doc_id"]))
+    return rows.select("tk", "text").mapInArrow(run, SAMPLE)
+
+
+def merge_scan(arrays: list[DataFrame]) -> DataFrame:
+    """Suffix arrays merged into one, in order, each distinct suffix once: key, ctx, n (places), fresh, lcp.
+
+    Suffixes are compared block by block: the first GRAM bytes, then all others of the windows. A block is compared by its
+    name, a 64-bit hash, so the order is lexicographic over blocks, and suffixes with a common prefix are neighbours as in any
+    other alphabet's order. lcp is the longest common prefix with a neighbour: LENGTH (all) where a suffix has several places,
+    GRAM where a neighbour has the same first block, else 0. The order is cut into ranges, also inside a first block that
+    many suffixes share; what lies beyond the ends of a range isn't seen, so its end suffixes count as GRAM.
+    """
+    order = ["key", "ctx"]
+    every = reduce(DataFrame.unionByName, [a.select(*order, "n", "fresh") for a in arrays])
+    parts = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key, ctx, n, fresh, before, after):
+            lcp = np.where(n > 1, LENGTH, np.where(before | after, GRAM, 0)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ctx), pa.array(n.astype(np.int32)), pa.array(fresh), pa.array(lcp)], ["key", "ctx", "n", "fresh", "lcp"])
+
+        held, before = None, np.array([True])  # the last suffix so far, and whether its first block is that of the one before
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
+            key, ctx, n, fresh = rows
+            head = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])) + 1])
+            n, fresh = np.add.reduceat(n.astype(np.int64), head), np.logical_or.reduceat(fresh, head)
+            key, ctx = key[head], ctx[head]
+            same = key[1:] == key[:-1]
+            before = np.concatenate([before, same])
+            if len(key) > 1:
+                yield out(key[:-1], ctx[:-1], n[:-1], fresh[:-1], before[:-1], same)
+            held, before = (key[-1:], ctx[-1:], np.minimum(n[-1:], 1 << 30), fresh[-1:]), before[-1:]
+        if held is not None:
+            yield out(*held, before, np.array([True]))
+
+    ordered = every.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, "key long, ctx long, n int, fresh boolean, lcp int")
 
 
 class SuffixFamily:
-    """Levels of sampled suffixes, each sorted and of distinct (key, ctx), twice as many batches each as the one below.
+    """Suffix arrays (levels) of the batches so far, each of twice as many batches as the next.
 
-    A level is a table bucketed and sorted by (key, ctx), with the count of places, so that a scan of two levels side by side
-    and the merge of two are joins without a shuffle. A new batch is scanned against every level; levels of equal rank are
-    merged, so a suffix is rewritten as often as the logarithm of the number of batches.
+    A new batch's array is merge-scanned against every level for long matches. Levels as large as what has come since are
+    merged with it in the same scan, so a suffix is written as often as the logarithm of the number of batches.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets, self.name = spark, buckets, f"cairn_suffixes_{uuid.uuid4().hex[:12]}"
-        self.levels: list[tuple[int, str]] = []  # rank and table
-        self.made = 0
-
-    def write(self, suffixes: DataFrame) -> str:
-        self.made += 1
-        table = f"{self.name}_{self.made}"
-        suffixes.write.bucketBy(self.buckets, "key", "ctx").sortBy("key", "ctx").format("parquet").saveAsTable(table)
-        return table
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Add the samples of a batch; returns the (key, ctx) of it that occur twice, in the batch or in a level."""
-        table = self.write(batch.groupBy("key", "ctx").agg(F.count("*").alias("n")))  # combined before the shuffle
-        new = self.spark.table(table)
-        found = new.filter("n > 1").select("key", "ctx")
-        for _, level in self.levels:
-            found = found.unionByName(new.select("key", "ctx").join(self.spark.table(level).select("key", "ctx"), ["key", "ctx"]))
-        found = materialize(found.distinct(), "suffix-hits")
-        rank = 0
+    def __init__(self):
+        self.levels: list[tuple[int, DataFrame]] = []  # rank and array
+        self.found: list[DataFrame] = []
+        self.written: list[DataFrame] = []
+
+    def add(self, batch: DataFrame) -> None:
+        new = batch.groupBy("key", "ctx").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n")).withColumn("fresh", F.lit(True))  # combined before the shuffle
+        rank, merged = 0, []
         while self.levels and self.levels[-1][0] == rank:
-            below = self.levels.pop()[1]
-            merged = self.write(self.merge(self.spark.table(below), self.spark.table(table)))
-            for t in (below, table):
-                self.spark.sql(f"DROP TABLE {t}")
-            table, rank = merged, rank + 1
-        self.levels.append((rank, table))
-        return found
-
-    @staticmethod
-    def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        both = a.join(b.withColumnRenamed("n", "m"), ["key", "ctx"], "full")
-        return both.select("key", "ctx", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
-
-    def shared_keys(self) -> DataFrame:
-        """Keys that begin suffixes of several contexts."""
-        out = self.spark.table(self.levels[0][1]).select("key", "ctx")
-        for _, t in self.levels[1:]:
-            out = out.unionByName(self.spark.table(t).select("key", "ctx"))
-        if len(self.levels) > 1:
-            out = out.distinct()
-        return out.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-
-    def drop(self) -> None:
-        for _, t in self.levels:
-            self.spark.sql(f"DROP TABLE {t}")
-        self.levels = []
-
-
-def doc_hash() -> Column:
-    return F.xxhash64("doc_id", "tk")
-
-
-def with_texts(rows: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows joined with one list a document, by (doc_id, tk); a null doc_id is an id like others."""
-    lists = lists.toDF(*[f"l_{c}" for c in lists.columns])
-    return rows.join(lists, rows["doc_id"].eqNullSafe(lists["l_doc_id"]) & (rows["tk"] == lists["l_tk"]), how)
-
-
-def shared_halves(edge: DataFrame) -> DataFrame:
-    """The edges with first and wins cut down to the windows that hold a half which another context of the key has too."""
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("half")), F.struct(F.lit(1).alias("side"), F.col("after").alias("half")))).alias("s")
-    each = edge.select("key", "ctx", sides).select("key", "ctx", "s.side", "s.half").filter("half is not null")
-    several = each.groupBy("key", "side", "half").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    shared = each.join(several, ["key", "side", "half"], "left_semi").groupBy("key", "ctx").agg(F.max(F.col("side") == 0).alias("in_before"), F.max(F.col("side") == 1).alias("in_after"))
-    middle = F.col("anchor").cast("int") - HALF  # the one window that holds both halves
-    start = F.when(F.col("in_before"), 0).otherwise(F.greatest(middle, F.lit(0)))
-    end = F.when(F.col("in_after"), F.col("wins")).otherwise(F.least(F.col("wins"), middle + 1))
-    cut = edge.join(shared, ["key", "ctx"]).select("key", "ctx", "n", "doc_id", "tk", (F.col("first") + start).alias("first"), (end - start).alias("wins"))
-    return materialize(cut.filter("wins > 0"), "suffix-halves")
-
-
-def partial_marks(family: SuffixFamily, samples: DataFrame, rows: DataFrame) -> DataFrame:
-    """Windows repeated at the edges of a match: doc_id, tk, first, wins = 1.
-
-    There two suffixes begin alike but their runs of windows differ. Of each key with several contexts, one place of each
-    context lists its windows by hash; windows of two contexts are repeated. (A context with two places is marked already.)
-    A window holds the HALF bytes before the gram or those after it; where no other context has the same there, the windows
-    that hold them are in one context only and aren't listed.
-    """
-    several = materialize(family.shared_keys(), "suffix-shared")
-    family.drop()
-    test_key = among(several)
-    alike = samples.filter(test_key("key")).join(several, "key", "left_semi")
-    edge = materialize(alike.groupBy("key", "ctx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "tk", "first", "wins", "anchor", "before", "after")]), "suffix-edges")
-    edge = shared_halves(edge)
-    test = among(edge.select(doc_hash().alias("h")))
-    lists = edge.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("key", "n", "first", "wins")).alias("list"))
-    have = with_texts(rows.filter(test(doc_hash())), lists).select("doc_id", "tk", "text", "l_list").dropDuplicates(["doc_id", "tk"])
-    kind = dict(rows.dtypes)["doc_id"]
+            merged.append(self.levels.pop()[1])
+            rank += 1
+        old = lambda a: a.withColumn("fresh", F.lit(False))
+        array = materialize(merge_scan([new, *map(old, merged)]), "suffix-array")
+        self.written.append(array)
+        self.found.append(array.filter("fresh"))
+        for _, level in self.levels:
+            matches = merge_scan([new if merged else array, old(level)]).filter("fresh and lcp > 0")
+            self.found.append(materialize(matches, "suffix-matches"))
+        self.levels.append((rank, array))
+
+    def repeated(self) -> DataFrame:
+        """(key, ctx) of the suffixes with several places."""
+        return self._of(f"lcp = {LENGTH}", "key", "ctx")
+
+    def near(self) -> DataFrame:
+        """Keys: first blocks that suffixes of several contexts may share."""
+        return self._of("lcp > 0", "key")
+
+    def _of(self, condition: str, *columns: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [f.filter(condition).select(*columns) for f in self.found]).distinct()
+
+
+def edge_regions(near: DataFrame, samples: DataFrame, rows: DataFrame) -> DataFrame:
+    """One place of each context of the given keys, with the bytes of its windows: key, ctx, once, tk, first, wins, anchor, bytes."""
+    test_key = among(near)
+    alike = samples.filter(test_key("key")).join(near, "key", "left_semi")
+    place = F.struct("tk", "first", "wins", "anchor")
+    edge = materialize(alike.groupBy("key", "ctx").agg((F.count("*") == 1).alias("once"), F.first(place).alias("p")).select("key", "ctx", "once", "p.*"), "suffix-edges")
+    test = among(edge.select(F.xxhash64("tk").alias("h")))
+    lists = edge.groupBy("tk").agg(F.collect_list(F.struct("key", "ctx", "once", "first", "wins", "anchor")).alias("list"))  # no more than the text has windows
+    have = rows.filter(test(F.xxhash64("tk"))).groupBy("tk").agg(F.first("text").alias("text")).join(lists, "tk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            which, keys, hashes, firsts, once = [], [], [], [], []
-            for k, (t, found) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                raw = np.frombuffer(t.encode(), np.uint8)
-                for e in found:
-                    a, n = e["first"], e["wins"]
-                    which.append(np.full(n, k))
-                    keys.append(np.full(n, e["key"], np.int64))
-                    hashes.append(scramble(rolling(raw[a : a + n + LENGTH - 1], LENGTH)).view(np.int64))
-                    firsts.append(np.arange(a, a + n, dtype=np.int32))
-                    once.append(np.full(n, e["n"] == 1))
-            if which:
-                take = pa.array(np.concatenate(which))
+            for k, (t, found) in enumerate(zip(b.column(1).to_pylist(), b.column(2), strict=True)):
+                raw = t.encode()
+                fields = found.values
+                for at in range(0, len(fields), 1 << 14):
+                    part = fields.slice(at, 1 << 14)
+                    columns = dict(zip([f.name for f in part.type], part.flatten(), strict=True))
+                    data = [raw[a : a + n + LENGTH - 1] for a, n in zip(columns["first"].to_pylist(), columns["wins"].to_pylist(), strict=True)]
+                    take = pa.array(np.full(len(part), k))
+                    yield pa.RecordBatch.from_arrays(
+                        [columns["key"], columns["ctx"], columns["once"], b.column(0).take(take), columns["first"], columns["wins"], columns["anchor"], pa.array(data, pa.binary())],
+                        ["key", "ctx", "once", "tk", "first", "wins", "anchor", "bytes"],
+                    )
+
+    regions = have.select("tk", "text", "list").mapInArrow(run, "key long, ctx long, once boolean, tk binary, first int, wins int, anchor short, bytes binary")
+    return materialize(regions, "suffix-regions")
+
+
+def cells_of(anchor: int, wins: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(cell, least and largest offset, whether the run has all of it) of the cells that a run of windows meets.
+
+    A window's offset is how far it begins before its suffix, 0 to LENGTH - GRAM. A cell holds CELL offsets.
+    """
+    least, most = anchor - wins + 1, anchor
+    for cell in range(least // CELL, most // CELL + 1):
+        lo, hi = cell * CELL, min(cell * CELL + CELL - 1, LENGTH - GRAM)
+        yield cell, lo, hi, least <= lo and hi <= most
+
+
+def edge_marks(regions: DataFrame) -> DataFrame:
+    """Windows repeated at the edges of a match: tk, first, wins.
+
+    There suffixes share their first block, but their contexts differ. Equal windows begin at equal offsets, so windows are
+    compared cell by cell: bytes that all windows of a cell hold (its core) and bytes that any of them holds (its hull). A
+    core that no other context has rules the cell out; where all contexts with one core have one hull, all its windows are
+    repeated; only the cells between are compared window by window. Places of contexts that occur twice are marked already.
+    """
+    from_bytes = "key long, ctx long, once boolean, tk binary, cell short, core long, hull long, first int, wins int"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest as name
+
+        for b in batches:
+            at, cells, cores, hulls, firsts, counts = [], [], [], [], [], []
+            for k, (first, wins, anchor, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in ("first", "wins", "anchor", "bytes")), strict=True)):
+                for cell, lo, hi, whole in cells_of(anchor, wins):
+                    at.append(k)
+                    cells.append(cell)
+                    cores.append(name(raw[anchor - lo : anchor - hi + LENGTH]))
+                    hulls.append(name(raw[anchor - hi : anchor - lo + LENGTH]) if whole else None)
+                    firsts.append(first + anchor - hi)
+                    counts.append(hi - lo + 1)
+            if at:
+                take = pa.array(at)
+                signed = lambda x: pa.array(x, pa.uint64()).view(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(keys)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(once))],
-                    ["doc_id", "tk", "key", "hash", "first", "once"],
+                    [b.column("key").take(take), b.column("ctx").take(take), b.column("once").take(take), b.column("tk").take(take), pa.array(cells, pa.int16()), signed(cores), signed(hulls), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32())],
+                    ["key", "ctx", "once", "tk", "cell", "core", "hull", "first", "wins"],
                 )
 
-    windows = materialize(have.mapInArrow(run, f"doc_id {kind}, tk int, key long, hash long, first int, once boolean"), "suffix-windows")
-    twice = windows.groupBy("key", "hash").agg(F.count("*").alias("c")).filter("c > 1").select("key", "hash")
-    twice = materialize(twice, "suffix-twice")
-    test_window = among(twice.select(F.xxhash64("key", "hash").alias("h")))
-    return windows.filter("once").filter(test_window(F.xxhash64("key", "hash"))).join(twice, ["key", "hash"], "left_semi").select("doc_id", "tk", "first", F.lit(1).alias("wins"))
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest as name
+
+        for b in batches:
+            at, hashes, firsts = [], [], []
+            for k, (first, wins, anchor, raw, open_) in enumerate(zip(*(b.column(c).to_pylist() for c in ("first", "wins", "anchor", "bytes", "open")), strict=True)):
+                for cell, lo, hi, _ in cells_of(anchor, wins):
+                    if cell in open_:
+                        for p in range(max(anchor - hi, 0), min(anchor - lo, wins - 1) + 1):
+                            at.append(k)
+                            hashes.append(name(raw[p : p + LENGTH]))
+                            firsts.append(first + p)
+            if at:
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column("key").take(take), pa.array(hashes, pa.uint64()).view(pa.int64()), b.column("once").take(take), b.column("tk").take(take), pa.array(firsts, pa.int32())], ["key", "hash", "once", "tk", "first"])
+
+    cells = materialize(regions.mapInArrow(cut, from_bytes), "suffix-cells")
+    by = ["key", "cell", "core"]
+    shared = cells.groupBy(*by).agg(F.count("*").alias("n"), F.count("hull").alias("whole"), F.min("hull").alias("a"), F.max("hull").alias("b")).filter("n > 1")
+    shared = shared.select(*by, F.expr("whole = n and a = b").alias("settled"))
+    met = materialize(cells.join(shared, by).select("key", "ctx", "once", "tk", "cell", "first", "wins", "settled"), "suffix-met")
+    settled = met.filter("settled and once").select("tk", "first", "wins")
+    open_ = met.filter("not settled").groupBy("key", "ctx").agg(F.collect_set("cell").alias("open"))  # a region has seven cells at most
+    listed = materialize(regions.join(open_, ["key", "ctx"]).mapInArrow(windows, "key long, hash long, once boolean, tk binary, first int"), "suffix-windows")
+    twice = listed.groupBy("key", "hash").agg(F.count("*").alias("c")).filter("c > 1").select("key", "hash")
+    found = listed.filter("once").join(twice, ["key", "hash"], "left_semi").select("tk", "first", F.lit(1).alias("wins"))
+    return settled.unionByName(found)
 
 
 def remove_repeats(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", texts_out: bool = False) -> DataFrame:
     """Removes every byte covered by a string of 200 bytes that starts anywhere else too, all copies alike.
 
-    Documents come in `batches` batches by a hash of their id. Each batch's sampled suffixes are sorted and scanned against
-    the levels of the family; what occurs twice is a long match, and its documents' windows are marked. Edges of matches are
-    settled window by window in the end. Equality is that of 128 bits of hashes.
+    Texts come in `batches` batches by a hash. Each batch's sampled suffixes become a suffix array that is merge-scanned with
+    the levels of the family. A suffix that two places share whole marks the windows it stands for; suffixes that share only
+    their first block mark the windows that their contexts share. Equality is that of 128 bits of hashes.
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts_out also `kept`, the bytes left. Null or empty text:
-    no bytes. Repeated rows are repeats of each other. Texts are moved only where they hold marks.
+    no bytes. Repeated rows are repeats of each other; a text's marks are found and listed once, however many rows have it. An
+    empty table: no rows. Texts are moved only where they hold marks or edges.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = texts(docs, id_col, text_col).withColumn("tk", text_number())
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    samples = materialize(sampled_suffixes(rows).withColumn("batch", batch), "suffix-samples")
-    family = SuffixFamily(spark, buckets)
-    hits = [family.add(samples.filter(F.col("batch") == b).drop("batch")) for b in range(batches)]
-    repeated = hits[0]
-    for h in hits[1:]:
-        repeated = repeated.unionByName(h)
-    repeated = materialize(repeated.distinct(), "suffix-repeated")
+    small_batches(docs.sparkSession)
+    rows = texts(docs, id_col, text_col).withColumn("tk", text_id())
+    samples = materialize(sampled_suffixes(rows), "suffix-samples")
+    family = SuffixFamily()
+    batch = F.pmod(F.xxhash64("tk"), F.lit(batches))
+    for k in range(batches):
+        family.add(samples.filter(batch == k))
+    repeated, near = materialize(family.repeated(), "suffix-repeated"), materialize(family.near(), "suffix-near")
+    discard(*family.written)
     test = among(repeated.select(F.xxhash64("key", "ctx").alias("h")))
-    whole = samples.filter(test(F.xxhash64("key", "ctx"))).join(repeated, ["key", "ctx"], "left_semi").select("doc_id", "tk", "first", "wins")
-    marks = materialize(whole.unionByName(partial_marks(family, samples, rows)), "suffix-marks")
+    whole = samples.filter(test(F.xxhash64("key", "ctx"))).join(repeated, ["key", "ctx"], "left_semi").select("tk", "first", "wins")
+    marks = materialize(whole.unionByName(edge_marks(edge_regions(near, samples, rows))).distinct(), "suffix-marks")
     discard(samples)
 
-    spans = marks.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("first", "wins")).alias("list"))
-    marked = among(spans.select(doc_hash().alias("h")))
-    rows = rows.withColumn("maybe", marked(doc_hash()))
+    spans = marks.groupBy("tk").agg(F.collect_list(F.struct("first", "wins")).alias("list"))  # no more than the text has windows
+    marked = among(spans.select(F.xxhash64("tk").alias("h")))
+    rows = rows.withColumn("maybe", marked(F.xxhash64("tk")))
     kind = dict(rows.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +368,7 @@ def remove_repeats(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(columns, names)
 
     cut_schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts_out
-    changed = with_texts(rows.filter("maybe"), spans, "left").select("doc_id", "text", "l_list").mapInArrow(cut, cut_schema)
+    changed = rows.filter("maybe").join(spans, "tk", "left").select("doc_id", "text", "list").mapInArrow(cut, cut_schema)
     raw = F.col("text").cast("binary")
     same = rows.filter("not maybe").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), *([raw.alias("kept")] if texts_out else []))
     return changed.unionByName(same)

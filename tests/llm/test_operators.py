@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -383,6 +384,47 @@ def test_repeats(docs, texts):
     same([tuple(r) for r in repeats.remove_repeats(docs, batches=3).collect()], want)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_repeats_at_edges(spark, seed):
+    """Matches of all lengths about 200, two-sided, in several contexts, over several batches."""
+    rng = random.Random(seed)
+    draw = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
+    common = [draw(700) for _ in range(3)]
+    texts = []
+    for k in range(120):
+        c = rng.choice(common)
+        a = rng.randrange(0, 400)
+        texts.append((k, draw(rng.randrange(0, 150)) + c[a : a + rng.choice([90, 150, 199, 200, 201, 219, 220, 260, 300])] + draw(rng.randrange(0, 150))))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for batches in ((1, 7), (4,))[seed % 2]:
+        same([tuple(r) for r in repeats.remove_repeats(df, batches=batches).collect()], brute_repeats(texts))
+
+
+def test_equal_rows_are_not_quadratic(spark):
+    text = cases.prose(31, 3000)
+    df = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    began = time.time()
+    assert {tuple(r) for r in repeats.remove_repeats(df).collect()} == {(None, len(text.encode()), len(text.encode()), 1, sha(""))}
+    assert time.time() - began < 20
+
+
+def test_long_texts_are_cut_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 500)
+    texts = [(1, cases.prose(32, 900)), (2, cases.prose(33, 50) + cases.prose(32, 900)[1000:2600])]
+    same([tuple(r) for r in repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()], brute_repeats(texts))
+
+
+def test_merge_scan(spark):
+    """One order, equal suffixes as one, and the longest common prefix with a neighbour."""
+    a, b = [(1, 5, 1, False), (1, 7, 1, False), (4, 4, 1, False), (9, 1, 2, False)], [(1, 7, 1, True), (2, 2, 1, True), (9, 3, 1, True)]
+    schema = "key long, ctx long, n int, fresh boolean"
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    rows = [tuple(r) for r in repeats.merge_scan([spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)]).collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    g = repeats.GRAM  # the ends of a range count as if a neighbour shared the block
+    assert rows == [(1, 5, 1, False, g), (1, 7, 2, True, 200), (2, 2, 1, True, 0), (4, 4, 1, False, 0), (9, 1, 2, False, 200), (9, 3, 1, True, g)]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_suffix_samples(seed):
     rng = np.random.default_rng(seed)
