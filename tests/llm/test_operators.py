@@ -344,22 +344,41 @@ def test_single_document(spark):
 # 8
 
 
-def test_topk(spark):
-    rng = random.Random(2)
-    rows = [(k, [rng.gauss(0, 0.13) for _ in range(16)]) for k in range(400)]
-    rows += [(400, None), (401, [float("nan")] * 16), (402, [None] * 16), (404, [float("inf")] * 16), (405, []), (420, [1e30] * 16), (440, rows[3][1]), (441, rows[3][1]), (20, rows[20][1]), (None, rows[1][1]), (443, rows[0][1][:9])]
-    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, shard int, v string")
+def brute_topk(rows, held=lambda s: s):
     f32 = lambda x: float(np.float32(x))
-    good = [(i, [max(-(2**27), min(2**27, math.floor(64 * f32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(f32(x)) for x in v)]
+    good = [(i, [math.floor(64 * f32(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(f32(x)) for x in v)]
     want = []
     for q, a in {i: v for i, v in good if i % 20 == 0}.items():
         best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)[:20]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+        want += [(q, k + 1, i, held(-s)) for k, (s, i) in enumerate(best)]
+    return want
+
+
+def test_topk(spark):
+    rng = random.Random(2)
+    rows = [(k, [rng.gauss(0, 0.13) for _ in range(16)]) for k in range(400)]
+    rows += [(400, None), (401, [float("nan")] * 16), (402, [None] * 16), (404, [float("inf")] * 16), (405, []), (440, rows[3][1]), (441, rows[3][1]), (20, rows[20][1]), (None, rows[1][1]), (443, rows[0][1][:9])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, shard int, v string")
+    want = brute_topk(rows)
     same([tuple(r) for r in topk.exact_topk(df).collect()], want)
     same([tuple(r) for r in topk.exact_topk(df, shard_rows=30, group_queries=5, query_block=3).collect()], want)
     assert topk.exact_topk(df.limit(0)).collect() == []
 
 
+def test_topk_of_large_components(spark):
+    """Scores in double, in 64 bits, in Python's integers, and beyond a long."""
+    rng = random.Random(5)
+    scale = [0.1, 3e5, 5e6, 2e7, 1e9, 1e30]
+    rows = [(k, [rng.gauss(0, 1) * scale[k // 7 % 6] for _ in range(768)]) for k in range(150)]
+    rows += [(160, [3e6] + [0.0] * 767), (161, [5e6] + [0.0] * 767), (180, [1.0] + [0.0] * 767), (181, [1e30] * 768), (182, [1e30] * 768)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = brute_topk(rows, held)
+    assert any(abs(w[3]) == 2**63 - 1 for w in want) and any(2**53 < abs(w[3]) < 2**62 for w in want)
+    same([tuple(r) for r in topk.exact_topk(df).collect()], want)
+    same([tuple(r) for r in topk.exact_topk(df, shard_rows=40).collect()], want)
+
+
 # 9
 
 
