@@ -6,35 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import texts
+from cairn.session import materialize
 
 SAMPLES = 64
 
 
+def place_key() -> Column:
+    """A string whose order is that of the documents: descending doc_id, null last, then a hash of the text."""
+    digits = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    return F.concat(F.when(F.col("doc_id").isNull(), "1").otherwise("0"), digits(F.bitwise_not(doc_id)), digits(F.col("text_hash")))
+
+
 def next_documents(rows: DataFrame, parts: int) -> DataFrame:
     """rows with `bucket`, `place` and `next_text`: the text of the next row by descending doc_id; after the last, the first.
 
-    Ids are cut into ranges (buckets) at approximate quantiles. The first row of a bucket is also sent, as a ghost, to the
-    bucket before it, so that a window inside each bucket sees the next row. One shuffle of the texts. Null ids come last;
-    rows of one id are ordered by a hash of their text.
+    The rows' keys (narrow) are sorted by ranges; the first key of each range is a cut, so a bucket is a run of rows, also of
+    those that share a null or frequent id. The first row of a bucket is also sent, as a ghost, to the bucket before it, so that
+    a window inside each bucket sees the next row. One shuffle of the texts.
     """
-    cuts = rows.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)  # a cut for each bucket
-    cut = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    bucket = F.coalesce(F.size(F.filter(cut, lambda c: c >= F.col("doc_id"))), F.lit(len(cuts)))
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(bucket)
-    firsts = sorted(rows.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
-    home = F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("ghost")))
-    ghosts = F.lit(None).cast("int")
-    for k, (b, top) in enumerate(firsts):  # a row for each bucket
-        ghosts = F.when((bucket == b) & F.col("doc_id").eqNullSafe(F.lit(top).cast("long")), firsts[k - 1][0]).otherwise(ghosts) if len(firsts) <= 16 else ghosts
-    if len(firsts) > 16:
-        by_bucket = F.create_map(*[F.lit(x) for k, (b, _) in enumerate(firsts) for x in (b, firsts[k - 1][0])])
-        top_of = F.create_map(*[F.lit(x) for b, top in firsts for x in (b, top if top is not None else -(2**63))])
-        same = F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == F.element_at(top_of, bucket)
-        ghosts = F.when(same, F.element_at(by_bucket, bucket))
-    dealt = rows.withColumn("b", F.explode(F.when(ghosts.isNotNull(), F.concat(home, F.array(F.struct(ghosts.cast("int").alias("bucket"), F.lit(True).alias("ghost"))))).otherwise(home)))
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text_hash")
-    dealt = dealt.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "b.bucket", "b.ghost").repartition(parts, "bucket")
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    keys = materialize(rows.select(place_key().alias("key")), "fingerprint-keys")
+    ranges = keys.repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("range")).agg(F.min("key").alias("key"))
+    cuts = sorted(r["key"] for r in ranges.collect())  # one for each range partition
+    cut, key = F.lit(cuts) if cuts else F.array().cast("array<string>"), place_key()
+    bucket = F.size(F.filter(cut, lambda c: c <= F.col("key"))) - 1
+    seat = lambda b, ghost: F.struct(b.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
+    before = F.pmod(F.col("own") - 1, F.lit(max(len(cuts), 1)))
+    seats = F.when(F.array_contains(cut, F.col("key")), F.array(seat(F.col("own"), False), seat(before, True))).otherwise(F.array(seat(F.col("own"), False)))
+    dealt = rows.withColumn("key", key).withColumn("own", bucket).withColumn("b", F.explode(seats))
+    order = Window.partitionBy("bucket").orderBy("ghost", "key")
+    dealt = dealt.select("doc_id", "text", "key", "b.bucket", "b.ghost").repartition(parts, "bucket")
     return dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
 
 
@@ -53,11 +55,11 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
     r = -F.log(uniform(one, 0, 21) * uniform(one, 21, 21))
     log_c = F.log(-F.log(uniform(two, 0, 31) * uniform(two, 31, 31)))
-    b = uniform(one, 42, 21)
+    b = uniform(one, 42, 22)
     t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t - b) - r
-    rank = F.floor((F.greatest(F.least(log_a, F.lit(127.0)), F.lit(-127.0)) + 128.0) * float(1 << 23))
-    return F.shiftleft(rank, 32).bitwiseOR(F.xxhash64(one, t).bitwiseAND(0xFFFFFFFF))
+    # Within (-60, 5) by the ranges of the draws: a rank of 31 bits.
+    rank = F.floor((log_c - r * (t - b + 1.0) + 128.0) * float(1 << 23))
+    return F.shiftleft(rank, 32).bitwiseOR(one.bitwiseXOR(t * F.lit(2654435761)).bitwiseAND(0xFFFFFFFF))
 
 
 def signatures(rows: DataFrame, keys: list[str], text_col: str, samples: int) -> DataFrame:
@@ -88,7 +90,8 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, id_col: str =
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null text: empty. A text
     without words has the empty word as its one term, so empty texts are alike. Equal texts have equal fingerprints. A
-    single document is its own next. Repeated rows and ids: each row has its own place; an empty table: no rows.
+    single document is its own next. Repeated rows and ids: each row has its own place, those of one id by a hash of the text;
+    an empty table: no rows.
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
