@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import small_batches, texts
 
 
-NEVER = 1 << 62
+NEVER = 1 << 80
 
 
 def byte_letters() -> list[str]:
@@ -40,10 +40,8 @@ class Vocabulary:
         self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        if max(self.ids.values()) > 0xFFFF:
-            raise ValueError("ids above 65535 don't fit the packed merges")
         #: Left id and right id, packed, to the rank and the merged id, packed.
-        self.merges = {self.ids[raw(a)] << 16 | self.ids[raw(b)]: rank << 16 | self.ids[raw(a) + raw(b)] for rank, (a, b) in enumerate(pairs)}
+        self.merges = {self.ids[raw(a)] << 32 | self.ids[raw(b)]: rank << 32 | self.ids[raw(a) + raw(b)] for rank, (a, b) in enumerate(pairs)}
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.bytes = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.pattern = pattern
@@ -54,18 +52,18 @@ class Vocabulary:
         get = self.merges.get
         if len(ids) > 100:
             return self._merge_long(ids)
-        ranks = [get(a << 16 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        ranks = [get(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks:
             best = min(ranks)
             if best == NEVER:
                 break
             i = ranks.index(best)
-            new = ids[i] = best & 0xFFFF
+            new = ids[i] = best & 0xFFFFFFFF
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get(ids[i - 1] << 16 | new, NEVER)
+                ranks[i - 1] = get(ids[i - 1] << 32 | new, NEVER)
             if i < len(ranks):
-                ranks[i] = get(new << 16 | ids[i + 1], NEVER)
+                ranks[i] = get(new << 32 | ids[i + 1], NEVER)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
@@ -74,19 +72,19 @@ class Vocabulary:
 
         n, merges = len(ids), self.merges
         after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        heap = [(merges[p], i, p) for i, p in enumerate(a << 16 | b for a, b in zip(ids, ids[1:], strict=False)) if p in merges]
+        heap = [(merges[p], i, p) for i, p in enumerate(a << 32 | b for a, b in zip(ids, ids[1:], strict=False)) if p in merges]
         heapq.heapify(heap)
         while heap:
             _, i, pair = heapq.heappop(heap)
             j = after[i] if alive[i] else -1
-            if j < 0 or ids[i] << 16 | ids[j] != pair:
+            if j < 0 or ids[i] << 32 | ids[j] != pair:
                 continue
-            ids[i], alive[j], after[i] = merges[pair] & 0xFFFF, False, after[j]
+            ids[i], alive[j], after[i] = merges[pair] & 0xFFFFFFFF, False, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for x in (before[i], i):
                 y = after[x] if x >= 0 else -1
-                if y >= 0 and (p := ids[x] << 16 | ids[y]) in merges:
+                if y >= 0 and (p := ids[x] << 32 | ids[y]) in merges:
                     heapq.heappush(heap, (merges[p], x, p))
         return tuple(x for x, a in zip(ids, alive, strict=True) if a)
 
@@ -189,32 +187,50 @@ class Lexicon:
         return tuple(m[self.ids + a : self.ids + b])
 
 
+class Memo(dict):
+    """Results of a function by key; emptied where it would hold more than `most`. Long keys are not held."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Codec:
-    """Encoding and decoding of one worker: lexicon first, exact merges for the rest, recent words remembered."""
+    """Encoding and decoding of one worker: lexicon first, exact merges for the rest, recent pieces remembered."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, recent: int = 1 << 18):
-        self.v, self.lexicon, self.recent = vocabulary, lexicon, recent
+        self.v, self.lexicon = vocabulary, lexicon
         self.split = regex.compile(vocabulary.pattern).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) or r"(?!)")
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.piece = Memo(self.encode_piece, recent).__getitem__
         self.text_of_id = {i: str(i) for i in vocabulary.bytes}
 
     def word(self, w: str) -> tuple[int, ...]:
         raw = w.encode()
         ids = self.lexicon.get(raw)
-        if ids is None:
-            ids = self.v.merge(raw)
-        if len(self.memo) >= self.recent:
-            self.memo.clear()
-        if len(w) <= 64:
-            self.memo[w] = ids
-        return ids
+        return self.v.merge(raw) if ids is None else ids
+
+    def encode_piece(self, piece: str) -> tuple[int, ...] | None:
+        """Ids of a blank and a piece; None if the piece is empty or has white space at an end, as then its neighbours matter."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        return tuple(itertools.chain.from_iterable(map(self.word, self.split(" " + piece))))
 
     def plain(self, text: str) -> list[int]:
-        memo, word, out = self.memo, self.word, []
-        for w in self.split(text):
-            out += memo.get(w) or word(w)
-        return out
+        # A single blank between other characters always begins a word: what follows it can be encoded apart.
+        first, *pieces = text.split(" ")
+        found = list(map(self.piece, pieces))
+        if None in found or first[-1:].isspace():
+            return [i for w in self.split(text) for i in self.word(w)]
+        return list(itertools.chain(*map(self.word, self.split(first)), *found))
 
     def encode(self, text: str) -> list[int]:
         out, at = [], 0
@@ -228,15 +244,15 @@ class Codec:
         return b"".join(map(self.v.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def frequent_words(docs: DataFrame, pattern: str, most: int, text_col: str = "text") -> list[str]:
-    """The `most` most frequent words of the whole table, counted by Spark; ties by code point.
+def frequent_words(docs: DataFrame, pattern: str, most: int = 50_000, text_col: str = "text") -> list[str]:
+    """Words of the `most` most frequent pieces between blanks of the whole table, counted by Spark; ties by code point.
 
-    Words are the runs between single blanks, each with its blank, which is what the pattern makes of plain words. Blocks of
-    the text are counted before they are shuffled.
+    Pieces are combined before they are shuffled. The tokenizer's own pattern splits a piece, with its blank, into words.
     """
-    words = docs.select(F.explode(F.split(F.coalesce(docs[text_col], F.lit("")), " ")).alias("w")).filter(F.expr("w rlike '^\\\\p{L}+$'"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
-    return [" " + r["w"] for r in top.collect()]
+    pieces = docs.select(F.explode(F.split(F.coalesce(docs[text_col], F.lit("")), " ")).alias("piece"))
+    top = pieces.filter("length(piece) between 1 and 64").groupBy("piece").count().orderBy(F.desc("count"), "piece").limit(most)
+    split = regex.compile(pattern).findall
+    return sorted({w for r in top.collect() for w in split(" " + r["piece"])})
 
 
 def build_lexicon(vocabulary: Vocabulary, words: Iterable[str]) -> bytes:
@@ -245,28 +261,18 @@ def build_lexicon(vocabulary: Vocabulary, words: Iterable[str]) -> bytes:
     return compile_lexicon({w.encode(): vocabulary.merge(w.encode()) for w in words if split(w) == [w]})
 
 
-def vocabulary_words(vocabulary: Vocabulary) -> list[str]:
-    """The tokenizer's own entries that are text: the words most frequent where its merges were counted."""
-    out = []
-    for raw in vocabulary.ids:
-        try:
-            out.append(raw.decode())
-        except UnicodeDecodeError:
-            continue
-    return out
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, pattern: str, lexicon_words: list[str] | None = None, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids of every whole text and the text decoded from them; one row in, one row out, no shuffle.
+    """Token ids of every whole text and the text decoded from them; one row in, one row out.
 
-    lexicon_words: the words of the automaton (bounded by the caller); None: the tokenizer's own entries. Columns: doc_id,
+    lexicon_words: the words of the automaton (bounded by the caller); None: the frequent ones of docs. Columns: doc_id,
     n_tokens, then ids and decoded, or with digests=True their sha256 (ids in decimal, joined by commas). Null or empty
-    text: no ids. The string of an added token in a text is that token. Words of any length are merged exactly.
+    text: no ids. The string of an added token in a text is that token. Words of any length are merged exactly. Repeated rows:
+    each its own row. An empty table: no rows.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     vocabulary = Vocabulary(tokenizer_path, pattern)
-    words = vocabulary_words(vocabulary) if lexicon_words is None else lexicon_words
+    words = frequent_words(docs, pattern, text_col=text_col) if lexicon_words is None else lexicon_words
     sent = spark.sparkContext.broadcast((vocabulary, build_lexicon(vocabulary, words)))  # bounded by the vocabulary and the word list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

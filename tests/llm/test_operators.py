@@ -105,6 +105,24 @@ def test_licenses(docs, texts):
     assert [r["labels"] for r in rows if r["doc_id"] == inserted] == ["mit"]  # two words are inserted: neighbouring diagonals are merged
 
 
+def test_license_spans_are_verified(spark):
+    whole = dict((label, text) for label, text, *_ in reversed(licenses.NOTICES))
+    sentence = next(n[1] for n in licenses.NOTICES if n[1].endswith("documentation files"))
+    grams = licenses.grams_of(sentence)
+    gpl = next(n[1] for n in licenses.NOTICES if n[0] == "gpl")
+    rows = [
+        (1, " filler ".join(grams), ""),  # all k-grams, three of four words apart: no span of the template's length
+        (2, " ".join(reversed(grams)), ""),
+        (3, " filler ".join([" ".join(licenses.words_of(sentence)[:8]), " ".join(licenses.words_of(sentence)[8:])]), "mit"),
+        (4, gpl, "gpl"), (5, gpl.replace("GNU General", "GNU Lesser General"), "lgpl"), (6, gpl.replace("GNU General", "GNU Affero General"), "agpl"),
+        (7, "x y " + whole["bsd"] + " z", "bsd"), (8, whole["zlib"] + " and " + whole["isc"], "isc,zlib"),
+        (9, "under the m\u0130t license \u212a UNDER THE MIT LICENSE", "mit"), (10, "licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "cc-by-nc"),
+    ]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == {i: want for i, _, want in rows}
+    assert (got[9]["n_base"], got[9]["first_word"], got[9]["n_words"]) == (1, 5, 9) and got[1]["score"] < 0.3 and got[7]["score"] == 1
+
+
 # 3
 
 
@@ -197,10 +215,25 @@ def test_bpe(docs, texts, library):
         want.append((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
     path, pattern = queries.tokenizer()
     same([tuple(r) for r in bpe.encode_documents(docs, path, pattern, digests=True).collect()], want)
-    full = bpe.encode_documents(docs, path, pattern, lexicon_words=bpe.frequent_words(docs, pattern, 50)).collect()
+    full = bpe.encode_documents(docs, path, pattern, lexicon_words=[" the", "x"]).collect()
     same([(r["doc_id"], r["n_tokens"], sha(",".join(map(str, r["ids"]))), sha(r["decoded"])) for r in full], want)
 
 
+def test_frequent_words(spark):
+    docs = spark.createDataFrame([("b a, a",), ("b a a, c\nd",), (None,), ("",)], "text string")
+    assert bpe.frequent_words(docs, queries.tokenizer()[1], 2) == [" a", " a,"[2:]] and " b" in bpe.frequent_words(docs, queries.tokenizer()[1])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bpe_of_white_space(library, seed):
+    """Blanks, runs of white space and line ends in all orders: pieces between blanks are encoded apart only where that is right."""
+    rng = random.Random(seed)
+    codec = bpe.Codec(bpe.Vocabulary(*queries.tokenizer()), bpe.Lexicon(bpe.build_lexicon(bpe.Vocabulary(*queries.tokenizer()), [" ab"])))
+    parts = [" ", " ", " ", "\n", "\t", "\u3000", "\x1c", "\x85", "ab", "c", "7", "'s", "'", "!", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    assert [codec.encode(t) for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_words(library):
     import public_tokenizers
 
