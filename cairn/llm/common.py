@@ -23,11 +23,11 @@ def small_batches(spark: SparkSession, most: str = "1m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
-def among(keys: DataFrame, most_bits: int = 1 << 27):
+def among(keys: DataFrame, most_bits: int = 1 << 26):
     """A test that is true for every hash in keys (one long column) and for few others: a bitmap of most_bits bits at most.
 
-    It only spares rows a shuffle; joins decide. The size goes by the count of keys, up to 16 MB, full use of which takes
-    eight million keys; a fuller bitmap spares less.
+    It only spares rows a shuffle; joins decide. The size goes by the count of keys, up to 8 MB, full use of which takes
+    four million keys; a fuller bitmap spares less.
     """
     n = keys.count()
     bits = min(most_bits, max(1 << 10, 1 << int(16 * max(n, 1) - 1).bit_length()))

@@ -18,7 +18,7 @@ LENGTH = 200
 #: Bytes of a suffix that its first block covers: shorter repeats, as of a common line, never reach the edges' comparison.
 GRAM = 80
 #: Windows in a cell of an edge.
-CELL = 20
+CELL = 12
 U = np.uint64
 PIECE = 1 << 22
 TABLE = np.random.default_rng(9).integers(1, 2**63, 256).astype(U)
@@ -84,23 +84,26 @@ def suffix_samples(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length
     return text[head], name[head], at[head], count, h[name[head]].view(np.int64)
 
 
-def text_id() -> Column:
-    """16 bytes that name a text: rows of equal texts lose the same bytes, so they need no name of their own."""
-    return F.unhex(F.md5(F.col("text").cast("binary")))
+ID = ["ta", "tb"]
 
 
-SAMPLE = "tk binary, key long, ctx long, first int, wins int, anchor short"
+def text_id() -> tuple[Column, Column]:
+    """128 bits that name a text: rows of equal texts lose the same bytes, so they need no name of their own."""
+    return F.xxhash64("text").alias("ta"), F.xxhash64(F.lit(9), "text").alias("tb")
+
+
+SAMPLE = "ta long, tb long, key long, ctx long, first int, wins int, anchor short"
 
 
 def sampled_suffixes(rows: DataFrame) -> DataFrame:
-    """tk, key (name of the suffix's first block), ctx (name of all bytes of its windows), first, wins, anchor (where the suffix
+    """ta and tb (of text_id), key (name of the suffix's first block), ctx (name of all bytes of its windows), first, wins, anchor (where the suffix
     starts, from first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for b in batches:
-            raws = [t.encode() for t in b.column(1).to_pylist()]
+            raws = [t.encode() for t in b.column(2).to_pylist()]
             pieces = []  # (row, offset, bytes): long texts in pieces that overlap by a window less one byte
             for k, r in enumerate(raws):
                 pieces += [(k, o, r[o : o + PIECE + LENGTH - 1]) for o in range(0, max(len(r) - LENGTH + 1, 0), PIECE)]
@@ -124,12 +127,13 @@ def sampled_suffixes(rows: DataFrame) -> DataFrame:
                 ctx = np.fromiter((xxh3_64_intdigest(view[a : a + n + LENGTH - 1]) for a, n in zip(first.tolist(), wins.tolist(), strict=True)), U, len(first)).view(np.int64)
                 row = np.array([p[0] for p in g])[text]
                 offset = np.array([p[1] for p in g])[text] - starts[text]
+                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row)), pa.array(key), pa.array(ctx), pa.array((first + offset).astype(np.int32)), pa.array(wins.astype(np.int32)), pa.array((name - first).astype(np.int16))],
-                    ["tk", "key", "ctx", "first", "wins", "anchor"],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(key), pa.array(ctx), pa.array((first + offset).astype(np.int32)), pa.array(wins.astype(np.int32)), pa.array((name - first).astype(np.int16))],
+                    [*ID, "key", "ctx", "first", "wins", "anchor"],
                 )
 
-    return rows.select("tk", "text").mapInArrow(run, SAMPLE)
+    return rows.select(*ID, "text").mapInArrow(run, SAMPLE)
 
 
 def merge_scan(arrays: list[DataFrame]) -> DataFrame:
@@ -183,22 +187,26 @@ class SuffixFamily:
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []  # rank and array
         self.found: list[DataFrame] = []
-        self.written: list[DataFrame] = []
 
-    def add(self, batch: DataFrame) -> None:
+    def add(self, batch: DataFrame, last: bool = False) -> None:
+        """Scan and add a batch. After the last one the levels are no longer needed: its merged array isn't written."""
         new = batch.groupBy("key", "ctx").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n")).withColumn("fresh", F.lit(True))  # combined before the shuffle
         rank, merged = 0, []
         while self.levels and self.levels[-1][0] == rank:
             merged.append(self.levels.pop()[1])
             rank += 1
         old = lambda a: a.withColumn("fresh", F.lit(False))
-        array = materialize(merge_scan([new, *map(old, merged)]), "suffix-array")
-        self.written.append(array)
-        self.found.append(array.filter("fresh"))
-        for _, level in self.levels:
-            matches = merge_scan([new if merged else array, old(level)]).filter("fresh and lcp > 0")
-            self.found.append(materialize(matches, "suffix-matches"))
-        self.levels.append((rank, array))
+        array = merge_scan([new, *map(old, merged)])
+        if not last:
+            array = materialize(array, "suffix-array")
+        scans = [array, *(merge_scan([new if merged or last else array, old(level)]) for _, level in self.levels)]
+        self.found += [materialize(s.filter("fresh and lcp > 0").select("key", "ctx", "lcp"), "suffix-matches") for s in scans]
+        discard(*merged)
+        if last:
+            discard(*(a for _, a in self.levels))
+            self.levels = []
+        else:
+            self.levels.append((rank, array))
 
     def repeated(self) -> DataFrame:
         """(key, ctx) of the suffixes with several places."""
@@ -213,18 +221,19 @@ class SuffixFamily:
 
 
 def edge_regions(near: DataFrame, samples: DataFrame, rows: DataFrame) -> DataFrame:
-    """One place of each context of the given keys, with the bytes of its windows: key, ctx, once, tk, first, wins, anchor, bytes."""
+    """One place of each context of the given keys, with the bytes of its windows: key, ctx, once, ta, tb, first, wins, anchor, bytes."""
     test_key = among(near)
-    alike = samples.filter(test_key("key")).join(near, "key", "left_semi")
-    place = F.struct("tk", "first", "wins", "anchor")
-    edge = materialize(alike.groupBy("key", "ctx").agg((F.count("*") == 1).alias("once"), F.first(place).alias("p")).select("key", "ctx", "once", "p.*"), "suffix-edges")
-    test = among(edge.select(F.xxhash64("tk").alias("h")))
-    lists = edge.groupBy("tk").agg(F.collect_list(F.struct("key", "ctx", "once", "first", "wins", "anchor")).alias("list"))  # no more than the text has windows
-    have = rows.filter(test(F.xxhash64("tk"))).groupBy("tk").agg(F.first("text").alias("text")).join(lists, "tk")
+    place = [*ID, "first", "wins", "anchor"]
+    # Places of one context are combined before they meet the keys, so that a passage of many documents is one row.
+    alike = samples.filter(test_key("key")).groupBy("key", "ctx").agg((F.count("*") == 1).alias("once"), *[F.first(c).alias(c) for c in place])
+    edge = materialize(alike.join(near, "key", "left_semi"), "suffix-edges")
+    test = among(edge.select("ta"))
+    lists = edge.groupBy(*ID).agg(F.collect_list(F.struct("key", "ctx", "once", "first", "wins", "anchor")).alias("list"))  # no more than the text has windows
+    have = rows.filter(test("ta")).groupBy(*ID).agg(F.first("text").alias("text")).join(lists, ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, (t, found) in enumerate(zip(b.column(1).to_pylist(), b.column(2), strict=True)):
+            for k, (t, found) in enumerate(zip(b.column(2).to_pylist(), b.column(3), strict=True)):
                 raw = t.encode()
                 fields = found.values
                 for at in range(0, len(fields), 1 << 14):
@@ -233,11 +242,11 @@ def edge_regions(near: DataFrame, samples: DataFrame, rows: DataFrame) -> DataFr
                     data = [raw[a : a + n + LENGTH - 1] for a, n in zip(columns["first"].to_pylist(), columns["wins"].to_pylist(), strict=True)]
                     take = pa.array(np.full(len(part), k))
                     yield pa.RecordBatch.from_arrays(
-                        [columns["key"], columns["ctx"], columns["once"], b.column(0).take(take), columns["first"], columns["wins"], columns["anchor"], pa.array(data, pa.binary())],
-                        ["key", "ctx", "once", "tk", "first", "wins", "anchor", "bytes"],
+                        [columns["key"], columns["ctx"], columns["once"], b.column(0).take(take), b.column(1).take(take), columns["first"], columns["wins"], columns["anchor"], pa.array(data, pa.binary())],
+                        ["key", "ctx", "once", *ID, "first", "wins", "anchor", "bytes"],
                     )
 
-    regions = have.select("tk", "text", "list").mapInArrow(run, "key long, ctx long, once boolean, tk binary, first int, wins int, anchor short, bytes binary")
+    regions = have.select(*ID, "text", "list").mapInArrow(run, "key long, ctx long, once boolean, ta long, tb long, first int, wins int, anchor short, bytes binary")
     return materialize(regions, "suffix-regions")
 
 
@@ -253,14 +262,14 @@ def cells_of(anchor: int, wins: int) -> Iterator[tuple[int, int, int, bool]]:
 
 
 def edge_marks(regions: DataFrame) -> DataFrame:
-    """Windows repeated at the edges of a match: tk, first, wins.
+    """Windows repeated at the edges of a match: ta, tb, first, wins.
 
     There suffixes share their first block, but their contexts differ. Equal windows begin at equal offsets, so windows are
     compared cell by cell: bytes that all windows of a cell hold (its core) and bytes that any of them holds (its hull). A
     core that no other context has rules the cell out; where all contexts with one core have one hull, all its windows are
     repeated; only the cells between are compared window by window. Places of contexts that occur twice are marked already.
     """
-    from_bytes = "key long, ctx long, once boolean, tk binary, cell short, core long, hull long, first int, wins int"
+    from_bytes = "key long, ctx long, once boolean, ta long, tb long, cell short, core long, hull long, first int, wins int"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as name
@@ -279,8 +288,8 @@ def edge_marks(regions: DataFrame) -> DataFrame:
                 take = pa.array(at)
                 signed = lambda x: pa.array(x, pa.uint64()).view(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("key").take(take), b.column("ctx").take(take), b.column("once").take(take), b.column("tk").take(take), pa.array(cells, pa.int16()), signed(cores), signed(hulls), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32())],
-                    ["key", "ctx", "once", "tk", "cell", "core", "hull", "first", "wins"],
+                    [b.column("key").take(take), b.column("ctx").take(take), b.column("once").take(take), *(b.column(c).take(take) for c in ID), pa.array(cells, pa.int16()), signed(cores), signed(hulls), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32())],
+                    ["key", "ctx", "once", *ID, "cell", "core", "hull", "first", "wins"],
                 )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,22 +306,22 @@ def edge_marks(regions: DataFrame) -> DataFrame:
                             firsts.append(first + p)
             if at:
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([b.column("key").take(take), pa.array(hashes, pa.uint64()).view(pa.int64()), b.column("once").take(take), b.column("tk").take(take), pa.array(firsts, pa.int32())], ["key", "hash", "once", "tk", "first"])
+                yield pa.RecordBatch.from_arrays([b.column("key").take(take), pa.array(hashes, pa.uint64()).view(pa.int64()), b.column("once").take(take), *(b.column(c).take(take) for c in ID), pa.array(firsts, pa.int32())], ["key", "hash", "once", *ID, "first"])
 
     cells = materialize(regions.mapInArrow(cut, from_bytes), "suffix-cells")
     by = ["key", "cell", "core"]
     shared = cells.groupBy(*by).agg(F.count("*").alias("n"), F.count("hull").alias("whole"), F.min("hull").alias("a"), F.max("hull").alias("b")).filter("n > 1")
     shared = shared.select(*by, F.expr("whole = n and a = b").alias("settled"))
-    met = materialize(cells.join(shared, by).select("key", "ctx", "once", "tk", "cell", "first", "wins", "settled"), "suffix-met")
-    settled = met.filter("settled and once").select("tk", "first", "wins")
-    open_ = met.filter("not settled").groupBy("key", "ctx").agg(F.collect_set("cell").alias("open"))  # a region has seven cells at most
-    listed = materialize(regions.join(open_, ["key", "ctx"]).mapInArrow(windows, "key long, hash long, once boolean, tk binary, first int"), "suffix-windows")
+    met = materialize(cells.join(shared, by).select("key", "ctx", "once", *ID, "cell", "first", "wins", "settled"), "suffix-met")
+    settled = met.filter("settled and once").select(*ID, "first", "wins")
+    open_ = met.filter("not settled").groupBy("key", "ctx").agg(F.collect_set("cell").alias("open"))  # a region has eleven cells at most
+    listed = materialize(regions.join(open_, ["key", "ctx"]).mapInArrow(windows, "key long, hash long, once boolean, ta long, tb long, first int"), "suffix-windows")
     twice = listed.groupBy("key", "hash").agg(F.count("*").alias("c")).filter("c > 1").select("key", "hash")
-    found = listed.filter("once").join(twice, ["key", "hash"], "left_semi").select("tk", "first", F.lit(1).alias("wins"))
+    found = listed.filter("once").join(twice, ["key", "hash"], "left_semi").select(*ID, "first", F.lit(1).alias("wins"))
     return settled.unionByName(found)
 
 
-def remove_repeats(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", texts_out: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", texts_out: bool = False) -> DataFrame:
     """Removes every byte covered by a string of 200 bytes that starts anywhere else too, all copies alike.
 
     Texts come in `batches` batches by a hash. Each batch's sampled suffixes become a suffix array that is merge-scanned with
@@ -324,22 +333,22 @@ def remove_repeats(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", te
     empty table: no rows. Texts are moved only where they hold marks or edges.
     """
     small_batches(docs.sparkSession)
-    rows = texts(docs, id_col, text_col).withColumn("tk", text_id())
+    rows = texts(docs, id_col, text_col).select("*", *text_id())
     samples = materialize(sampled_suffixes(rows), "suffix-samples")
     family = SuffixFamily()
-    batch = F.pmod(F.xxhash64("tk"), F.lit(batches))
+    batch = F.pmod(F.xxhash64(*ID), F.lit(batches))
     for k in range(batches):
-        family.add(samples.filter(batch == k))
+        family.add(samples.filter(batch == k), last=k == batches - 1)
     repeated, near = materialize(family.repeated(), "suffix-repeated"), materialize(family.near(), "suffix-near")
-    discard(*family.written)
+    discard(*family.found)
     test = among(repeated.select(F.xxhash64("key", "ctx").alias("h")))
-    whole = samples.filter(test(F.xxhash64("key", "ctx"))).join(repeated, ["key", "ctx"], "left_semi").select("tk", "first", "wins")
-    marks = materialize(whole.unionByName(edge_marks(edge_regions(near, samples, rows))).distinct(), "suffix-marks")
+    whole = samples.filter(test(F.xxhash64("key", "ctx"))).join(repeated, ["key", "ctx"], "left_semi").select(*ID, "first", "wins")
+    marks = whole.unionByName(edge_marks(edge_regions(near, samples, rows)))
+    spans = marks.groupBy(*ID).agg(F.collect_set(F.struct("first", "wins")).alias("list"))  # a set: no more than the text has windows
+    spans = materialize(spans, "suffix-spans")
     discard(samples)
-
-    spans = marks.groupBy("tk").agg(F.collect_list(F.struct("first", "wins")).alias("list"))  # no more than the text has windows
-    marked = among(spans.select(F.xxhash64("tk").alias("h")))
-    rows = rows.withColumn("maybe", marked(F.xxhash64("tk")))
+    marked = among(spans.select("ta"))
+    rows = rows.withColumn("maybe", marked("ta"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +377,7 @@ def remove_repeats(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(columns, names)
 
     cut_schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts_out
-    changed = rows.filter("maybe").join(spans, "tk", "left").select("doc_id", "text", "list").mapInArrow(cut, cut_schema)
+    changed = rows.filter("maybe").join(spans, ID, "left").select("doc_id", "text", "list").mapInArrow(cut, cut_schema)
     raw = F.col("text").cast("binary")
     same = rows.filter("not maybe").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), *([raw.alias("kept")] if texts_out else []))
     return changed.unionByName(same)
