@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import small_side
+from cairn.llm.sharding import ranked
 from cairn.session import discard, materialize
 
 EPS = 1e-9
 WEIGHTS = (5.0, 2.0, 1.0)
-MAX_SOURCES = 100_000
-
-
-def targets_of(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[float]:
-    """Targets of the sources, in their order: weights repeat, and what is above most times a size is shared out again."""
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    target, left, open_ = [0.0] * len(sizes), share * sum(sizes), [i for i, n in enumerate(sizes) if n]
-    while open_:
-        unit = left / sum(w[i] for i in open_)
-        full = [i for i in open_ if w[i] * unit > most * sizes[i]]
-        if not full:
-            for i in open_:
-                target[i] = w[i] * unit
+
+
+def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """sources (sid from 0 in the order of the sources, n: size) with `target`: weights repeat, and what is above `most` times a
+    size is shared out again.
+
+    Each round fills the sources that are above their limit at the present unit; the driver holds sums alone.
+    """
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    sources = sources.withColumn("w", w).withColumn("limit", F.lit(most) * F.col("n"))
+    total = sources.agg(F.sum("n")).first()[0] or 0
+    unit, filled = 0.0, -1
+    while True:
+        full = F.col("w") * F.lit(unit) > F.col("limit")
+        taken, open_w, now = sources.filter("n > 0").agg(F.sum(F.when(full, F.col("limit"))), F.sum(F.when(~full, F.col("w"))), F.count_if(full)).first()
+        if now == filled or not open_w:
             break
-        for i in full:
-            target[i] = most * sizes[i]
-            left -= target[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return target
+        filled, unit = now, (share * total - (taken or 0.0)) / open_w
+    return sources.withColumn("target", F.when(F.col("n") > 0, F.least(F.col("limit"), F.col("w") * F.lit(unit))).otherwise(0.0)).drop("w", "limit")
 
 
 def flight(pi: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -97,10 +97,11 @@ def landing(pi: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.n
     return pi
 
 
-def block_flight(seed: int, level: int, last: bool):
+def block_flight(seed: int, level: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last").reset_index(drop=True)
-        rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
+        sid, block, last = key
+        pdf = pdf.sort_values(["size", "doc_id", "text_key", "nth"], ascending=[False, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
+        rng = np.random.default_rng([seed, level, int(sid), int(block)])
         pi, sizes = pdf["pi"].to_numpy(float), pdf["size"].to_numpy(float)
         if last:
             kept = reserve_of(pi, sizes)
@@ -110,7 +111,7 @@ def block_flight(seed: int, level: int, last: bool):
         else:
             pi = flight(pi, sizes, rng)
         pdf["pi"] = pi
-        return pdf.drop(columns="block")
+        return pdf.drop(columns=["block", "last"])
 
     return run
 
@@ -134,50 +135,48 @@ def mix_sources(
 
     A source with target t and size s asks for t/s copies of each document: floor(t/s) whole ones, and one more with the
     fractional probability. Blocks of about block_rows rows of one source run the flight phase apart from each other, large
-    documents first; the two units at most that a block leaves go on to the next level, a thousandth of the rows, until
-    one block a source is left, which lands with a small reserve of documents. So a hot source is many blocks, and the level count is logarithmic.
-
-    Columns: doc_id, size, source_size, target, copies, taken. Blocks and draws depend on doc_id, size and seed alone. Null
-    text: size 0; null source: a source of its own, last; repeated rows: sampled each, the same rows in all runs; an empty
-    table: no rows. The number of sources is a setting of a mix, MAX_SOURCES at most (checked).
+    documents first; the two units at most that a block leaves go on to the next level, a thousandth of the rows, until a
+    source is one block, which lands with a small reserve of documents. So a hot source is many blocks, and so are the rows of
+    a frequent or null id: blocks are dealt by id, text and, for equal rows, their number. Sources are any number: a table
+    that meets the rows by a join, sent to all tasks only where it is small.
+
+    Columns: doc_id, text_key, size, source_size, target, copies, taken. Blocks and draws depend on the rows' values and seed
+    alone. Null text: size 0; null source: a source of its own, last; repeated rows: sampled each, the same count in all
+    runs; an empty table: no rows.
     """
-    rows = materialize(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size")), "mix-rows")
-    spark = docs.sparkSession
-    found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    targets = targets_of([r["n"] for r in found], weights, share, most)
-    mix = spark.createDataFrame(
-        [(k, r["source"], int(r["n"]), t, t / r["n"] if r["n"] else 0.0) for k, (r, t) in enumerate(zip(found, targets, strict=True))],
-        "sid int, source string, source_size long, target double, rate double",
-    )
-    mix = mix.withColumn("source", F.col("source").cast(dict(rows.dtypes)["source"]))
-    joined = rows.join(F.broadcast(mix), rows["source"].eqNullSafe(mix["source"]))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), F.xxhash64(text).alias("text_key"), word_count(docs[text_col]).alias("size"))
+    # Equal rows are combined, and numbered when they part again.
+    equal = materialize(rows.groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("times")), "mix-rows")
+    found = materialize(equal.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("n"), F.sum("times").alias("rows")), "mix-sources")
+    order = [F.col("source").isNull(), F.col("source")]
+    numbered, n_sources = ranked(found, order, "mix-order")
+    mix = source_targets(numbered.withColumnRenamed("__rank", "sid"), weights, share, most)
+    mix = materialize(mix.select("sid", F.col("source").alias("m_source"), F.col("n").alias("source_size"), "rows", "target", F.when(F.col("n") > 0, F.col("target") / F.col("n")).otherwise(0.0).alias("rate")), "mix-targets")
+    joined = equal.join(small_side(mix, n_sources), equal["source"].eqNullSafe(mix["m_source"]))
     whole = F.floor(F.col("rate") + EPS)
-    open_ = joined.select("doc_id", "size", "sid", whole.cast("int").alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("pi"), "source_size", "target")
-    counts = {k: r["rows"] for k, r in enumerate(found)}
+    open_ = joined.select(
+        "doc_id", "text_key", "size", "sid", whole.cast("int").alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("pi"), "source_size", "target", "rows",
+        F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth"),
+    )
 
-    level, done, written = 0, [], [rows]
+    level, done = 0, []
     while True:
-        blocks = {k: max(1, math.ceil(n / block_rows)) for k, n in counts.items()}
-        last = max(blocks.values(), default=1) == 1
-        many = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("sid")) if blocks else F.lit(1)
-        block = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + level)), many)
-
+        blocks = F.ceil(F.col("rows") / block_rows)
+        block = F.pmod(F.xxhash64("doc_id", "text_key", "nth", F.lit(seed + level)), blocks)
         schema = open_.schema
-        out = materialize(open_.withColumn("block", block).groupBy("sid", "block").applyInPandas(block_flight(seed, level, last), schema), f"mix-level{level}")
-        written.append(out)
+        out = materialize(open_.withColumn("block", block).withColumn("last", blocks == 1).groupBy("sid", "block", "last").applyInPandas(block_flight(seed, level), schema), f"mix-level{level}")
         settled = (F.col("pi") <= 0) | (F.col("pi") >= 1)
         done.append(out.filter(settled))
-        if last:
+        counts = materialize(out.filter(~settled).groupBy("sid").agg(F.count("*").alias("rows")), "mix-counts")
+        n_open = counts.count()
+        if not n_open:
             break
-        open_ = out.filter(~settled)
-        counts = {r["sid"]: r["count"] for r in open_.groupBy("sid").count().collect()}
+        open_ = out.filter(~settled).drop("rows").join(small_side(counts, n_open), "sid").select(*schema.names)
         level += 1
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
-    discard(*written[:1])
+    discard(equal)
     copies = F.col("whole") + F.col("pi").cast("int")
-    return result.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return result.select("doc_id", "text_key", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
