@@ -71,7 +71,7 @@ def partition_sums(rows: DataFrame, sums, width: int) -> np.ndarray:
                 total += sums(x, b.column(1).to_numpy(zero_copy_only=False).astype(float))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["total"])
 
-    parts = rows.select("x", "y").coalesce(16).mapInArrow(run, "total array<double>").collect()
+    parts = rows.select("x", "y").mapInArrow(run, "total array<double>").collect()
     return np.sum([np.array(r["total"]) for r in parts], axis=0) if parts else np.zeros(width)
 
 
@@ -108,15 +108,13 @@ def isotonic(n: np.ndarray, positive: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(k, p / w) for w, p, k in blocks]) if blocks else np.zeros(0)
 
 
-def fit(train: DataFrame, n_features: int = 256, ridge: float = 1.0, bins: int = 512, max_rows: int = 200_000, seed: int = 11) -> Model:
-    """Fit on rows (doc_id, x, y). At most about max_rows rows, chosen by a hash of the id, are used: a documented bound.
+def fit(train: DataFrame, n_features: int = 256, ridge: float = 1.0, bins: int = 512, seed: int = 11) -> Model:
+    """Fit on rows (doc_id, x, y), bounded by the caller.
 
     Three of four rows give the normal equations Z'Z and Z'y, summed by partitions; the fourth gives the calibration, from
-    counts in `bins` bins of the raw score. With no rows, or of one label only, every score is the prior.
+    counts in `bins` bins of the raw score; where that fourth has one label only, all rows do. With no rows, or of one label only, every score is the prior.
     """
     n, ones = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    if n > max_rows:
-        train = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
     d = len(FEATURES)
     rng = np.random.default_rng(seed)
     omega, phase = rng.normal(size=(d, n_features)) / np.sqrt(d) * 1.2, rng.uniform(0, 2 * np.pi, n_features)
@@ -142,6 +140,8 @@ def fit(train: DataFrame, n_features: int = 256, ridge: float = 1.0, bins: int =
         return np.concatenate([np.bincount(b, minlength=bins), np.bincount(b, y, bins)])
 
     counts = partition_sums(train.filter(fold == 0), histogram, 2 * bins)
+    if not 0 < counts[bins:].sum() < counts[:bins].sum():
+        counts = partition_sums(train, histogram, 2 * bins)
     full = np.flatnonzero(counts[:bins])
     if len(full):
         middle = np.concatenate([[edges[0]], (edges[1:] + edges[:-1]) / 2, [edges[-1]]])
@@ -151,10 +151,11 @@ def fit(train: DataFrame, n_features: int = 256, ridge: float = 1.0, bins: int =
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, all_labels: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, all_labels: bool = False, max_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, held_out, score and predicted for every document.
 
-    Statistics of every whole text are computed once and written down (20 numbers a text); labels meet them by doc_id. An id
+    Statistics of every whole text are computed once and written down (20 numbers a text); labels meet them by doc_id. The
+    model is fitted on about max_rows labelled ids at most, chosen by a hash before they meet the texts: a documented bound. An id
     labelled more than once counts by its mean label; null labels and ids are left out. Null or empty text: zeros, scored
     like any other. Repeated rows get equal scores. An empty table: no rows; no labels: score 0.5.
     """
@@ -163,7 +164,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, all_labels: bool = False,
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     if not all_labels:
         known = known.filter(~is_held_out())
-    model = fit(materialize(stats.join(known, "doc_id").select("doc_id", "x", "y"), "quality-train"))
+    n = known.count()
+    if n > max_rows:
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
+    train = stats.join(known, "doc_id").select("doc_id", "x", "y").groupBy("doc_id", "y").agg(F.min("x").alias("x"))  # one text an id
+    model = fit(materialize(train.repartition(16), "quality-train"))  # bounded: 200,000 rows of 20 numbers
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
