@@ -53,8 +53,9 @@ def ranked(rows: DataFrame, order: list[Column], tag: str) -> tuple[DataFrame, i
     total, starts = 0, {}
     for p, n in counts:
         starts[p], total = total, total + n
-    offset = F.element_at(F.create_map(*[F.lit(v) for kv in starts.items() for v in kv]), part) if starts else F.lit(0)
-    return ordered.withColumn("__rank", offset.cast("long") + within).drop("place"), total
+    offsets = rows.sparkSession.createDataFrame(list(starts.items()), "__part long, __start long")  # a row for each range partition
+    placed = ordered.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return placed.withColumn("__rank", F.col("__start") + within).drop("place", "__part", "__start"), total
 
 
 def hilbert_order(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
@@ -94,8 +95,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...
     """Shard of every document: law `rows` (counts of any two shards differ by one at most).
 
     Documents are sorted by (curve, crc32 of the text, doc_id) and cut into equal runs, so that a shard covers a small box
-    of (lang, source, size) and equal texts of one source lie together. Only narrow rows are sorted; the text stays in the
-    scan. Columns: doc_id, size, text_crc32, curve, law, shard, slot, grown_shard. Null text: size 16, crc32 0; null lang or
+    of (lang, source, size) and equal texts of one source lie together: in one shard, or in neighbours where a cut splits
+    them. Equal texts of another lang or source lie with those. Only narrow rows are sorted; the text stays in the scan. Columns: doc_id, size, text_crc32, curve, law, shard, slot, grown_shard. Null text: size 16, crc32 0; null lang or
     source: the lowest step; repeated rows: each takes a slot; an empty table: no rows.
     """
     text = docs[text_col]
@@ -118,12 +119,14 @@ def hilbert_shards(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...
     )
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write the documents as one folder a shard, in slot order; rows meet by doc_id, which must be unique here."""
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, file_rows: int = 100_000) -> None:
+    """Write the documents as one folder a shard, in files of file_rows slots each in order; rows meet by doc_id, unique here."""
+    seats = assigned.select(F.col("doc_id").alias("__id"), "shard", "slot", F.expr(f"slot div {file_rows}").alias("__file"))
     (
-        docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
-        .repartition("shard")
+        docs.join(seats, docs["doc_id"].eqNullSafe(F.col("__id")))
+        .repartition("shard", "__file")
         .sortWithinPartitions("shard", "slot")
+        .drop("__id", "__file")
         .write.partitionBy("shard")
         .parquet(path)
     )
