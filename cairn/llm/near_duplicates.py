@@ -267,14 +267,15 @@ def roots_of(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     nodes = materialize(signed(rows), "near-nodes")
     banded = nodes.select(F.explode("bands").alias("bucket"), "node")
     leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(banded.join(leaders, "bucket"), "near-buckets")
+    # A sort-merge join, so that Spark can split a bucket that many nodes share.
+    shared = materialize(banded.join(leaders.hint("merge"), "bucket"), "near-buckets")
     stars = shared.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(similar_pairs(materialize(stars, "near-stars"), rows, threshold).select("a", "b"), "near-links")
     roots = components(links)
 
     placed = shared.filter("n > 2").join(roots, "node", "left").select("bucket", "leader", "node", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    spokes = materialize(placed.join(split, "bucket", "left_semi").filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-spokes")
+    spokes = materialize(placed.join(split.hint("merge"), "bucket", "left_semi").filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-spokes")
     if spokes.limit(1).count():
         clusters = components(spokes).withColumnRenamed("root", "cluster")
         open_ = clusters.join(nodes.select("node", "weight"), "node").join(roots, "node", "left").select("cluster", "node", "weight", F.coalesce("root", "node").alias("root"))
