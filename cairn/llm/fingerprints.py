@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import texts
 from cairn.session import materialize
 
-SAMPLES = 64
+SAMPLES = 48
 
 
 def place_key() -> Column:
@@ -35,7 +35,7 @@ def next_documents(rows: DataFrame, parts: int) -> DataFrame:
     before = F.pmod(F.col("own") - 1, F.lit(max(len(cuts), 1)))
     seats = F.when(F.array_contains(cut, F.col("key")), F.array(seat(F.col("own"), False), seat(before, True))).otherwise(F.array(seat(F.col("own"), False)))
     dealt = rows.withColumn("key", key).withColumn("own", bucket).withColumn("b", F.explode(seats))
-    order = Window.partitionBy("bucket").orderBy("ghost", "key")
+    order = Window.partitionBy("bucket").orderBy("ghost", "key", "doc_id")  # all columns, so that both uses read one shuffle
     dealt = dealt.select("doc_id", "text", "key", "b.bucket", "b.ghost").repartition(parts, "bucket")
     return dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
 
