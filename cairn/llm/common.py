@@ -23,6 +23,11 @@ def small_batches(spark: SparkSession, most: str = "1m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+def small_side(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """The side of a join, sent to all tasks if its counted rows are few; else Spark shuffles, and splits hot keys."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def among(keys: DataFrame, most_bits: int = 1 << 26):
     """A test that is true for every hash in keys (one long column) and for few others: a bitmap of most_bits bits at most.
 

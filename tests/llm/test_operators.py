@@ -142,6 +142,15 @@ def test_quality(spark):
     same([tuple(r) for r in quality.score_quality(docs, flipped).collect()], [tuple(r) for r in scored])  # held-out labels don't matter
 
 
+def test_quality_of_few_labels_and_the_bound(spark):
+    rows = [(k, cases.prose(k, 30) if k % 2 else "x! " * (k + 9)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = lambda ids: spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, quality int")
+    right = lambda scored: np.mean([r["predicted"] == r["doc_id"] % 2 for r in scored.collect()])
+    assert right(quality.score_quality(docs, labels(range(5)), all_labels=True)) > 0.9
+    assert right(quality.score_quality(docs, labels(range(60)), all_labels=True, max_rows=20)) > 0.9
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {(r["score"], r["predicted"]) for r in quality.score_quality(docs, none).collect()} == {(0.5, 1)}
@@ -161,11 +170,41 @@ def test_isotonic(seed):
 # 4
 
 
-def test_targets():
-    assert mixing.targets_of([100, 100, 100]) == pytest.approx([200, 2 * 250 / 3, 250 / 3])
-    assert mixing.targets_of([]) == [] and mixing.targets_of([0, 0]) == [0, 0]
-    t = mixing.targets_of([1000, 10, 500, 1000, 3])
-    assert sum(t) == pytest.approx(1.5 * 2513) and all(a <= 2 * b + 1e-9 for a, b in zip(t, [1000, 10, 500, 1000, 3]))
+def targets_of(sizes):
+    w = [[5.0, 2.0, 1.0][i % 3] for i in range(len(sizes))]
+    target, left, open_ = [0.0] * len(sizes), 1.5 * sum(sizes), [i for i, n in enumerate(sizes) if n]
+    while open_:
+        unit = left / sum(w[i] for i in open_)
+        full = [i for i in open_ if w[i] * unit > 2 * sizes[i]]
+        for i in full or open_:
+            target[i] = 2.0 * sizes[i] if full else w[i] * unit
+            left -= target[i]
+        open_ = [i for i in open_ if i not in full] if full else []
+    return target
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [], [0, 0], [1000, 10, 500, 1000, 3], [1, 10**6, 5, 0, 70, 8, 9000, 2, 2, 2]])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame(list(enumerate(sizes)), "sid long, n long")
+    got = [r["target"] for r in mixing.source_targets(df).orderBy("sid").collect()]
+    assert got == pytest.approx(targets_of(sizes))
+
+
+def test_mixing_of_hot_and_repeated_rows(spark):
+    """A third of the rows under a null id, one row many times, and more sources than are sent to all tasks."""
+    rng = random.Random(6)
+    rows = [(None if k % 3 == 0 else k, " ".join(["w"] * rng.randint(1, 40)), f"s{k % 2}") for k in range(600)] + [(7, "a b c", "s1")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, block_rows=32).collect()
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    want = targets_of([size["s0"], size["s1"]])
+    for n, t in zip([size["s0"], size["s1"]], want):
+        assert sum(r["taken"] for r in got if r["source_size"] == n) == pytest.approx(t, rel=0.01)
+    assert len(got) == 900 and {r["taken"] for r in got if r["doc_id"] == 7 and r["size"] == 3} <= {0, 3, 6}
+    many = spark.range(3000).select("id", F.lit("a b").alias("text"), F.concat(F.lit("s"), "id").alias("source")).withColumnRenamed("id", "doc_id")
+    assert mixing.mix_sources(many).agg(F.sum("taken")).first()[0] == pytest.approx(1.5 * 6000, rel=0.4)
 
 
 def test_flight_keeps_totals():
@@ -186,7 +225,7 @@ def test_mixing(docs, texts, block):
         sizes[r[3]] += words(r[1] or "")
         largest[r[3]] = max(largest[r[3]], words(r[1] or ""))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    targets = mixing.targets_of([sizes[s] for s in names])
+    targets = targets_of([sizes[s] for s in names])
     taken, got = Counter(), {}
     for r in rows:
         taken[r["source_size"]] += r["taken"]
