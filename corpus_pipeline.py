@@ -22,7 +22,7 @@ def again(docs: DataFrame, decided: DataFrame, how: str = "left_semi") -> DataFr
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts: a null text is scored as the empty one, of an id each text apart."""
     scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
     rejected = scored.filter("predicted = 0").select("doc_id", F.col("text_key").alias("__key")).distinct()
     return again(docs, rejected, "left_anti")
@@ -39,7 +39,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with secrets masked, and n_chars of the masked text."""
     masked = secret_scan.redact_secrets(docs)
-    return masked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return masked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else masked
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the text that the ids decode to."""
+    """doc_id, n_tokens, ids and the text that the ids decode to; a null text has none and decodes to the empty one."""
     return bpe.encode_documents(docs, *tokenizer())
 
 
