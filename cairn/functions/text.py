@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,10 +39,13 @@ def chunk_id(tag: str, namespace: Column, path: Column, kind: Column, symbol_kin
 
 
 def line_starts(text: Column) -> Column:
-    """Byte offsets at which lines start: 0, and one past every LF."""
-    sizes = F.transform(F.split(text, "\n"), lambda line: F.octet_length(line) + 1)
-    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n.cast("int"))))
-    return F.slice(starts, 1, F.size(sizes))
+    """Byte offsets at which lines start: 0, and one past every LF. In batches: a running sum within a row has no built-in of linear cost."""
+
+    @F.pandas_udf("array<int>")
+    def starts(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: None if d is None else np.concatenate([[0], np.flatnonzero(np.frombuffer(d, np.uint8) == 10) + 1]))
+
+    return starts(raw(text))
 
 
 def locate(starts: Column, offset: Column) -> Column:
@@ -86,11 +91,12 @@ def printable(text: Column) -> Column:
 
 
 def readable_size(n: Column) -> Column:
-    """A size in decimal units."""
+    """A size in decimal units; halves of the one decimal go to the even digit, by the exact binary value."""
     value = n.cast("double")
+    decimal = lambda x, unit: F.concat(F.replace(F.format_number(x, 1), F.lit(",")), F.lit(f" {unit}"))
     return (
         F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1_000_000, F.format_string("%.1f kB", value / 1e3))
-        .when(n < 1_000_000_000, F.format_string("%.1f MB", value / 1e6))
-        .otherwise(F.format_string("%.1f GB", value / 1e9))
+        .when(n < 1_000_000, decimal(value / 1e3, "kB"))
+        .when(n < 1_000_000_000, decimal(value / 1e6, "MB"))
+        .otherwise(decimal(value / 1e9, "GB"))
     )

@@ -42,7 +42,7 @@ class VectorIndex:
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.readers = spark, Path(root), {}
+        self.spark, self.root, self.readers, self.writing = spark, Path(root), {}, set()
         self.root.mkdir(parents=True, exist_ok=True)
 
     def home(self, namespace: str) -> Path:
@@ -96,7 +96,11 @@ class VectorIndex:
             self.readers[key] -= 1
             if not self.readers[key]:
                 del self.readers[key]
-                self.vacuum(namespace)
+                try:
+                    with self.writer(namespace):
+                        self.vacuum(namespace)
+                except IndexBusy:  # the writer removes what is left
+                    pass
 
     def check(self, rows: DataFrame, namespace: str, dimensions: int) -> int:
         """Count of the rows; fails if one is wrong."""
@@ -107,12 +111,17 @@ class VectorIndex:
         return n
 
     def begin(self, namespace: str) -> str:
-        return f"generation-{uuid.uuid4().hex}"
+        """The name of a new generation, which is kept until it is published or aborted."""
+        generation = f"generation-{uuid.uuid4().hex}"
+        self.writing.add(generation)
+        return generation
 
-    def publish(self, namespace: str, generation: str, identity: dict) -> dict:
-        """Check the written generation and make it the active one, in one step."""
+    def publish(self, namespace: str, generation: str, identity: dict, expected: int | None = None) -> dict:
+        """Check the written generation, also against the count of rows expected, and make it the active one, in one step."""
         rows = self.spark.read.parquet(str(self.home(namespace) / generation))
         n = self.check(rows, namespace, identity["dimensions"])
+        if expected is not None and n != expected:
+            raise IndexCorrupt(f"{n} rows were written, {expected} expected")
         payload = {"schema_version": SCHEMA_VERSION, "namespace": namespace, "generation": generation, "rows": n, "identity": identity}
         body = json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
         path = self.home(namespace) / "active.json"
@@ -124,10 +133,12 @@ class VectorIndex:
         os.replace(tmp, path)
         if self.active(namespace) != payload:
             raise IndexCorrupt("the pointer is not what was published")
+        self.writing.discard(generation)
         self.vacuum(namespace)
         return payload
 
     def abort(self, namespace: str, generation: str) -> None:
+        self.writing.discard(generation)
         active = self.active(namespace)
         if not active or active["generation"] != generation:
             shutil.rmtree(self.home(namespace) / generation, ignore_errors=True)
@@ -135,7 +146,7 @@ class VectorIndex:
     def vacuum(self, namespace: str) -> None:
         active = self.active(namespace)
         for d in self.home(namespace).glob("generation-*"):
-            if (not active or d.name != active["generation"]) and (namespace, d.name) not in self.readers:
+            if (not active or d.name != active["generation"]) and (namespace, d.name) not in self.readers and d.name not in self.writing:
                 shutil.rmtree(d, ignore_errors=True)
 
     def delete(self, namespace: str) -> bool:
@@ -179,7 +190,7 @@ def synchronize(index: VectorIndex, namespace: str, chunks: DataFrame, provider:
             generation = index.begin(namespace)
             try:
                 rows.write.parquet(str(index.home(namespace) / generation))
-                index.publish(namespace, generation, identity)
+                index.publish(namespace, generation, identity, counters["total_chunks"])
             except Exception:
                 index.abort(namespace, generation)
                 raise

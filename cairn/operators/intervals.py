@@ -12,28 +12,29 @@ def running_end(intervals: DataFrame, by: list[str]) -> DataFrame:
     return intervals.withColumn("max_end", F.max("end").over(order))
 
 
-def containment_parents(intervals: DataFrame, by: list[str], key: str = "id") -> DataFrame:
-    """Adds parent: the key of the smallest interval that holds this one; null for roots.
+def containment_parents(intervals: DataFrame, by: list[str], key: str = "id", label: str | None = None) -> DataFrame:
+    """Adds parent: the key of the smallest interval that holds this one; null for roots. With a label column also `path`, the
+    labels of all intervals that hold this one, outermost first.
 
     Intervals of one file are nested or apart. In the order (start, longest first) the holder of a row is the latest row
     before it that ends no earlier, so an array of the open intervals is enough: one pass over a file's rows, which are
     gathered a file at a time.
     """
-    item = F.struct("start", (-F.col("end")).alias("neg_end"), F.col(key).alias("key"))
+    item = F.struct("start", (-F.col("end")).alias("neg_end"), F.col(key).alias("key"), (F.col(label) if label else F.lit("")).alias("label"))
     files = intervals.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = dict(intervals.dtypes)[key]
-    open_type = f"array<struct<end:bigint,key:{kind}>>"
-    out_type = f"array<struct<key:{kind},parent:{kind}>>"
+    open_type = f"array<struct<end:bigint,key:{kind},label:string>>"
+    out_type = f"array<struct<key:{kind},parent:{kind},path:array<string>>>"
     start = F.struct(F.array().cast(open_type).alias("open"), F.array().cast(out_type).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         still = F.filter(acc["open"], lambda o: (o["end"] >= -x["neg_end"]) & (o["end"] > x["start"]))
-        own = F.struct((-x["neg_end"]).cast("bigint").alias("end"), x["key"].alias("key"))
-        placed = F.struct(x["key"].alias("key"), F.try_element_at(still, F.lit(-1))["key"].alias("parent"))
+        own = F.struct((-x["neg_end"]).cast("bigint").alias("end"), x["key"].alias("key"), x["label"].alias("label"))
+        placed = F.struct(x["key"].alias("key"), F.try_element_at(still, F.lit(-1))["key"].alias("parent"), F.transform(still, lambda o: o["label"]).alias("path"))
         return F.struct(F.concat(still, F.array(own)).cast(open_type).alias("open"), F.concat(acc["out"], F.array(placed)).cast(out_type).alias("out"))
 
     placed = files.select(*by, F.inline(F.aggregate("items", start, step, lambda acc: acc["out"])))
-    return intervals.join(placed.withColumnRenamed("key", key), [*by, key])
+    return intervals.join(placed.withColumnRenamed("key", key) if label else placed.drop("path").withColumnRenamed("key", key), [*by, key])
 
 
 def crossing(intervals: DataFrame, by: list[str]) -> DataFrame:

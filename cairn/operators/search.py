@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,38 @@ def cosine_topk(vectors: DataFrame, probe: list[float], k: int) -> DataFrame:
     return best.select("vec_id", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("rank"), "score")
 
 
-def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
-    """query_id, vec_id and score of the k nearest of each query; the queries are few (checked) and go to every task."""
-    few = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).limit(most + 1)
-    if few.count() > most:
-        raise ValueError(f"more than {most} queries")
-    pairs = vectors.crossJoin(F.broadcast(few)).select("query_id", "vec_id", F.round(score_of(cosine_distance(F.col("embedding"), F.col("q"))), 6).alias("score"))
+def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 16_384, query_block: int = 1024) -> DataFrame:
+    """query_id, vec_id and score of the k nearest of each query, for any number of queries.
+
+    Vectors and queries are dealt over blocks; a task takes a block of each, multiplies their matrices and keeps k rows a
+    query. Scores are rounded to six decimals before ties go to the smaller id.
+    """
+    n, n_queries = vectors.count(), queries.count()
+    deal = lambda c, many: F.pmod(F.xxhash64(c), F.lit(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    shards, parts = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
+    rows = vectors.select(deal("vec_id", shards).alias("shard"), every(parts).alias("part"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.select(every(shards).alias("shard"), deal("vec_id", parts).alias("part"), F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def unit(values: pd.Series) -> np.ndarray:
+        m = np.array(values.tolist())
+        return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+    def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "vec_id": [], "score": []}
+        if len(q) and len(c):
+            d = 1 - unit(q["v"]) @ unit(c["v"]).T
+            d = np.where(np.abs(d) <= 1e-6, 0.0, np.where(np.abs(d - 2) <= 1e-6, 2.0, d))
+            if not ((d >= 0) & (d <= 2)).all():
+                raise ValueError("distance outside [0, 2]")
+            score, ids = np.round(1 - d / 2, 6), c["vec_id"].to_numpy()
+            for i, query in enumerate(q["query_id"]):
+                best = np.lexsort((ids, -score[i]))[:k]
+                out["query_id"] += [query] * len(best)
+                out["vec_id"] += ids[best].tolist()
+                out["score"] += score[i, best].tolist()
+        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    lists = asked.groupBy("shard", "part").cogroup(rows.groupBy("shard", "part")).applyInPandas(nearest, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
+    return lists.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")

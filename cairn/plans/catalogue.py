@@ -9,7 +9,7 @@ from cairn.functions import paths, text
 from cairn.operators import asserts, chunk, documents, embed, intervals, parse, scan, search, sync
 from cairn.plans import virtual
 from cairn.plans.virtual import FILES_SQL, LOWER_NAME, quoted
-from cairn.session import table
+from cairn.session import shared_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -52,13 +52,13 @@ def search_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {SCORE.format(a="v.embedding", b="q.embedding::DOUBLE[]")} AS score FROM embeddings v, embeddings q WHERE q.vec_id < 8
+    f"""SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {SCORE.format(a="v.embedding", b="q.embedding::DOUBLE[]")} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0
     QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {SCORE.format(a="v.embedding", b="q.embedding::DOUBLE[]")} DESC, v.vec_id) <= 10"""
 )
 def search_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest of eight stated queries."""
+    """Ten nearest of the stated queries, every hundredth row, among all rows."""
     vectors = table(spark, sf_dir, "embeddings")
-    return search.cosine_topk_batch(vectors, vectors.filter("vec_id < 8"), 10)
+    return search.cosine_topk_batch(vectors, vectors.filter("vec_id % 100 = 0"), 10)
 
 
 @query(
@@ -279,11 +279,11 @@ def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT doc_id, array_to_string(list_filter([{quoted(text.MODIFIERS)}], lambda m: list_contains(list_transform(w, lambda x: lower(x)), m)), ' ') AS modifiers
-    FROM (SELECT doc_id, list_concat(string_split(text, ' ')[1:5], CASE WHEN doc_id % 2 = 0 THEN ['STATIC', 'public', 'static', 'what'] ELSE ['Final', 'abstract'] END) AS w FROM documents)"""
+    FROM (SELECT doc_id, list_concat(string_split(text, ' '), CASE WHEN doc_id % 2 = 0 THEN ['STATIC', 'public', 'static', 'what'] ELSE ['Final', 'abstract'] END) AS w FROM documents)"""
 )
 def modifiers_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, ("STATIC", "public", "static", "what")))).otherwise(F.array(F.lit("Final"), F.lit("abstract")))
-    words = F.concat(F.slice(F.split("text", " "), 1, 5), more)
+    words = F.concat(F.split("text", " "), more)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.normalized_modifiers(words), " ").alias("modifiers"))
 
 
@@ -310,14 +310,14 @@ def inventory_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested intervals over each text: the whole, its thirds, and every line of the first two thirds."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n")).filter("n >= 90")
-    made = "array(struct(0L as id, 0L as start, n as end), struct(1L as id, 1L as start, n div 3 as end), struct(2L as id, n div 3 as start, 2 * (n div 3) as end), struct(3L as id, n div 3 + 2 as start, n div 3 + 12 as end), struct(4L as id, n div 3 + 5 as start, n div 3 + 8 as end))"
-    return docs.select("doc_id", F.inline(F.expr(made)))
+    """Nested intervals over each text: the whole, two thirds, and two places in the second, as far as the text has room."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n"))
+    made = "array(struct(0L as id, 0L as start, n as end), struct(1L as id, 1L as start, n div 3 as end), struct(2L as id, n div 3 as start, 2 * (n div 3) as end), struct(3L as id, n div 3 + 2 as start, least(n div 3 + 12, 2 * (n div 3)) as end), struct(4L as id, n div 3 + 5 as start, least(n div 3 + 8, 2 * (n div 3)) as end))"
+    return docs.select("doc_id", F.inline(F.expr(made))).filter("start < end")
 
 
-INTERVALS_SQL = """i AS (SELECT doc_id, unnest([0, 1, 2, 3, 4])::BIGINT AS id, unnest([0, 1, n // 3, n // 3 + 2, n // 3 + 5])::BIGINT AS start, unnest([n, n // 3, 2 * (n // 3), n // 3 + 12, n // 3 + 8])::BIGINT AS "end"
-    FROM (SELECT doc_id, strlen(text) AS n FROM documents) WHERE n >= 90)"""
+INTERVALS_SQL = """i AS (SELECT * FROM (SELECT doc_id, unnest([0, 1, 2, 3, 4])::BIGINT AS id, unnest([0, 1, n // 3, n // 3 + 2, n // 3 + 5])::BIGINT AS start, unnest([n, n // 3, 2 * (n // 3), least(n // 3 + 12, 2 * (n // 3)), least(n // 3 + 8, 2 * (n // 3))])::BIGINT AS "end"
+    FROM (SELECT doc_id, strlen(text) AS n FROM documents)) WHERE start < "end")"""
 
 
 @query(
@@ -343,10 +343,8 @@ def unsafe_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {INTERVALS_SQL} SELECT doc_id, a AS start, b AS "end" FROM (
-      SELECT doc_id, 0 AS a, 1 AS b FROM i WHERE id = 1 UNION ALL
-      SELECT x.doc_id, x."end", y.start FROM i x JOIN i y USING (doc_id) WHERE x.id = 1 AND y.id = 2 UNION ALL
-      SELECT x.doc_id, x."end", y."end" FROM i x JOIN i y USING (doc_id) WHERE x.id = 2 AND y.id = 0) WHERE b > a"""
+    f"""WITH {INTERVALS_SQL}, e AS (SELECT doc_id, start, "end" FROM i WHERE id IN (1, 2) UNION ALL SELECT doc_id, 0, 0 FROM i WHERE id = 0 UNION ALL SELECT doc_id, "end", "end" FROM i WHERE id = 0)
+    SELECT doc_id, a AS start, b AS "end" FROM (SELECT doc_id, lag("end") OVER (PARTITION BY doc_id ORDER BY start, "end") AS a, start AS b FROM e) WHERE b > a"""
 )
 def residual_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What intervals 1 and 2 leave of the whole text."""
@@ -450,13 +448,52 @@ def parse_imports_calls_python(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT doc_id, unnest(['class', 'interface']) AS kind, unnest(['K' || doc_id, 'I']) AS name, CAST(unnest([11 + {LEN}, 57 + 2 * {LEN}]) AS BIGINT) AS start, CAST(unnest([84 + 2 * {LEN}, 82 + 2 * {LEN}]) AS BIGINT) AS "end",
-    unnest([NULL, 'K' || doc_id]) AS parent_name FROM documents"""
+    f"""SELECT doc_id, unnest(['class', 'interface', 'method']) AS kind, unnest(['K' || doc_id, 'I', 'f']) AS name, CAST(unnest([11 + {LEN}, 57 + 2 * {LEN}, 71 + 2 * {LEN}]) AS BIGINT) AS start,
+    CAST(unnest([84 + 2 * {LEN}, 82 + 2 * {LEN}, 80 + 2 * {LEN}]) AS BIGINT) AS "end", unnest([NULL, 'K' || doc_id, 'I']) AS parent_name FROM documents"""
 )
 def parse_declarations_java(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id").cast("string")
     source = F.concat(F.lit("package p"), d, F.lit(";\nclass K"), d, F.lit(' {\n  String s = "} {"; // }\n  /* { */\n interface I { void f(); }\n}\n'))
-    return parse.declarations(table(spark, sf_dir, "documents").select("doc_id", source.alias("content")), ["doc_id"])
+    return parse.declarations(table(spark, sf_dir, "documents").select("doc_id", source.alias("content")), ["doc_id"]).drop("path")
+
+
+def templated(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """A source for each document, with its id at every mark #."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace(F.lit(source), F.lit("#"), F.col("doc_id").cast("string")).alias("content"))
+
+
+JAVA = "import java.util.List;\nimport static a.b#.*;\npublic class K# {\n  K#() { super(); }\n  @Override int m(int a) throws E { if (a > 0) { x.go#(); } return g#(h(a)); }\n}\n"
+ECMASCRIPT = 'import { a } from "m#";\nimport "side";\nexport class C# {\n  constructor(x) { f#(x); }\n  async go() { if (a) { a(); } }\n}\nconst k# = (x) => { return q(x); };\nfunction z() { }\n'
+
+
+@query("SELECT doc_id, unnest(['class', 'constructor', 'method']) AS kind, unnest(['K' || doc_id, 'K' || doc_id, 'm']) AS name, unnest([NULL, 'K' || doc_id, 'K' || doc_id]) AS parent_name FROM documents")
+def parse_members_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.declarations(templated(spark, sf_dir, JAVA), ["doc_id"]).select("doc_id", "kind", "name", "parent_name")
+
+
+@query("SELECT doc_id, unnest(['java.util.List', 'a.b' || doc_id]) AS module, unnest([false, true]) AS is_wildcard FROM documents")
+def parse_imports_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.imports_of(templated(spark, sf_dir, JAVA), ["doc_id"]).select("doc_id", "module", "is_wildcard")
+
+
+@query("SELECT doc_id, 'K' || doc_id || '.m' AS caller, unnest(['go' || doc_id, 'g' || doc_id, 'h']) AS callee FROM documents")
+def parse_calls_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.calls_of(templated(spark, sf_dir, JAVA), ["doc_id"]).select("doc_id", "caller", "callee")
+
+
+@query("SELECT doc_id, unnest(['class', 'constructor', 'method', 'function', 'function']) AS kind, unnest(['C' || doc_id, 'constructor', 'go', 'k' || doc_id, 'z']) AS name, unnest([NULL, 'C' || doc_id, 'C' || doc_id, NULL, NULL]) AS parent_name FROM documents")
+def parse_members_ecmascript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.declarations(templated(spark, sf_dir, ECMASCRIPT), ["doc_id"]).select("doc_id", "kind", "name", "parent_name")
+
+
+@query("SELECT doc_id, unnest(['m' || doc_id, 'side']) AS module FROM documents")
+def parse_imports_ecmascript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.imports_of(templated(spark, sf_dir, ECMASCRIPT), ["doc_id"]).select("doc_id", "module")
+
+
+@query("SELECT doc_id, unnest(['C' || doc_id || '.constructor', 'C' || doc_id || '.go', 'k' || doc_id]) AS caller, unnest(['f' || doc_id, 'a', 'q']) AS callee FROM documents")
+def parse_calls_ecmascript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.calls_of(templated(spark, sf_dir, ECMASCRIPT), ["doc_id"]).select("doc_id", "caller", "callee")
 
 
 # --- contract checks and publishing -------------------------------------------------------------------------------------
@@ -501,23 +538,32 @@ def assert_wrong_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asserts.wrong_chunks(chunks, files, keys).agg(F.count("*").alias("wrong"))
 
 
-@query("SELECT sha256(CAST(doc_id AS VARCHAR)) AS chunk_id, sha256(text) AS content_hash FROM documents WHERE doc_id < 200")
+@query("SELECT sha256(CAST(doc_id AS VARCHAR)) AS chunk_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 11 > 0")
 def publish_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A namespace indexed twice, the second time with fewer and edited chunks, then read by the pointer."""
-    import tempfile
+    import uuid
 
     from cairn.operators import index
 
-    store, provider = index.VectorIndex(spark, tempfile.mkdtemp(prefix="cairn-index-")), embed.HashProvider(4)
-    docs = table(spark, sf_dir, "documents").filter("doc_id < 220")
+    root = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    store, provider = index.VectorIndex(spark, f"{root}/cairn/index-{uuid.uuid4().hex}"), embed.HashProvider(4)
+    docs = table(spark, sf_dir, "documents")
     chunks = docs.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("chunk_id"), "doc_id", F.concat_ws("/", "source", "doc_id").alias("relative_path"), F.col("text").alias("content"), "text")
     edited = chunks.withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit("?"))).otherwise(F.col("content")))
     index.synchronize(store, "n", edited.withColumn("content_hash", F.sha2("content", 256)), provider)
-    index.synchronize(store, "n", chunks.filter("doc_id < 200").withColumn("content_hash", F.sha2("content", 256)), provider)
+    index.synchronize(store, "n", chunks.filter("doc_id % 11 > 0").withColumn("content_hash", F.sha2("content", 256)), provider)
     return store.read("n", store.active("n")).select("chunk_id", "content_hash")
 
 
-@query("SELECT size_bytes, CASE WHEN size_bytes < 1000 THEN size_bytes || ' B' ELSE format('{:.1f} kB', size_bytes / 1000) END AS readable FROM (SELECT DISTINCT CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents WHERE strlen(text) < 999000)")
+SIZES_SQL = "(SELECT DISTINCT unnest([n, 1000 * n + 50, 100000 * n, 1000000 * n]) AS size_bytes FROM (SELECT CAST(strlen(text) AS BIGINT) AS n FROM documents))"
+
+
+@query(
+    f"""SELECT size_bytes, CASE WHEN size_bytes < 1000 THEN size_bytes || ' B' WHEN size_bytes < 1000000 THEN format('{{:.1f}} kB', size_bytes / 1000) WHEN size_bytes < 1000000000 THEN format('{{:.1f}} MB', size_bytes / 1000000)
+    ELSE format('{{:.1f}} GB', size_bytes / 1000000000) END AS readable FROM {SIZES_SQL}"""
+)
 def readable_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "documents").select(F.octet_length("text").cast("bigint").alias("size_bytes")).filter("size_bytes < 999000").distinct()
+    """Sizes of all texts and some multiples, so that each unit occurs."""
+    n = F.octet_length("text").cast("bigint")
+    sizes = table(spark, sf_dir, "documents").select(F.explode(F.array(n, 1000 * n + 50, 100000 * n, 1000000 * n)).alias("size_bytes")).distinct()
     return sizes.select("size_bytes", text.readable_size(F.col("size_bytes")).alias("readable"))

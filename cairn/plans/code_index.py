@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.text import byte_slice, is_blank
-from cairn.operators import chunk, documents, index, parse, scan
+from cairn.operators import asserts, chunk, documents, index, parse, scan
 from cairn.operators.embed import Provider
 from cairn.operators.intervals import containment_parents, residual_gaps
 from cairn.session import materialize
@@ -55,8 +55,8 @@ def parse_inventory(files: DataFrame) -> DataFrame:
     )
     braces = code.filter(F.col("language").isin("java", "javascript", "typescript")).withColumn("valid", F.is_valid_utf8(F.col("content").cast("string")))
     found = parse.declarations(braces.filter("valid").select(*FILE, F.col("content").cast("string").alias("content")), FILE)
-    qualified = F.concat_ws(".", "parent_name", "name")
-    item = F.struct("kind", "name", qualified.alias("qualified_name"), F.col("parent_name").alias("parent_qualified_name"), "start", "end")
+    above = F.when(F.size("path") > 0, F.array_join("path", "."))
+    item = F.struct("kind", "name", F.concat_ws(".", above, "name").alias("qualified_name"), above.alias("parent_qualified_name"), "start", "end")
     lists = found.groupBy(*FILE).agg(F.array_sort(F.collect_list(item)).cast(SYMBOL).alias("symbols"))
     others = braces.join(lists, FILE, "left").select(
         *FILE, "language", F.when(F.col("valid"), "success").otherwise("failed").alias("status"), F.sha2("content", 256).alias("source_sha256"), F.coalesce("symbols", F.array().cast(SYMBOL)).alias("symbols")
@@ -69,10 +69,10 @@ def parse_inventory(files: DataFrame) -> DataFrame:
 def candidates(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Ranges to chunk, apart from each other: leaf symbols, what is left of their parents, what is left of a file.
 
-    files: namespace, relative_path, content. Gaps of white space alone are dropped. Only files whose parse succeeded and
-    whose bytes are those that were parsed take part.
+    files: namespace, relative_path, content. Gaps of white space alone are dropped. Only files whose parse succeeded, at least
+    up to a broken statement, and whose bytes are those that were parsed take part.
     """
-    same = files.withColumn("sha", F.sha2("content", 256)).join(parsed.filter("status = 'success'").select(*FILE, "source_sha256", "symbols"), FILE)
+    same = files.withColumn("sha", F.sha2("content", 256)).join(parsed.filter("status in ('success', 'partial')").select(*FILE, "source_sha256", "symbols"), FILE)
     same = same.filter("sha = source_sha256").select(*FILE, "content", F.octet_length("content").cast("bigint").alias("n"), "symbols")
     symbols = same.select(*FILE, F.posexplode("symbols").alias("id", "s")).select(*FILE, "id", "s.*")
     nested = containment_parents(symbols, FILE)
@@ -102,9 +102,44 @@ def chunk_inventory(files: DataFrame, parsed: DataFrame, target: int = chunk.TAR
     return chunk.chunk_rows(rows, text, FILE).join(parsed.select(*FILE, "language"), FILE)
 
 
+def ordered_chunks(chunks: DataFrame) -> DataFrame:
+    """The total order of chunks: file, range, kind, symbol, fragment, id."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return chunks.orderBy(*FILE, "start", "end", "kind", text("symbol_kind"), text("qualified_name"), "fragment_index", "chunk_id")
+
+
+def chunk_statuses(parsed: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A row for each parsed file: namespace, relative_path, status, chunks.
+
+    failed: it was not parsed, or its bytes changed since; skipped: no parser, or nothing but white space; else that of the parse.
+    """
+    made = chunks.groupBy(*FILE).agg(F.count("*").alias("chunks"))
+    now = files.select(*FILE, F.sha2("content", 256).alias("now"))
+    rows = parsed.select(*FILE, "status", "source_sha256").join(now, FILE, "left").join(made, FILE, "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    stale = ~F.col("now").eqNullSafe(F.col("source_sha256"))
+    status = F.when((F.col("status") == "failed") | stale, "failed").when((F.col("status") == "skipped") | (F.col("chunks") == 0), "skipped").otherwise(F.col("status"))
+    return rows.select(*FILE, status.alias("status"), "chunks")
+
+
+def chunk_counters(statuses: DataFrame) -> DataFrame:
+    """One row: files by status and all chunks."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_files")
+    return statuses.agg(F.count("*").alias("total_files"), n("success"), n("partial"), n("failed"), n("skipped"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("total_chunks"))
+
+
+def checked_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """The chunks, after the contract's checks: own ids, safe paths, ranges apart, contents as in the files."""
+    asserts.require_none(asserts.repeated(chunks, ["chunk_id"]), "chunk ids are unique")
+    asserts.require_none(asserts.unsafe_paths(chunks), "paths are safe")
+    asserts.require_none(asserts.overlapping(chunks.select(*FILE, "start", "end"), FILE), "ranges don't overlap")
+    text = files.select(*FILE, F.col("content").cast("string").alias("content"))
+    asserts.require_none(asserts.wrong_chunks(chunks, text, FILE), "chunks are slices of their files")
+    return chunks
+
+
 def index_repository(spark: SparkSession, path: str, namespace: str, store: index.VectorIndex, provider: Provider) -> dict:
     """Bring a namespace's index to the state of a directory; returns the counters of the synchronisation."""
     files = materialize(scan_repository(spark, path, namespace).files, "files")
-    chunks = materialize(chunk_inventory(files, materialize(parse_inventory(files), "parsed")), "chunks")
+    chunks = checked_chunks(materialize(chunk_inventory(files, materialize(parse_inventory(files), "parsed")), "chunks"), files)
     text = documents.embedding_document(F.col("kind"), F.col("language"), F.col("parent_qualified_name"), F.col("qualified_name"), F.col("relative_path"), F.col("symbol_kind"), F.col("content"))
     return index.synchronize(store, namespace, chunks.withColumn("text", text), provider, documents.VERSION)

@@ -71,6 +71,8 @@ class RepositoryFilesReader(DataSourceReader):
         self.namespace = options.get("namespace") or self.root
         self.most = int(options.get("maxFileBytes", 1_000_000))
         self.per_part = int(options.get("filesPerPartition", 512))
+        if self.most <= 0 or self.per_part <= 0:
+            raise ValueError("maxFileBytes and filesPerPartition must be positive")
         if not os.path.isdir(self.root):
             raise FileNotFoundError(self.root)
 
@@ -104,6 +106,6 @@ class RepositoryFiles(DataSource):
 def repository_files(spark: SparkSession, path: str, namespace: str | None = None, **options):
     spark.dataSource.register(RepositoryFiles)
     reader = spark.read.format("repo_files").option("path", path)
-    for k, v in ({"namespace": namespace} if namespace else {} | options).items():
+    for k, v in ({**options, **({"namespace": namespace} if namespace else {})}).items():
         reader = reader.option(k, v)
     return reader.load()

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
+from cairn.functions.text import readable_size
 from cairn.operators import scan
+from cairn.sources.files import repository_files
 from cairn.sources.files import read_inside, repository_files, walk
 
 
@@ -50,8 +52,8 @@ def test_language_and_category(spark, path, language, category):
         (b"caf\xe9 au lait", False), (b"\xef\xbb\xbfabc\xc3", True), (b"\xe9" + b"\x02" * 9, True), ("‍‍a".encode(), False),
     ],
 )
-def test_binary(sample, binary):
-    assert scan.binary_bytes(sample) is binary
+def test_binary(spark, sample, binary):
+    assert spark.createDataFrame([(bytearray(sample),)], "s binary").select(scan.is_binary(F.col("s"))).first()[0] is binary
 
 
 @pytest.mark.parametrize(
@@ -96,3 +98,17 @@ def test_counters(spark):
     rows = [("n", "a.py", 1), ("n", "b.png", 1), ("n", "yarn.lock", 1), ("n", "x.pem", 1), ("n", "dist/z.py", 1), ("n", "m.min.js", 1)]
     files = spark.createDataFrame(rows, "namespace string, relative_path string, size_bytes long")
     assert tuple(scan.scan_counters(scan.classify_files(files)).first()) == ("n", 5, 1, 4)
+
+
+@pytest.mark.parametrize("n, text", [(999, "999 B"), (1250, "1.2 kB"), (1450, "1.4 kB"), (1150, "1.1 kB"), (2_500_000, "2.5 MB"), (1_234_500_000_000, "1234.5 GB")])
+def test_sizes(spark, n, text):
+    assert spark.range(1).select(readable_size(F.lit(n).cast("long"))).first()[0] == text
+
+
+def test_limit_counts_with_a_namespace(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x" * 2000)
+    (row,) = repository_files(spark, str(tmp_path), "n", maxFileBytes=100).collect()
+    assert (row["namespace"], row["outcome"], row["content"]) == ("n", "file", None)
+    (tmp_path / "a.py").write_text("x" * 1_500_000)
+    (row,) = repository_files(spark, str(tmp_path), "n", maxFileBytes=2_000_000).collect()
+    assert len(row["content"]) == 1_500_000
