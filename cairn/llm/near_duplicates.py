@@ -197,8 +197,74 @@ def linking_pairs(nodes: list, roots: list, bags: list[tuple[np.ndarray, np.ndar
     return out
 
 
-def links_between(open_: DataFrame, rows: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links (a, b) that join components of one cluster; open_: cluster, node, weight, root.
+def slot_counts(bags: DataFrame, most_bits: int) -> np.ndarray:
+    """How many bags hold an element of each slot (the leading bits of an element); Spark adds up, 2**most_bits numbers at most reach the driver."""
+    held = bags.agg(F.sum(F.expr("cast(length(elements) / 8 as long)"))).first()[0] or 0
+    bits = min(most_bits, max(10, int(4 * held).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for e in b.column(0).to_pylist():
+                np.add.at(n, slots_of(np.frombuffer(e, U), bits), 1)
+        for some in np.array_split(np.flatnonzero(n), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["slot", "n"])
+
+    added = bags.select("elements").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << bits, np.int32)
+    counts[added["slot"].to_numpy(np.int64)] = np.minimum(added["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
+    return counts
+
+
+def slots_of(elements: np.ndarray, bits: int) -> np.ndarray:
+    return (elements >> U(64 - bits)).astype(np.int64)
+
+
+def rare_elements(elements: np.ndarray, weights: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first elements of a bag, rarest slots first, and which of them are among its shorter beginning.
+
+    A pair at the threshold overlaps in t of the heavier bag and 2t / (1 + t) of the lighter one. What a beginning leaves
+    over is less than that, so the lighter one's shorter beginning and the heavier one's beginning share an element.
+    """
+    n = counts[slots_of(elements, len(counts).bit_length() - 1)]
+    order = np.lexsort((elements, n))
+    before = np.cumsum(weights[order]) - weights[order]
+    total = weights.sum()
+    begins = (before <= total - np.ceil(threshold * total - 1e-9)) & (n[order] > 1)
+    shorter = before <= total - np.ceil(2 * threshold / (1 + threshold) * total - 1e-9)
+    return elements[order][begins], shorter[begins]
+
+
+def kin(open_: DataFrame, bags: DataFrame, threshold: float, most_bits: int = 21) -> DataFrame:
+    """Spokes (a, b) that join all nodes of a cluster which may be linked across components: those that share a rare element.
+
+    Every node gives the first elements of its bag, rarest first; a cluster's nodes of one element form a star around the
+    least that has it in its shorter beginning. Elements of one component alone are left out. Texts that share most of
+    their words but are no near duplicates have beginnings of their own, so they fall apart here, at a cost that grows
+    with their number. The counts behind the order fill 8 MB at most; where they mix elements up, fewer nodes fall apart.
+    """
+    sent = bags.sparkSession.sparkContext.broadcast(slot_counts(bags, most_bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, found, shorter = [], [np.zeros(0, U)], [np.zeros(0, bool)]
+            for node, e, c in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                some, short = rare_elements(np.frombuffer(e, U), np.frombuffer(c, np.int32), sent.value, threshold)
+                nodes += [node] * len(some)
+                found.append(some)
+                shorter.append(short)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(shorter))], ["node", "element", "shorter"])
+
+    begins = bags.select("node", "elements", "counts").mapInArrow(run, "node binary, element long, shorter boolean")
+    marks = materialize(begins.join(open_.select("node", "cluster", "root"), "node"), "near-marks")
+    stars = marks.groupBy("cluster", "element").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(F.col("shorter"), F.col("node"))).alias("leader"))
+    stars = stars.filter("lo <> hi and leader is not null").select("cluster", "element", "leader")
+    # A sort-merge join, so that Spark can split an element that many nodes share.
+    return marks.join(stars.hint("merge"), ["cluster", "element"]).filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def links_between(open_: DataFrame, bags: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) that join components of one cluster; open_: cluster, node, weight, root; bags: at least those of open_.
 
     A cluster is cut by weight, in steps of 1 / threshold (similar bags are in one step or the next), and a step into parts
     of about `block` nodes. A task takes two parts; two parts of the same single component are left out. Each task sends
@@ -216,7 +282,6 @@ def links_between(open_: DataFrame, rows: DataFrame, threshold: float, block: in
     tasks = parts.join(other, near & ~one).select("cluster", F.struct("step", "part", "step2", "part2").alias("task"))
     seats = tasks.select("cluster", "task", F.explode(F.array_distinct(F.array(F.struct(F.col("task.step").alias("step"), F.col("task.part").alias("part")), F.struct(F.col("task.step2").alias("step"), F.col("task.part2").alias("part"))))).alias("seat"))
     seats = seats.select("cluster", "task", F.col("seat.step").alias("step"), F.col("seat.part").alias("part"))
-    bags = bags_of(dealt.select("node"), rows)
     seated = dealt.join(bags, "node").join(seats, ["cluster", "step", "part"]).select("cluster", "task.*", F.col("step").alias("own_step"), F.col("part").alias("own_part"), "node", "root", "elements", "counts")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -279,8 +344,13 @@ def roots_of(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     if spokes.limit(1).count():
         clusters = components(spokes).withColumnRenamed("root", "cluster")
         open_ = clusters.join(nodes.select("node", "weight"), "node").join(roots, "node", "left").select("cluster", "node", "weight", F.coalesce("root", "node").alias("root"))
-        more = materialize(links_between(open_, rows, threshold, block), "near-links")
-        roots = components(links.unionByName(more))
+        open_ = materialize(open_, "near-open")
+        bags = bags_of(open_.select("node"), rows)
+        spokes = materialize(kin(open_, bags, threshold), "near-kin")
+        if spokes.limit(1).count():
+            closer = components(spokes).withColumnRenamed("root", "cluster")
+            more = materialize(links_between(open_.drop("cluster").join(closer, "node"), bags, threshold, block), "near-links")
+            roots = components(links.unionByName(more))
     return roots
 
 
@@ -290,8 +360,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
     Similarity is the Jaccard similarity of the multisets of five-word shingles. Texts of equal words are one node. Nodes
     that share a band (four registers of 128: a pair at 0.8 shares none of 32 with probability 5e-8) are candidates. In
     a bucket all members are compared with its least one, which settles groups of copies at one comparison a member. Where
-    a bucket then still spans several components, its members join a cluster; clusters are compared in blocks of members of
-    like weight, which send only the links that join components. So the classes are those of all candidate pairs, and no
+    a bucket then still spans several components, its members join a cluster. Clusters fall apart into members that share one
+    of their rarest shingles, as any link must, and what is left is compared in blocks of members of like weight, which
+    send only the links that join components. So the classes are those of all candidate pairs, and no
     pair but such a link leaves a task.
 
     Null or empty text: the words of none, one class. Null doc_ids take part; a class of such rows alone has class_id null.

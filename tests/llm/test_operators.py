@@ -341,6 +341,42 @@ def test_near_duplicates_chain(spark):
     same([tuple(r) for r in got], brute_classes(rows))
 
 
+def test_rare_elements_keep_all_links():
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.integers(0, 1 << 63, 60).astype(np.uint64) * np.uint64(2))
+    bags = []
+    for _ in range(120):
+        own = rng.integers(0, 1 << 63, 8).astype(np.uint64)
+        e = np.unique(np.concatenate([rng.choice(base, rng.integers(40, 60), replace=False), own[: rng.integers(0, 8)]]))
+        bags.append((e, rng.integers(1, 4, len(e)) if rng.random() < 0.3 else np.ones(len(e), np.int64)))
+    for bits in (1, 6, 12):  # counts that mix all, some and few elements up
+        counts = np.bincount(np.concatenate([near_duplicates.slots_of(e, bits) for e, _ in bags]), minlength=1 << bits)
+        begins = [near_duplicates.rare_elements(e, w, counts, 0.8) for e, w in bags]
+        linked = 0
+        for (x, (a, sa)), (y, (b, sb)) in itertools.combinations(zip(bags, begins), 2):
+            if near_duplicates.multiset_jaccard(x, y) >= 0.8:
+                linked += 1
+                light, heavy = (a[sa], b) if x[1].sum() <= y[1].sum() else (b[sb], a)
+                assert np.intersect1d(light, heavy).size
+        assert linked > 20
+
+
+def test_alike_texts_fall_apart(spark):
+    """Texts that share three quarters of their words: a bucket holds many, none is a near duplicate but the planted pairs."""
+    def text(k):
+        words = [f"shared{i}" for i in range(300)] + [f"own{k}x{i}" for i in range(45)]
+        return " ".join(words)
+
+    rows = [(k, text(k)) for k in range(400)] + [(1000 + k, text(k) + " end") for k in range(0, 400, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(df, block=16).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    nodes = df.withColumn("node", near_duplicates.bag_node())
+    bags = near_duplicates.bags_of(nodes, nodes)
+    open_ = nodes.select(F.lit(b"c").alias("cluster"), "node", F.lit(341).cast("long").alias("weight"), F.col("node").alias("root"))
+    assert near_duplicates.kin(open_, bags, 0.8).count() == 8
+
+
 def test_bag_signature_is_unbiased():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 300).astype(np.uint64)
