@@ -198,7 +198,10 @@ def linking_pairs(nodes: list, roots: list, bags: list[tuple[np.ndarray, np.ndar
 
 
 def slot_counts(bags: DataFrame, most_bits: int) -> np.ndarray:
-    """How many bags hold an element of each slot (the leading bits of an element); Spark adds up, 2**most_bits numbers at most reach the driver."""
+    """How many bags hold an element of each slot (the leading bits of an element).
+
+    Spark adds up and packs 4,096 numbers a row; 2**most_bits numbers at most reach the driver.
+    """
     held = bags.agg(F.sum(F.expr("cast(length(elements) / 8 as long)"))).first()[0] or 0
     bits = min(most_bits, max(10, int(4 * held).bit_length()))
 
@@ -210,10 +213,16 @@ def slot_counts(bags: DataFrame, most_bits: int) -> np.ndarray:
         for some in np.array_split(np.flatnonzero(n), 16):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["slot", "n"])
 
-    added = bags.select("elements").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << bits, np.int32)
-    counts[added["slot"].to_numpy(np.int64)] = np.minimum(added["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
-    return counts
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(4096, np.int32)
+        n[pdf["slot"].to_numpy() & 4095] = np.minimum(pdf["n"].to_numpy(), np.iinfo(np.int32).max)
+        return pd.DataFrame({"page": [key[0]], "counts": [n.tobytes()]})
+
+    added = bags.select("elements").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros((max(1, (1 << bits) >> 12), 4096), np.int32)
+    for page, packed in added.groupBy(F.shiftright("slot", 12).alias("page")).applyInPandas(pack, "page long, counts binary").collect():
+        counts[page] = np.frombuffer(packed, np.int32)
+    return counts.ravel()[: 1 << bits]
 
 
 def slots_of(elements: np.ndarray, bits: int) -> np.ndarray:
@@ -235,13 +244,13 @@ def rare_elements(elements: np.ndarray, weights: np.ndarray, counts: np.ndarray,
     return elements[order][begins], shorter[begins]
 
 
-def kin(open_: DataFrame, bags: DataFrame, threshold: float, most_bits: int = 21) -> DataFrame:
+def kin(open_: DataFrame, bags: DataFrame, threshold: float, most_bits: int = 20) -> DataFrame:
     """Spokes (a, b) that join all nodes of a cluster which may be linked across components: those that share a rare element.
 
     Every node gives the first elements of its bag, rarest first; a cluster's nodes of one element form a star around the
     least that has it in its shorter beginning. Elements of one component alone are left out. Texts that share most of
     their words but are no near duplicates have beginnings of their own, so they fall apart here, at a cost that grows
-    with their number. The counts behind the order fill 8 MB at most; where they mix elements up, fewer nodes fall apart.
+    with their number. The counts behind the order fill 4 MB at most; where they mix elements up, fewer nodes fall apart.
     """
     sent = bags.sparkSession.sparkContext.broadcast(slot_counts(bags, most_bits))
 
@@ -344,13 +353,16 @@ def roots_of(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     if spokes.limit(1).count():
         clusters = components(spokes).withColumnRenamed("root", "cluster")
         open_ = clusters.join(nodes.select("node", "weight"), "node").join(roots, "node", "left").select("cluster", "node", "weight", F.coalesce("root", "node").alias("root"))
-        open_ = materialize(open_, "near-open")
+        open_ = materialize(open_.join(open_.groupBy("cluster").agg(F.count("*").alias("n")), "cluster"), "near-open")
         bags = bags_of(open_.select("node"), rows)
-        spokes = materialize(kin(open_, bags, threshold), "near-kin")
-        if spokes.limit(1).count():
-            closer = components(spokes).withColumnRenamed("root", "cluster")
-            more = materialize(links_between(open_.drop("cluster").join(closer, "node"), bags, threshold, block), "near-links")
-            roots = components(links.unionByName(more))
+        wide, open_ = open_.filter(F.col("n") > block).drop("n"), open_.filter(F.col("n") <= block).drop("n")
+        if wide.limit(1).count():
+            spokes = materialize(kin(wide, bags.join(wide.select("node"), "node", "left_semi"), threshold), "near-kin")
+            if spokes.limit(1).count():
+                closer = components(spokes).withColumnRenamed("root", "cluster")
+                open_ = open_.unionByName(wide.drop("cluster").join(closer, "node"))
+        more = materialize(links_between(open_, bags, threshold, block), "near-links")
+        roots = components(links.unionByName(more))
     return roots
 
 
@@ -360,10 +372,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
     Similarity is the Jaccard similarity of the multisets of five-word shingles. Texts of equal words are one node. Nodes
     that share a band (four registers of 128: a pair at 0.8 shares none of 32 with probability 5e-8) are candidates. In
     a bucket all members are compared with its least one, which settles groups of copies at one comparison a member. Where
-    a bucket then still spans several components, its members join a cluster. Clusters fall apart into members that share one
-    of their rarest shingles, as any link must, and what is left is compared in blocks of members of like weight, which
-    send only the links that join components. So the classes are those of all candidate pairs, and no
-    pair but such a link leaves a task.
+    a bucket then still spans several components, its members join a cluster. Clusters of more than `block` members fall
+    apart into members that share one of their rarest shingles, as any link must. Clusters are compared in blocks of
+    members of like weight, which send only the links that join components. So the classes are those of all candidate
+    pairs, and no pair but such a link leaves a task.
 
     Null or empty text: the words of none, one class. Null doc_ids take part; a class of such rows alone has class_id null.
     Repeated rows: each its own row. An empty table: no rows.
