@@ -139,6 +139,20 @@ def bags_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return materialize(chosen.mapInArrow(bag, "node binary, elements binary, counts binary"), "near-bags")
 
 
+def joined_apart(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", least: int = 1024) -> DataFrame:
+    """`many` (with a column node) joined to `few`, a written table with one row a key and n, the rows of `many` that have it.
+
+    Rows of a hot key are dealt over several tasks of about equal shares, and the key's row goes to each. Hot is a key with
+    over `least` rows and over a 2**14th of all, so no more than 2**14 keys are hot and broadcast, at any size.
+    """
+    share = max(least, (few.agg(F.sum("n")).first()[0] or 0) >> 14)
+    tasks = F.ceil(F.col("n") / share).cast("int")
+    hot = few.filter(F.col("n") > share).select(*keys, tasks.alias("__tasks"))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("__task", F.pmod(F.xxhash64("node"), F.coalesce("__tasks", F.lit(1))).cast("int")).drop("__tasks")
+    every = few.withColumn("__task", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > share, tasks).otherwise(1) - 1)))
+    return dealt.join(every.hint("merge"), [*keys, "__task"], how).drop("__task")
+
+
 def similar_pairs(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity is the threshold or more; exact, from the texts.
 
@@ -266,10 +280,9 @@ def kin(open_: DataFrame, bags: DataFrame, threshold: float, most_bits: int = 20
 
     begins = bags.select("node", "elements", "counts").mapInArrow(run, "node binary, element long, shorter boolean")
     marks = materialize(begins.join(open_.select("node", "cluster", "root"), "node"), "near-marks")
-    stars = marks.groupBy("cluster", "element").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(F.col("shorter"), F.col("node"))).alias("leader"))
-    stars = stars.filter("lo <> hi and leader is not null").select("cluster", "element", "leader")
-    # A sort-merge join, so that Spark can split an element that many nodes share.
-    return marks.join(stars.hint("merge"), ["cluster", "element"]).filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    stars = marks.groupBy("cluster", "element").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(F.col("shorter"), F.col("node"))).alias("leader"), F.count("*").alias("n"))
+    stars = materialize(stars.filter("lo <> hi and leader is not null").select("cluster", "element", "leader", "n"), "near-stars")
+    return joined_apart(marks, stars, ["cluster", "element"]).filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def links_between(open_: DataFrame, bags: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -340,16 +353,16 @@ def roots_of(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     """node and root, the least node of its class, for the nodes that have a link; rows: doc_id, text, node."""
     nodes = materialize(signed(rows), "near-nodes")
     banded = nodes.select(F.explode("bands").alias("bucket"), "node")
-    leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    # A sort-merge join, so that Spark can split a bucket that many nodes share.
-    shared = materialize(banded.join(leaders.hint("merge"), "bucket"), "near-buckets")
+    leaders = materialize(banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "near-leaders")
+    shared = materialize(joined_apart(banded, leaders, ["bucket"]), "near-buckets")
     stars = shared.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(similar_pairs(materialize(stars, "near-stars"), rows, threshold).select("a", "b"), "near-links")
     roots = components(links)
 
     placed = shared.filter("n > 2").join(roots, "node", "left").select("bucket", "leader", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    spokes = materialize(placed.join(split.hint("merge"), "bucket", "left_semi").filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-spokes")
+    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    split = materialize(split.select("bucket", "n"), "near-split")
+    spokes = materialize(joined_apart(placed, split, ["bucket"], "left_semi").filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-spokes")
     if spokes.limit(1).count():
         clusters = components(spokes).withColumnRenamed("root", "cluster")
         open_ = clusters.join(nodes.select("node", "weight"), "node").join(roots, "node", "left").select("cluster", "node", "weight", F.coalesce("root", "node").alias("root"))

@@ -377,6 +377,16 @@ def test_alike_texts_fall_apart(spark):
     assert near_duplicates.kin(open_, bags, 0.8).count() == 8
 
 
+def test_joined_apart_equals_the_join(spark):
+    many = spark.range(3000).selectExpr("id", "case when id % 3 > 0 then id % 200 else -1 end as k", "cast(cast(id as string) as binary) as node")
+    few = many.groupBy("k").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 2 and k % 5 <> 0")
+    for how in ("inner", "left_semi"):
+        want = many.join(few, "k", how).collect()
+        for least in (1, 7, 5000):
+            assert Counter(near_duplicates.joined_apart(many, few, ["k"], how, least).collect()) == Counter(want)
+    assert near_duplicates.joined_apart(many, few.limit(0), ["k"]).count() == 0
+
+
 def test_bag_signature_is_unbiased():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 300).astype(np.uint64)
