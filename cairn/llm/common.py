@@ -28,11 +28,11 @@ def small_side(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def among(keys: DataFrame, most_bits: int = 1 << 26):
-    """A test that is true for every hash in keys (one long column) and for few others: a bitmap of most_bits bits at most.
+def key_bitmap(keys: DataFrame, most_bits: int = 1 << 26):
+    """A test of NumPy arrays of hashes that is true for every hash in keys (one long column) and for few others.
 
-    It only spares rows a shuffle; joins decide. The size goes by the count of keys, up to 8 MB, full use of which takes
-    four million keys; a fuller bitmap spares less.
+    It only spares rows a shuffle; joins and sums decide. The bitmap's size goes by the count of keys, up to 8 MB, full use of
+    which takes four million keys; a fuller bitmap spares less.
     """
     n = keys.count()
     bits = min(most_bits, max(1 << 10, 1 << int(16 * max(n, 1) - 1).bit_length()))
@@ -42,9 +42,19 @@ def among(keys: DataFrame, most_bits: int = 1 << 26):
     bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     sent = keys.sparkSession.sparkContext.broadcast(bitmap)
 
+    def test(hashes: np.ndarray) -> np.ndarray:
+        s = np.mod(hashes, bits)
+        return (sent.value[s >> 6].view(np.uint64) >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    return test
+
+
+def among(keys: DataFrame, most_bits: int = 1 << 26):
+    """The test of `key_bitmap` for columns."""
+    known = key_bitmap(keys, most_bits)
+
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
-        s = np.mod(h.to_numpy(np.int64), bits)
-        return pd.Series((sent.value[s >> 6].view(np.uint64) >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1)
+        return pd.Series(known(h.to_numpy(np.int64)))
 
     return test

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, fingerprints, licenses, mixing, near_duplicates, quality, repeats, secret_scan, sharding, topk
+from cairn.llm import bpe, fingerprints, licenses, mixing, near_duplicates, passages, quality, repeats, secret_scan, sharding, topk
 from cairn.session import table
 
 QUERIES: dict = {}
@@ -95,6 +95,23 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents")).drop("curve")
 
 
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT row, COALESCE(doc_id, 9223372036854775807) AS doc, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i, words FROM d),
+s AS (SELECT row, doc, word, i, CASE WHEN i + 49 <= len(words) THEN sha256(array_to_string(words[i : i + 49], ' ')) END AS name FROM w),
+f AS (SELECT row, word, i, CASE WHEN name IS NOT NULL AND doc > min(doc) OVER (PARTITION BY name) THEN 1 ELSE 0 END AS late FROM s),
+c AS (SELECT row, word, i, max(late) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT row, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY row)
+SELECT doc_id, CAST(COALESCE(n_words, 0) AS BIGINT) AS n_words, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (row)
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
