@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, fingerprints, licenses, mixing, near_duplicates, passages, quality, repeats, secret_scan, sharding, topk
+from cairn.llm import bpe, collocations, fingerprints, licenses, mixing, near_duplicates, passages, quality, repeats, secret_scan, sharding, topk
 from cairn.session import table
 
 QUERIES: dict = {}
@@ -95,6 +95,32 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents")).drop("curve")
 
 
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH t AS (SELECT COALESCE(lang, 'und') AS lang, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k FROM o, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY lang, phrase, k),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 30),
+s AS (SELECT lang, phrase, k, f, w, unnest(range(1, k)) AS cut FROM c),
+x AS (SELECT s.lang, s.phrase, s.f AS a, l.f AS l, r.f AS r, CAST(2000000 AS HUGEINT) * s.f // (l.f + r.f) AS score, cut FROM s
+      JOIN f l ON l.lang = s.lang AND l.phrase = array_to_string(s.w[1 : cut], ' ') JOIN f r ON r.lang = s.lang AND r.phrase = array_to_string(s.w[cut + 1 : s.k], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT c.lang, array_to_string(c.w[j : j + z - 1], ' ') AS phrase, max(c.f) AS most FROM c, (SELECT unnest([2, 3]) AS z), (SELECT unnest([1, 2, 3]) AS j)
+      WHERE z < c.k AND j + z - 1 <= c.k GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE i.most IS NULL OR 100 * CAST(i.most AS HUGEINT) < 80 * CAST(b.a AS HUGEINT)),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM k)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_passages(table(spark, sf_dir, "documents"))
