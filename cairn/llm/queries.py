@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, collocations, fingerprints, licenses, mixing, near_duplicates, passages, quality, repeats, secret_scan, sharding, topk
+from cairn.llm import bpe, collocations, fingerprints, licenses, mixing, near_duplicates, passages, quality, repeats, secret_scan, sharding, spelling, topk
 from cairn.session import table
 
 QUERIES: dict = {}
@@ -138,6 +138,11 @@ FROM d LEFT JOIN k USING (row)
 """
 
 
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
