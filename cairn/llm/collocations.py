@@ -98,18 +98,18 @@ def grouped(node: np.ndarray, word: np.ndarray, block: np.ndarray, bits: np.ndar
     return code[head] // width, code[head] % width, count, phrase, block, bits
 
 
-def name_of(lang: str, phrase: bytes) -> int:
-    """Spark's xxhash64(lang, phrase)."""
+def names_of(lang: str, words: list[bytes]) -> np.ndarray:
+    """Spark's xxhash64(lang, word) of each word."""
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(phrase, xxh64_intdigest(lang.encode(), 42))
-
+    seed = xxh64_intdigest(lang.encode(), 42)
+    return np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
-def known_names(lang: str, phrases: list[bytes], known) -> np.ndarray:
-    from xxhash import xxh64_intdigest
 
-    seed = xxh64_intdigest(lang.encode(), 42)
-    return known(np.fromiter((xxh64_intdigest(p, seed) for p in phrases), np.uint64, len(phrases)).view(np.int64)) if phrases else np.zeros(0, bool)
+def pair_names(phrase: Column, lang: Column | str = "lang") -> Column:
+    """Of a pair of words, the hash of the first XOR half the hash of the second; see `phrase_counts`."""
+    first, second = (F.xxhash64(lang, F.split(phrase, " ")[k]) for k in (0, 1))
+    return first.bitwiseXOR(F.shiftrightunsigned(second, 1))
 
 
 def phrase_counts(lang: str, words: list[bytes], carried: int, known_words, known_pairs=None) -> tuple[list[bytes], np.ndarray]:
@@ -117,7 +117,8 @@ def phrase_counts(lang: str, words: list[bytes], carried: int, known_words, know
     number: dict[bytes, int] = {}
     stream = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
     lexicon = list(number)
-    good = known_names(lang, lexicon, known_words)
+    names = names_of(lang, lexicon)
+    good = known_words(names.view(np.int64)) if lexicon else np.zeros(0, bool)
     if END in number:
         good[number[END]] = False
     maps = Bitmaps(np.where(good[stream], stream, -1) if len(stream) else stream)
@@ -126,18 +127,20 @@ def phrase_counts(lang: str, words: list[bytes], carried: int, known_words, know
     if not parts:
         return [], np.zeros(0, np.int64)
     first, second, count, phrase, block, bits = grouped(*(np.concatenate(c) for c in zip(*parts, strict=True)), width, carried)
-    names = [lexicon[a] + b" " + lexicon[b] for a, b in zip(first.tolist(), second.tolist(), strict=True)]
     if known_pairs is None:
-        return names, count
-    sound = known_names(lang, names, known_pairs)
-    pairs = (first * width + second)[sound]  # in order, as phrases come ordered by their code
+        return [lexicon[a] + b" " + lexicon[b] for a, b in zip(first.tolist(), second.tolist(), strict=True)], count
+    sound = known_pairs((names[first] ^ (names[second] >> np.uint64(1))).view(np.int64))
+    number_of_pair = np.cumsum(sound) - 1
+    first, second = first[sound], second[sound]
+    names_of_pairs = [lexicon[a] + b" " + lexicon[b] for a, b in zip(first.tolist(), second.tolist(), strict=True)]
+    pairs = first * width + second  # in order, as phrases come ordered by their code
     out: list[bytes] = []
     counts = []
     keep = np.flatnonzero(sound[phrase])
     step = max(AT_ONCE // 8, 1)
     for a in range(0, len(keep), step):  # depth first: one group of pairs down to its longest phrases, then the next
         some = keep[a : a + step]
-        node, last, text, blk, x = phrase[some], second, names, block[some], bits[some]
+        node, last, text, blk, x = number_of_pair[phrase[some]], second, names_of_pairs, block[some], bits[some]
         for _ in range(LONGEST - 2):
             kids = [k for k in maps.extended(node, blk, x) if len(k[0])]
             if not kids:
@@ -223,16 +226,17 @@ def mine_phrases(docs: DataFrame, least: int = 30, share: int = 80, top: int | N
     words = every.filter(often)
     known_words = key_bitmap(words.select(name))
     pairs = materialize(counted(rows, lambda *part: phrase_counts(*part, known_words)).filter(often), "phrase-pairs")
-    known_pairs = key_bitmap(pairs.select(name))
+    known_pairs = key_bitmap(pairs.select(pair_names(F.col("phrase"))))
     longer = materialize(counted(rows, lambda *part: phrase_counts(*part, known_words, known_pairs)).filter(often), "phrase-longer")
     phrases = pairs.unionByName(longer)
     best = scored(phrases, words.unionByName(phrases)).join(inner_phrases(longer), ["lang", "phrase"], "left")
     kept = best.filter(~F.coalesce(100 * exact("most") >= share * exact("f"), F.lit(False)))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"), "phrase")
     langs = totals.count()
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long"))
+    ranked = kept.withColumn("rank", F.row_number().over(order))
     if top is not None:
-        ranked = ranked.filter(F.col("rank") <= top)
+        ranked = ranked.filter(F.col("rank") <= top)  # Spark keeps the best `top` of each task before the shuffle
+    ranked = ranked.withColumn("rank", F.col("rank").cast("long"))
     out = materialize(ranked.join(small_side(totals, langs), "lang").select("lang", "rank", "phrase", F.col("f").alias("a"), "l", "r", "n", "score"), "phrase-ranked")
     discard(every, pairs, longer)
     return out
