@@ -15,7 +15,7 @@ from cairn.session import discard, materialize
 
 Q = 3
 #: Words of one posting list that a task merges at once; longer lists are dealt by their words' one-deletion forms.
-POSTINGS = 256
+POSTINGS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -92,12 +92,14 @@ def near_words(words: DataFrame, most: int = POSTINGS) -> DataFrame:
     index = materialize(postings(words), "spelling-index")
     sizes = materialize(index.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"), "spelling-lists")
     met = materialize(joined_apart(index, sizes, key), "spelling-postings")
-    short = met.filter(F.col("n") <= most).groupBy(*key).agg(F.collect_list("node").alias("words"))
+    # As many tasks as the session sets: lists are small in bytes and dear to merge, so Spark's coalescing by bytes would put them in one task.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = met.filter(F.col("n") <= most).repartition(parts, *key).groupBy(*key).agg(F.collect_list("node").alias("words"))
     # Near words share a form that lacks one letter, or one is the other's: such lists hold a word or two for each letter and place.
     long = met.filter(F.col("n") > most).select("node").distinct()
     without = lambda i: F.concat(F.substr("node", F.lit(1), i), F.substr("node", i + 2))
     forms = F.array_distinct(F.concat(F.array("node"), F.transform(F.sequence(F.lit(0), F.length("node") - 1), without)))
-    dealt = long.select("node", F.explode(forms).alias("form")).groupBy("form").agg(F.collect_list("node").alias("words")).filter(F.size("words") > 1)
+    dealt = long.select("node", F.explode(forms).alias("form")).repartition(parts, "form").groupBy("form").agg(F.collect_list("node").alias("words")).filter(F.size("words") > 1)
     pairs = pairs_of(short).unionByName(pairs_of(dealt)).distinct()
     out = materialize(pairs, "spelling-pairs")
     discard(index, met)
