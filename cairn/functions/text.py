@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,22 +36,6 @@ def chunk_id(tag: str, namespace: Column, path: Column, kind: Column, symbol_kin
     return content_hash(json_array(*text, *[c.cast("string") for c in (start, end, index)]))
 
 
-def line_starts(text: Column) -> Column:
-    """Byte offsets at which lines start: 0, and one past every LF. In batches: a running sum within a row has no built-in of linear cost."""
-
-    @F.pandas_udf("array<int>")
-    def starts(data: pd.Series) -> pd.Series:
-        return data.map(lambda d: None if d is None else np.concatenate([[0], np.flatnonzero(np.frombuffer(d, np.uint8) == 10) + 1]))
-
-    return starts(raw(text))
-
-
-def locate(starts: Column, offset: Column) -> Column:
-    """(line from 1, byte column from 0) of an offset: the last line that starts at it or before."""
-    before = F.filter(starts, lambda s: s <= offset)
-    return F.struct(F.size(before).alias("line"), (offset - F.element_at(before, -1)).cast("int").alias("column"))
-
-
 def byte_slice(data: Column, start: Column, end: Column) -> Column:
     return F.substr(data.cast("binary"), (start + 1).cast("int"), (end - start).cast("int"))
 

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.text import byte_slice, chunk_id, content_hash, line_starts, locate
+from cairn.functions.text import byte_slice, chunk_id, content_hash
+from cairn.operators.lines import line_table, with_locations
 
 TARGET, MOST = 4096, 8192
 TAG = "cairn-chunk-v1"
@@ -50,16 +51,12 @@ def chunk_rows(pieces: DataFrame, files: DataFrame, keys: list[str], content: st
 
     pieces: keys (namespace, relative_path), start, end, kind, fragment_index and the symbol columns (nullable).
     """
-    starts = files.select(*keys, F.col(content).alias("__text"), line_starts(F.col(content)).alias("__starts"))
-    rows = pieces.join(starts, keys)
+    rows = pieces.join(files.select(*keys, F.col(content).alias("__text")), keys)
     data = byte_slice(F.col("__text"), F.col("start"), F.col("end"))
     symbol = [F.col(c) if c in pieces.columns else F.lit(None).cast("string") for c in ("symbol_kind", "qualified_name", "parent_qualified_name")]
     ident = chunk_id(TAG, F.col(keys[0]), F.col(keys[1]), F.col("kind"), *symbol, F.col("start"), F.col("end"), F.col("fragment_index"))
-    first, last = locate(F.col("__starts"), F.col("start")), locate(F.col("__starts"), F.col("end"))
-    return rows.select(
-        ident.alias("chunk_id"), *pieces.columns, data.cast("string").alias("content"), content_hash(data).alias("content_hash"),
-        first["line"].alias("start_line"), first["column"].alias("start_column"), last["line"].alias("end_line"), last["column"].alias("end_column"),
-    )
+    made = rows.select(ident.alias("chunk_id"), *pieces.columns, data.cast("string").alias("content"), content_hash(data).alias("content_hash"))
+    return with_locations(made, line_table(files, keys, content), keys)
 
 
 def unpaired(files: DataFrame, parsed: DataFrame, key: str = "relative_path") -> DataFrame:

@@ -12,29 +12,42 @@ def running_end(intervals: DataFrame, by: list[str]) -> DataFrame:
     return intervals.withColumn("max_end", F.max("end").over(order))
 
 
-def containment_parents(intervals: DataFrame, by: list[str], key: str = "id", label: str | None = None) -> DataFrame:
-    """Adds parent: the key of the smallest interval that holds this one; null for roots. With a label column also `path`, the
-    labels of all intervals that hold this one, outermost first.
+def ancestors(intervals: DataFrame, by: list[str], key: str, items: list[str], holds: str | None = None, nearest: bool = False) -> DataFrame:
+    """Adds above: structs of `items` of all intervals that hold this one, outermost first; with nearest, of the innermost alone.
 
-    Intervals of one file are nested or apart. In the order (start, longest first) the holder of a row is the latest row
-    before it that ends no earlier, so an array of the open intervals is enough: one pass over a file's rows, which are
-    gathered a file at a time.
+    Intervals of one file are nested or apart, and key names each. Starts and ends are put in one order, in which running sums
+    of what opens and closes give a row's depth; its holder at each level above is the last row before it that opened there.
+    Of equal ranges the one of least key holds the others. Empty ranges, and rows for which `holds` is false, hold nothing.
     """
-    item = F.struct("start", (-F.col("end")).alias("neg_end"), F.col(key).alias("key"), (F.col(label) if label else F.lit("")).alias("label"))
-    files = intervals.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = dict(intervals.dtypes)[key]
-    open_type = f"array<struct<end:bigint,key:{kind},label:string>>"
-    out_type = f"array<struct<key:{kind},parent:{kind},path:array<string>>>"
-    start = F.struct(F.array().cast(open_type).alias("open"), F.array().cast(out_type).alias("out"))
+    holding = (F.col("start") < F.col("end")) & (F.col(holds) if holds else F.lit(True))
+    opens = F.struct(F.col("start").alias("at"), F.lit(1).alias("side"), (-F.col("end")).alias("to"), holding.cast("int").alias("step"))
+    shuts = F.struct(F.col("end").alias("at"), F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("to"), F.lit(-1).alias("step"))
+    events = intervals.withColumn("__e", F.explode(F.when(holding, F.array(opens, shuts)).otherwise(F.array(opens))))
+    order = [F.col("__e.at"), F.col("__e.side"), F.col("__e.to"), F.col("__e.step").desc(), F.col(key)]
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("__depth", F.coalesce(F.sum("__e.step").over(before), F.lit(0)).cast("int")).filter("__e.side = 1")
+    lowest = F.greatest(F.lit(0), F.col("__depth") - 1) if nearest else F.lit(0)
+    asks = F.when(F.col("__depth") > 0, F.transform(F.sequence(lowest, F.greatest(F.lit(0), F.col("__depth") - 1)), lambda x: F.struct(x.alias("level"), F.lit(False).alias("own")))).otherwise(F.array().cast("array<struct<level:int,own:boolean>>"))
+    rows = rows.withColumn("__r", F.explode(F.concat(asks, F.array(F.struct(F.col("__depth").alias("level"), F.lit(True).alias("own"))))))
+    level = Window.partitionBy(*by, "__r.level").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    item = F.struct(*items)
+    rows = rows.withColumn("__held", F.last(F.when(F.col("__r.own") & (F.col("__e.step") == 1), item), ignorenulls=True).over(level))
+    listed = F.array_sort(F.collect_list(F.when(~F.col("__r.own"), F.struct(F.col("__r.level").alias("level"), F.col("__held").alias("item")))))
+    above = rows.groupBy(*by, key).agg(F.transform(listed, lambda x: x["item"]).alias("above"))
+    same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"i.{c}"))
+    on = same(key)
+    for c in by:
+        on = on & same(c)
+    return intervals.alias("i").join(above.alias("a"), on).select("i.*", "a.above")
 
-    def step(acc: Column, x: Column) -> Column:
-        still = F.filter(acc["open"], lambda o: (o["end"] >= -x["neg_end"]) & (o["end"] > x["start"]))
-        own = F.struct((-x["neg_end"]).cast("bigint").alias("end"), x["key"].alias("key"), x["label"].alias("label"))
-        placed = F.struct(x["key"].alias("key"), F.try_element_at(still, F.lit(-1))["key"].alias("parent"), F.transform(still, lambda o: o["label"]).alias("path"))
-        return F.struct(F.concat(still, F.array(own)).cast(open_type).alias("open"), F.concat(acc["out"], F.array(placed)).cast(out_type).alias("out"))
 
-    placed = files.select(*by, F.inline(F.aggregate("items", start, step, lambda acc: acc["out"])))
-    return intervals.join(placed.withColumnRenamed("key", key) if label else placed.drop("path").withColumnRenamed("key", key), [*by, key])
+def containment_parents(intervals: DataFrame, by: list[str], key: str = "id", label: str | None = None) -> DataFrame:
+    """Adds parent: the key of the smallest interval that holds this one; null for roots. With a label column also `path`, the
+    labels of all intervals that hold this one, outermost first."""
+    item = intervals.withColumn("__key", F.col(key)).withColumn("__label", F.col(label) if label else F.lit(""))
+    placed = ancestors(item, by, key, ["__key", "__label"], nearest=label is None).drop("__key", "__label")
+    out = placed.withColumn("parent", F.try_element_at("above", F.lit(-1))["__key"])
+    return (out.withColumn("path", F.transform("above", lambda a: a["__label"])) if label else out).drop("above")
 
 
 def crossing(intervals: DataFrame, by: list[str]) -> DataFrame:
@@ -59,10 +72,17 @@ def residual_gaps(children: DataFrame, parents: DataFrame, by: list[str]) -> Dat
 
 
 def unsafe(intervals: DataFrame, issues: DataFrame, by: list[str]) -> DataFrame:
-    """Intervals that an issue touches; an issue of no width counts as one byte."""
-    i = issues.select(*[F.col(c).alias(f"i_{c}") for c in by], F.col("start").alias("i_start"), F.greatest("end", F.col("start") + 1).alias("i_end"))
-    on = [F.col(c).eqNullSafe(F.col(f"i_{c}")) for c in by] + [F.col("start") < F.col("i_end"), F.col("i_start") < F.col("end")]
-    return intervals.join(i, on, "left_semi")
+    """Intervals that an issue touches; an issue of no width counts as one byte.
+
+    Issues and the ends of intervals are put in one order; the largest end of the issues that begin before an interval's
+    end, a running maximum, tells whether one reaches into it. n log n in the rows of a file, without pairs.
+    """
+    width = F.greatest(F.col("end"), F.col("start") + 1)
+    ends = issues.select(*by, F.col("start").alias("__at"), F.lit(0).alias("__side"), width.alias("__to"), F.lit(None).cast(intervals.select(F.struct("*")).schema[0].dataType).alias("__row"))
+    asks = intervals.select(*by, F.col("end").alias("__at"), F.lit(-1).alias("__side"), F.lit(None).cast("bigint").alias("__to"), F.struct("*").alias("__row"))
+    before = Window.partitionBy(*by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ends.withColumn("__to", F.col("__to").cast("bigint")).unionByName(asks).withColumn("__reach", F.max("__to").over(before))
+    return rows.filter("__row is not null and __reach > __row.start").select("__row.*")
 
 
 def first_of_each(rows: DataFrame, key: list[str], position: str) -> DataFrame:

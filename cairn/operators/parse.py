@@ -1,9 +1,4 @@
-"""Symbols, imports and calls of source files.
-
-Python goes through the standard library's parser, a file a row. Java and ECMAScript declarations are found relationally: a
-file becomes a table of tokens, a running sum gives brace depth, and a declaration is a token pattern whose block ends where
-the depth comes back.
-"""
+"""Symbols, imports and calls of Python files by the standard library's parser, a file a row, and the statuses of parsed files."""
 
 from __future__ import annotations
 
@@ -11,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOC = "start_byte int, end_byte int, start_line int, start_column int, end_line int, end_column int"
@@ -162,112 +157,3 @@ def parse_status(issues: Column, symbols: Column, imports: Column, calls: Column
 def parse_counters(parsed: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_files")
     return parsed.agg(F.count("*").alias("total_files_requested"), n("success"), n("partial"), n("failed"), n("skipped"))
-
-
-# Comments, texts and templates are one token each, so that braces in them don't count.
-TOKEN = r'//[^\n]*|/\*(?s:.*?)\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?s:(?:\\.|[^`\\])*)`|[A-Za-z_$][\w$]*|=>|[{}();=]|[^\sA-Za-z_${}();=]'
-
-
-def tokens(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """keys, pos, token, start and end (bytes) and depth (braces open before it) of every token but comments."""
-    text = F.col(content)
-    # Splitting keeps what lies between tokens too, so that running lengths are offsets.
-    pieces = F.regexp_extract_all(text, F.lit(rf"\s+|{TOKEN}"), F.lit(0))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = files.select(*keys, F.posexplode(pieces).alias("pos", "token"))
-    step = F.when(F.col("token") == "{", 1).when(F.col("token") == "}", -1).otherwise(0)
-    sized = rows.withColumn("start", F.coalesce(F.sum(F.octet_length("token")).over(before), F.lit(0)).cast("int")).withColumn("depth", F.coalesce(F.sum(step).over(before), F.lit(0)).cast("int"))
-    return sized.withColumn("end", F.col("start") + F.octet_length("token")).filter(~F.col("token").rlike(r"^(\s|//|/\*)"))
-
-
-#: Words before a parenthesis that call and declare nothing.
-CONTROL = (
-    "if", "for", "while", "switch", "catch", "synchronized", "try", "do", "else", "return", "new", "throw", "case", "function", "typeof", "await",
-    "yield", "import", "assert", "in", "of", "instanceof", "delete", "void", "super", "this", "with",
-)
-NAME = r"^[A-Za-z_$][\w$]*$"
-
-
-def annotated(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """tokens() with their neighbours, their statement, and where the block or parenthesis after them ends."""
-    order = Window.partitionBy(*keys).orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda opens, shuts: F.coalesce(F.sum(F.when(F.col("token").isin(*opens), 1).when(F.col("token").isin(*shuts), -1).otherwise(0)).over(before), F.lit(0))
-    t = tokens(files, keys, content).withColumn("parens", count("(", ")")).withColumn("statement", count((";", "{", "}"), ("",)))
-    t = t.withColumn("name", F.lead("token").over(order)).withColumn("prev", F.lag("token").over(order))
-    # A brace or parenthesis and its closing one have the same level: the depth around them.
-    t = t.withColumn("level", F.when(F.col("token") == "}", F.col("depth") - 1).otherwise(F.col("depth")))
-    t = t.withColumn("round", F.when(F.col("token") == ")", F.col("parens") - 1).otherwise(F.col("parens")))
-    # The nearest following row is the last one before it in the opposite order, a frame that grows by a row.
-    nearest = lambda cond, *what: F.last(F.when(cond, F.struct("pos", *what)), ignorenulls=True)
-    after = lambda by: Window.partitionBy(*keys, by).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("open", nearest(F.col("token").isin("{", ";"), "start", "end", "token").over(after("level"))).withColumn("shut", nearest(F.col("token") == "}", "end").over(after("level")))
-    t = t.withColumn("closing", nearest(F.col("token") == ")", "name", "end").over(after("round")))
-    whole = Window.partitionBy(*keys, "statement").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = t.withColumn("begins", F.first("start").over(whole)).withColumn("first_token", F.first("token").over(whole)).withColumn("arrow", (F.last("token").over(whole) == "{") & (F.last("prev").over(whole) == "=>"))
-    return t.withColumn("follows", F.lead("closing").over(order)["name"])
-
-
-def declarations(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """keys, kind, name, start, end, parent_name and path (names of all around it) of the declarations of Java and ECMAScript files.
-
-    A head is the keyword class, interface, enum or function and the name after it; a name before a parenthesis that is
-    followed by a block (or, after a type, by a semicolon), directly in a class: a method or constructor; or a const, let or
-    var with an arrow function. A declaration runs from its statement's first token, modifiers included, to the brace that
-    closes its block; a head whose block isn't closed is left out, and its siblings stay.
-    """
-    from cairn.operators.intervals import containment_parents
-
-    t = annotated(files, keys, content)
-    token, name = F.col("token"), F.col("name")
-    block = (F.col("open")["token"] == "{") & F.col("shut").isNotNull() & (F.col("open")["pos"] < F.col("shut")["pos"])
-    named = token.isin("class", "interface", "enum", "function") & name.rlike(NAME) & ~F.coalesce(F.col("prev").isin(".", "="), F.lit(False)) & block
-    arrow = token.isin("const", "let", "var") & name.rlike(NAME) & F.col("arrow") & block
-    member = token.rlike(NAME) & ~token.isin(*CONTROL) & (name == "(") & ~F.coalesce(F.col("prev").isin(".", "new", "=", "(", ",", "function", "return"), F.lit(False))
-    whole = member & F.col("follows").isin("{", "throws", ":") & block
-    typed = F.col("prev").rlike(NAME) & ~F.col("prev").isin(*CONTROL[:-3]) | F.col("prev").isin(">", "]", "void")
-    bodiless = member & typed & F.col("follows").isin(";", "throws") & (F.col("open")["token"] == ";")
-    kind = F.when(named, token).when(arrow, "function").when(whole | bodiless, "method")
-    end = F.when(kind.isNotNull() & ~bodiless, F.col("shut")["end"]).when(bodiless, F.col("open")["end"])
-    rows = t.select(*keys, kind.alias("kind"), F.when(named | arrow, name).otherwise(token).alias("name"), F.col("begins").cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.col("pos").alias("__pos")).filter("kind is not null")
-    nested = containment_parents(rows.withColumn("label", F.concat_ws(" ", "kind", "name")), keys, "__pos", "label").drop("label")
-    # A member counts only directly in a class; what else looks like one is a call with a block after it.
-    holder = F.split(F.try_element_at("path", F.lit(-1)), " ")
-    in_class = F.coalesce(holder[0].isin("class", "interface", "enum"), F.lit(False))
-    made = F.when((F.col("kind") == "method") & ((F.col("name") == holder[1]) | (F.col("name") == "constructor")), "constructor").otherwise(F.col("kind"))
-    path = F.transform("path", lambda x: F.element_at(F.split(x, " "), -1))
-    return nested.filter((F.col("kind") != "method") | in_class).select(*keys, made.alias("kind"), "name", "start", "end", holder[1].alias("parent_name"), path.alias("path"))
-
-
-def imports_of(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """keys, module, is_wildcard, start of the imports of Java (dotted names) and ECMAScript (the text after from, or alone)."""
-    t = annotated(files, keys, content)
-    order = Window.partitionBy(*keys, "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    quoted = F.col("token").rlike(r"^['\"]")
-    t = t.withColumn("source", F.last(F.when(quoted, F.col("token")), ignorenulls=True).over(order))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
-    heads = t.filter("first_token = 'import' and depth = 0").groupBy(*keys, "statement").agg(parts.alias("parts"), F.min("start").alias("start"), F.min_by("source", "pos").alias("source"))
-    dotted = F.array_join(F.filter("parts", lambda x: ~x.isin("import", "static", ";", "*")), "")
-    java = F.try_element_at("parts", F.lit(-1)) == ";"
-    names = F.size(F.filter("parts", lambda x: x.rlike(r"^['\"{]") | (x == "from"))) == 0
-    is_java = java & names
-    module = F.when(is_java, F.regexp_replace(dotted, r"\.$", "")).otherwise(F.regexp_replace("source", r"^['\"]|['\"]$", ""))
-    return heads.select(*keys, module.alias("module"), F.array_contains("parts", "*").alias("is_wildcard"), "start")
-
-
-def calls_of(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """keys, caller (path of the declarations around, joined by dots; null at the top), callee, start of the calls."""
-    from cairn.operators.intervals import containment_parents
-
-    t = annotated(files, keys, content)
-    declared = declarations(files, keys, content)
-    token = F.col("token")
-    called = token.rlike(NAME) & ~token.isin(*CONTROL) & (F.col("name") == "(") & ~F.coalesce(F.col("prev").isin("function"), F.lit(False))
-    calls = t.filter(called).select(*keys, F.lit("call").alias("kind"), token.alias("name"), F.col("start").cast("bigint").alias("start"), (F.col("start") + 1).cast("bigint").alias("end"), "begins")
-    # The name in a member's own head is no call.
-    heads = declared.filter("kind in ('method', 'constructor')").select(*keys, "name", F.col("start").alias("begins"))
-    calls = calls.join(heads, [*keys, "name", "begins"], "left_anti").drop("begins")
-    both = declared.select(*keys, "kind", "name", "start", "end").unionByName(calls).withColumn("__pos", F.concat_ws(":", "kind", "start", "end"))
-    placed = containment_parents(both, keys, "__pos", "name").filter("kind = 'call'")
-    return placed.select(*keys, F.when(F.size("path") > 0, F.array_join("path", ".")).alias("caller"), F.col("name").alias("callee"), "start")

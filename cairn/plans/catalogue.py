@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import paths, text
-from cairn.operators import asserts, chunk, documents, embed, intervals, parse, scan, search, sync
+from cairn.operators import asserts, chunk, documents, embed, intervals, lines, parse, scan, search, sync, syntax
 from cairn.plans import virtual
 from cairn.plans.virtual import FILES_SQL, LOWER_NAME, quoted
 from cairn.session import shared_dir, table
@@ -196,8 +198,7 @@ LINES_SQL = """lines AS (SELECT doc_id, line, CAST(coalesce(sum(strlen(body) + 1
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, line, start FROM lines")
 def line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.line_starts(F.col("text"))).alias("pos", "start"))
-    return rows.select("doc_id", (F.col("pos") + 1).alias("line"), "start")
+    return lines.line_table(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
 @query(
@@ -205,9 +206,9 @@ def line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, off, max(line) AS line, off - max(start) AS "column" FROM o JOIN lines USING (doc_id) WHERE start <= off GROUP BY doc_id, off"""
 )
 def offset_to_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.floor(F.octet_length("text") * 2 / 3).cast("int")
-    where = text.locate(text.line_starts(F.col("text")), F.col("off"))
-    return table(spark, sf_dir, "documents").withColumn("off", at).select("doc_id", "off", where["line"].alias("line"), where["column"].alias("column"))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.floor(F.octet_length("text") * 2 / 3).cast("int").alias("off"))
+    return lines.located(rows, lines.line_table(docs, ["doc_id"], "text"), ["doc_id"], F.col("off"))
 
 
 def fragments_sql(target: int, most: int) -> str:
@@ -407,93 +408,160 @@ def next_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.next_manifest(diff, stored.withColumn("origin", F.lit("reused")), fresh)
 
 
-@query("SELECT CAST(n AS INT) AS attempt, least(0.25 * 2 ** n, 2.0)::DOUBLE AS delay FROM range(5) r(n)")
-def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(embed.retry_delays(6))), "attempt int, delay double")
+# --- parsing ------------------------------------------------------------------------------------------------------------
 
+#: In the templates below # is the document's id, {C} its text as part of a comment, {B} as part of a text literal; [[x]] marks a place.
+HARMLESS = {"#": [], "{C}": [("*/", "* /")], "{B}": [("\\", "/"), ('"', "'"), ("`", "'"), ("$", "S")]}
 
-@query(
-    """SELECT status, CASE WHEN status IN (401, 403) THEN 'authentication' WHEN status = 413 THEN 'input_too_large' WHEN status = 429 THEN 'rate_limit' WHEN status = 408 OR status >= 500 THEN 'transient'
-    WHEN status >= 400 THEN 'invalid_request' END AS error FROM (SELECT CAST(range AS BIGINT) AS status FROM range(200, 600))"""
-)
-def http_error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(200, 600).select(F.col("id").alias("status"), embed.http_error_class(F.col("id")).alias("error"))
 
+def parts_of(template: str) -> list[str]:
+    return [p for p in re.split(r"(#|\{C\}|\{B\})", re.sub(r"\[\[\w+\]\]", "", template)) if p]
 
-# --- parsing ------------------------------------------------------------------------------------------------------------
 
+def source_of(template: str) -> Column:
+    """A source for each document, with its id and text at the marks."""
 
-def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc_id").cast("string")
-    lines = [F.concat(F.lit("import m"), d), F.concat(F.lit("class C"), d, F.lit(":")), F.lit("    X = 1"), F.lit("    def f(self):"), F.concat(F.lit("        return g"), d, F.lit("(1)")), F.lit("")]
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *lines).alias("content"))
+    def one(part: str) -> Column:
+        if part not in HARMLESS:
+            return F.lit(part)
+        value = F.col("doc_id").cast("string") if part == "#" else F.coalesce("text", F.lit(""))
+        for a, b in HARMLESS[part]:
+            value = F.replace(value, F.lit(a), F.lit(b))
+        return value
 
+    return F.concat(*map(one, parts_of(template)))
 
-LEN = "length(CAST(doc_id AS VARCHAR))"
 
+def source_sql(template: str) -> str:
+    def one(part: str) -> str:
+        if part not in HARMLESS:
+            return quoted([part])
+        value = "CAST(doc_id AS VARCHAR)" if part == "#" else "coalesce(text, '')"
+        for a, b in HARMLESS[part]:
+            value = f"replace({value}, {quoted([a])}, {quoted([b])})"
+        return value
 
-@query(
-    f"""SELECT doc_id, unnest(['class', 'constant', 'method']) AS kind, unnest(['C' || doc_id, 'X', 'f']) AS name, unnest(['C' || doc_id, 'C' || doc_id || '.X', 'C' || doc_id || '.f']) AS qualified_name,
-    CAST(unnest([9 + {LEN}, 22 + 2 * {LEN}, 32 + 2 * {LEN}]) AS INT) AS start_byte, CAST(unnest([64 + 3 * {LEN}, 27 + 2 * {LEN}, 64 + 3 * {LEN}]) AS INT) AS end_byte FROM documents"""
-)
-def parse_symbols_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse.parse_python(python_sources(spark, sf_dir), ["doc_id"])
-    return parsed.select("doc_id", F.inline("symbols")).select("doc_id", "kind", "name", "qualified_name", "start_byte", "end_byte")
+    return " || ".join(map(one, parts_of(template))) or "''"
 
 
-@query("SELECT doc_id, 'm' || doc_id AS module, 'C' || doc_id || '.f' AS caller, 'g' || doc_id AS callee FROM documents")
-def parse_imports_calls_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse.parse_python(python_sources(spark, sf_dir), ["doc_id"])
-    return parsed.select("doc_id", F.inline("imports"), "calls").select("doc_id", "module", F.inline("calls")).select("doc_id", "module", F.col("caller_qualified_name").alias("caller"), F.col("callee_text").alias("callee"))
+def place_sql(template: str, mark: str) -> str:
+    """The byte offset of a mark."""
+    return f"CAST(strlen({source_sql(template.split(f'[[{mark}]]')[0])}) AS BIGINT)"
 
 
-@query(
-    f"""SELECT doc_id, unnest(['class', 'interface', 'method']) AS kind, unnest(['K' || doc_id, 'I', 'f']) AS name, CAST(unnest([11 + {LEN}, 57 + 2 * {LEN}, 71 + 2 * {LEN}]) AS BIGINT) AS start,
-    CAST(unnest([84 + 2 * {LEN}, 82 + 2 * {LEN}, 80 + 2 * {LEN}]) AS BIGINT) AS "end", unnest([NULL, 'K' || doc_id, 'I']) AS parent_name FROM documents"""
-)
-def parse_declarations_java(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc_id").cast("string")
-    source = F.concat(F.lit("package p"), d, F.lit(";\nclass K"), d, F.lit(' {\n  String s = "} {"; // }\n  /* { */\n interface I { void f(); }\n}\n'))
-    return parse.declarations(table(spark, sf_dir, "documents").select("doc_id", source.alias("content")), ["doc_id"]).drop("path")
+def facts_sql(template: str, marks: str, **columns: list[str]) -> str:
+    """A row for each pair of marks (start, end), with the columns' values: texts with # for the document's id, None for null."""
+    value = lambda v: "NULL" if v is None else source_sql(v)
+    pairs = marks.split()
+    listed = [f"unnest([{', '.join(map(value, v))}]) AS {k}" for k, v in columns.items()]
+    listed += [f'unnest([{", ".join(place_sql(template, m[k]) for m in pairs)}]) AS "{n}"' for k, n in enumerate(("start", "end"))]
+    return f"SELECT doc_id, {', '.join(listed)} FROM documents"
+
 
+def sources(spark: SparkSession, sf_dir: str, template: str, language: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(language).alias("language"), source_of(template).alias("content"))
 
-def templated(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """A source for each document, with its id at every mark #."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.replace(F.lit(source), F.lit("#"), F.col("doc_id").cast("string")).alias("content"))
 
+PYTHON = 'import m#\n# \n[[a]]class C#:\n    """{B}"""\n    [[c]]X = 1[[d]]\n    [[e]]def f(self):\n        """{B}"""\n        return [[g]]g#(1)[[h]][[f]][[b]]\n'
 
-JAVA = "import java.util.List;\nimport static a.b#.*;\npublic class K# {\n  K#() { super(); }\n  @Override int m(int a) throws E { if (a > 0) { x.go#(); } return g#(h(a)); }\n}\n"
-ECMASCRIPT = 'import { a } from "m#";\nimport "side";\nexport class C# {\n  constructor(x) { f#(x); }\n  async go() { if (a) { a(); } }\n}\nconst k# = (x) => { return q(x); };\nfunction z() { }\n'
+
+@query(facts_sql(PYTHON, "ab cd ef", kind=["class", "constant", "method"], name=["C#", "X", "f"], qualified_name=["C#", "C#.X", "C#.f"]).replace('AS "start"', "AS start_byte").replace('AS "end"', "AS end_byte"))
+def parse_symbols_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse.parse_python(sources(spark, sf_dir, PYTHON, "python"), ["doc_id"])
+    return parsed.select("doc_id", F.inline("symbols")).select("doc_id", "kind", "name", "qualified_name", F.col("start_byte").cast("bigint").alias("start_byte"), F.col("end_byte").cast("bigint").alias("end_byte"))
 
 
-@query("SELECT doc_id, unnest(['class', 'constructor', 'method']) AS kind, unnest(['K' || doc_id, 'K' || doc_id, 'm']) AS name, unnest([NULL, 'K' || doc_id, 'K' || doc_id]) AS parent_name FROM documents")
+@query(facts_sql(PYTHON, "gh", module=["m#"], caller=["C#.f"], callee=["g#"]))
+def parse_imports_calls_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse.parse_python(sources(spark, sf_dir, PYTHON, "python"), ["doc_id"])
+    calls = parsed.select("doc_id", F.inline("imports"), "calls").select("doc_id", "module", F.inline("calls"))
+    return calls.select("doc_id", "module", F.col("caller_qualified_name").alias("caller"), F.col("callee_text").alias("callee"), F.col("start_byte").cast("bigint").alias("start"), F.col("end_byte").cast("bigint").alias("end"))
+
+
+JAVA = """package p#;
+[[i]]import java.util.List;[[j]]
+[[k]]import static a.b#.*;[[l]]
+/* {C} */
+[[a]]public class K# {
+  [[c]]private final String s = \"\"\"
+{B} " \"\"\";[[d]]
+  [[e]]K#() { super(); }[[f]]
+  [[g]]@Override int m(int a) throws E { /* {C} */ if (a > 0) { [[1]]x.go#()[[2]]; } return [[3]]new T#([[5]]h(a)[[6]])[[4]].size; }[[h]]
+  Runnable r = [[7]]new Runnable()[[8]] { public void run() { [[9]]q("a")[[0]]; } };
+  [[m]]interface I { [[o]]void f();[[p]] }[[n]]
+}[[b]]
+record R#(int a) { void z() { [[x]]y#()[[y]]; } }
+"""
+#: One class is sound, the other has a parenthesis without a partner.
+JAVA_BROKEN = "[[a]]class G# { [[c]]void f() { /* {C} */ [[1]]g()[[2]]; }[[d]] }[[b]]\nclass B# { [[x]]void f( { /* {C} */ }[[y]] }\n"
+ECMASCRIPT = """[[i]]import { a as b, c } from "m#";[[j]]
+[[k]]import "side";[[l]]
+// it's a "note" {
+/* {C} */
+export [[a]]class C# {
+  [[c]]constructor(x) { [[1]]f#(x)[[2]]; }[[d]]
+  [[e]]async go() { const t = `{B} } {`; if (a) { [[3]]a.b()[[4]]; } }[[f]]
+}[[b]]
+const [[g]]k# = (x) => { /* {C} */ return [[5]]q(x)[[6]] / 2; }[[h]];
+[[m]]function z() { const C = class { method() { [[7]]hidden#()[[8]]; } }; }[[n]]
+const fs = [[o]]require("fs#")[[p]];
+"""
+
+
+def java_facts(spark: SparkSession, sf_dir: str) -> syntax.Facts:
+    return syntax.facts(sources(spark, sf_dir, JAVA, "java"), ["doc_id"])
+
+
+def ecmascript_facts(spark: SparkSession, sf_dir: str) -> syntax.Facts:
+    return syntax.facts(sources(spark, sf_dir, ECMASCRIPT, "javascript"), ["doc_id"])
+
+
+SYMBOLS = ["doc_id", "kind", "qualified_name", "start", "end"]
+CALLS = ["doc_id", "caller", "callee", "kind", "start", "end"]
+
+
+@query(facts_sql(JAVA, "ab mn", kind=["class", "interface"], qualified_name=["p#.K#", "p#.K#.I"], parent_qualified_name=[None, "p#.K#"]))
+def parse_declarations_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return java_facts(spark, sf_dir).symbols.filter("kind in ('class', 'interface')").select(*SYMBOLS, "parent_qualified_name")
+
+
+@query(facts_sql(JAVA, "cd ef gh op", kind=["constant", "constructor", "method", "method"], qualified_name=["p#.K#.s", "p#.K#.K#", "p#.K#.m", "p#.K#.I.f"]))
 def parse_members_java(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.declarations(templated(spark, sf_dir, JAVA), ["doc_id"]).select("doc_id", "kind", "name", "parent_name")
+    return java_facts(spark, sf_dir).symbols.filter("kind not in ('class', 'interface')").select(*SYMBOLS)
 
 
-@query("SELECT doc_id, unnest(['java.util.List', 'a.b' || doc_id]) AS module, unnest([false, true]) AS is_wildcard FROM documents")
+@query(facts_sql(JAVA, "ij kl", module=["java.util.List", "a.b#"], modifiers=["", "static"], wild=["false", "true"]))
 def parse_imports_java(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.imports_of(templated(spark, sf_dir, JAVA), ["doc_id"]).select("doc_id", "module", "is_wildcard")
+    return java_facts(spark, sf_dir).imports.select("doc_id", "module", F.array_join("modifiers", " ").alias("modifiers"), F.col("is_wildcard").cast("string").alias("wild"), "start", "end")
 
 
-@query("SELECT doc_id, 'K' || doc_id || '.m' AS caller, unnest(['go' || doc_id, 'g' || doc_id, 'h']) AS callee FROM documents")
+@query(facts_sql(JAVA, "12 34 56 78 90 xy", caller=["p#.K#.m", "p#.K#.m", "p#.K#.m", None, None, None], callee=["x.go#", "T#", "h", "Runnable", "q", "y#"], kind=["call", "constructor", "call", "constructor", "call", "call"]))
 def parse_calls_java(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.calls_of(templated(spark, sf_dir, JAVA), ["doc_id"]).select("doc_id", "caller", "callee")
+    return java_facts(spark, sf_dir).calls.select(*CALLS)
+
+
+@query(facts_sql(JAVA_BROKEN, "ab cd 12 xy", kind=["class", "method", "call", "syntax_error"], name=["G#", "G#.f", "g", None]))
+def parse_broken_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is sound beside a broken class, and the issue."""
+    f = syntax.facts(sources(spark, sf_dir, JAVA_BROKEN, "java"), ["doc_id"])
+    rows = f.symbols.select("doc_id", "kind", F.col("qualified_name").alias("name"), "start", "end")
+    return rows.unionByName(f.calls.select("doc_id", "kind", F.col("callee").alias("name"), "start", "end")).unionByName(f.issues.select("doc_id", "kind", F.lit(None).cast("string").alias("name"), "start", "end"))
 
 
-@query("SELECT doc_id, unnest(['class', 'constructor', 'method', 'function', 'function']) AS kind, unnest(['C' || doc_id, 'constructor', 'go', 'k' || doc_id, 'z']) AS name, unnest([NULL, 'C' || doc_id, 'C' || doc_id, NULL, NULL]) AS parent_name FROM documents")
+@query(facts_sql(ECMASCRIPT, "ab cd ef gh mn", kind=["class", "constructor", "method", "function", "function"], qualified_name=["C#", "C#.constructor", "C#.go", "k#", "z"]))
 def parse_members_ecmascript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.declarations(templated(spark, sf_dir, ECMASCRIPT), ["doc_id"]).select("doc_id", "kind", "name", "parent_name")
+    return ecmascript_facts(spark, sf_dir).symbols.filter("kind <> 'constant'").select(*SYMBOLS)
 
 
-@query("SELECT doc_id, unnest(['m' || doc_id, 'side']) AS module FROM documents")
+@query(facts_sql(ECMASCRIPT, "ij kl op", module=["m#", "side", "fs#"], bindings=["a b,c", "", "* fs"]))
 def parse_imports_ecmascript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.imports_of(templated(spark, sf_dir, ECMASCRIPT), ["doc_id"]).select("doc_id", "module")
+    names = F.array_join(F.transform("bindings", lambda b: F.concat_ws(" ", b["imported_name"], b["alias"])), ",")
+    return ecmascript_facts(spark, sf_dir).imports.select("doc_id", "module", names.alias("bindings"), "start", "end")
 
 
-@query("SELECT doc_id, unnest(['C' || doc_id || '.constructor', 'C' || doc_id || '.go', 'k' || doc_id]) AS caller, unnest(['f' || doc_id, 'a', 'q']) AS callee FROM documents")
+@query(facts_sql(ECMASCRIPT, "12 34 56 78 op", caller=["C#.constructor", "C#.go", "k#", None, None], callee=["f#", "a.b", "q", "hidden#", "require"], kind=["call"] * 5))
 def parse_calls_ecmascript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.calls_of(templated(spark, sf_dir, ECMASCRIPT), ["doc_id"]).select("doc_id", "caller", "callee")
+    return ecmascript_facts(spark, sf_dir).calls.select(*CALLS)
 
 
 # --- contract checks and publishing -------------------------------------------------------------------------------------

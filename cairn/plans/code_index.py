@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.text import byte_slice, is_blank
-from cairn.operators import asserts, chunk, documents, index, parse, scan
+from cairn.operators import asserts, chunk, documents, index, parse, scan, syntax
 from cairn.operators.embed import Provider
-from cairn.operators.intervals import containment_parents, residual_gaps
+from cairn.operators.intervals import containment_parents, crossing, residual_gaps, unsafe
 from cairn.session import materialize
 from cairn.sources.files import repository_files
 
@@ -41,47 +41,76 @@ def scan_repository(spark: SparkSession, path: str, namespace: str | None = None
 
 
 SYMBOL = "array<struct<kind:string,name:string,qualified_name:string,parent_qualified_name:string,start:bigint,end:bigint>>"
+IMPORT = "array<struct<module:string,bindings:array<struct<imported_name:string,alias:string>>,is_wildcard:boolean,modifiers:array<string>,start:bigint,end:bigint>>"
+CALL = "array<struct<caller:string,callee:string,kind:string,start:bigint,end:bigint>>"
+ISSUE = "array<struct<kind:string,message:string,start:bigint,end:bigint>>"
+LISTS = {"symbols": SYMBOL, "imports": IMPORT, "calls": CALL, "issues": ISSUE}
+PARSED = ("python", "java", "javascript", "typescript")
+
+
+def python_files(files: DataFrame) -> DataFrame:
+    """parse_inventory() for Python."""
+    binding = lambda i: F.when(i["imported_name"].isNull() & i["alias"].isNull(), F.array()).otherwise(F.array(F.struct(F.coalesce(i["imported_name"], i["module"]).alias("imported_name"), i["alias"].alias("alias"))))
+    lists = {
+        "symbols": F.transform("symbols", lambda x: F.struct(x["kind"], x["name"], x["qualified_name"], x["parent_qualified_name"], x["start_byte"], x["end_byte"])),
+        "imports": F.transform("imports", lambda x: F.struct(x["module"], binding(x).alias("bindings"), x["is_wildcard"], F.array().cast("array<string>").alias("modifiers"), x["start_byte"], x["end_byte"])),
+        "calls": F.transform("calls", lambda x: F.struct(x["caller_qualified_name"], x["callee_text"], F.lit("call").alias("kind"), x["start_byte"], x["end_byte"])),
+        "issues": F.transform("issues", lambda x: F.struct(x["kind"], x["message"], x["start_byte"], x["end_byte"])),
+    }
+    return parse.parse_python(files, FILE).select(*FILE, F.lit("python").alias("language"), "status", "source_sha256", *[c.cast(LISTS[n]).alias(n) for n, c in lists.items()])
+
+
+def token_files(files: DataFrame) -> DataFrame:
+    """parse_inventory() for Java and ECMAScript: facts of all files by joins and windows, then listed by file."""
+    files = files.withColumn("valid", F.is_valid_utf8(F.col("content").cast("string")))
+    found = syntax.facts(files.filter("valid").select(*FILE, "language", F.col("content").cast("string").alias("content")), FILE)
+    rows = files.select(*FILE, "language", "valid", F.sha2("content", 256).alias("source_sha256"))
+    order = {"symbols": ["start", "end", "kind", "qualified_name"], "imports": ["start", "end", "module"], "calls": ["start", "end", "kind", "callee"], "issues": ["start", "end", "kind"]}
+    for name, kind in LISTS.items():
+        fields = [f.split(":")[0] for f in kind.removeprefix("array<struct<").replace("array<struct<imported_name:string,alias:string>>", "x").split(",")]
+        facts = getattr(found, name)
+        first = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order[name])], F.struct(*fields).alias("item"))
+        each = facts.groupBy(*FILE).agg(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["item"]).cast(kind).alias(name))
+        rows = rows.join(each, FILE, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    unreadable = F.array(F.struct(F.lit("decoding_error"), F.lit("the file is not UTF-8"), F.lit(None), F.lit(None))).cast(ISSUE)
+    rows = rows.withColumn("issues", F.when(F.col("valid"), F.col("issues")).otherwise(unreadable))
+    return rows.select(*FILE, "language", parse.parse_status(F.col("issues"), F.col("symbols"), F.col("imports"), F.col("calls")).alias("status"), "source_sha256", *LISTS)
 
 
 def parse_inventory(files: DataFrame) -> DataFrame:
-    """namespace, relative_path, language, status, source_sha256 and symbols of the source and test files.
+    """namespace, relative_path, language, status, source_sha256, symbols, imports, calls and issues of the source and test files.
 
-    A file in a language without a parser has status skipped; one that can't be parsed has failed and no symbols.
+    success: no issues; partial: issues, and something is sound; failed: nothing is. A file in a language without a parser
+    has status skipped.
     """
     code = files.filter(F.col("category").isin("source", "test"))
-    python = parse.parse_python(code.filter("language = 'python'"), FILE).select(
-        *FILE, F.lit("python").alias("language"), "status", "source_sha256",
-        F.transform("symbols", lambda s: F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["qualified_name"].alias("qualified_name"), s["parent_qualified_name"].alias("parent_qualified_name"), s["start_byte"].cast("bigint").alias("start"), s["end_byte"].cast("bigint").alias("end"))).cast(SYMBOL).alias("symbols"),
-    )
-    braces = code.filter(F.col("language").isin("java", "javascript", "typescript")).withColumn("valid", F.is_valid_utf8(F.col("content").cast("string")))
-    found = parse.declarations(braces.filter("valid").select(*FILE, F.col("content").cast("string").alias("content")), FILE)
-    above = F.when(F.size("path") > 0, F.array_join("path", "."))
-    item = F.struct("kind", "name", F.concat_ws(".", above, "name").alias("qualified_name"), above.alias("parent_qualified_name"), "start", "end")
-    lists = found.groupBy(*FILE).agg(F.array_sort(F.collect_list(item)).cast(SYMBOL).alias("symbols"))
-    others = braces.join(lists, FILE, "left").select(
-        *FILE, "language", F.when(F.col("valid"), "success").otherwise("failed").alias("status"), F.sha2("content", 256).alias("source_sha256"), F.coalesce("symbols", F.array().cast(SYMBOL)).alias("symbols")
-    )
-    parsed = ["python", "java", "javascript", "typescript"]
-    skipped = code.filter(~F.coalesce(F.col("language").isin(*parsed), F.lit(False))).select(*FILE, "language", F.lit("skipped").alias("status"), F.sha2("content", 256).alias("source_sha256"), F.array().cast(SYMBOL).alias("symbols"))
-    return python.unionByName(others).unionByName(skipped)
+    skipped = code.filter(~F.coalesce(F.col("language").isin(*PARSED), F.lit(False)))
+    skipped = skipped.select(*FILE, "language", F.lit("skipped").alias("status"), F.sha2("content", 256).alias("source_sha256"), *[F.array().cast(k).alias(n) for n, k in LISTS.items()])
+    tokens = code.filter(F.col("language").isin(*PARSED[1:]))
+    return python_files(code.filter("language = 'python'")).unionByName(token_files(tokens)).unionByName(skipped)
 
 
 def candidates(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Ranges to chunk, apart from each other: leaf symbols, what is left of their parents, what is left of a file.
 
     files: namespace, relative_path, content. Gaps of white space alone are dropped. Only files whose parse succeeded, at least
-    up to a broken statement, and whose bytes are those that were parsed take part.
+    in part, and whose bytes are those that were parsed take part. Of a file with issues nothing is left over: text outside of
+    symbols gives no context, and a symbol that an issue touches gives neither itself nor what is left of it; sound symbols within it stay.
     """
-    same = files.withColumn("sha", F.sha2("content", 256)).join(parsed.filter("status in ('success', 'partial')").select(*FILE, "source_sha256", "symbols"), FILE)
-    same = same.filter("sha = source_sha256").select(*FILE, "content", F.octet_length("content").cast("bigint").alias("n"), "symbols")
+    same = files.withColumn("sha", F.sha2("content", 256)).join(parsed.filter("status in ('success', 'partial')").select(*FILE, "status", "source_sha256", "symbols", "issues"), FILE)
+    same = same.filter("sha = source_sha256").select(*FILE, "content", "status", F.octet_length("content").cast("bigint").alias("n"), "symbols", "issues")
     symbols = same.select(*FILE, F.posexplode("symbols").alias("id", "s")).select(*FILE, "id", "s.*")
     nested = containment_parents(symbols, FILE)
+    found = same.select(*FILE, F.explode("issues").alias("i")).select(*FILE, F.coalesce("i.start", F.lit(0)).cast("bigint").alias("start"), F.coalesce("i.end", F.lit(1 << 60)).cast("bigint").alias("end"))
+    spoilt = unsafe(symbols.select(*FILE, "id", "start", "end"), found, FILE).select(*FILE, "id")
     parents = nested.filter("parent is not null").select(*FILE, F.col("parent").alias("id")).distinct()
-    leaves = nested.join(parents, [*FILE, "id"], "left_anti").select(*FILE, F.lit("symbol").alias("kind"), F.col("id").alias("owner"), "start", "end")
+    sound = nested.join(spoilt, [*FILE, "id"], "left_anti")
+    leaves = sound.join(parents, [*FILE, "id"], "left_anti").select(*FILE, F.lit("symbol").alias("kind"), F.col("id").alias("owner"), "start", "end")
     children = nested.filter("parent is not null").select(*FILE, F.col("parent").alias("id"), "start", "end")
-    inner = residual_gaps(children, nested.join(parents, [*FILE, "id"], "left_semi").select(*FILE, "id", "start", "end"), [*FILE, "id"])
-    whole = same.select(*FILE, F.lit(0).cast("bigint").alias("start"), F.col("n").alias("end"))
-    outer = residual_gaps(nested.filter("parent is null").select(*FILE, "start", "end"), whole, FILE)
+    inner_of = sound.join(parents, [*FILE, "id"], "left_semi").select(*FILE, "id", "start", "end")
+    inner = residual_gaps(children.join(inner_of.select(*FILE, "id"), [*FILE, "id"], "left_semi"), inner_of, [*FILE, "id"])
+    whole = same.filter("status = 'success'").select(*FILE, F.lit(0).cast("bigint").alias("start"), F.col("n").alias("end"))
+    outer = residual_gaps(nested.filter("parent is null").join(whole.select(*FILE), FILE, "left_semi").select(*FILE, "start", "end"), whole, FILE)
     gaps = inner.select(*FILE, F.lit("context").alias("kind"), F.col("id").alias("owner"), "start", "end").unionByName(outer.select(*FILE, F.lit("context").alias("kind"), F.lit(None).cast("int").alias("owner"), "start", "end"))
     cut = gaps.join(same.select(*FILE, "content"), FILE).filter(~is_blank(byte_slice(F.col("content"), F.col("start"), F.col("end")).cast("string"))).drop("content")
     owners = symbols.select(*FILE, F.col("id").alias("owner"), F.col("kind").alias("symbol_kind"), "name", "qualified_name", "parent_qualified_name")
@@ -108,17 +137,20 @@ def ordered_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.orderBy(*FILE, "start", "end", "kind", text("symbol_kind"), text("qualified_name"), "fragment_index", "chunk_id")
 
 
-def chunk_statuses(parsed: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """A row for each parsed file: namespace, relative_path, status, chunks.
+def chunk_statuses(parsed: DataFrame, files: DataFrame, chunks: DataFrame, faults: DataFrame | None = None) -> DataFrame:
+    """A row for each parsed file: namespace, relative_path, status, chunks, fault.
 
-    failed: it was not parsed, or its bytes changed since; skipped: no parser, or nothing but white space; else that of the parse.
+    failed: it was not parsed, its bytes changed since, or it has a fault (see `sound_chunks`); skipped: no parser, or nothing
+    but white space; else that of the parse.
     """
     made = chunks.groupBy(*FILE).agg(F.count("*").alias("chunks"))
     now = files.select(*FILE, F.sha2("content", 256).alias("now"))
     rows = parsed.select(*FILE, "status", "source_sha256").join(now, FILE, "left").join(made, FILE, "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    rows = rows.join(faults, FILE, "left") if faults is not None else rows.withColumn("fault", F.lit(None).cast("string"))
     stale = ~F.col("now").eqNullSafe(F.col("source_sha256"))
-    status = F.when((F.col("status") == "failed") | stale, "failed").when((F.col("status") == "skipped") | (F.col("chunks") == 0), "skipped").otherwise(F.col("status"))
-    return rows.select(*FILE, status.alias("status"), "chunks")
+    fault = F.when(stale, "source_changed").otherwise(F.col("fault"))
+    status = F.when((F.col("status") == "failed") | fault.isNotNull(), "failed").when((F.col("status") == "skipped") | (F.col("chunks") == 0), "skipped").otherwise(F.col("status"))
+    return rows.select(*FILE, status.alias("status"), "chunks", fault.alias("fault"))
 
 
 def chunk_counters(statuses: DataFrame) -> DataFrame:
@@ -128,18 +160,41 @@ def chunk_counters(statuses: DataFrame) -> DataFrame:
 
 
 def checked_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """The chunks, after the contract's checks: own ids, safe paths, ranges apart, contents as in the files."""
-    asserts.require_none(asserts.repeated(chunks, ["chunk_id"]), "chunk ids are unique")
-    asserts.require_none(asserts.unsafe_paths(chunks), "paths are safe")
-    asserts.require_none(asserts.overlapping(chunks.select(*FILE, "start", "end"), FILE), "ranges don't overlap")
-    text = files.select(*FILE, F.col("content").cast("string").alias("content"))
-    asserts.require_none(asserts.wrong_chunks(chunks, text, FILE), "chunks are slices of their files")
+    """The chunks, after the contract's checks: own ids, safe paths, ranges apart, contents and lines as in the files."""
+    counts = asserts.rule_counts(asserts.judged(chunks, files, FILE)).filter("violations > 0").collect()  # a row a rule at most
+    if counts:
+        raise asserts.ContractViolated("; ".join(f"{r['rule']}: {r['violations']}, as {r['example']}" for r in counts))
     return chunks
 
 
+def sound_chunks(chunks: DataFrame, files: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chunks of sound files, and the faults of the others (namespace, relative_path, fault): one file's fault costs no other.
+
+    A file is at fault if a chunk of it breaks a rule, is longer than a provider takes (`text`, where there is one), or if
+    its symbols cross each other.
+    """
+    rules = asserts.judged(chunks, files, FILE).select(*FILE, F.explode("broken").alias("fault"))
+    if "text" in chunks.columns:
+        rules = rules.unionByName(documents.oversize(chunks).select(*FILE, F.lit("input_too_large").alias("fault")))
+    symbols = parsed.select(*FILE, F.inline("symbols")).select(*FILE, "start", "end")
+    crossed = crossing(symbols.distinct(), FILE).select(*FILE, F.lit("crossing_symbols").alias("fault"))
+    faults = materialize(rules.unionByName(crossed).groupBy(*FILE).agg(F.min("fault").alias("fault")), "chunk-faults")
+    return chunks.join(faults, FILE, "left_anti"), faults
+
+
 def index_repository(spark: SparkSession, path: str, namespace: str, store: index.VectorIndex, provider: Provider) -> dict:
-    """Bring a namespace's index to the state of a directory; returns the counters of the synchronisation."""
+    """Bring a namespace's index to the state of a directory; returns the counters of the synchronisation, and under `parsed`
+    and `chunked` those of the two steps before it.
+
+    Every source file must have been parsed, and nothing else; a file at fault is left out and counts as failed.
+    """
     files = materialize(scan_repository(spark, path, namespace).files, "files")
-    chunks = checked_chunks(materialize(chunk_inventory(files, materialize(parse_inventory(files), "parsed")), "chunks"), files)
+    parsed = materialize(parse_inventory(files), "parsed")
+    asserts.require_none(chunk.unpaired(files.filter(F.col("category").isin("source", "test")), parsed), "files and parsed files are the same")
+    made = materialize(chunk_inventory(files, parsed), "chunks")
     text = documents.embedding_document(F.col("kind"), F.col("language"), F.col("parent_qualified_name"), F.col("qualified_name"), F.col("relative_path"), F.col("symbol_kind"), F.col("content"))
-    return index.synchronize(store, namespace, chunks.withColumn("text", text), provider, documents.VERSION)
+    chunks, faults = sound_chunks(made.withColumn("text", text), files, parsed)
+    statuses = chunk_statuses(parsed, files, chunks, faults)
+    counters = {"parsed": parse.parse_counters(parsed), "chunked": chunk_counters(statuses)}
+    asserts.require_none(asserts.wrong_counters(counters["parsed"], "total_files_requested", ["success_files", "partial_files", "failed_files", "skipped_files"]), "counters add up")
+    return index.synchronize(store, namespace, chunks, provider, documents.VERSION) | {k: v.first().asDict() for k, v in counters.items()}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import chunk, embed, index, intervals, parse, sync
+from cairn.operators import chunk, embed, index, intervals, parse, sync, syntax
 
 
 @pytest.mark.parametrize(
@@ -110,10 +110,19 @@ def test_broken_python(data, kind):
 
 
 def test_declarations(spark):
-    source = 'export class A {\n  m() { return "}"; }\n}\nfunction f(x) { const y = `{`; }\nenum E { A }\nclass Broken {\n'
-    df = spark.createDataFrame([("a.ts", source), ("b.ts", "")], "relative_path string, content string")
-    rows = {(r["kind"], r["name"]): source[r["start"] : r["end"]] for r in parse.declarations(df, ["relative_path"]).collect()}
-    assert rows[("class", "A")].endswith('"}"; }\n}') and rows[("function", "f")].endswith("`{`; }") and ("enum", "E") in rows and ("class", "Broken") not in rows
+    source = 'export class A {\n  m() { return "}"; }\n}\nfunction f(x) { const y = `{`; }\ninterface E { a(): void }\nclass Broken {\n'
+    df = spark.createDataFrame([("a.ts", "typescript", source), ("b.ts", "typescript", "")], "relative_path string, language string, content string")
+    facts = syntax.facts(df, ["relative_path"])
+    rows = {(r["kind"], r["name"]): source[r["start"] : r["end"]] for r in facts.symbols.collect()}
+    assert rows[("class", "A")].endswith('"}"; }\n}') and rows[("function", "f")].endswith("`{`; }") and ("interface", "E") in rows and ("class", "Broken") not in rows
+    assert [r["kind"] for r in facts.issues.collect()] == ["missing_node"]
+
+
+def test_retry_rules(spark):
+    assert embed.retry_delays(6)[:4] == [0.25, 0.5, 1.0, 2.0]
+    statuses = spark.createDataFrame([(s,) for s in (200, 400, 401, 403, 408, 413, 429, 500, 503)], "s int")
+    got = [r[0] for r in statuses.select(embed.http_error_class(F.col("s"))).collect()]
+    assert got == [None, "invalid_request", "authentication", "authentication", "transient", "input_too_large", "rate_limit", "transient", "transient"]
 
 
 def test_retries():

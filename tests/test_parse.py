@@ -16,14 +16,6 @@ def test_broken_python_gives_what_stands_before(spark):
     assert parse.python_facts("\ufeff\ufeffx = 1".encode())[0] == "failed"
 
 
-def test_members_of_nested_classes(spark):
-    java = "class A { class B { void f() { if (x) { g(); } } abstract int k(); } Runnable r = new Runnable() { public void run() { } }; void open() { }"
-    df = spark.createDataFrame([(1, java + " }"), (2, "class A { void f() {")], "id int, content string")
-    rows = {(r["id"], r["kind"], r["name"], ".".join(r["path"])) for r in parse.declarations(df, ["id"]).collect()}
-    assert {(1, "class", "A", ""), (1, "class", "B", "A"), (1, "method", "f", "A.B"), (1, "method", "k", "A.B"), (1, "method", "open", "A")} <= rows
-    assert not any(i == 2 or n in ("g", "if") for i, _, n, _ in rows)
-
-
 def test_statuses_and_counters(spark):
     files = spark.createDataFrame([("n", p, bytearray(c)) for p, c in [("a.py", b"x = 1\n"), ("b.py", b"def f(:\n"), ("c.go", b"package c"), ("d.py", b"def f():\n  pass\n\ndef g(:\n")]], "namespace string, relative_path string, content binary")
     files = files.withColumn("category", F.lit("source")).withColumn("language", F.when(F.col("relative_path").endswith("py"), "python").otherwise("go"))
