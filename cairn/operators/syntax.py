@@ -39,12 +39,14 @@ DANGLING = {"=": (")", "]", "}", ";", ","), "=>": (")", "]", "}", ";", ","), ":"
 
 @dataclass
 class Facts:
-    """Each with the keys: symbols, calls, imports and issues of the files."""
+    """Each with the keys: symbols, calls, imports and issues of the files; parameters and supertypes of the symbols."""
 
     symbols: DataFrame
     calls: DataFrame
     imports: DataFrame
     issues: DataFrame
+    parameters: DataFrame
+    supertypes: DataFrame
 
 
 def tokens(files: DataFrame, keys: list[str], content: str, language: str) -> DataFrame:
@@ -283,6 +285,85 @@ def imports_in(t: DataFrame, keys: list[str]) -> DataFrame:
     return written.unionByName(required)
 
 
+def segments(t: DataFrame, keys: list[str], regions: DataFrame) -> DataFrame:
+    """Tokens of regions (keys, at, from_pos, to_pos: pos, both exclusive; apart from each other), cut at commas.
+
+    Adds at, segment (from 0), top (in no bracket of any kind within the region) and text (the token, with a blank before it
+    where the source has white space or a comment). Round, square and curly brackets are nested by depth. A < opens a
+    bracket too, unless an = stands before it in its segment: behind that it compares.
+    """
+    opened = regions.select(*keys, F.col("from_pos").alias("pos"), F.struct("at", "from_pos", "to_pos").alias("region"))
+    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = t.select(*keys, "java", "pos", "token", "start", "prev_end", "prev", "prev2").join(opened, [*keys, "pos"], "left").withColumn("region", F.last("region", ignorenulls=True).over(order)).filter("pos < region.to_pos")
+    rows = rows.select(*keys, "java", "pos", "token", "start", "prev_end", "prev", "prev2", "region.at")
+    token = F.col("token")
+    here = Window.partitionBy(*keys, "at").orderBy("pos")
+    upto, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.sum(F.when(token.isin("(", "[", "{"), 1).when(token.isin(")", "]", "}"), -1).otherwise(0)).over(upto) - F.when(token.isin("(", "[", "{"), 1).otherwise(0)
+    rows = rows.withColumn("depth", depth)
+    flat = F.col("depth") == 0
+    last = lambda x: F.coalesce(F.last(F.when((token == x) & flat, F.col("pos")), ignorenulls=True).over(before), F.lit(-1))
+    typed = flat & (last("=") <= last(","))
+    rows = rows.withColumn("turn", F.when(typed & (token == "<"), 1).when(typed & (token == ">"), -1).otherwise(0))
+    rows = rows.withColumn("angle", F.sum("turn").over(upto) - F.greatest("turn", F.lit(0)))
+    rows = rows.withColumn("top", flat & (F.col("angle") == 0) & (F.col("turn") == 0) & ~token.isin(")", "]", "}", "(", "[", "{"))
+    rows = rows.withColumn("segment", F.coalesce(F.sum(F.when(F.col("top") & (token == ","), 1).otherwise(0)).over(before), F.lit(0)))
+    return rows.filter(~(F.col("top") & (token == ","))).withColumn("text", F.concat(F.when(F.col("start") > F.col("prev_end"), " ").otherwise(""), "token"))
+
+
+def joined(cond: Column) -> Column:
+    """The text of a group's tokens that meet a condition; null for none."""
+    found = F.array_sort(F.collect_list(F.when(F.coalesce(cond, F.lit(False)), F.struct("pos", "text"))))
+    return F.nullif(F.trim(F.array_join(F.transform(found, lambda x: x["text"]), "")), F.lit(""))
+
+
+def parameters_of(t: DataFrame, keys: list[str], owners: DataFrame) -> DataFrame:
+    """keys, at, position, name, type_name, default_value_text of the parameters of callables (keys, at)."""
+    here = Window.partitionBy(*keys).orderBy("pos")
+    token = F.col("token")
+    opens = F.when(token == "(", F.struct("pos", "shut"))
+    first = F.last(opens, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))
+    # A bound arrow's single name has no parentheses: its owner's next parenthesis stands behind the arrow.
+    bare = F.when(F.lead("token", 2).over(here) == "=>", F.lead("pos", 1).over(here)).when((F.col("next") == "async") & (F.lead("token", 3).over(here) == "=>"), F.lead("pos", 2).over(here))
+    at = t.withColumn("first", first).withColumn("bare", F.when(token == "=", bare)).withColumn("bare_from", F.when(F.col("bare").isNotNull(), F.when((F.col("next") == "async") & (F.lead("token", 2).over(here) != "=>"), F.lead("pos", 1).over(here)).otherwise(F.col("pos")))).join(owners.select(*keys, F.col("at").alias("pos")), [*keys, "pos"], "left_semi")
+    regions = at.filter("bare is not null or first.shut is not null").select(*keys, F.col("pos").alias("at"), F.coalesce("bare_from", "first.pos").alias("from_pos"), F.coalesce(F.col("bare") + 1, "first.shut.pos").alias("to_pos"))
+    rows = segments(t, keys, regions)
+    each = Window.partitionBy(*keys, "at", "segment")
+    mark = lambda x: F.min(F.when(F.col("top") & (token == x), F.col("pos"))).over(each)
+    far = F.lit(1 << 30)
+    rows = rows.withColumn("eq", F.coalesce(mark("="), far)).withColumn("colon", F.coalesce(mark(":"), far)).withColumn("colon", F.least("colon", "eq"))
+    # What annotations and decorators take: the at sign, its names, and their arguments.
+    upto = Window.partitionBy(*keys, "at", "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    within = F.last(F.when((token == "(") & (F.col("depth") == 0), F.coalesce(F.col("prev2") == "@", F.lit(False))), ignorenulls=True).over(upto)
+    rows = rows.withColumn("noted", F.coalesce((token == "@") | (F.col("prev") == "@") | ((F.col("depth") > 0) | token.isin("(", ")")) & within, F.lit(False)))
+    plain = ~F.col("noted") & ~token.isin("final", "public", "private", "protected", "readonly", "override")
+    own = F.max(F.when(F.col("top") & token.rlike(NAME), F.col("pos"))).over(each)
+    receiver = F.max(F.col("top") & (token == "this")).over(each)
+    rows = rows.withColumn("plain", plain).withColumn("own", own).withColumn("receiver", receiver)
+    rows = rows.withColumn("own", F.when(F.col("receiver"), F.min(F.when(F.col("top") & (token == "."), F.col("pos"))).over(each)).otherwise(F.col("own")))
+    java = F.col("java")
+    before_dot = F.last(F.when(F.col("receiver") & F.col("top") & token.rlike(NAME) & (F.col("pos") < F.col("own")), F.col("pos")), ignorenulls=True).over(each.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("own", F.when(F.col("receiver"), F.coalesce(before_dot, "own")).otherwise(F.col("own")))
+    is_name = F.when(java, F.when(F.col("receiver"), F.col("pos") >= F.col("own")).otherwise(F.col("pos") == F.col("own"))).otherwise((F.col("pos") < F.col("colon")) & F.col("plain") & ~token.isin("...", "?"))
+    is_type = F.when(java, F.col("plain") & ((F.col("pos") < F.col("own")) | ~F.col("receiver") & (F.col("pos") > F.col("own")))).otherwise((F.col("pos") > F.col("colon")) & (F.col("pos") < F.col("eq")))
+    rows = rows.withColumn("is_name", is_name).withColumn("is_type", is_type)
+    out = rows.groupBy(*keys, "at", F.col("segment").cast("int").alias("position")).agg(joined(F.col("is_name")).alias("name"), joined(F.col("is_type")).alias("type_name"), joined(~F.col("java") & (F.col("pos") > F.col("eq"))).alias("default_value_text"))
+    return out.filter("name is not null")
+
+
+def supertypes_of(t: DataFrame, keys: list[str], owners: DataFrame) -> DataFrame:
+    """keys, at, relation (base, implemented), position, type_name of the types (keys, at) named behind extends and implements."""
+    at = t.filter("what = 'type'").join(owners.select(*keys, F.col("at").alias("pos")), [*keys, "pos"], "left_semi")
+    rows = segments(t, keys, at.select(*keys, F.col("pos").alias("at"), F.col("pos").alias("from_pos"), F.col("body.pos").alias("to_pos")))
+    token = F.col("token")
+    clause = F.col("top") & token.isin("extends", "implements", "permits")
+    order = Window.partitionBy(*keys, "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("clause", F.last(F.when(clause, token), ignorenulls=True).over(order)).withColumn("n", F.sum(F.when(clause, 1).otherwise(0)).over(order)).filter(~clause & F.col("clause").isin("extends", "implements"))
+    named = rows.groupBy(*keys, "at", "clause", "n", "segment").agg(joined(F.lit(True)).alias("type_name")).filter("type_name is not null")
+    place = F.row_number().over(Window.partitionBy(*keys, "at", "clause").orderBy("segment")) - 1
+    return named.select(*keys, "at", F.when(F.col("clause") == "extends", "base").otherwise("implemented").alias("relation"), place.alias("position"), "type_name")
+
+
 def facts(files: DataFrame, keys: list[str], content: str = "content", language: str = "language") -> Facts:
     """Symbols, calls, imports and issues of Java (language java) and ECMAScript (any other) files; null content has none.
 
@@ -307,7 +388,11 @@ def facts(files: DataFrame, keys: list[str], content: str = "content", language:
     free = ~F.exists("above", lambda a: a["role"] == "barrier")
     path = F.concat_ws(".", "package", F.nullif(F.array_join(F.transform("above", lambda a: a["name"]), "."), F.lit("")))
     above = F.when(F.size("above") > 0, path)
-    symbols = placed.filter(F.col("role").isin("type", "callable", "constant") & free).select(*keys, "kind", "name", F.concat_ws(".", F.nullif(path, F.lit("")), "name").alias("qualified_name"), above.alias("parent_qualified_name"), "start", "end")
+    symbols = placed.filter(F.col("role").isin("type", "callable", "constant") & free).select(*keys, "at", "role", "kind", "name", F.concat_ws(".", F.nullif(path, F.lit("")), "name").alias("qualified_name"), above.alias("parent_qualified_name"), "start", "end")
     owner = F.when(free & ~F.col("unowned") & (F.try_element_at("above", F.lit(-1))["role"] == "callable"), path)
     calls = placed.filter("role = 'call'").select(*keys, owner.alias("caller"), "callee", "kind", "start", "end")
-    return Facts(symbols.distinct(), calls, imports, issues)
+    symbols = symbols.distinct()
+    known = symbols.select(*keys, "at", "qualified_name", F.col("start").alias("owner_start"))
+    parameters = parameters_of(t, keys, symbols.filter("role = 'callable'")).join(known, [*keys, "at"]).select(*keys, "qualified_name", "owner_start", "position", "name", "type_name", "default_value_text")
+    supertypes = supertypes_of(t, keys, symbols.filter("role = 'type'")).join(known, [*keys, "at"]).select(*keys, "qualified_name", "owner_start", "relation", "position", "type_name")
+    return Facts(symbols.drop("at", "role"), calls, imports, issues, parameters, supertypes)

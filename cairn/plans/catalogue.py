@@ -540,6 +540,24 @@ def parse_calls_java(spark: SparkSession, sf_dir: str) -> DataFrame:
     return java_facts(spark, sf_dir).calls.select(*CALLS)
 
 
+SIGNATURES = """class K#<T extends C<T>> extends B#<M<A, T>> /* {C} */ implements I, J# {
+  void f(final M<A, L#> m, @N(\"\"\"
+{B}\"\"\") int[] x /* {C} */, String... rest) { g(a < b, c); }
+}
+"""
+
+
+@query("SELECT doc_id, 'K' || doc_id AS name, unnest(['base', 'implemented', 'implemented']) AS relation, unnest([0, 0, 1])::INT AS position, unnest(['B' || doc_id || '<M<A, T>>', 'I', 'J' || doc_id]) AS type_name FROM documents")
+def parse_supertypes_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syntax.facts(sources(spark, sf_dir, SIGNATURES, "java"), ["doc_id"]).supertypes
+    return found.select("doc_id", F.col("qualified_name").alias("name"), "relation", "position", "type_name")
+
+
+@query("SELECT doc_id, unnest([0, 1, 2])::INT AS position, unnest(['m', 'x', 'rest']) AS name, unnest(['M<A, L' || doc_id || '>', 'int[]', 'String...']) AS type_name FROM documents")
+def parse_parameters_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.facts(sources(spark, sf_dir, SIGNATURES, "java"), ["doc_id"]).parameters.select("doc_id", "position", "name", "type_name")
+
+
 @query(facts_sql(JAVA_BROKEN, "ab cd 12 xy", kind=["class", "method", "call", "syntax_error"], name=["G#", "G#.f", "g", None]))
 def parse_broken_java(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is sound beside a broken class, and the issue."""

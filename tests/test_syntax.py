@@ -143,6 +143,31 @@ def test_imports(spark):
     assert sorted(r["callee"] for r in f.calls.collect()) == ["import", "require", "require", "require"]
 
 
+SIGNATURES = {
+    "java": (
+        "java",
+        "class A<T extends Comparable<T>> extends Base<Map<K, V>> implements I, p.J<X> {\n  A(final Map<String, List<X>> m, @N(a, b) int[] x, String... rest) throws E, F { }\n  void f(Outer Outer.this) { }\n  int g() { return h(a < b, c); }\n}\ninterface Q extends R, S { void k(int a[]); }\nclass D extends /* note */ B {}",
+        [("A", "base", 0, "Base<Map<K, V>>"), ("A", "implemented", 0, "I"), ("A", "implemented", 1, "p.J<X>"), ("D", "base", 0, "B"), ("Q", "base", 0, "R"), ("Q", "base", 1, "S")],
+        [("A.A", 0, "m", "Map<String, List<X>>", None), ("A.A", 1, "x", "int[]", None), ("A.A", 2, "rest", "String...", None), ("A.f", 0, "Outer.this", "Outer", None), ("Q.k", 0, "a", "int[]", None)],
+    ),
+    "es": (
+        "typescript",
+        "class C extends framework.Base<A, B> implements I, J { constructor(private readonly x: Map<string, number>, y?: string, @dec(1, 2) z = a < b) { } }\nfunction f({ a, b }, [c, d] = [1, 2], ...rest) { }\nconst g = async (v: (n: number) => void = w, u) => v(u);\nconst h = one => one;\nfunction none() { }\n",
+        [("C", "base", 0, "framework.Base<A, B>"), ("C", "implemented", 0, "I"), ("C", "implemented", 1, "J")],
+        [("C.constructor", 0, "x", "Map<string, number>", None), ("C.constructor", 1, "y", "string", None), ("C.constructor", 2, "z", None, "a < b"), ("f", 0, "{ a, b }", None, None), ("f", 1, "[c, d]", None, "[1, 2]"), ("f", 2, "rest", None, None), ("g", 0, "v", "(n: number) => void", "w"), ("g", 1, "u", None, None), ("h", 0, "one", None, None)],
+    ),
+}
+
+
+def test_signatures(spark):
+    files = spark.createDataFrame([(n, *s[:2]) for n, s in SIGNATURES.items()], "file string, language string, content string")
+    f = syntax.facts(files, ["file"])
+    supers, parameters = f.supertypes.collect(), f.parameters.collect()
+    for name, (_, _, types, want) in SIGNATURES.items():
+        assert sorted((r["qualified_name"], r["relation"], r["position"], r["type_name"]) for r in supers if r["file"] == name) == types
+        assert sorted((r["qualified_name"], r["position"], r["name"], r["type_name"], r["default_value_text"]) for r in parameters if r["file"] == name) == sorted(want)
+
+
 def test_one_long_file(spark):
     """A file of many members costs in proportion."""
     source = "class A {\n" + "".join(f"  int f{k}() {{ return g{k}(h(1)); }}\n" for k in range(3000)) + "}\n"
