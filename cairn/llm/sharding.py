@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import materialize
+from cairn.llm.near_duplicates import joined_apart
+from cairn.session import discard, materialize
 
 BITS = 7
 
@@ -94,9 +95,10 @@ def hilbert_order(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> D
 def hilbert_shards(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...] = ("lang", "source", "size"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard of every document: law `rows` (counts of any two shards differ by one at most).
 
-    Documents are sorted by (curve, crc32 of the text, doc_id) and cut into equal runs, so that a shard covers a small box
-    of (lang, source, size) and equal texts of one source lie together: in one shard, or in neighbours where a cut splits
-    them. Equal texts of another lang or source lie with those. Only narrow rows are sorted; the text stays in the scan. Columns: doc_id, size, text_crc32, curve, law, shard, slot, grown_shard. Null text: size 16, crc32 0; null lang or
+    Documents are sorted by (curve, text hash, doc_id) and cut into equal runs, so that a shard covers a small box of
+    (lang, source, size). All rows of a text take the least curve index of any of them, so equal texts are one run, whatever
+    their lang or source: in one shard, or in neighbours where a cut splits them. Only narrow rows are sorted; the text stays in the scan.
+    Columns: doc_id, size, text_crc32, curve, law, shard, slot, grown_shard. Null text: size 16, crc32 0, equal to the empty one; null lang or
     source: the lowest step; repeated rows: each takes a slot; an empty table: no rows.
     """
     text = docs[text_col]
@@ -105,11 +107,18 @@ def hilbert_shards(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...
         docs[id_col].alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"),
+        F.monotonically_increasing_id().alias("node"),  # tells equal rows apart, so that a range of them can be cut
         *metadata,
     )
     rows = materialize(rows, "shard-rows")
-    order = [F.col("curve"), F.col("text_crc32"), F.col("doc_id").asc_nulls_last()]
-    ordered, total = ranked(hilbert_order(rows, list(dimensions)).select("doc_id", "size", "text_crc32", "curve"), order, "shard-order")
+    placed = materialize(hilbert_order(rows, list(dimensions)).select("doc_id", "size", "text_crc32", "text_key", "node", "curve"), "shard-curve")
+    spread = placed.groupBy("text_key").agg(F.min("curve").alias("least"), F.max("curve").alias("most"), F.count("*").alias("n")).filter("least < most")
+    spread = materialize(spread.select("text_key", "least", "n"), "shard-copies")
+    together = joined_apart(placed, spread, ["text_key"], "left").withColumn("curve", F.coalesce("least", "curve")).drop("least", "n")
+    order = [F.col("curve"), F.col("text_key"), F.col("doc_id").asc_nulls_last(), F.col("node")]
+    ordered, total = ranked(together, order, "shard-order")
+    discard(rows, placed)
     n = max(total, 1)
     shard = F.floor(F.expr("__rank * %d div %d" % (shards, n)))
     first = F.expr("(__shard * %d + %d) div %d" % (n, shards - 1, shards))

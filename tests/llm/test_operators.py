@@ -611,7 +611,8 @@ def test_shards(docs, texts, tmp_path):
 @pytest.mark.parametrize("names", [[*(f"src{k}" for k in range(20)), "hot"], [f"common/prefix/{k:02}" for k in range(20)]])
 def test_shards_cover_few_sources(spark, names):
     rng = random.Random(8)
-    rows = [(k, "x" * int(math.exp(rng.uniform(3, 7))), rng.choice(["en", "de", "fr", None]), rng.choice(names)) for k in range(4000)]
+    # Texts differ, as equal ones go together whatever their source.
+    rows = [(k, f"{k} " + "x" * int(math.exp(rng.uniform(3, 7))), rng.choice(["en", "de", "fr", None]), rng.choice(names)) for k in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     steps = sharding.hilbert_order(df.select("source"), ["source"]).groupBy("curve").agg(F.countDistinct("source").alias("n")).collect()
     assert [r["n"] for r in steps] == [1] * len(names)  # each source has its own step
@@ -621,6 +622,18 @@ def test_shards_cover_few_sources(spark, names):
     assert len(held) == 40 and np.mean([len(s) for s in held.values()]) < 0.5 * len(names)
 
 
+def test_equal_texts_are_one_run(spark):
+    """Copies of any lang, source and id: one run of slots, in one shard or in neighbours."""
+    rng = random.Random(10)
+    texts = ["copy %d " % k * (k + 1) for k in range(30)] + [None, ""]
+    rows = [(rng.randrange(900), rng.choice(texts) if k % 2 else f"text {k}", rng.choice(["en", "de", None]), rng.choice("abcdef")) for k in range(1500)]
+    rows += [(5, "hot", "en", "a")] * 700
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = sorted(((r["shard"], r["slot"], r["size"], r["text_crc32"]) for r in sharding.hilbert_shards(df).collect()))
+    runs = [k for k, _ in itertools.groupby(r[2:] for r in got)]
+    assert len(runs) == len(set(runs)) and len(got) == len(rows)
+
+
 def test_many_strings_have_steps_of_their_own(spark):
     df = spark.createDataFrame([(f"source-{k % 1000:04}" if k % 7 else None,) for k in range(3000)], "source string")
     got = sharding.hilbert_order(df, ["source"]).distinct().collect()
