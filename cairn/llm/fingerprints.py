@@ -18,25 +18,40 @@ def place_key() -> Column:
     return F.concat(F.when(F.col("doc_id").isNull(), "1").otherwise("0"), digits(F.bitwise_not(doc_id)), digits(F.col("text_hash")))
 
 
+def range_of(cuts: list[str], key: Column) -> Column:
+    """How many of the ordered cuts are at the key or before it, by halving: as many comparisons as the logarithm of the cuts."""
+    if not cuts:
+        return F.lit(0)
+    known = F.lit(cuts)
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"), key.alias("key"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        behind = (acc["low"] < acc["high"]) & (F.get(known, middle) <= acc["key"])
+        return F.struct(F.when(behind, middle + 1).otherwise(acc["low"]).alias("low"), F.when(behind | (acc["low"] >= acc["high"]), acc["high"]).otherwise(middle).alias("high"), acc["key"].alias("key"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halve, lambda acc: acc["low"])
+
+
 def next_documents(rows: DataFrame, parts: int) -> DataFrame:
     """rows with `bucket`, `place` and `next_text`: the text of the next row by descending doc_id; after the last, the first.
 
     The rows' keys (narrow) are sorted by ranges; the first key of each range is a cut, so a bucket is a run of rows, also of
-    those that share a null or frequent id. The first row of a bucket is also sent, as a ghost, to the bucket before it, so that
-    a window inside each bucket sees the next row. One shuffle of the texts.
+    those that share a null or frequent id. A row finds its bucket by halving the cuts, and a bucket is a task. The first row of a bucket is also
+    sent, as a ghost, to the bucket before it, so that a window inside each bucket sees the next row. One shuffle of the texts.
     """
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     keys = materialize(rows.select(place_key().alias("key")), "fingerprint-keys")
     ranges = keys.repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("range")).agg(F.min("key").alias("key"))
     cuts = sorted(r["key"] for r in ranges.collect())  # one for each range partition
-    cut, key = F.lit(cuts) if cuts else F.array().cast("array<string>"), place_key()
-    bucket = F.size(F.filter(cut, lambda c: c <= F.col("key"))) - 1
+    many = max(len(cuts), 1)
     seat = lambda b, ghost: F.struct(b.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
-    before = F.pmod(F.col("own") - 1, F.lit(max(len(cuts), 1)))
-    seats = F.when(F.array_contains(cut, F.col("key")), F.array(seat(F.col("own"), False), seat(before, True))).otherwise(F.array(seat(F.col("own"), False)))
-    dealt = rows.withColumn("key", key).withColumn("own", bucket).withColumn("b", F.explode(seats))
+    dealt = rows.withColumn("key", place_key()).withColumn("upto", range_of(cuts, F.col("key")))
+    own, before = F.col("upto") - 1, F.pmod(F.col("upto") - 2, F.lit(many))
+    first = F.get(F.lit(cuts) if cuts else F.array().cast("array<string>"), own) == F.col("key")
+    dealt = dealt.withColumn("b", F.explode(F.when(first, F.array(seat(own, False), seat(before, True))).otherwise(F.array(seat(own, False)))))
     order = Window.partitionBy("bucket").orderBy("ghost", "key", "doc_id")  # all columns, so that both uses read one shuffle
-    dealt = dealt.select("doc_id", "text", "key", "b.bucket", "b.ghost").repartition(parts, "bucket")
+    dealt = dealt.select("doc_id", "text", "key", "b.bucket", "b.ghost").repartitionById(many, F.col("bucket"))
     return dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
 
 

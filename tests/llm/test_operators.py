@@ -622,6 +622,13 @@ def test_shards_cover_few_sources(spark, names):
     assert len(held) == 40 and np.mean([len(s) for s in held.values()]) < 0.5 * len(names)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 200])
+def test_cuts_are_halved(spark, n):
+    cuts = [f"{3 * k:04}" for k in range(n)]
+    rows = spark.createDataFrame([(f"{k:04}",) for k in range(620)], "key string").select("key", fingerprints.range_of(cuts, F.col("key")).alias("r"))
+    assert all(r["r"] == sum(c <= r["key"] for c in cuts) for r in rows.collect())
+
+
 def test_equal_texts_are_one_run(spark):
     """Copies of any lang, source and id: one run of slots, in one shard or in neighbours."""
     rng = random.Random(10)
