@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +24,25 @@ def is_safe_path(path: Column) -> Column:
     return ~bad
 
 
+@cache
+def folding() -> dict[str, str]:
+    """The characters that full case folding changes, and what they become."""
+    return {chr(c): chr(c).casefold() for c in range(0x110000) if chr(c).casefold() != chr(c)}
+
+
+def folded(text: Column) -> Column:
+    """Full case folding, as str.casefold: letters that fold to one by one translation, those that fold to several where a text has any."""
+    changed = folding()
+    single = {a: b for a, b in changed.items() if len(b) == 1}
+    several = sorted((a, b) for a, b in changed.items() if len(b) > 1)
+    one = F.translate(text, "".join(single), "".join(single.values()))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several])
+    return F.when(text.rlike("[" + "".join(a for a, _ in several) + "]"), F.aggregate(pairs, one, lambda t, p: F.replace(t, p["a"], p["b"]))).otherwise(one)
+
+
 def path_order(path: Column) -> list[Column]:
     """Sort keys of the engine's total order: folded path, then path."""
-    return [F.lower(path), path]
+    return [folded(path), path]
 
 
 def repository_address(url: Column, host: str = "github.com") -> Column:

@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.paths import path_order
 from cairn.functions.text import content_hash
 from cairn.operators.embed import Provider, embed, vector_valid
 from cairn.operators.search import cosine_distance, score_of
@@ -164,13 +165,17 @@ def identity_of(provider: Provider, document_version: str) -> dict:
     return {"provider": provider.provider, "model": provider.model, "dimensions": provider.dimensions, "compatibility_version": provider.compatibility_version, "document_version": document_version}
 
 
+#: What a chunk may say of itself beside its content; kept with it and given with every hit.
+ABOUT = ("language", "kind", "symbol_kind", "qualified_name", "parent_qualified_name", "start_line", "end_line")
+
+
 def synchronize(index: VectorIndex, namespace: str, chunks: DataFrame, provider: Provider, document_version: str = "v1") -> dict:
-    """Bring a namespace's index to the given chunks: (chunk_id, content_hash, relative_path, content, text).
+    """Bring a namespace's index to the given chunks: (chunk_id, content_hash, relative_path, content, text), and any columns of ABOUT.
 
     Only new and changed chunks are embedded. Nothing is written if nothing changed. Returns the counters and the status.
     """
     identity = identity_of(provider, document_version)
-    columns = ["namespace", "chunk_id", "content_hash", "relative_path", "content", "embedding"]
+    columns = ["namespace", "chunk_id", "content_hash", "relative_path", "content", *[c for c in ABOUT if c in chunks.columns], "embedding"]
     with index.writer(namespace):
         active = index.active(namespace)
         empty = chunks.limit(0).select("chunk_id", "content_hash")
@@ -185,8 +190,9 @@ def synchronize(index: VectorIndex, namespace: str, chunks: DataFrame, provider:
             wanted = chunks.join(diff.filter("class in ('new', 'updated')").select("chunk_id"), "chunk_id", "left_semi")
             rows = embed(wanted.withColumn("namespace", F.lit(namespace)), provider).select(*columns)
             if active:
-                kept = stored.join(diff.filter("class = 'unchanged'").select("chunk_id"), "chunk_id", "left_semi")
-                rows = kept.select(*columns).unionByName(rows)
+                # A kept chunk keeps its vector alone; what is said of it is that of now.
+                kept = chunks.join(diff.filter("class = 'unchanged'").select("chunk_id"), "chunk_id", "left_semi").withColumn("namespace", F.lit(namespace))
+                rows = kept.join(stored.select("chunk_id", "embedding"), "chunk_id").select(*columns).unionByName(rows)
             generation = index.begin(namespace)
             try:
                 rows.write.parquet(str(index.home(namespace) / generation))
@@ -211,5 +217,5 @@ def search(index: VectorIndex, namespace: str, query: str, k: int, provider: Pro
         q = F.array(*[F.lit(float(x)).cast("float") for x in provider.embed_query(query)])
         good = (F.col("namespace") == namespace) & (content_hash(F.col("content")) == F.col("content_hash")) & vector_valid(F.col("embedding"), provider.dimensions)
         checked = F.when(good, cosine_distance(F.col("embedding"), q)).otherwise(F.raise_error(F.lit("a stored row is wrong")).cast("double"))
-        best = rows.select("chunk_id", "relative_path", "content", score_of(checked).alias("score"))
-        return [r.asDict() for r in best.orderBy(F.desc("score"), F.lower("relative_path"), "relative_path", "chunk_id").limit(k).collect()]
+        best = rows.select("chunk_id", "relative_path", "content", *[c for c in ABOUT if c in rows.columns], score_of(checked).alias("score"))
+        return [r.asDict() for r in best.orderBy(F.desc("score"), *path_order(F.col("relative_path")), "chunk_id").limit(k).collect()]

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.paths import path_order
 from cairn.functions.text import byte_slice, is_blank
 from cairn.operators import asserts, chunk, documents, index, parse, scan, syntax
 from cairn.operators.embed import Provider
@@ -40,6 +41,12 @@ def scan_repository(spark: SparkSession, path: str, namespace: str | None = None
     return Inventory(kept, judged.filter("reason is not null").select(*FILE, "reason"), skipped)
 
 
+def ordered_inventory(inventory: Inventory) -> Inventory:
+    """Each part in its total order, by range partitions: folded path, then path. Written out, the files of a folder keep it."""
+    by = lambda df: df.orderBy("namespace", *path_order(F.col("relative_path")))
+    return Inventory(by(inventory.files), by(inventory.ignored), by(inventory.skipped_dirs))
+
+
 SYMBOL = "array<struct<kind:string,name:string,qualified_name:string,parent_qualified_name:string,start:bigint,end:bigint>>"
 IMPORT = "array<struct<module:string,bindings:array<struct<imported_name:string,alias:string>>,is_wildcard:boolean,modifiers:array<string>,start:bigint,end:bigint>>"
 CALL = "array<struct<caller:string,callee:string,kind:string,start:bigint,end:bigint>>"

@@ -60,10 +60,13 @@ def test_index_and_search(spark, repo, tmp_path):
     store, provider = index.VectorIndex(spark, str(tmp_path / "index")), HashProvider(8)
     first = ci.index_repository(spark, str(repo), "ns", store, provider)
     assert first["inserted_chunks"] == first["total_chunks"] > 5
+    assert (first["parsed"]["total_files_requested"], first["parsed"]["failed_files"], first["parsed"]["skipped_files"]) == (6, 1, 1)
+    assert first["chunked"]["total_chunks"] == first["total_chunks"]
     assert ci.index_repository(spark, str(repo), "ns", store, provider)["status"] == "unchanged"
     (repo / "pkg/a.py").write_text(FILES["pkg/a.py"].replace("pass", "exit"))
     (repo / "Main.java").unlink()
     second = ci.index_repository(spark, str(repo), "ns", store, provider)
     assert second["updated_chunks"] == 1 and second["deleted_chunks"] > 0 and second["inserted_chunks"] == 0
     hits = index.search(store, "ns", "def g", 3, provider, documents.VERSION)
+    assert {(h["language"], h["kind"]) for h in hits} <= {("python", "symbol"), ("python", "context"), ("typescript", "symbol"), ("typescript", "context")} and all(1 <= h["start_line"] <= h["end_line"] for h in hits)
     assert len(hits) == 3 and [h["score"] for h in hits] == sorted((h["score"] for h in hits), reverse=True)

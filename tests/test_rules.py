@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions import paths
 from cairn.operators import asserts, intervals, lines
 from cairn.plans import code_index as ci
 
@@ -86,3 +87,18 @@ def test_against_all_pairs(spark, seed):
         for at, line, column in ((r["start"], r["start_line"], r["start_column"]), (r["end"], r["end_line"], r["end_column"])):
             head = data[r["file"]][:at]
             assert (line, column) == (head.count(b"\n") + 1, at - (head.rfind(b"\n") + 1))
+
+
+def test_folding_is_casefold(spark):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(map(chr, points[k : k + 4096])) for k in range(0, len(points), 4096)] + ["Straße/İx", "", "ﬃ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["f"] for r in df.select("t", paths.folded(F.col("t")).alias("f")).collect()] == [t.casefold() for t in texts]
+
+
+def test_inventories_have_an_order(spark):
+    names = ["b.py", "A.py", "a.py", "STRASSE.py", "straße.py", "Z/a.py", "z/A.py", "é.py", "É.py"]
+    rows = spark.createDataFrame([("n", p, "r") for p in names], "namespace string, relative_path string, reason string").repartition(5)
+    got = ci.ordered_inventory(ci.Inventory(rows, rows, rows))
+    for part in (got.files, got.ignored, got.skipped_dirs):
+        assert [r["relative_path"] for r in part.collect()] == sorted(names, key=lambda p: (p.casefold(), p))
