@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import byte_slice, chunk_id, content_hash
@@ -13,34 +12,50 @@ TARGET, MOST = 4096, 8192
 TAG = "cairn-chunk-v1"
 
 
-def cut_points(data: bytes, target: int = TARGET, most: int = MOST) -> list[int]:
-    """Ends of the pieces of valid UTF-8: after the last LF within target, else within most, else a hard cut at a character."""
+def next_cut(data: Column, at: Column, target: int, most: int) -> Column:
+    """The end of the piece that begins at a byte offset from which more than `most` bytes are left; null where it has no bytes.
+
+    After the last LF within target, else within most, else a hard cut that parts neither a character nor CR and LF.
+    """
+
+    def behind_last_line(size: int) -> Column:
+        rest = F.octet_length(F.substring_index(F.substr(data, at + 1, F.lit(size)).cast("string"), "\n", -1))
+        return F.when(rest < size, at + size - rest)
+
+    byte = lambda p: F.hex(F.substr(data, p + 1, F.lit(1)))
+    hard = at + most
+    whole = [F.when(~byte(hard - k).between("80", "BF"), hard - k) for k in range(4)]
+    end = F.when((byte(hard - 1) == "0D") & (byte(hard) == "0A"), hard - 1).otherwise(F.coalesce(*whole))
+    cut = F.coalesce(behind_last_line(target), behind_last_line(most), end)
+    return F.when(cut > at, cut)
+
+
+def cut_points(content: Column, target: int = TARGET, most: int = MOST) -> Column:
+    """Ends of the pieces of valid UTF-8, an array; a text of `most` bytes or less is one piece, also the empty one.
+
+    A fold of as many steps as a text can have pieces. Two pieces together have more than the lesser of target and most - 3
+    bytes. A step reads `most` bytes at most, so a text is read about four times; only ends are kept.
+    """
     if most <= 0 or target <= 0 or target > most:
         raise ValueError("0 < target <= most is needed")
-    at, n, ends = 0, len(data), []
-    while n - at > most or (not ends and n > most):
-        cut = data.rfind(b"\n", at, at + target) + 1 or data.rfind(b"\n", at, at + most) + 1
-        if not cut:
-            cut = at + most
-            if data[cut - 1 : cut + 1] == b"\r\n":
-                cut -= 1
-            while cut > at and data[cut] & 0xC0 == 0x80:
-                cut -= 1
-        if cut <= at:
-            raise ValueError("a character is longer than the largest piece")
-        ends.append(cut)
-        at = cut
-    return [*ends, n] if n > at or not ends else ends
+    n = F.octet_length(content)
+    steps = F.when(n <= most, 0).otherwise(2 * F.ceil(n / max(1, min(target, most - 3))) + 2).cast("int")
+    begin = F.struct(content.cast("binary").alias("data"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 
+    def step(done: Column, _: Column) -> Column:
+        at = done["at"]
+        stuck = F.raise_error(F.lit("a character is longer than the largest piece")).cast("int")
+        cut = F.coalesce(next_cut(done["data"], at, target, most), stuck).cast("int")
+        further = F.struct(done["data"].alias("data"), cut.alias("at"), F.concat(done["ends"], F.array(cut)).alias("ends"))
+        return F.when(F.octet_length(done["data"]) - at > most, further).otherwise(done)
 
-def fragments(files: DataFrame, content: str, keys: list[str], target: int = TARGET, most: int = MOST) -> DataFrame:
-    """keys, fragment_index, fragment_count, start, end of every file's pieces; each file is cut where it lies."""
+    # The first of `steps` is a no-op where a text is one piece: sequence() has one element at least.
+    return F.aggregate(F.sequence(F.lit(0), steps), begin, step, lambda done: F.concat(done["ends"], F.array(F.octet_length(done["data"]))))
 
-    @F.pandas_udf("array<int>")
-    def ends(data: pd.Series) -> pd.Series:
-        return data.map(lambda d: cut_points(bytes(d), target, most))
 
-    cut = files.select(*keys, ends(F.col(content).cast("binary")).alias("ends"))
+def fragments(files: DataFrame, content: str, keys: list[str], target: int = TARGET, most: int = MOST) -> DataFrame:
+    """keys, fragment_index, fragment_count, start, end of every file's pieces; each file is cut where it lies, in the JVM. Null content has none."""
+    cut = files.select(*keys, cut_points(F.col(content), target, most).alias("ends"))
     return cut.select(*keys, F.size("ends").alias("fragment_count"), F.posexplode("ends").alias("fragment_index", "end"), "ends").select(
         *keys, "fragment_index", "fragment_count", F.when(F.col("fragment_index") == 0, 0).otherwise(F.expr("get(ends, fragment_index - 1)")).alias("start"), "end"
     )

@@ -14,22 +14,58 @@ from cairn.operators import chunk, embed, index, intervals, parse, sync, syntax
         (b"abcdefg\r\n" * 3, (8, 10), 9, 3), (b"abcdefghi\r\n" * 2, (8, 10), 9, None), (b"", (8, 10), 0, 1),
     ],
 )
-def test_cut_points(data, config, first, count):
-    ends = chunk.cut_points(data, *config)
+def test_cut_points(spark, data, config, first, count):
+    ends = ends_of(spark, [data], *config)[0]
     assert ends[0] == first and ends[-1] == len(data) and (count is None or len(ends) == count)
     assert all(b - a <= config[1] for a, b in zip([0, *ends], ends))
 
 
-def test_cuts_keep_characters():
+def ends_of(spark, texts, *config):
+    rows = spark.createDataFrame([(k, bytearray(t)) for k, t in enumerate(texts)], "k int, t binary").select("k", chunk.cut_points(F.col("t"), *config).alias("e"))
+    return [r["e"] for r in sorted(rows.collect())]
+
+
+def brute_cuts(data, target, most):
+    """The ends by a plain loop over the bytes."""
+    at, ends = 0, []
+    while len(data) - at > most:
+        lines = [p for p in range(at + 1, at + most + 1) if data[p - 1] == 10]
+        near = [p for p in lines if p <= at + target]
+        hard = at + most - (data[at + most - 1 : at + most + 1] == b"\r\n")
+        while data[hard] >> 6 == 2:
+            hard -= 1
+        at = max(near or lines or [hard])
+        ends.append(at)
+    return [*ends, len(data)]
+
+
+def test_cuts_keep_characters(spark):
     data = ("नमस्ते " * 1000).encode()
-    ends = chunk.cut_points(data, 16, 31)
+    ends = ends_of(spark, [data], 16, 31)[0]
     pieces = [data[a:b] for a, b in zip([0, *ends], ends)]
     assert b"".join(pieces) == data and all(p.decode() and len(p) <= 31 for p in pieces)
 
 
-def test_no_progress_is_an_error():
-    with pytest.raises(ValueError):
-        chunk.cut_points("😀😀".encode(), 1, 3)
+@pytest.mark.parametrize("config", [(4, 4), (5, 9), (16, 31), (7, 40), (1, 8)])
+def test_cuts_of_random_texts(spark, config):
+    import random
+
+    deal = random.Random(str(config))
+    texts = ["".join(deal.choices(["a", "\n", "\r\n", "\r", "é", "त", "😀"], weights, k=deal.randrange(300))).encode() for weights in ([9, 1, 1, 1, 2, 2, 2], [1, 9, 2, 1, 0, 0, 1], [40, 1, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 0, 1]) for _ in range(40)]
+    assert ends_of(spark, texts, *config) == [brute_cuts(t, *config) for t in texts]
+
+
+def test_fragments_run_in_the_jvm(spark):
+    files = spark.createDataFrame([(1, None), (2, "")], "k int, t string")
+    pieces = chunk.fragments(files, "t", ["k"])
+    assert [tuple(r) for r in pieces.collect()] == [(2, 0, 1, 0, 0)]
+    plan = pieces._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_no_progress_is_an_error(spark):
+    with pytest.raises(Exception, match="longer than the largest piece"):
+        ends_of(spark, ["😀😀".encode()], 1, 3)
 
 
 def test_chunk_rows(spark):
