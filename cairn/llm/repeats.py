@@ -247,7 +247,9 @@ def edge_regions(near: DataFrame, samples: DataFrame, rows: DataFrame) -> DataFr
                     )
 
     regions = have.select(*ID, "text", "list").mapInArrow(run, "key long, ctx long, once boolean, ta long, tb long, first int, wins int, anchor short, bytes binary")
-    return materialize(regions, "suffix-regions")
+    regions = materialize(regions, "suffix-regions")
+    discard(edge)
+    return regions
 
 
 def cells_of(anchor: int, wins: int) -> Iterator[tuple[int, int, int, bool]]:
@@ -262,7 +264,7 @@ def cells_of(anchor: int, wins: int) -> Iterator[tuple[int, int, int, bool]]:
 
 
 def edge_marks(regions: DataFrame) -> DataFrame:
-    """Windows repeated at the edges of a match: ta, tb, first, wins.
+    """Windows repeated at the edges of a match: ta, tb, first, wins. The regions' own folder is emptied.
 
     There suffixes share their first block, but their contexts differ. Equal windows begin at equal offsets, so windows are
     compared cell by cell: bytes that all windows of a cell hold (its core) and bytes that any of them holds (its hull). A
@@ -313,12 +315,16 @@ def edge_marks(regions: DataFrame) -> DataFrame:
     shared = cells.groupBy(*by).agg(F.count("*").alias("n"), F.count("hull").alias("whole"), F.min("hull").alias("a"), F.max("hull").alias("b")).filter("n > 1")
     shared = shared.select(*by, F.expr("whole = n and a = b").alias("settled"))
     met = materialize(cells.join(shared, by).select("key", "ctx", "once", *ID, "cell", "first", "wins", "settled"), "suffix-met")
+    discard(cells)
     settled = met.filter("settled and once").select(*ID, "first", "wins")
     open_ = met.filter("not settled").groupBy("key", "ctx").agg(F.collect_set("cell").alias("open"))  # a region has eleven cells at most
     listed = materialize(regions.join(open_, ["key", "ctx"]).mapInArrow(windows, "key long, hash long, once boolean, ta long, tb long, first int"), "suffix-windows")
+    discard(regions)
     twice = listed.groupBy("key", "hash").agg(F.count("*").alias("c")).filter("c > 1").select("key", "hash")
     found = listed.filter("once").join(twice, ["key", "hash"], "left_semi").select(*ID, "first", F.lit(1).alias("wins"))
-    return settled.unionByName(found)
+    marks = materialize(settled.unionByName(found), "suffix-marks")
+    discard(met, listed)
+    return marks
 
 
 def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", texts_out: bool = False) -> DataFrame:
@@ -343,10 +349,12 @@ def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", te
     discard(*family.found)
     test = among(repeated.select(F.xxhash64("key", "ctx").alias("h")))
     whole = samples.filter(test(F.xxhash64("key", "ctx"))).join(repeated, ["key", "ctx"], "left_semi").select(*ID, "first", "wins")
-    marks = whole.unionByName(edge_marks(edge_regions(near, samples, rows)))
-    spans = marks.groupBy(*ID).agg(F.collect_set(F.struct("first", "wins")).alias("list"))  # a set: no more than the text has windows
+    whole, regions = materialize(whole, "suffix-whole"), edge_regions(near, samples, rows)
+    discard(samples, repeated, near)
+    edges = edge_marks(regions)
+    spans = whole.unionByName(edges).groupBy(*ID).agg(F.collect_set(F.struct("first", "wins")).alias("list"))  # a set: no more than the text has windows
     spans = materialize(spans, "suffix-spans")
-    discard(samples)
+    discard(whole, edges)
     marked = among(spans.select("ta"))
     rows = rows.withColumn("maybe", marked("ta"))
     kind = dict(rows.dtypes)["doc_id"]
