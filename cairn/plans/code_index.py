@@ -28,8 +28,12 @@ class Inventory:
 
 
 def scan_repository(spark: SparkSession, path: str, namespace: str | None = None, max_file_bytes: int = scan.MAX_BYTES, sample_bytes: int = scan.SAMPLE_BYTES) -> Inventory:
-    """The files under a directory, classified. The directory is read once, and written down, for one consistent view."""
-    entries = materialize(repository_files(spark, path, namespace, maxFileBytes=max_file_bytes), "scan")
+    """The files under a directory, classified. The directory is read once, and written down, for one consistent view.
+
+    A file that its name or size leaves out is never opened.
+    """
+    by_name = scan.ignore_reason(F.col("relative_path"), F.col("size_bytes"), max_file_bytes).isNull()
+    entries = materialize(repository_files(spark, path, namespace, by_name, max_file_bytes), "scan")
     found = entries.filter(F.col("outcome").isin("file", "symlink", "unreadable"))
     named = scan.ignore_reason(F.col("relative_path"), F.col("size_bytes"), max_file_bytes)
     binary = F.when(named.isNull() & (F.col("outcome") == "file"), scan.is_binary(F.substring("content", 1, sample_bytes)))

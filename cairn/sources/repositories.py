@@ -62,7 +62,7 @@ def load_repository(spark: SparkSession, url: str, workspace: str = "workspace",
             except (CloneFailed, subprocess.TimeoutExpired):
                 shutil.rmtree(to, ignore_errors=True)
                 raise
-    sizes = [size for outcome, _, size in walk(str(to), frozenset({".git"})) if outcome == "file"]
+    sizes = [size for outcome, _, size, _ in walk(str(to), frozenset({".git"})) if outcome == "file"]
     branch = git("rev-parse", "--abbrev-ref", "HEAD", cwd=str(to))
     row = (True, address["owner"], address["repo"], address["normalized"], str(to), None if branch == "HEAD" else branch, git("rev-parse", "HEAD", cwd=str(to)), len(sizes), sum(sizes), reused)
     return spark.createDataFrame(

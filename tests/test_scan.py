@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from cairn.functions import paths
 from cairn.functions.text import readable_size
 from cairn.operators import scan
-from cairn.sources.files import repository_files
-from cairn.sources.files import read_inside, repository_files, walk
+from cairn.sources.files import directory_entries, read_inside, repository_files, walk
 
 
 def reasons(spark, rows, most=1_000_000):
@@ -83,7 +82,7 @@ def test_files_of_a_directory(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     os.symlink(tmp_path / "src/app.py", tmp_path / "link.py")
     os.symlink("/etc", tmp_path / "out_link")
-    rows = {r["relative_path"]: r for r in repository_files(spark, str(tmp_path), "ns", maxFileBytes=20).collect()}
+    rows = {r["relative_path"]: r for r in repository_files(spark, str(tmp_path), "ns", max_file_bytes=20).collect()}
     files = {p for p, r in rows.items() if r["outcome"] == "file"}
     assert files == {"src/__init__.py", "src/app.py", ".github/w.yml", "builder/y.py", "big.txt"}
     assert rows["node_modules"]["outcome"] == "ignored_directory" and rows["link.py"]["outcome"] == "symlink" and rows["out_link"]["outcome"] == "symlink_directory"
@@ -107,8 +106,46 @@ def test_sizes(spark, n, text):
 
 def test_limit_counts_with_a_namespace(spark, tmp_path):
     (tmp_path / "a.py").write_text("x" * 2000)
-    (row,) = repository_files(spark, str(tmp_path), "n", maxFileBytes=100).collect()
+    (row,) = repository_files(spark, str(tmp_path), "n", max_file_bytes=100).collect()
     assert (row["namespace"], row["outcome"], row["content"]) == ("n", "file", None)
     (tmp_path / "a.py").write_text("x" * 1_500_000)
-    (row,) = repository_files(spark, str(tmp_path), "n", maxFileBytes=2_000_000).collect()
+    (row,) = repository_files(spark, str(tmp_path), "n", max_file_bytes=2_000_000).collect()
     assert len(row["content"]) == 1_500_000
+
+
+def test_listing_goes_on_in_further_jobs(spark, tmp_path):
+    for k in range(12):
+        below = tmp_path / "/".join(f"d{j}" for j in range(k % 5)) / f"e{k}"
+        below.mkdir(parents=True)
+        (below / "a.py").write_text("x" * k)
+    (tmp_path / "empty").mkdir()
+    os.symlink(tmp_path / "d0", tmp_path / "again")
+    whole = sorted(walk(str(tmp_path)), key=lambda r: r[1])
+    assert sum(r[0] == "file" for r in whole) == 12
+    assert any(r[0] == "open" for r in walk(str(tmp_path), most=1))
+    for most in (1, 3, 1000):
+        assert sorted(map(tuple, directory_entries(spark, str(tmp_path), most).collect()), key=lambda r: r[1]) == whole
+    assert directory_entries(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_what_is_not_wanted_is_not_read(spark, tmp_path):
+    for name in ("a.py", "id_rsa", "b.py"):
+        (tmp_path / name).write_text(name)
+    os.mkfifo(tmp_path / "pipe")
+    rows = {r["relative_path"]: (r["outcome"], r["content"]) for r in repository_files(spark, str(tmp_path), "n", F.col("relative_path") != "id_rsa").collect()}
+    assert rows == {"a.py": ("file", b"a.py"), "b.py": ("file", b"b.py"), "id_rsa": ("file", None), "pipe": ("unreadable", None)}
+
+
+def test_a_file_that_was_replaced_is_not_read(tmp_path):
+    (tmp_path / "a").write_text("one")
+    ((_, _, _, was),) = walk(str(tmp_path))
+    assert read_inside(str(tmp_path), "a", 10, was) == b"one" and read_inside(str(tmp_path), "a", 2, was) is None
+    (tmp_path / "b").write_text("two")
+    os.replace(tmp_path / "b", tmp_path / "a")
+    assert read_inside(str(tmp_path), "a", 10, was) is None and read_inside(str(tmp_path), "a", 10) == b"two"
+
+
+@pytest.mark.parametrize("bad", [{"max_file_bytes": 0}, {"max_file_bytes": True}, {"files_per_task": -1}, {"entries_per_task": False}])
+def test_limits_are_positive(spark, tmp_path, bad):
+    with pytest.raises(ValueError):
+        repository_files(spark, str(tmp_path), "n", **bad)
