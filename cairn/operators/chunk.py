@@ -19,15 +19,14 @@ def next_cut(data: Column, at: Column, target: int, most: int) -> Column:
     """
 
     def behind_last_line(size: int) -> Column:
-        rest = F.octet_length(F.substring_index(F.substr(data, at + 1, F.lit(size)).cast("string"), "\n", -1))
-        return F.when(rest < size, at + size - rest)
+        end = at + size - F.octet_length(F.substring_index(F.substr(data, at + 1, F.lit(size)).cast("string"), "\n", -1))
+        return F.get(F.filter(F.array(end), lambda p: p > at), F.lit(0))  # a lambda's argument is computed once
 
     byte = lambda p: F.hex(F.substr(data, p + 1, F.lit(1)))
     hard = at + most
-    whole = [F.when(~byte(hard - k).between("80", "BF"), hard - k) for k in range(4)]
-    end = F.when((byte(hard - 1) == "0D") & (byte(hard) == "0A"), hard - 1).otherwise(F.coalesce(*whole))
-    cut = F.coalesce(behind_last_line(target), behind_last_line(most), end)
-    return F.when(cut > at, cut)
+    whole = [F.when(~byte(hard - k).between("80", "BF"), hard - k) for k in range(min(4, most))]
+    end = F.when((byte(hard - 1) == "0D") & (byte(hard) == "0A"), hard - 1 if most > 1 else F.lit(None)).otherwise(F.coalesce(*whole))
+    return F.coalesce(behind_last_line(target), behind_last_line(most), end)
 
 
 def cut_points(content: Column, target: int = TARGET, most: int = MOST) -> Column:
@@ -46,8 +45,8 @@ def cut_points(content: Column, target: int = TARGET, most: int = MOST) -> Colum
         at = done["at"]
         stuck = F.raise_error(F.lit("a character is longer than the largest piece")).cast("int")
         cut = F.coalesce(next_cut(done["data"], at, target, most), stuck).cast("int")
-        further = F.struct(done["data"].alias("data"), cut.alias("at"), F.concat(done["ends"], F.array(cut)).alias("ends"))
-        return F.when(F.octet_length(done["data"]) - at > most, further).otherwise(done)
+        further = F.transform(F.array(cut), lambda p: F.struct(done["data"].alias("data"), p.alias("at"), F.concat(done["ends"], F.array(p)).alias("ends")))
+        return F.when(F.octet_length(done["data"]) - at > most, F.get(further, F.lit(0))).otherwise(done)
 
     # The first of `steps` is a no-op where a text is one piece: sequence() has one element at least.
     return F.aggregate(F.sequence(F.lit(0), steps), begin, step, lambda done: F.concat(done["ends"], F.array(F.octet_length(done["data"]))))
@@ -55,10 +54,10 @@ def cut_points(content: Column, target: int = TARGET, most: int = MOST) -> Colum
 
 def fragments(files: DataFrame, content: str, keys: list[str], target: int = TARGET, most: int = MOST) -> DataFrame:
     """keys, fragment_index, fragment_count, start, end of every file's pieces; each file is cut where it lies, in the JVM. Null content has none."""
-    cut = files.select(*keys, cut_points(F.col(content), target, most).alias("ends"))
-    return cut.select(*keys, F.size("ends").alias("fragment_count"), F.posexplode("ends").alias("fragment_index", "end"), "ends").select(
-        *keys, "fragment_index", "fragment_count", F.when(F.col("fragment_index") == 0, 0).otherwise(F.expr("get(ends, fragment_index - 1)")).alias("start"), "end"
-    )
+    # All of a piece comes from one array, so that the plan has the fold once.
+    start = lambda ends, k: F.when(k == 0, 0).otherwise(F.get(ends, k - 1)).alias("start")
+    pieces = lambda ends: F.transform(ends, lambda p, k: F.struct(k.alias("fragment_index"), F.size(ends).alias("fragment_count"), start(ends, k), p.alias("end")))
+    return files.select(*keys, F.inline(F.get(F.transform(F.array(cut_points(F.col(content), target, most)), pieces), F.lit(0))))
 
 
 def chunk_rows(pieces: DataFrame, files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
