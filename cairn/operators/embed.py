@@ -102,5 +102,7 @@ def vector_valid(vector: Column, dimensions: int) -> Column:
 
 
 def float32(vector: Column) -> Column:
-    """Each component as the nearest float32."""
-    return F.transform(vector, lambda x: x.cast("float"))
+    """Each component as the nearest float32; a finite one that float32 can't hold fails the query."""
+    infinite = lambda x: F.abs(x) == float("inf")
+    lost = lambda x: infinite(x.cast("float")) & ~infinite(x.cast("double"))
+    return F.transform(vector, lambda x: F.when(lost(x), F.raise_error(F.lit("a component is beyond float32")).cast("float")).otherwise(x.cast("float")))

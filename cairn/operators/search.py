@@ -34,6 +34,40 @@ def cosine_topk(vectors: DataFrame, probe: list[float], k: int) -> DataFrame:
     return best.select("vec_id", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("rank"), "score")
 
 
+def unit(values: pd.Series) -> np.ndarray:
+    m = np.array(values.tolist())
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+
+def block_scores(queries: pd.Series, vectors: pd.Series) -> np.ndarray:
+    """Scores to six decimals of a block of queries (rows) and a block of vectors (columns), by the rule of `score_of`."""
+    d = 1 - unit(queries) @ unit(vectors).T
+    d = np.where(np.abs(d) <= 1e-6, 0.0, np.where(np.abs(d - 2) <= 1e-6, 2.0, d))
+    if not ((d >= 0) & (d <= 2)).all():
+        raise ValueError("distance outside [0, 2]")
+    return np.round(1 - d / 2, 6)
+
+
+def block_best(score: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of each row of a block's scores, ties to the smaller id; what is -1 takes no part."""
+    out = []
+    for i in range(len(query_ids)):
+        best = np.lexsort((ids, -score[i]))[:k]
+        out.append((np.repeat(query_ids[i], len(best)), ids[best], score[i, best]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+    found = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns))).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    return found[found["score"] >= 0]
+
+
+def k_best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query among those its blocks found."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
 def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 16_384, query_block: int = 1024) -> DataFrame:
     """query_id, vec_id and score of the k nearest of each query, for any number of queries.
 
@@ -47,25 +81,8 @@ def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int
     rows = vectors.select(deal("vec_id", shards).alias("shard"), every(parts).alias("part"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
     asked = queries.select(every(shards).alias("shard"), deal("vec_id", parts).alias("part"), F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
 
-    def unit(values: pd.Series) -> np.ndarray:
-        m = np.array(values.tolist())
-        return m / np.sqrt((m * m).sum(1, keepdims=True))
-
     def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(q) and len(c):
-            d = 1 - unit(q["v"]) @ unit(c["v"]).T
-            d = np.where(np.abs(d) <= 1e-6, 0.0, np.where(np.abs(d - 2) <= 1e-6, 2.0, d))
-            if not ((d >= 0) & (d <= 2)).all():
-                raise ValueError("distance outside [0, 2]")
-            score, ids = np.round(1 - d / 2, 6), c["vec_id"].to_numpy()
-            for i, query in enumerate(q["query_id"]):
-                best = np.lexsort((ids, -score[i]))[:k]
-                out["query_id"] += [query] * len(best)
-                out["vec_id"] += ids[best].tolist()
-                out["score"] += score[i, best].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    lists = asked.groupBy("shard", "part").cogroup(rows.groupBy("shard", "part")).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return lists.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
+        score = block_scores(q["v"], c["v"]) if len(q) and len(c) else np.empty((0, 0))
+        return block_best(score, q["query_id"].to_numpy()[: len(score)], c["vec_id"].to_numpy(), k)
+
+    return k_best(asked.groupBy("shard", "part").cogroup(rows.groupBy("shard", "part")).applyInPandas(nearest, FOUND), k)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import paths, text
-from cairn.operators import asserts, chunk, documents, embed, intervals, lines, parse, scan, search, sync, syntax
+from cairn.operators import asserts, chunk, clusters, documents, embed, intervals, lines, parse, scan, search, sync, syntax
 from cairn.plans import virtual
 from cairn.plans.virtual import FILES_SQL, LOWER_NAME, quoted
 from cairn.session import shared_dir, table
@@ -53,16 +53,24 @@ def search_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("label", "vec_id", "rank", "score")
 
 
-@query(
-    f"""SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {SCORE.format(a="v.embedding", b="q.embedding::DOUBLE[]")} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0
+NEAREST_SQL = f"""SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {SCORE.format(a="v.embedding", b="q.embedding::DOUBLE[]")} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0
     QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {SCORE.format(a="v.embedding", b="q.embedding::DOUBLE[]")} DESC, v.vec_id) <= 10"""
-)
+
+
+@query(NEAREST_SQL)
 def search_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest of the stated queries, every hundredth row, among all rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return search.cosine_topk_batch(vectors, vectors.filter("vec_id % 100 = 0"), 10)
 
 
+@query(NEAREST_SQL)
+def search_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by clusters, of which those that can't hold one of the ten are skipped."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return clusters.clustered_topk(clusters.clustered(vectors), vectors.filter("vec_id % 100 = 0"), 10)[0]
+
+
 @query(
     f"""SELECT vec_id, path, score FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'B' ELSE 'a' END || CAST(vec_id % 5 AS VARCHAR) || '.py' AS path,
     round({SCORE.format(a="embedding", b=PROBE)}, 1) AS score FROM embeddings) ORDER BY score DESC, lower(path), path, vec_id LIMIT 50"""
