@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 LOC = "start_byte int, end_byte int, start_line int, start_column int, end_line int, end_column int"
 LOCATION = ("start_byte", "end_byte", "start_line", "start_column", "end_line", "end_column")
 RESULT = (
-    "status string, symbols array<struct<kind:string,name:string,qualified_name:string,parent_qualified_name:string,start_byte:int,end_byte:int,start_line:int,start_column:int,end_line:int,end_column:int>>, "
+    "status string, symbols array<struct<kind:string,name:string,qualified_name:string,parent_qualified_name:string,start_byte:int,end_byte:int,start_line:int,start_column:int,end_line:int,end_column:int,modifiers:array<string>>>, "
     "imports array<struct<module:string,imported_name:string,alias:string,is_wildcard:boolean,start_byte:int,end_byte:int>>, "
     "calls array<struct<caller_qualified_name:string,callee_text:string,start_byte:int,end_byte:int>>, "
     "issues array<struct<kind:string,message:string,start_byte:int,end_byte:int>>"
@@ -36,7 +36,7 @@ class PythonFacts(ast.NodeVisitor):
         a, b = self.span(node)
         parent = self.scope[-1][1] if self.scope else None
         qualified = f"{parent}.{name}" if parent else name
-        self.symbols.append((kind, name, qualified, parent, a, b, node.lineno, node.col_offset, node.end_lineno, node.end_col_offset))
+        self.symbols.append((kind, name, qualified, parent, a, b, node.lineno, node.col_offset, node.end_lineno, node.end_col_offset, ("async",) if isinstance(node, ast.AsyncFunctionDef) else ()))
         return qualified
 
     def inside(self, kind: str, qualified: str, nodes) -> None:

@@ -13,13 +13,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.text import normalized_modifiers
 from cairn.operators.intervals import ancestors, unsafe
 from cairn.session import materialize
 
+
+def nested_template(levels: int) -> str:
+    """A template whose substitutions hold texts, braces and templates, each at most so many levels deep."""
+    text = r"""'(?:\\.|[^'\\\n])*+'|"(?:\\.|[^"\\\n])*+"|/\*(?s:.*?)\*/|//[^\n]*+"""
+    held = rf"(?:{text}|[^`{{}}'\"])*+"
+    for _ in range(levels):
+        held = rf"(?:{text}|[^`{{}}'\"]|\{{{held}\}}|`(?:\\(?s:.)|\$\{{{held}\}}|\$(?!\{{)|[^`\\$])*+`)*+"
+    return rf"`(?:\\(?s:.)|\$\{{{held}\}}|\$(?!\{{)|[^`\\$])*+`"
+
+
 #: Comments, texts, templates and regular expressions are one token each, so that brackets in them don't count. A regular expression is told
 #: from a division by what stands before it. Loops over long texts are possessive, which Java runs without a stack.
 TOKEN = (
-    r'//[^\n]*+|/\*(?s:.*?)\*/|"""(?s:(?:\\.|(?!""").)*+)"""|"(?:\\.|[^"\\\n])*+"|\'(?:\\.|[^\'\\\n])*+\'|`(?s:(?:\\.|[^`\\])*+)`'
+    r'//[^\n]*+|/\*(?s:.*?)\*/|"""(?s:(?:\\.|(?!""").)*+)"""|"(?:\\.|[^"\\\n])*+"|\'(?:\\.|[^\'\\\n])*+\''
+    rf"|{nested_template(2)}"
+    r'|`(?s:(?:\\.|[^`\\])*+)`'
     r"|(?<=[=(,:\[!&|?{};]\s{0,40}|\breturn\s{1,40})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\n\[])++/[a-z]*+"
     r"|[A-Za-z_$][\w$]*+|=>|\.\.\.|[{}();=]|[^\sA-Za-z_${}();=]"
 )
@@ -33,6 +46,10 @@ CONTROL = (
 KEYWORDS = ("new", "return", "throw", "case", "else", "await", "typeof", "yield", "in", "of", "instanceof", "delete", "void", "do")
 #: Words that may stand before a member's or type's own keyword or name.
 LEADING = ("async", "static", "abstract", "get", "set", "public", "private", "protected", "readonly", "override", "accessor", "declare", "*", "#")
+#: Further words between the modifiers and the name of a declaration.
+BETWEEN = ("export", "default", "const", "let", "var")
+#: Modifiers of Java; `non-sealed` is three tokens and stands for itself.
+JAVA_MODIFIERS = ("public", "protected", "private", "static", "abstract", "final", "synchronized", "native", "strictfp", "transient", "volatile", "sealed", "default")
 #: A token and the next one that can't follow it.
 DANGLING = {"=": (")", "]", "}", ";", ","), "=>": (")", "]", "}", ";", ","), ":": (")", "]"), ".": (")", "]", "}", ";", ",")}
 
@@ -189,11 +206,38 @@ def marked_heads(t: DataFrame, keys: list[str]) -> DataFrame:
         .when(field, "field")
         .when(const, "const")
     )
-    return t.withColumn("what", what)
+    return declared_modifiers(t.withColumn("what", what), keys)
+
+
+def declared_modifiers(t: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds modifiers of the declarations among marked tokens, in the vocabulary's order; no row gathers more words than that has.
+
+    Java's stand anywhere in the statement but in parentheses and blocks. ECMAScript's are the run of such words before the
+    name or keyword; of several functions bound in one statement only the first has `export`.
+    """
+    token, java = F.col("token"), F.col("java")
+    order = Window.partitionBy(*keys).orderBy("pos")
+    run = token.isin(*LEADING, *BETWEEN)
+    t = t.withColumn("run", F.coalesce(F.sum(F.when(run, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    said = F.when(token == "*", "generator").when(token.isin(*LEADING, "export", "default") & (token != "#"), token)
+    t = t.withColumn("words", F.when(~java, F.collect_set(said).over(Window.partitionBy(*keys, "run"))))
+    # A member may be named like a modifier.
+    t = t.withColumn("words", F.when(F.coalesce(F.col("prev") == token, F.lit(False)), F.col("words")).otherwise(F.array_remove("words", token)))
+    # A name bound to a function stands behind its modifiers; what the function says itself stands behind the equals sign.
+    late = F.col("next") == "async"
+    star = F.when(late, F.col("next3")).otherwise(F.col("next2")) == "*"
+    own = F.filter(F.array(F.when(late, "async"), F.when(star & F.when(late, F.col("next2")).otherwise(F.col("next")).isin("function"), "generator")), lambda w: w.isNotNull())
+    bound = F.concat(F.lag("words").over(order), own)
+    starred = F.when((token == "function") & (F.col("next") == "*"), F.array_append("words", F.lit("generator"))).otherwise(F.col("words"))
+    dashed = (token == "non") & (F.col("next") == "-") & (F.col("next2") == "sealed")
+    stated = F.when(java & (F.col("round") == 0), F.when(dashed, "non-sealed").when(token.isin(*JAVA_MODIFIERS) & ~F.coalesce((F.col("prev") == "-") & (F.col("prev2") == "non"), F.lit(False)), token))
+    whole = F.collect_set(stated).over(Window.partitionBy(*keys, "block", "statement"))
+    words = F.when(java, whole).when(F.col("what").isin("bound", "expression"), bound).otherwise(starred)
+    return t.withColumn("modifiers", F.when(F.col("what").isNotNull(), normalized_modifiers(words))).drop("run", "words")
 
 
 def heads(t: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, role (type, callable, barrier, constant), kind, name, start, end, at (pos of the name or keyword) of marked_heads().
+    """keys, role (type, callable, barrier, constant), kind, name, start, end, at (pos of the name or keyword), modifiers of marked_heads().
 
     Types are classes, interfaces and enums; callables are functions, functions bound to a name, methods and constructors;
     barriers are records, annotation types, anonymous and expression classes, namespaces, decorators' arguments and types
@@ -215,7 +259,7 @@ def heads(t: DataFrame, keys: list[str]) -> DataFrame:
         .otherwise(F.col("body.shut.end"))
     )
     inner = F.when(what == "anonymous", F.col("pos")).when(what.isin("type", "hidden", "open"), F.col("body.pos"))
-    rows = t.filter("what is not null").select(*keys, "java", "block", F.col("prev").alias("before"), known[what].alias("role"), kind.alias("kind"), name.alias("name"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), inner.alias("body"), F.col("pos").alias("at"))
+    rows = t.filter("what is not null").select(*keys, "java", "block", F.col("prev").alias("before"), known[what].alias("role"), kind.alias("kind"), name.alias("name"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), inner.alias("body"), F.col("pos").alias("at"), "modifiers")
     rows = rows.filter("role is not null")
     holders = rows.filter("role in ('type', 'barrier') and body is not null").select(*keys, F.col("body").alias("block"), F.col("name").alias("holder"), F.col("kind").alias("holder_kind"), F.col("role").alias("holder_role"))
     inside = rows.filter("role in ('member', 'field')").join(holders, [*keys, "block"])
@@ -225,7 +269,7 @@ def heads(t: DataFrame, keys: list[str]) -> DataFrame:
     methods = inside.filter("role = 'member'").filter(F.coalesce(typed, F.lit(True))).withColumn("role", F.lit("callable")).withColumn("kind", F.when(F.coalesce(maker, F.lit(False)), "constructor").otherwise("method"))
     fields = inside.filter("role = 'field' and holder_role = 'type' and holder_kind in ('class', 'enum')").withColumn("role", F.lit("constant"))
     consts = rows.filter("role = 'constant'").join(rows.filter("role = 'callable' and kind = 'function'").select(*keys, "name", "start"), [*keys, "name", "start"], "left_anti")
-    out = [*keys, "role", "kind", "name", "start", "end", "at"]
+    out = [*keys, "role", "kind", "name", "start", "end", "at", "modifiers"]
     kept = rows.filter("role in ('type', 'barrier', 'callable')").select(*out)
     return kept.unionByName(methods.select(*out)).unionByName(fields.select(*out)).unionByName(consts.select(*out))
 
@@ -277,11 +321,28 @@ def imports_in(t: DataFrame, keys: list[str]) -> DataFrame:
     module = F.when(java, dotted).otherwise(F.expr("substring(element_at(parts, -1), 2, length(element_at(parts, -1)) - 2)"))
     static = F.when(java & F.col("line").startswith("import static "), F.array(F.lit("static"))).otherwise(F.array().cast("array<string>"))
     written = rows.select(*keys, module.alias("module"), bindings.alias("bindings"), wild.alias("is_wildcard"), static.alias("modifiers"), "start", "end")
-    # require("m"), also bound to a name, which then stands for the whole module.
-    needed = t.withColumn("shut2", F.lead("shut").over(order)).withColumn("next3", F.lead("token", 3).over(order))
-    needed = needed.filter(~java & (token == "require") & (F.col("next") == "(") & F.col("next2").rlike("^['\"]") & (F.col("next3") == ")") & ~F.coalesce(F.col("prev") == ".", F.lit(False)))
-    to = F.when((F.col("prev") == "=") & F.col("prev2").rlike(NAME), F.col("prev2")).otherwise("")
-    required = needed.select(*keys, F.expr("substring(next2, 2, length(next2) - 2)").alias("module"), one("*", to).alias("bindings"), (to != "").alias("is_wildcard"), F.array().cast("array<string>").alias("modifiers"), "start", F.col("shut2.end").alias("end"))
+    # require("m"), also declared as a name, which then stands for the whole module, or as a pattern of its parts.
+    side = Window.partitionBy(*keys, "block", "round").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    declares = F.coalesce(F.last(F.when(token.isin("const", "let", "var"), True).when(token == ";", False), ignorenulls=True).over(side), F.lit(False))
+    t = t.withColumn("declares", declares).withColumn("shut2", F.lead("shut").over(order)).withColumn("next3", F.lead("token", 3).over(order)).withColumn("prev3", F.lag("token", 3).over(order)).withColumn("pos2", F.lag("pos", 2).over(order))
+    declared = F.coalesce(F.col("declares") & F.col("prev3").isin("const", "let", "var", ","), F.lit(False))
+    needed = t.filter(~java & (token == "require") & (F.col("next") == "(") & F.col("next2").rlike("^['\"]") & (F.col("next3") == ")") & ~F.coalesce(F.col("prev") == ".", F.lit(False)))
+    to = F.when(declared & (F.col("prev") == "=") & F.col("prev2").rlike(NAME), F.col("prev2")).otherwise("")
+    behind = F.when((F.col("prev") == "=") & (F.col("prev2") == "}"), F.col("pos2"))
+    needed = needed.select(*keys, "pos", behind.alias("closes"), F.expr("substring(next2, 2, length(next2) - 2)").alias("module"), one("*", to).alias("whole"), (to != "").alias("is_wildcard"), "start", F.col("shut2.end").alias("end"))
+    # The pattern's own tokens are those of the block that its brace opens; a part is a name, or a name, a colon and a name.
+    patterns = t.filter((token == "{") & F.col("declares") & F.col("prev").isin("const", "let", "var", ",")).select(*keys, F.col("pos").alias("block"), F.col("shut.pos").alias("closes"))
+    patterns = needed.filter("closes is not null").select(*keys, "closes", F.col("pos").alias("at")).join(patterns, [*keys, "closes"])
+    within = t.select(*keys, "block", "round", "pos", "token").join(patterns, [*keys, "block"])
+    comma = (token == ",") & (F.col("round") == 0)
+    part = F.sum(F.when(comma, 1).otherwise(0)).over(Window.partitionBy(*keys, "at").orderBy("pos"))
+    pieces = within.withColumn("part", part).filter(~comma).groupBy(*keys, "at", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("parts"))
+    p0, p2 = F.get("parts", F.lit(0)), F.get("parts", F.lit(2))
+    short = (F.size("parts") == 1) & p0.rlike(NAME)
+    pair = (F.size("parts") == 3) & p0.rlike(NAME) & (F.get("parts", F.lit(1)) == ":") & p2.rlike(NAME)
+    listed = F.array_sort(F.collect_list(F.struct("part", binding(p0, F.when(pair, F.nullif(p2, p0))).alias("binding"))))
+    pieces = pieces.filter(short | pair).groupBy(*keys, F.col("at").alias("pos")).agg(F.transform(listed, lambda x: x["binding"]).alias("named"))
+    required = needed.join(pieces, [*keys, "pos"], "left").select(*keys, "module", F.coalesce("named", "whole").alias("bindings"), "is_wildcard", F.array().cast("array<string>").alias("modifiers"), "start", "end")
     return written.unionByName(required)
 
 
@@ -367,7 +428,7 @@ def supertypes_of(t: DataFrame, keys: list[str], owners: DataFrame) -> DataFrame
 def facts(files: DataFrame, keys: list[str], content: str = "content", language: str = "language") -> Facts:
     """Symbols, calls, imports and issues of Java (language java) and ECMAScript (any other) files; null content has none.
 
-    symbols: kind, name, qualified_name, parent_qualified_name, start, end. calls: caller, callee, kind, start, end; the
+    symbols: kind, name, qualified_name, parent_qualified_name, start, end, modifiers. calls: caller, callee, kind, start, end; the
     caller is the innermost callable around, unless a type or a barrier lies between. A scope that an issue touches is a barrier.
     """
     t = materialize(marked_heads(structured(files, keys, content, language), keys), "syntax-tokens")
@@ -381,14 +442,14 @@ def facts(files: DataFrame, keys: list[str], content: str = "content", language:
     sites = sites.join(found.filter("role = 'callable' and kind <> 'function'").select(*keys, F.col("at")), [*keys, "at"], "left_anti")
     hurt = unsafe(found.select(*keys, "start", "end", "at"), issues, keys).select(*keys, "at", F.lit(True).alias("hurt")).distinct()
     scopes = found.join(hurt, [*keys, "at"], "left").withColumn("role", F.when(F.coalesce("hurt", F.lit(False)), F.when(F.col("role") == "constant", "gone").otherwise("barrier")).otherwise(F.col("role"))).filter("role <> 'gone'")
-    rows = scopes.select(*keys, "role", "kind", "name", "start", "end", "at", F.lit(None).cast("string").alias("callee"), F.lit(False).alias("unowned"))
-    rows = rows.unionByName(sites.select(*keys, F.lit("call").alias("role"), "kind", F.lit("").alias("name"), "start", "end", "at", "callee", "unowned"))
+    rows = scopes.select(*keys, "role", "kind", "name", "start", "end", "at", "modifiers", F.lit(None).cast("string").alias("callee"), F.lit(False).alias("unowned"))
+    rows = rows.unionByName(sites.select(*keys, F.lit("call").alias("role"), "kind", F.lit("").alias("name"), "start", "end", "at", F.lit(None).cast("array<string>").alias("modifiers"), "callee", "unowned"))
     rows = rows.withColumn("id", F.concat_ws(":", "role", "at")).withColumn("holds", F.col("role").isin("type", "callable", "barrier"))
     placed = materialize(ancestors(rows, keys, "id", ["role", "name"], "holds").join(names, keys, "left"), "syntax-placed")
     free = ~F.exists("above", lambda a: a["role"] == "barrier")
     path = F.concat_ws(".", "package", F.nullif(F.array_join(F.transform("above", lambda a: a["name"]), "."), F.lit("")))
     above = F.when(F.size("above") > 0, path)
-    symbols = placed.filter(F.col("role").isin("type", "callable", "constant") & free).select(*keys, "at", "role", "kind", "name", F.concat_ws(".", F.nullif(path, F.lit("")), "name").alias("qualified_name"), above.alias("parent_qualified_name"), "start", "end")
+    symbols = placed.filter(F.col("role").isin("type", "callable", "constant") & free).select(*keys, "at", "role", "kind", "name", F.concat_ws(".", F.nullif(path, F.lit("")), "name").alias("qualified_name"), above.alias("parent_qualified_name"), "start", "end", "modifiers")
     owner = F.when(free & ~F.col("unowned") & (F.try_element_at("above", F.lit(-1))["role"] == "callable"), path)
     calls = placed.filter("role = 'call'").select(*keys, owner.alias("caller"), "callee", "kind", "start", "end")
     symbols = symbols.distinct()

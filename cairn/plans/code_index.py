@@ -51,7 +51,7 @@ def ordered_inventory(inventory: Inventory) -> Inventory:
     return Inventory(by(inventory.files), by(inventory.ignored), by(inventory.skipped_dirs))
 
 
-SYMBOL = "array<struct<kind:string,name:string,qualified_name:string,parent_qualified_name:string,start:bigint,end:bigint>>"
+SYMBOL = "array<struct<kind:string,name:string,qualified_name:string,parent_qualified_name:string,start:bigint,end:bigint,modifiers:array<string>>>"
 IMPORT = "array<struct<module:string,bindings:array<struct<imported_name:string,alias:string>>,is_wildcard:boolean,modifiers:array<string>,start:bigint,end:bigint>>"
 CALL = "array<struct<caller:string,callee:string,kind:string,start:bigint,end:bigint>>"
 ISSUE = "array<struct<kind:string,message:string,start:bigint,end:bigint>>"
@@ -63,7 +63,7 @@ def python_files(files: DataFrame) -> DataFrame:
     """parse_inventory() for Python."""
     binding = lambda i: F.when(i["imported_name"].isNull() & i["alias"].isNull(), F.array()).otherwise(F.array(F.struct(F.coalesce(i["imported_name"], i["module"]).alias("imported_name"), i["alias"].alias("alias"))))
     lists = {
-        "symbols": F.transform("symbols", lambda x: F.struct(x["kind"], x["name"], x["qualified_name"], x["parent_qualified_name"], x["start_byte"], x["end_byte"])),
+        "symbols": F.transform("symbols", lambda x: F.struct(x["kind"], x["name"], x["qualified_name"], x["parent_qualified_name"], x["start_byte"], x["end_byte"], x["modifiers"])),
         "imports": F.transform("imports", lambda x: F.struct(x["module"], binding(x).alias("bindings"), x["is_wildcard"], F.array().cast("array<string>").alias("modifiers"), x["start_byte"], x["end_byte"])),
         "calls": F.transform("calls", lambda x: F.struct(x["caller_qualified_name"], x["callee_text"], F.lit("call").alias("kind"), x["start_byte"], x["end_byte"])),
         "issues": F.transform("issues", lambda x: F.struct(x["kind"], x["message"], x["start_byte"], x["end_byte"])),

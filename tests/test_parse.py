@@ -45,3 +45,8 @@ def test_candidates_stay_until_published_and_counts_must_agree(spark, tmp_path):
     rows.write.parquet(str(store.home("n") / candidate))
     with pytest.raises(index.IndexCorrupt):
         store.publish("n", candidate, index.identity_of(provider, "v1"), expected=2)
+
+
+def test_modifiers():
+    _, symbols, *_ = parse.python_facts(b"async def f():\n    def g(): pass\nclass A:\n    async def m(self): pass\n")
+    assert {s[2]: s[-1] for s in symbols} == {"f": ("async",), "f.g": (), "A": (), "A.m": ("async",)}

@@ -70,6 +70,7 @@ SOURCES = {
         [("helper", "Client", "constructor")],
     ),
     "es_texts": ("javascript", "function f() { const r = /[/{]\"/g; const s = `}` + '{'; return r.test(s) / 2; }\nfunction g() { /* } */ h(); } // {", [("function", "f"), ("function", "g")], [("f", "r.test", "call"), ("g", "h", "call")]),
+    "es_templates": ("javascript", "function f() { return `a ${g(`b ${ { x: `}` }.x } '`)} {`; }\nfunction h() { return k(`it's ${ '}' } $ $$ \\` {`); }\n", [("function", "f"), ("function", "h")], [("h", "k", "call")]),
     "broken_es": ("javascript", "function good() {}\nfunction broken(x = ) {}\n", [("function", "good")], []),
     "open_es": ("javascript", "function kept() { ok(); }\nfunction broken( {\n", [("function", "kept")], [("kept", "ok", "call")]),
     "broken_ts": ("typescript", "interface Good {}\nfunction broken(x: ) {}\n", [("interface", "Good")], []),
@@ -143,6 +144,41 @@ def test_imports(spark):
     assert sorted(r["callee"] for r in f.calls.collect()) == ["import", "require", "require", "require"]
 
 
+def test_required_patterns(spark):
+    """The parts of a pattern are bindings; what isn't declared, nested or has a default is none."""
+    source = (
+        "const { a, b: c, d: d, e = 1, f: { g }, 'h': i, ...rest } = require('one');\nlet x = require('two'), { y } = require('three')\n"
+        "z = require('four');\nconst [k] = require('five');\n({ m } = require('six'));\nfunction n() { var { o } = require('seven'); }\nconst {} = require('eight');\n"
+    )
+    f = syntax.facts(spark.createDataFrame([("a", "javascript", source)], "file string, language string, content string"), ["file"])
+    got = {r["module"]: ([tuple(b) for b in r["bindings"]], r["is_wildcard"]) for r in f.imports.collect()}
+    assert got == {
+        "one": ([("a", None), ("b", "c"), ("d", None)], False), "two": ([("*", "x")], True), "three": ([("y", None)], False), "four": ([], False),
+        "five": ([], False), "six": ([], False), "seven": ([("o", None)], False), "eight": ([], False),
+    }
+
+
+MODIFIERS = {
+    "java": (
+        "java",
+        "@A(final = 1) public abstract static class C {\n  static public final int X = 1, Y = 2;\n  @B protected synchronized void f(final int a) { final int z = 1; }\n  C() { }\n}\npublic interface I { default void g() { } }\nnon-sealed class D { }\nsealed class E { }\n",
+        {"C": "public static abstract", "C.X": "public static final", "C.Y": "public static final", "C.f": "protected synchronized", "C.C": "", "I": "public", "I.g": "default", "D": "non-sealed", "E": "sealed"},
+    ),
+    "es": (
+        "typescript",
+        "export default abstract class C {\n  private static async *go() { }\n  get get() { return 1; }\n  static() { }\n  @dec() protected override set(x) { }\n  constructor(private readonly y) { }\n}\nexport async function* f() { }\nexport const g = async () => h(), K = 1;\nlet p = function* () { };\ndeclare function q(): void;\nfunction r() { }\nexport const L = 2;\n",
+        {"C": "abstract export default", "C.go": "private static async generator", "C.get": "get", "C.static": "", "C.set": "protected override", "C.constructor": "", "f": "async export generator", "g": "async export", "p": "generator", "q": "declare", "r": "", "L": "export"},
+    ),
+}
+
+
+def test_modifiers(spark):
+    files = spark.createDataFrame([(n, *s[:2]) for n, s in MODIFIERS.items()], "file string, language string, content string")
+    rows = syntax.facts(files, ["file"]).symbols.collect()
+    for name, (_, _, want) in MODIFIERS.items():
+        assert {r["qualified_name"]: " ".join(r["modifiers"]) for r in rows if r["file"] == name} == want
+
+
 SIGNATURES = {
     "java": (
         "java",
