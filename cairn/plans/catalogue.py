@@ -538,6 +538,11 @@ def parse_members_java(spark: SparkSession, sf_dir: str) -> DataFrame:
     return java_facts(spark, sf_dir).symbols.filter("kind not in ('class', 'interface')").select(*SYMBOLS)
 
 
+@query(facts_sql(JAVA, "ab cd ef gh mn op", qualified_name=["p#.K#", "p#.K#.s", "p#.K#.K#", "p#.K#.m", "p#.K#.I", "p#.K#.I.f"], modifiers=["public", "private final", "", "", "", ""]))
+def parse_modifiers_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return java_facts(spark, sf_dir).symbols.select("doc_id", "qualified_name", F.array_join("modifiers", " ").alias("modifiers"), "start", "end")
+
+
 @query(facts_sql(JAVA, "ij kl", module=["java.util.List", "a.b#"], modifiers=["", "static"], wild=["false", "true"]))
 def parse_imports_java(spark: SparkSession, sf_dir: str) -> DataFrame:
     return java_facts(spark, sf_dir).imports.select("doc_id", "module", F.array_join("modifiers", " ").alias("modifiers"), F.col("is_wildcard").cast("string").alias("wild"), "start", "end")
@@ -579,6 +584,12 @@ def parse_members_ecmascript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ecmascript_facts(spark, sf_dir).symbols.filter("kind <> 'constant'").select(*SYMBOLS)
 
 
+@query(facts_sql(ECMASCRIPT, "ab cd ef gh mn", qualified_name=["C#", "C#.constructor", "C#.go", "k#", "z"], modifiers=["export", "", "async", "", ""]))
+def parse_modifiers_ecmascript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ecmascript_facts(spark, sf_dir).symbols.filter("kind <> 'constant'")
+    return found.select("doc_id", "qualified_name", F.array_join("modifiers", " ").alias("modifiers"), "start", "end")
+
+
 @query(facts_sql(ECMASCRIPT, "ij kl op", module=["m#", "side", "fs#"], bindings=["a b,c", "", "* fs"]))
 def parse_imports_ecmascript(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_join(F.transform("bindings", lambda b: F.concat_ws(" ", b["imported_name"], b["alias"])), ",")
