@@ -4,16 +4,20 @@ A file is a row per token. Brackets are matched by running depths and their mini
 and square brackets within each block, so an error in one statement doesn't unsettle the others. What has no partner is
 an issue with a range. Scopes are types, callables and barriers; a scope that an issue touches is a barrier: nothing in
 it is a symbol and its calls have no owner.
+
+Files are dealt by their keys once, as light tokens, in as many partitions as their bytes need; all windows keep to that.
+Texts of literals and comments never travel with the tokens: what a fact needs of a long literal is cut out of its file
+afterwards. Only the rows that make facts are written down, and a fact that nobody asks for isn't computed.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.text import normalized_modifiers
+from cairn.functions.text import byte_slice, normalized_modifiers
 from cairn.operators.intervals import ancestors, unsafe
 from cairn.session import materialize
 
@@ -54,26 +58,36 @@ JAVA_MODIFIERS = ("public", "protected", "private", "static", "abstract", "final
 DANGLING = {"=": (")", "]", "}", ";", ","), "=>": (")", "]", "}", ";", ","), ":": (")", "]"), ".": (")", "]", "}", ";", ",")}
 
 
-@dataclass
-class Facts:
-    """Each with the keys: symbols, calls, imports and issues of the files; parameters and supertypes of the symbols."""
+#: Literals of more bytes are two quotes among the tokens.
+LONG = 64
+#: Bytes of sources in a partition of tokens. Of dense code that is about two million tokens.
+PART_BYTES = 8 << 20
 
-    symbols: DataFrame
-    calls: DataFrame
-    imports: DataFrame
-    issues: DataFrame
-    parameters: DataFrame
-    supertypes: DataFrame
 
+def tokens(files: DataFrame, keys: list[str], content: str, language: str, parts: int) -> DataFrame:
+    """keys, java, pos, token, start and end (bytes) of every token but comments; a byte order mark counts in the offsets.
 
-def tokens(files: DataFrame, keys: list[str], content: str, language: str) -> DataFrame:
-    """keys, java, pos, token, start and end (bytes) of every token but comments; a byte order mark counts in the offsets."""
+    A literal of over LONG bytes stands as two quotes, so its token is shorter than its range. Rows are dealt by the keys.
+    """
     pieces = F.regexp_extract_all(F.col(content), F.lit(rf"[\s\x{{FEFF}}]+|{TOKEN}"), F.lit(0))
+    first = lambda x, n: F.substring(x, 1, n)
+    bulky = lambda x: (F.octet_length(x) > LONG) & first(x, 1).isin('"', "'", "`", "/")
+    short = lambda x: F.when(first(x, 2).rlike(r"^([\s\x{FEFF}]|//|/\*)"), "").when(bulky(x), F.repeat(first(x, 1), F.lit(2))).otherwise(x)
+    dealt = files.select(*keys, (F.col(language) == "java").alias("java"), pieces.alias("pieces"))
+    dealt = dealt.select(*keys, "java", F.transform("pieces", lambda x: F.struct(short(x).alias("token"), F.octet_length(x).alias("size"))).alias("pieces")).repartition(parts, *keys)
     order = Window.partitionBy(*keys).orderBy("pos")
-    rows = files.select(*keys, (F.col(language) == "java").alias("java"), F.posexplode(pieces).alias("pos", "token"))
-    end = F.sum(F.octet_length("token")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
-    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.octet_length("token"))
-    return rows.filter(~F.col("token").rlike(r"^([\s\x{FEFF}]|//|/\*)"))
+    rows = dealt.select(*keys, "java", F.posexplode_outer("pieces").alias("pos", "piece")).select(*keys, "java", "pos", "piece.*")
+    end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
+    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).drop("size").filter("token <> ''")
+
+
+def spelled(rows: DataFrame, keys: list[str], files: DataFrame, content: str, wanted: Column) -> DataFrame:
+    """Materialized rows (keys, pos, token, start, end) with the whole token of long literals where it is wanted, cut out of the files."""
+    is_cut = wanted & (F.octet_length("token") < F.col("end") - F.col("start"))
+    cut = materialize(rows.filter(is_cut).select(*keys, "pos", "start", "end").distinct(), "syntax-long")
+    texts = cut.join(files.select(*keys, F.col(content).alias("__content")), keys)
+    texts = texts.select(*keys, "pos", byte_slice(F.col("__content"), F.col("start"), F.col("end")).cast("string").alias("__whole"))
+    return rows.join(texts, [*keys, "pos"], "left").withColumn("token", F.coalesce("__whole", "token")).drop("__whole")
 
 
 def nearest_after(by: list, order: str, value: Column) -> Column:
@@ -81,8 +95,8 @@ def nearest_after(by: list, order: str, value: Column) -> Column:
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1))
 
 
-def structured(files: DataFrame, keys: list[str], content: str = "content", language: str = "language") -> DataFrame:
-    """Tokens with what surrounds them.
+def structured(t: DataFrame, keys: list[str]) -> DataFrame:
+    """tokens() with what surrounds them.
 
     prev, next, and next2: neighbours; block: pos of the innermost open brace, -1 at the top; round: how many parentheses and
     square brackets of the block are open before; shut: pos, end and next token of an opening bracket's partner; stray: a
@@ -90,12 +104,17 @@ def structured(files: DataFrame, keys: list[str], content: str = "content", lang
     the next brace in it that is not in parentheses.
     """
     token = F.col("token")
-    t = tokens(files, keys, content, language)
     order = Window.partitionBy(*keys).orderBy("pos")
     upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     for name, n in (("", 1), ("2", 2)):
         t = t.withColumn("prev" + name, F.lag("token", n).over(order)).withColumn("next" + name, F.lead("token", n).over(order))
     t = t.withColumn("next_start", F.lead("start").over(order)).withColumn("prev_start", F.lag("start").over(order)).withColumn("prev_end", F.lag("end").over(order))
+    # Where modifiers before a token begin and what stands before them; whether the names before a parenthesis follow `new`.
+    led = F.last(F.when(~token.isin(*LEADING), F.struct("token", "next_start")), ignorenulls=True).over(before)
+    t = t.withColumn("led_from", F.coalesce(led["next_start"], F.first("start").over(before), F.col("start"))).withColumn("led_by", F.coalesce(led["token"], F.lit(";")))
+    link = token.rlike(r"^[\w$.<>,?&]+$") & ~token.isin(*KEYWORDS)
+    broken = F.last(F.when(~link, F.struct("token", "start")), ignorenulls=True).over(before)
+    t = t.withColumn("made", F.when((token == "(") & (broken["token"] == "new"), broken["start"]))
     # Braces: a closing one that brings the depth to a new minimum below zero has no partner.
     t = t.withColumn("d", F.sum(F.when(token == "{", 1).when(token == "}", -1).otherwise(0)).over(upto))
     t = t.withColumn("least", F.least(F.lit(0), F.coalesce(F.min("d").over(before), F.lit(0))))
@@ -123,40 +142,44 @@ def structured(files: DataFrame, keys: list[str], content: str = "content", lang
     t = t.withColumn("round", F.greatest(F.lit(0), F.sum(matched).over(upto) - F.when(opens & F.col("shut").isNotNull(), 1).otherwise(0)))
     ends = token.isin("}", ";") & (F.col("round") == 0)
     t = t.withColumn("statement", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(before), F.lit(0)))
-    whole = Window.partitionBy(*keys, "block", "statement")
-    t = t.withColumn("begins", F.min("start").over(whole)).withColumn("ends", F.max("end").over(whole)).withColumn("final", F.max(token == "final").over(whole))
+    # The statement's order is that of nearest_after, so that one sort serves all.
+    whole = Window.partitionBy(*keys, "block", "statement").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = t.withColumn("begins", F.min("start").over(whole)).withColumn("ends", F.max("end").over(whole)).withColumn("final", F.max(token == "final").over(whole)).withColumn("packaged", F.max(F.col("java") & (token == "package") & (F.col("block") == -1)).over(whole))
     beside = [*keys, "block", "statement"]
     t = t.withColumn("body", nearest_after(beside, "pos", F.when((token == "{") & (F.col("round") == 0), F.struct("pos", "shut"))))
     t = t.withColumn("arrow", nearest_after(beside, "pos", F.when((token == "=>") & (F.col("round") == 0), F.struct("pos", "next"))))
     t = t.withColumn("stop", nearest_after(beside, "pos", F.when(token.isin(",", ";") & (F.col("round") == 0), F.struct("start", "prev_end"))))
-    # Where modifiers before a token begin and what stands before them; whether the names before a parenthesis follow `new`.
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    led = F.last(F.when(~token.isin(*LEADING), F.struct("token", "next_start")), ignorenulls=True).over(before)
-    t = t.withColumn("led_from", F.coalesce(led["next_start"], F.min("start").over(Window.partitionBy(*keys)))).withColumn("led_by", F.coalesce(led["token"], F.lit(";")))
-    link = token.rlike(r"^[\w$.<>,?&]+$") & ~token.isin(*KEYWORDS)
-    broken = F.last(F.when(~link, F.struct("token", "start")), ignorenulls=True).over(before)
-    t = t.withColumn("made", F.when((token == "(") & (broken["token"] == "new"), broken["start"]))
+    dashed = (token == "non") & (F.col("next") == "-") & (F.col("next2") == "sealed")
+    stated = F.when(F.col("java") & (F.col("round") == 0), F.when(dashed, "non-sealed").when(token.isin(*JAVA_MODIFIERS) & ~F.coalesce((F.col("prev") == "-") & (F.col("prev2") == "non"), F.lit(False)), token))
+    t = t.withColumn("stated", F.collect_set(stated).over(whole))
     before_here = Window.partitionBy(*keys, "block", "round").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return t.withColumn("anonymous", F.col("java") & (token == "{") & (F.col("prev") == ")") & F.last(F.when(token == "(", F.struct("made")), ignorenulls=True).over(before_here)["made"].isNotNull())
 
 
-def syntax_issues(t: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, kind, message, start, end.
-
-    An open brace without a partner spoils its statement and all behind it; where it is the file's only fault, a closing
-    brace is missing at the end. A parenthesis without one spoils its statement. Stray closing brackets, quotes that
-    open no text, and tokens that can't follow each other are faults by themselves.
-    """
+def faults(t: DataFrame, keys: list[str]) -> DataFrame:
+    """structured() with fault (start, end, open): brackets without partners, quotes that open no text, and tokens that can't follow each other."""
     token = F.col("token")
     dangling = F.lit(False)
     for a, after in DANGLING.items():
         dangling = dangling | (token == a) & F.col("next").isin(*after)
     quote = token.isin('"', "`") | (token == "'") & F.col("java")
-    faults = t.withColumn("last", F.max("end").over(Window.partitionBy(*keys))).withColumn("bad", F.coalesce(F.col("stray") | quote | dangling, F.lit(False))).filter("bad")
+    bad = F.coalesce(F.col("stray") | quote | dangling, F.lit(False))
     open_ = (token == "{") & F.col("stray")
     begin = F.when(open_ | (token.isin("(", "[") & F.col("stray")), F.col("begins")).otherwise(F.col("start"))
-    end = F.when(open_, F.col("last")).when(token.isin("(", "[") & F.col("stray"), F.col("ends")).when(F.col("stray") | quote, F.col("end")).otherwise(F.col("next_start") + F.octet_length("next"))
-    rows = faults.select(*keys, begin.alias("start"), end.alias("end"), open_.alias("open"), "last")
+    end = F.when(token.isin("(", "[") & F.col("stray"), F.col("ends")).when(F.col("stray") | quote, F.col("end")).otherwise(F.col("next_start") + F.octet_length("next"))
+    # The end of a file is that of its last token; nothing but open braces needs it.
+    last = F.max(F.when(F.col("next").isNull(), F.col("end"))).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return t.withColumn("fault", F.when(bad, F.struct(begin.alias("start"), F.when(open_, last).otherwise(end).alias("end"), F.coalesce(open_, F.lit(False)).alias("open"), last.alias("last"))))
+
+
+def syntax_issues(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, kind, message, start, end.
+
+    An open brace without a partner spoils its statement and all behind it; where it is the file's only fault, a closing
+    brace is missing at the end. A parenthesis without one spoils its statement. Stray closing brackets, quotes that
+    open no text, and tokens that can't follow each other are faults by themselves.
+    """
+    rows = marks.filter("fault is not null").select(*keys, "fault.*")
     file = Window.partitionBy(*keys)
     rows = rows.withColumn("n", F.count("*").over(file)).withColumn("from", F.min(F.when(F.col("open"), F.col("start"))).over(file))
     # What lies behind an open brace is one fault with it.
@@ -229,20 +252,12 @@ def declared_modifiers(t: DataFrame, keys: list[str]) -> DataFrame:
     own = F.filter(F.array(F.when(late, "async"), F.when(star & F.when(late, F.col("next2")).otherwise(F.col("next")).isin("function"), "generator")), lambda w: w.isNotNull())
     bound = F.concat(F.lag("words").over(order), own)
     starred = F.when((token == "function") & (F.col("next") == "*"), F.array_append("words", F.lit("generator"))).otherwise(F.col("words"))
-    dashed = (token == "non") & (F.col("next") == "-") & (F.col("next2") == "sealed")
-    stated = F.when(java & (F.col("round") == 0), F.when(dashed, "non-sealed").when(token.isin(*JAVA_MODIFIERS) & ~F.coalesce((F.col("prev") == "-") & (F.col("prev2") == "non"), F.lit(False)), token))
-    whole = F.collect_set(stated).over(Window.partitionBy(*keys, "block", "statement"))
-    words = F.when(java, whole).when(F.col("what").isin("bound", "expression"), bound).otherwise(starred)
+    words = F.when(java, F.col("stated")).when(F.col("what").isin("bound", "expression"), bound).otherwise(starred)
     return t.withColumn("modifiers", F.when(F.col("what").isNotNull(), normalized_modifiers(words))).drop("run", "words")
 
 
-def heads(t: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, role (type, callable, barrier, constant), kind, name, start, end, at (pos of the name or keyword), modifiers of marked_heads().
-
-    Types are classes, interfaces and enums; callables are functions, functions bound to a name, methods and constructors;
-    barriers are records, annotation types, anonymous and expression classes, namespaces, decorators' arguments and types
-    whose body never closes. Members are found in the bodies of types and barriers alone.
-    """
+def head_of() -> Column:
+    """The head that marked_heads() marks at a token: java, before, role, kind, name, start, end, body, at, modifiers."""
     what, token = F.col("what"), F.col("token")
     roles = {"type": "type", "hidden": "barrier", "open": "barrier", "anonymous": "barrier", "decorator": "barrier", "function": "callable", "signature": "callable", "bound": "callable", "expression": "callable", "bodiless": "member", "member": "member", "field": "field", "const": "constant"}
     known = F.create_map(*[F.lit(x) for pair in roles.items() for x in pair])
@@ -259,8 +274,18 @@ def heads(t: DataFrame, keys: list[str]) -> DataFrame:
         .otherwise(F.col("body.shut.end"))
     )
     inner = F.when(what == "anonymous", F.col("pos")).when(what.isin("type", "hidden", "open"), F.col("body.pos"))
-    rows = t.filter("what is not null").select(*keys, "java", "block", F.col("prev").alias("before"), known[what].alias("role"), kind.alias("kind"), name.alias("name"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), inner.alias("body"), F.col("pos").alias("at"), "modifiers")
-    rows = rows.filter("role is not null")
+    fields = F.struct("java", F.col("prev").alias("before"), known[what].alias("role"), kind.alias("kind"), name.alias("name"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), inner.alias("body"), F.col("pos").alias("at"), "modifiers")
+    return F.when(known[what].isNotNull(), fields)
+
+
+def heads(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, role (type, callable, barrier, constant), kind, name, start, end, at (pos of the name or keyword), modifiers of the marked heads.
+
+    Types are classes, interfaces and enums; callables are functions, functions bound to a name, methods and constructors;
+    barriers are records, annotation types, anonymous and expression classes, namespaces, decorators' arguments and types
+    whose body never closes. Members are found in the bodies of types and barriers alone.
+    """
+    rows = marks.filter("head is not null").select(*keys, "block", "head.*")
     holders = rows.filter("role in ('type', 'barrier') and body is not null").select(*keys, F.col("body").alias("block"), F.col("name").alias("holder"), F.col("kind").alias("holder_kind"), F.col("role").alias("holder_role"))
     inside = rows.filter("role in ('member', 'field')").join(holders, [*keys, "block"])
     maker = F.when(F.col("java"), F.col("name") == F.col("holder")).otherwise((F.col("name") == "constructor") & ~F.col("holder_kind").eqNullSafe(F.lit("interface")))
@@ -275,11 +300,12 @@ def heads(t: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def call_sites(t: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, kind (call, constructor), callee, start, end, at (pos of the name), unowned (a decorator's call) of what looks like a call."""
+    """Tokens with site, where it looks like a call: kind (call, constructor), callee, start, end, at (pos of the name), unowned (a decorator's call)."""
     order = Window.partitionBy(*keys).orderBy("pos")
     back = [F.lag("token", k).over(order) for k in range(1, 10)]
     starts, places = [F.lag("start", k).over(order) for k in range(1, 10)], F.lag("pos", 1).over(order)
-    t = t.withColumn("back", F.array(*back)).withColumn("back_starts", F.array(*starts)).withColumn("name_at", places).filter("token = '('")
+    called = F.col("token") == "("
+    t = t.withColumn("back", F.when(called, F.array(*back))).withColumn("back_starts", F.when(called, F.array(*starts))).withColumn("name_at", places)
     name = lambda k: F.coalesce(F.col("back")[k].rlike(NAME) & ~F.col("back")[k].isin(*KEYWORDS), F.lit(False))
     # A callee is a name with the names and dots before it, four at most.
     length = F.lit(1)
@@ -292,11 +318,32 @@ def call_sites(t: DataFrame, keys: list[str]) -> DataFrame:
     made = F.col("made").isNotNull()
     # Parentheses and a block behind them declare; parameters of an arrow are no arguments.
     declares = (F.col("shut.next").isin("{", "=>")) & ~made | leads.isin("function", "@") & F.col("java") | (leads == "function") | (leads == "*") & (F.coalesce(F.get("back", F.col("length") + 1), F.lit("")) == "function")
-    rows = t.filter((made | plain) & ~F.coalesce(declares, F.lit(False)) & F.col("shut").isNotNull())
-    return rows.select(*keys, F.when(made, "constructor").otherwise("call").alias("kind"), chain.alias("callee"), F.coalesce("made", F.get("back_starts", F.col("length") - 1)).alias("start"), F.col("shut.end").alias("end"), F.col("name_at").alias("at"), (leads == "@").alias("unowned"))
+    found = (F.col("token") == "(") & (made | plain) & ~F.coalesce(declares, F.lit(False)) & F.col("shut").isNotNull()
+    site = F.struct(F.when(made, "constructor").otherwise("call").alias("kind"), chain.alias("callee"), F.coalesce("made", F.get("back_starts", F.col("length") - 1)).alias("start"), F.col("shut.end").alias("end"), F.col("name_at").alias("at"), (leads == "@").alias("unowned"))
+    return t.withColumn("site", F.when(found, site)).drop("back", "back_starts", "name_at", "length")
+
+
+def marks_of(t: DataFrame, keys: list[str]) -> DataFrame:
+    """The tokens of structured() that make a fact: keys, pos, token, block, shut (pos) and head, site, fault, packaged.
+
+    bare: where the region of an arrow's single name begins and ends. A callable's first parenthesis is kept too.
+    """
+    token, order = F.col("token"), Window.partitionBy(*keys).orderBy("pos")
+    t = faults(call_sites(marked_heads(t, keys), keys), keys).withColumn("head", head_of())
+    packaged = F.coalesce(F.col("packaged"), F.lit(False)) & ~token.isin("package", ";")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.last(F.when(F.col("head.role").isin("callable", "member") | (token == "("), token == "("), ignorenulls=True).over(before)
+    opens = (token == "(") & ~F.coalesce(latest, F.lit(True))
+    # A bound arrow's single name has no parentheses: its owner's next parenthesis stands behind the arrow.
+    ahead = lambda c, n: F.lead(c, n).over(order)
+    bare = F.when(ahead("token", 2) == "=>", ahead("pos", 1)).when((F.col("next") == "async") & (ahead("token", 3) == "=>"), ahead("pos", 2))
+    bare_from = F.when((F.col("next") == "async") & (ahead("token", 2) != "=>"), ahead("pos", 1)).otherwise(F.col("pos"))
+    t = t.withColumn("bare", F.when((token == "=") & bare.isNotNull(), F.struct(bare_from.alias("from_pos"), (bare + 1).alias("to_pos")))).withColumn("opens", opens)
+    kept = F.col("head").isNotNull() | F.col("site").isNotNull() | F.col("fault").isNotNull() | packaged | F.col("opens")
+    return t.filter(kept).select(*keys, "pos", "token", "block", F.col("shut.pos").alias("shut"), "head", "site", "fault", packaged.alias("packaged"), "bare")
 
 
-def imports_in(t: DataFrame, keys: list[str]) -> DataFrame:
+def imports_in(t: DataFrame, keys: list[str], files: DataFrame, content: str) -> DataFrame:
     """keys, module, bindings (imported_name, alias), is_wildcard, modifiers, start, end of imports, and of require with a literal."""
     token, java = F.col("token"), F.col("java")
     order = Window.partitionBy(*keys).orderBy("pos")
@@ -305,8 +352,23 @@ def imports_in(t: DataFrame, keys: list[str]) -> DataFrame:
     t = t.withColumn("import", F.sum(F.when(head, 1).otherwise(0)).over(order))
     stop = F.when(java, token == ";").otherwise(text)
     t = t.withColumn("stops", F.coalesce(F.sum(F.when(stop, 1).otherwise(0)).over(Window.partitionBy(*keys, "import").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # require("m"), also declared as a name, which then stands for the whole module, or as a pattern of its parts.
+    side = Window.partitionBy(*keys, "block", "round").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    declares = F.coalesce(F.last(F.when(token.isin("const", "let", "var"), True).when(token == ";", False), ignorenulls=True).over(side), F.lit(False))
+    t = t.withColumn("declares", declares).withColumn("shut2", F.lead("shut").over(order)).withColumn("next3", F.lead("token", 3).over(order)).withColumn("prev3", F.lag("token", 3).over(order)).withColumn("pos2", F.lag("pos", 2).over(order))
+    for c in ("pos", "start", "end"):
+        t = t.withColumn(f"text_{c}", F.lead(c, 2).over(order))
+    written = (F.col("import") > 0) & (F.col("stops") == 0)
+    needs = ~java & (token == "require") & (F.col("next") == "(") & F.col("next2").rlike("^['\"]") & (F.col("next3") == ")") & ~F.coalesce(F.col("prev") == ".", F.lit(False))
+    opens = (token == "{") & F.col("declares") & F.col("prev").isin("const", "let", "var", ",")
+    t = t.withColumns({"written": written, "needs": F.coalesce(needs, F.lit(False)), "opens": F.coalesce(opens, F.lit(False))})
+    # What may stand in a pattern: what lies before the last end of the patterns begun so far.
+    reach = F.max(F.when(F.col("opens"), F.col("shut.pos"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("reached", F.coalesce(F.col("pos") < reach, F.lit(False))).filter("written or needs or opens or reached")
+    t = materialize(t.drop("size", "prev_start", "prev_end", "led_from", "led_by", "made", "anonymous", "statement", "begins", "ends", "final", "packaged", "stated", "body", "arrow", "stop", "stray"), "syntax-imports")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
-    rows = t.filter("import > 0 and stops = 0").groupBy(*keys, "java", "import").agg(parts.alias("parts"), F.min("start").alias("start"), F.max(F.when(stop, F.when(F.col("java") | (F.col("next") != ";"), F.col("end")).otherwise(F.col("next_start") + 1))).alias("end"))
+    last = F.max(F.struct("pos", "token", "start", "end"))
+    rows = t.filter("written").groupBy(*keys, "java", "import").agg(parts.alias("parts"), last.alias("last"), F.min("start").alias("start"), F.max(F.when(stop, F.when(F.col("java") | (F.col("next") != ";"), F.col("end")).otherwise(F.col("next_start") + 1))).alias("end"))
     line = F.array_join("parts", " ")
     rows = rows.filter("end is not null").withColumn("line", line)
     name = r"[\w$]+"
@@ -318,45 +380,49 @@ def imports_in(t: DataFrame, keys: list[str]) -> DataFrame:
     one = lambda n, cond: F.when(cond != "", F.array(binding(F.lit(n), cond))).otherwise(F.array().cast("array<struct<imported_name:string,alias:string>>"))
     bindings = F.when(java, one("", F.lit(""))).otherwise(F.concat(one("default", default), one("*", space), each))
     wild = F.when(java, F.col("line").rlike(r"\* ;$")).otherwise(space != "")
-    module = F.when(java, dotted).otherwise(F.expr("substring(element_at(parts, -1), 2, length(element_at(parts, -1)) - 2)"))
+    # The literal that names a module; Java's names are none.
+    literal = F.when(~java, F.col("last"))
     static = F.when(java & F.col("line").startswith("import static "), F.array(F.lit("static"))).otherwise(F.array().cast("array<string>"))
-    written = rows.select(*keys, module.alias("module"), bindings.alias("bindings"), wild.alias("is_wildcard"), static.alias("modifiers"), "start", "end")
-    # require("m"), also declared as a name, which then stands for the whole module, or as a pattern of its parts.
-    side = Window.partitionBy(*keys, "block", "round").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    declares = F.coalesce(F.last(F.when(token.isin("const", "let", "var"), True).when(token == ";", False), ignorenulls=True).over(side), F.lit(False))
-    t = t.withColumn("declares", declares).withColumn("shut2", F.lead("shut").over(order)).withColumn("next3", F.lead("token", 3).over(order)).withColumn("prev3", F.lag("token", 3).over(order)).withColumn("pos2", F.lag("pos", 2).over(order))
+    listed = rows.select(*keys, F.when(java, dotted).alias("module"), literal.alias("literal"), bindings.alias("bindings"), wild.alias("is_wildcard"), static.alias("modifiers"), "start", "end")
     declared = F.coalesce(F.col("declares") & F.col("prev3").isin("const", "let", "var", ","), F.lit(False))
-    needed = t.filter(~java & (token == "require") & (F.col("next") == "(") & F.col("next2").rlike("^['\"]") & (F.col("next3") == ")") & ~F.coalesce(F.col("prev") == ".", F.lit(False)))
+    needed = t.filter("needs")
     to = F.when(declared & (F.col("prev") == "=") & F.col("prev2").rlike(NAME), F.col("prev2")).otherwise("")
     behind = F.when((F.col("prev") == "=") & (F.col("prev2") == "}"), F.col("pos2"))
-    needed = needed.select(*keys, "pos", behind.alias("closes"), F.expr("substring(next2, 2, length(next2) - 2)").alias("module"), one("*", to).alias("whole"), (to != "").alias("is_wildcard"), "start", F.col("shut2.end").alias("end"))
+    needed = needed.select(*keys, "pos", behind.alias("closes"), F.struct(F.col("text_pos").alias("pos"), F.col("next2").alias("token"), F.col("text_start").alias("start"), F.col("text_end").alias("end")).alias("literal"), one("*", to).alias("whole"), (to != "").alias("is_wildcard"), "start", F.col("shut2.end").alias("end"))
     # The pattern's own tokens are those of the block that its brace opens; a part is a name, or a name, a colon and a name.
-    patterns = t.filter((token == "{") & F.col("declares") & F.col("prev").isin("const", "let", "var", ",")).select(*keys, F.col("pos").alias("block"), F.col("shut.pos").alias("closes"))
+    patterns = t.filter("opens").select(*keys, F.col("pos").alias("block"), F.col("shut.pos").alias("closes"))
     patterns = needed.filter("closes is not null").select(*keys, "closes", F.col("pos").alias("at")).join(patterns, [*keys, "closes"])
-    within = t.select(*keys, "block", "round", "pos", "token").join(patterns, [*keys, "block"])
+    within = t.filter("reached").select(*keys, "block", "round", "pos", "token").join(patterns, [*keys, "block"])
     comma = (token == ",") & (F.col("round") == 0)
     part = F.sum(F.when(comma, 1).otherwise(0)).over(Window.partitionBy(*keys, "at").orderBy("pos"))
     pieces = within.withColumn("part", part).filter(~comma).groupBy(*keys, "at", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("parts"))
     p0, p2 = F.get("parts", F.lit(0)), F.get("parts", F.lit(2))
     short = (F.size("parts") == 1) & p0.rlike(NAME)
     pair = (F.size("parts") == 3) & p0.rlike(NAME) & (F.get("parts", F.lit(1)) == ":") & p2.rlike(NAME)
-    listed = F.array_sort(F.collect_list(F.struct("part", binding(p0, F.when(pair, F.nullif(p2, p0))).alias("binding"))))
-    pieces = pieces.filter(short | pair).groupBy(*keys, F.col("at").alias("pos")).agg(F.transform(listed, lambda x: x["binding"]).alias("named"))
-    required = needed.join(pieces, [*keys, "pos"], "left").select(*keys, "module", F.coalesce("named", "whole").alias("bindings"), "is_wildcard", F.array().cast("array<string>").alias("modifiers"), "start", "end")
-    return written.unionByName(required)
+    named = F.array_sort(F.collect_list(F.struct("part", binding(p0, F.when(pair, F.nullif(p2, p0))).alias("binding"))))
+    pieces = pieces.filter(short | pair).groupBy(*keys, F.col("at").alias("pos")).agg(F.transform(named, lambda x: x["binding"]).alias("named"))
+    required = needed.join(pieces, [*keys, "pos"], "left").select(*keys, F.lit(None).cast("string").alias("module"), "literal", F.coalesce("named", "whole").alias("bindings"), "is_wildcard", F.array().cast("array<string>").alias("modifiers"), "start", "end")
+    out = listed.unionByName(required).withColumn("range", F.struct("start", "end")).drop("start", "end")
+    out = materialize(out.select("*", *[F.col("literal")[c].alias(c) for c in ("pos", "token", "start", "end")]), "syntax-modules")
+    whole = spelled(out, keys, files, content, F.col("literal").isNotNull())
+    module = F.coalesce("module", F.expr("substring(token, 2, length(token) - 2)"))
+    return whole.select(*keys, module.alias("module"), "bindings", "is_wildcard", "modifiers", "range.start", "range.end")
 
 
 def segments(t: DataFrame, keys: list[str], regions: DataFrame) -> DataFrame:
     """Tokens of regions (keys, at, from_pos, to_pos: pos, both exclusive; apart from each other), cut at commas.
 
-    Adds at, segment (from 0), top (in no bracket of any kind within the region) and text (the token, with a blank before it
-    where the source has white space or a comment). Round, square and curly brackets are nested by depth. A < opens a
+    Adds at, segment (from 0) and top (in no bracket of any kind within the region). Round, square and curly brackets are nested by depth. A < opens a
     bracket too, unless an = stands before it in its segment: behind that it compares.
     """
-    opened = regions.select(*keys, F.col("from_pos").alias("pos"), F.struct("at", "from_pos", "to_pos").alias("region"))
-    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = t.select(*keys, "java", "pos", "token", "start", "prev_end", "prev", "prev2").join(opened, [*keys, "pos"], "left").withColumn("region", F.last("region", ignorenulls=True).over(order)).filter("pos < region.to_pos")
-    rows = rows.select(*keys, "java", "pos", "token", "start", "prev_end", "prev", "prev2", "region.at")
+    # A region's row stands behind the token that begins it, among the tokens of its file.
+    columns = ["java", "token", "start", "end", "prev_end", "prev", "prev2"]
+    none = [F.lit(None).cast(t.schema[c].dataType).alias(c) for c in columns]
+    opened = regions.select(*keys, F.col("from_pos").alias("pos"), *none, F.struct("at", "from_pos", "to_pos").alias("region"))
+    both = t.select(*keys, "pos", *columns, F.lit(None).cast(opened.schema["region"].dataType).alias("region")).unionByName(opened)
+    order = Window.partitionBy(*keys).orderBy("pos", F.col("region").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = both.withColumn("region", F.when(F.col("token").isNotNull(), F.last("region", ignorenulls=True).over(order))).filter("pos < region.to_pos")
+    rows = rows.select(*keys, "pos", *columns, "region.at")
     token = F.col("token")
     here = Window.partitionBy(*keys, "at").orderBy("pos")
     upto, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
@@ -369,25 +435,23 @@ def segments(t: DataFrame, keys: list[str], regions: DataFrame) -> DataFrame:
     rows = rows.withColumn("angle", F.sum("turn").over(upto) - F.greatest("turn", F.lit(0)))
     rows = rows.withColumn("top", flat & (F.col("angle") == 0) & (F.col("turn") == 0) & ~token.isin(")", "]", "}", "(", "[", "{"))
     rows = rows.withColumn("segment", F.coalesce(F.sum(F.when(F.col("top") & (token == ","), 1).otherwise(0)).over(before), F.lit(0)))
-    return rows.filter(~(F.col("top") & (token == ","))).withColumn("text", F.concat(F.when(F.col("start") > F.col("prev_end"), " ").otherwise(""), "token"))
+    return rows.filter(~(F.col("top") & (token == ",")))
 
 
 def joined(cond: Column) -> Column:
-    """The text of a group's tokens that meet a condition; null for none."""
-    found = F.array_sort(F.collect_list(F.when(F.coalesce(cond, F.lit(False)), F.struct("pos", "text"))))
+    """The text of a group's tokens that meet a condition, with a blank where the source has white space or a comment; null for none."""
+    text = F.concat(F.when(F.col("start") > F.col("prev_end"), " ").otherwise(""), "token").alias("text")
+    found = F.array_sort(F.collect_list(F.when(F.coalesce(cond, F.lit(False)), F.struct(F.col("pos"), text))))
     return F.nullif(F.trim(F.array_join(F.transform(found, lambda x: x["text"]), "")), F.lit(""))
 
 
-def parameters_of(t: DataFrame, keys: list[str], owners: DataFrame) -> DataFrame:
+def parameters_of(t: DataFrame, marks: DataFrame, keys: list[str], owners: DataFrame, files: DataFrame, content: str) -> DataFrame:
     """keys, at, position, name, type_name, default_value_text of the parameters of callables (keys, at)."""
-    here = Window.partitionBy(*keys).orderBy("pos")
     token = F.col("token")
     opens = F.when(token == "(", F.struct("pos", "shut"))
     first = F.last(opens, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))
-    # A bound arrow's single name has no parentheses: its owner's next parenthesis stands behind the arrow.
-    bare = F.when(F.lead("token", 2).over(here) == "=>", F.lead("pos", 1).over(here)).when((F.col("next") == "async") & (F.lead("token", 3).over(here) == "=>"), F.lead("pos", 2).over(here))
-    at = t.withColumn("first", first).withColumn("bare", F.when(token == "=", bare)).withColumn("bare_from", F.when(F.col("bare").isNotNull(), F.when((F.col("next") == "async") & (F.lead("token", 2).over(here) != "=>"), F.lead("pos", 1).over(here)).otherwise(F.col("pos")))).join(owners.select(*keys, F.col("at").alias("pos")), [*keys, "pos"], "left_semi")
-    regions = at.filter("bare is not null or first.shut is not null").select(*keys, F.col("pos").alias("at"), F.coalesce("bare_from", "first.pos").alias("from_pos"), F.coalesce(F.col("bare") + 1, "first.shut.pos").alias("to_pos"))
+    at = marks.select(*keys, "pos", "token", "shut", "bare").withColumn("first", first).join(owners.select(*keys, F.col("at").alias("pos")), [*keys, "pos"], "left_semi")
+    regions = at.filter("bare is not null or first.shut is not null").select(*keys, F.col("pos").alias("at"), F.coalesce("bare.from_pos", "first.pos").alias("from_pos"), F.coalesce("bare.to_pos", "first.shut").alias("to_pos"))
     rows = segments(t, keys, regions)
     each = Window.partitionBy(*keys, "at", "segment")
     mark = lambda x: F.min(F.when(F.col("top") & (token == x), F.col("pos"))).over(each)
@@ -407,53 +471,107 @@ def parameters_of(t: DataFrame, keys: list[str], owners: DataFrame) -> DataFrame
     rows = rows.withColumn("own", F.when(F.col("receiver"), F.coalesce(before_dot, "own")).otherwise(F.col("own")))
     is_name = F.when(java, F.when(F.col("receiver"), F.col("pos") >= F.col("own")).otherwise(F.col("pos") == F.col("own"))).otherwise((F.col("pos") < F.col("colon")) & F.col("plain") & ~token.isin("...", "?"))
     is_type = F.when(java, F.col("plain") & ((F.col("pos") < F.col("own")) | ~F.col("receiver") & (F.col("pos") > F.col("own")))).otherwise((F.col("pos") > F.col("colon")) & (F.col("pos") < F.col("eq")))
-    rows = rows.withColumn("is_name", is_name).withColumn("is_type", is_type)
-    out = rows.groupBy(*keys, "at", F.col("segment").cast("int").alias("position")).agg(joined(F.col("is_name")).alias("name"), joined(F.col("is_type")).alias("type_name"), joined(~F.col("java") & (F.col("pos") > F.col("eq"))).alias("default_value_text"))
+    is_default = ~java & (F.col("pos") > F.col("eq"))
+    rows = rows.select(*keys, "at", "segment", "pos", "token", "start", "end", "prev_end", is_name.alias("is_name"), is_type.alias("is_type"), is_default.alias("is_default"))
+    rows = spelled(materialize(rows.filter("is_name or is_type or is_default"), "syntax-parameters"), keys, files, content, F.lit(True))
+    out = rows.groupBy(*keys, "at", F.col("segment").cast("int").alias("position")).agg(joined(F.col("is_name")).alias("name"), joined(F.col("is_type")).alias("type_name"), joined(F.col("is_default")).alias("default_value_text"))
     return out.filter("name is not null")
 
 
-def supertypes_of(t: DataFrame, keys: list[str], owners: DataFrame) -> DataFrame:
+def supertypes_of(t: DataFrame, marks: DataFrame, keys: list[str], owners: DataFrame, files: DataFrame, content: str) -> DataFrame:
     """keys, at, relation (base, implemented), position, type_name of the types (keys, at) named behind extends and implements."""
-    at = t.filter("what = 'type'").join(owners.select(*keys, F.col("at").alias("pos")), [*keys, "pos"], "left_semi")
-    rows = segments(t, keys, at.select(*keys, F.col("pos").alias("at"), F.col("pos").alias("from_pos"), F.col("body.pos").alias("to_pos")))
+    at = marks.filter("head.role = 'type'").join(owners.select(*keys, F.col("at").alias("pos")), [*keys, "pos"], "left_semi")
+    rows = segments(t, keys, at.select(*keys, F.col("pos").alias("at"), F.col("pos").alias("from_pos"), F.col("head.body").alias("to_pos")))
     token = F.col("token")
     clause = F.col("top") & token.isin("extends", "implements", "permits")
     order = Window.partitionBy(*keys, "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("clause", F.last(F.when(clause, token), ignorenulls=True).over(order)).withColumn("n", F.sum(F.when(clause, 1).otherwise(0)).over(order)).filter(~clause & F.col("clause").isin("extends", "implements"))
+    rows = spelled(materialize(rows.select(*keys, "at", "clause", "n", "segment", "pos", "token", "start", "end", "prev_end"), "syntax-supertypes"), keys, files, content, F.lit(True))
     named = rows.groupBy(*keys, "at", "clause", "n", "segment").agg(joined(F.lit(True)).alias("type_name")).filter("type_name is not null")
     place = F.row_number().over(Window.partitionBy(*keys, "at", "clause").orderBy("segment")) - 1
     return named.select(*keys, "at", F.when(F.col("clause") == "extends", "base").otherwise("implemented").alias("relation"), place.alias("position"), "type_name")
 
 
-def facts(files: DataFrame, keys: list[str], content: str = "content", language: str = "language") -> Facts:
-    """Symbols, calls, imports and issues of Java (language java) and ECMAScript (any other) files; null content has none.
+class Facts:
+    """Each with the keys: symbols, calls, imports and issues of the files; parameters and supertypes of the symbols. Computed when asked for.
 
     symbols: kind, name, qualified_name, parent_qualified_name, start, end, modifiers. calls: caller, callee, kind, start, end; the
     caller is the innermost callable around, unless a type or a barrier lies between. A scope that an issue touches is a barrier.
     """
-    t = materialize(marked_heads(structured(files, keys, content, language), keys), "syntax-tokens")
-    issues = materialize(syntax_issues(t, keys), "syntax-issues")
-    found = materialize(heads(t, keys), "syntax-heads")
-    imports = imports_in(t, keys)
-    package = t.filter("java and token = 'package' and block = -1").select(*keys, F.col("statement").alias("s"))
-    names = t.filter("block = -1").join(package, keys).filter("statement = s and token not in ('package', ';')").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "").alias("package"))
-    names = names.withColumn("package", F.regexp_extract("package", r"([\w$.]+)$", 1))
-    sites = call_sites(t, keys).join(found.filter("at is not null").select(*keys, "at"), [*keys, "at"], "left_anti")
-    sites = sites.join(found.filter("role = 'callable' and kind <> 'function'").select(*keys, F.col("at")), [*keys, "at"], "left_anti")
-    hurt = unsafe(found.select(*keys, "start", "end", "at"), issues, keys).select(*keys, "at", F.lit(True).alias("hurt")).distinct()
-    scopes = found.join(hurt, [*keys, "at"], "left").withColumn("role", F.when(F.coalesce("hurt", F.lit(False)), F.when(F.col("role") == "constant", "gone").otherwise("barrier")).otherwise(F.col("role"))).filter("role <> 'gone'")
-    rows = scopes.select(*keys, "role", "kind", "name", "start", "end", "at", "modifiers", F.lit(None).cast("string").alias("callee"), F.lit(False).alias("unowned"))
-    rows = rows.unionByName(sites.select(*keys, F.lit("call").alias("role"), "kind", F.lit("").alias("name"), "start", "end", "at", F.lit(None).cast("array<string>").alias("modifiers"), "callee", "unowned"))
-    rows = rows.withColumn("id", F.concat_ws(":", "role", "at")).withColumn("holds", F.col("role").isin("type", "callable", "barrier"))
-    placed = materialize(ancestors(rows, keys, "id", ["role", "name"], "holds").join(names, keys, "left"), "syntax-placed")
-    free = ~F.exists("above", lambda a: a["role"] == "barrier")
-    path = F.concat_ws(".", "package", F.nullif(F.array_join(F.transform("above", lambda a: a["name"]), "."), F.lit("")))
-    above = F.when(F.size("above") > 0, path)
-    symbols = placed.filter(F.col("role").isin("type", "callable", "constant") & free).select(*keys, "at", "role", "kind", "name", F.concat_ws(".", F.nullif(path, F.lit("")), "name").alias("qualified_name"), above.alias("parent_qualified_name"), "start", "end", "modifiers")
-    owner = F.when(free & ~F.col("unowned") & (F.try_element_at("above", F.lit(-1))["role"] == "callable"), path)
-    calls = placed.filter("role = 'call'").select(*keys, owner.alias("caller"), "callee", "kind", "start", "end")
-    symbols = symbols.distinct()
-    known = symbols.select(*keys, "at", "qualified_name", F.col("start").alias("owner_start"))
-    parameters = parameters_of(t, keys, symbols.filter("role = 'callable'")).join(known, [*keys, "at"]).select(*keys, "qualified_name", "owner_start", "position", "name", "type_name", "default_value_text")
-    supertypes = supertypes_of(t, keys, symbols.filter("role = 'type'")).join(known, [*keys, "at"]).select(*keys, "qualified_name", "owner_start", "relation", "position", "type_name")
-    return Facts(symbols.drop("at", "role"), calls, imports, issues, parameters, supertypes)
+
+    def __init__(self, files: DataFrame, keys: list[str], content: str, language: str):
+        self.files, self.keys, self.content, self.language = files, keys, content, language
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        size = self.files.agg(F.sum(F.octet_length(self.content))).first()[0] or 0
+        return tokens(self.files, self.keys, self.content, self.language, -(-size // PART_BYTES) or 1)
+
+    @cached_property
+    def marks(self) -> DataFrame:
+        return materialize(marks_of(structured(self.tokens, self.keys), self.keys), "syntax-marks")
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        return materialize(syntax_issues(self.marks, self.keys), "syntax-issues")
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return imports_in(structured(self.tokens, self.keys), self.keys, self.files, self.content)
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """Scopes, constants and calls with the package and what is above them."""
+        keys, marks = self.keys, self.marks
+        found = materialize(heads(marks, keys), "syntax-heads")
+        names = marks.filter("packaged").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "").alias("package"))
+        names = names.withColumn("package", F.regexp_extract("package", r"([\w$.]+)$", 1))
+        sites = marks.filter("site is not null").select(*keys, "site.*").join(found.filter("at is not null").select(*keys, "at"), [*keys, "at"], "left_anti")
+        hurt = unsafe(found.select(*keys, "start", "end", "at"), self.issues, keys).select(*keys, "at", F.lit(True).alias("hurt")).distinct()
+        scopes = found.join(hurt, [*keys, "at"], "left").withColumn("role", F.when(F.coalesce("hurt", F.lit(False)), F.when(F.col("role") == "constant", "gone").otherwise("barrier")).otherwise(F.col("role"))).filter("role <> 'gone'")
+        rows = scopes.select(*keys, "role", "kind", "name", "start", "end", "at", "modifiers", F.lit(None).cast("string").alias("callee"), F.lit(False).alias("unowned"))
+        rows = rows.unionByName(sites.select(*keys, F.lit("call").alias("role"), "kind", F.lit("").alias("name"), "start", "end", "at", F.lit(None).cast("array<string>").alias("modifiers"), "callee", "unowned"))
+        rows = rows.withColumn("id", F.concat_ws(":", "role", "at")).withColumn("holds", F.col("role").isin("type", "callable", "barrier"))
+        placed = materialize(ancestors(rows, keys, "id", ["role", "name"], "holds").join(names, keys, "left"), "syntax-placed")
+        path = F.concat_ws(".", "package", F.nullif(F.array_join(F.transform("above", lambda a: a["name"]), "."), F.lit("")))
+        return placed.withColumn("free", ~F.exists("above", lambda a: a["role"] == "barrier")).withColumn("path", path)
+
+    @cached_property
+    def declared(self) -> DataFrame:
+        """The symbols with their role and the pos of their name or keyword."""
+        above = F.when(F.size("above") > 0, F.col("path"))
+        rows = self.placed.filter(F.col("role").isin("type", "callable", "constant") & F.col("free"))
+        return rows.select(*self.keys, "at", "role", "kind", "name", F.concat_ws(".", F.nullif("path", F.lit("")), "name").alias("qualified_name"), above.alias("parent_qualified_name"), "start", "end", "modifiers").distinct()
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return self.declared.drop("at", "role")
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        owner = F.when(F.col("free") & ~F.col("unowned") & (F.try_element_at("above", F.lit(-1))["role"] == "callable"), F.col("path"))
+        return self.placed.filter("role = 'call'").select(*self.keys, owner.alias("caller"), "callee", "kind", "start", "end")
+
+    def of_symbols(self, rows: DataFrame, *columns: str) -> DataFrame:
+        known = self.declared.select(*self.keys, "at", "qualified_name", F.col("start").alias("owner_start"))
+        return rows.join(known, [*self.keys, "at"]).select(*self.keys, "qualified_name", "owner_start", *columns)
+
+    @cached_property
+    def neighbours(self) -> DataFrame:
+        order = Window.partitionBy(*self.keys).orderBy("pos")
+        return self.tokens.withColumns({"prev": F.lag("token").over(order), "prev2": F.lag("token", 2).over(order), "prev_end": F.lag("end").over(order)})
+
+    @cached_property
+    def parameters(self) -> DataFrame:
+        found = parameters_of(self.neighbours, self.marks, self.keys, self.declared.filter("role = 'callable'"), self.files, self.content)
+        return self.of_symbols(found, "position", "name", "type_name", "default_value_text")
+
+    @cached_property
+    def supertypes(self) -> DataFrame:
+        found = supertypes_of(self.neighbours, self.marks, self.keys, self.declared.filter("role = 'type'"), self.files, self.content)
+        return self.of_symbols(found, "relation", "position", "type_name")
+
+
+def facts(files: DataFrame, keys: list[str], content: str = "content", language: str = "language") -> Facts:
+    """Facts of Java (language java) and ECMAScript (any other) files; null content has none."""
+    return Facts(files, keys, content, language)

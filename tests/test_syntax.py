@@ -209,3 +209,14 @@ def test_one_long_file(spark):
     source = "class A {\n" + "".join(f"  int f{k}() {{ return g{k}(h(1)); }}\n" for k in range(3000)) + "}\n"
     f = syntax.facts(spark.createDataFrame([("a", "java", source)], "file string, language string, content string"), ["file"])
     assert f.symbols.count() == 3001 and f.calls.filter(F.col("caller").startswith("A.f")).count() == 6000 and f.issues.count() == 0
+
+
+def test_long_literals_stay_in_their_file(spark):
+    """Tokens hold no long text, facts do; imports alone need no marks of symbols."""
+    long = "m" * 500
+    source = f'import a from "{long}1";\nconst b = require("{long}2");\nfunction f(x = "{long}3", y = `é{long}4`) {{ g("{long}5"); }}\n/* {long} */\n'
+    f = syntax.facts(spark.createDataFrame([("a", "javascript", source)], "file string, language string, content string"), ["file"])
+    assert sorted(r["module"] for r in f.imports.collect()) == [long + "1", long + "2"]
+    assert "marks" not in vars(f)
+    assert f.tokens.agg(F.max(F.octet_length("token"))).first()[0] <= syntax.LONG
+    assert [r["default_value_text"] for r in f.parameters.orderBy("position").collect()] == [f'"{long}3"', f"`é{long}4`"]
