@@ -62,8 +62,9 @@ MODIFIERS = (
 
 def normalized_modifiers(values: Column) -> Column:
     """Known modifiers in lower case, each once, in the vocabulary's order."""
-    lowered = F.transform(values, F.lower)
-    return F.filter(F.array(*[F.lit(m) for m in MODIFIERS]), lambda m: F.array_contains(lowered, m))
+    # The list is lowered and reduced once a row; within a filter of the vocabulary it would be lowered anew for each modifier.
+    known = F.array(*[F.lit(m) for m in MODIFIERS])
+    return F.coalesce(F.array_intersect(known, F.transform(values, F.lower)), F.array().cast("array<string>"))
 
 
 def printable(text: Column) -> Column:

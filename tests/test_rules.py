@@ -102,3 +102,15 @@ def test_inventories_have_an_order(spark):
     got = ci.ordered_inventory(ci.Inventory(rows, rows, rows))
     for part in (got.files, got.ignored, got.skipped_dirs):
         assert [r["relative_path"] for r in part.collect()] == sorted(names, key=lambda p: (p.casefold(), p))
+
+
+def test_modifiers_are_lowered_once(spark):
+    """The list is lowered once a row, not once a modifier; nulls and repeated words change nothing."""
+    from pyspark.sql import functions as F
+
+    from cairn.functions.text import normalized_modifiers
+
+    rows = spark.createDataFrame([(1, ["STATIC", "x", None, "public", "static"]), (2, None), (3, [])], "id int, w array<string>")
+    found = rows.select("id", normalized_modifiers(F.col("w")).alias("m"))
+    assert {r["id"]: r["m"] for r in found.collect()} == {1: ["public", "static"], 2: [], 3: []}
+    assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
