@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.search import FOUND, block_best, block_scores, k_best, unit
+from cairn.operators.search import FOUND, k_best, strips_best, unit
 from cairn.session import discard, materialize
 
 #: A ring's width in radians: 32 rings from 0 to pi.
@@ -143,10 +143,8 @@ def searched(clusters: Clusters, visited: DataFrame, k: int, block: int, query_b
     asked = visited.join(deal, "cluster").select("cluster", every("shards").alias("shard"), number("query_id", "parts").alias("part"), "query_id", "v", "rings")
 
     def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        score = block_scores(q["v"], c["v"]) if len(q) and len(c) else np.empty((0, 0))
-        if len(score):
-            score[~np.stack([np.isin(c["ring"], rings) for rings in q["rings"]])] = -1
-        return block_best(score, q["query_id"].to_numpy()[: len(score)], c["vec_id"].to_numpy(), k)
+        allowed = lambda at, to: np.stack([np.isin(c["ring"], rings) for rings in q["rings"].iloc[at:to]])
+        return strips_best(q, c, k, allowed)
 
     keys = ["cluster", "shard", "part"]
     return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(nearest, FOUND)

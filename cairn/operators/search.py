@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,9 +41,13 @@ def unit(values: pd.Series) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-def block_scores(queries: pd.Series, vectors: pd.Series) -> np.ndarray:
-    """Scores to six decimals of a block of queries (rows) and a block of vectors (columns), by the rule of `score_of`."""
-    d = 1 - unit(queries) @ unit(vectors).T
+#: Cells of a matrix of scores that are held at once, 8 MB of doubles.
+CELLS = 1 << 20
+
+
+def unit_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores to six decimals of unit vectors (rows of a, rows of b), by the rule of `score_of`."""
+    d = 1 - a @ b.T
     d = np.where(np.abs(d) <= 1e-6, 0.0, np.where(np.abs(d - 2) <= 1e-6, 2.0, d))
     if not ((d >= 0) & (d <= 2)).all():
         raise ValueError("distance outside [0, 2]")
@@ -59,6 +65,23 @@ def block_best(score: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int
     return found[found["score"] >= 0]
 
 
+def strips_best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, allowed: Callable[[int, int], np.ndarray] | None = None) -> pd.DataFrame:
+    """The k best vectors (vec_id, v) of a block for each query (query_id, v) of a block, a strip of the scores at a time.
+
+    allowed: of a range of queries, which vectors take part for each.
+    """
+    ids, query_ids, out = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy(), [block_best(np.empty((0, 0)), [], [], k)]
+    if len(ids) and len(query_ids):
+        a, b = unit(queries["v"]), unit(vectors["v"])
+        step = max(1, CELLS // len(ids))
+        for at in range(0, len(a), step):
+            score = unit_scores(a[at : at + step], b)
+            if allowed:
+                score[~allowed(at, at + step)] = -1
+            out.append(block_best(score, query_ids[at : at + step], ids, k))
+    return pd.concat(out, ignore_index=True)
+
+
 def k_best(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query among those its blocks found."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -71,7 +94,7 @@ FOUND = "query_id long, vec_id long, score double"
 def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 16_384, query_block: int = 1024) -> DataFrame:
     """query_id, vec_id and score of the k nearest of each query, for any number of queries.
 
-    Vectors and queries are dealt over blocks; a task takes a block of each, multiplies their matrices and keeps k rows a
+    Vectors and queries are dealt over blocks; a task takes a block of each, multiplies their matrices strip by strip and keeps k rows a
     query. Scores are rounded to six decimals before ties go to the smaller id.
     """
     n, n_queries = vectors.count(), queries.count()
@@ -82,7 +105,6 @@ def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int
     asked = queries.select(every(shards).alias("shard"), deal("vec_id", parts).alias("part"), F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
 
     def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        score = block_scores(q["v"], c["v"]) if len(q) and len(c) else np.empty((0, 0))
-        return block_best(score, q["query_id"].to_numpy()[: len(score)], c["vec_id"].to_numpy(), k)
+        return strips_best(q, c, k)
 
     return k_best(asked.groupBy("shard", "part").cogroup(rows.groupBy("shard", "part")).applyInPandas(nearest, FOUND), k)

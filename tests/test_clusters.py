@@ -66,3 +66,26 @@ def test_float32_never_overflows_in_silence(spark):
     assert of(3.4028235e38) == [pytest.approx(3.4028235e38)]
     with pytest.raises(Exception, match="beyond float32"):
         of(1e39)
+
+
+def test_a_block_is_scored_by_strips(monkeypatch):
+    """No matrix of all scores of a block is held, and strips give the same rows."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(3000, 8))
+    vectors = pd.DataFrame({"vec_id": np.arange(3000), "v": list(m)})
+    queries = pd.DataFrame({"query_id": np.arange(1000), "v": list(m[:1000])})
+    monkeypatch.setattr(search, "CELLS", 1 << 16)
+    tracemalloc.start()
+    found = search.strips_best(queries, vectors, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 3000 * 1000
+    whole = search.block_best(search.unit_scores(search.unit(queries["v"]), search.unit(vectors["v"])), queries["query_id"].to_numpy(), vectors["vec_id"].to_numpy(), 3)
+    assert found.values.tolist() == whole.values.tolist()
+    some = search.strips_best(queries, vectors, 3, lambda at, to: np.tile(np.arange(3000) % 2 == 0, (min(to, 1000) - at, 1)))
+    assert set(some["vec_id"] % 2) == {0} and len(some) == 3000
+    assert not len(search.strips_best(queries[:0], vectors, 3)) and not len(search.strips_best(queries, vectors[:0], 3))
