@@ -77,22 +77,28 @@ def http_error_class(status: Column) -> Column:
     )
 
 
-def embed(documents: DataFrame, provider: Provider, text: str = "text") -> DataFrame:
-    """documents with `embedding`, float32; batches of at most provider.max_batch_size, each answer checked for size."""
+def embed(documents: DataFrame, provider: Provider, text: str = "text", known: Column | None = None) -> DataFrame:
+    """documents with `embedding`, float32; batches of at most provider.max_batch_size, each answer checked for size.
+
+    A row with a known vector keeps it, and its text isn't sent.
+    """
 
     @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out: list[list[float]] = []
-            for at in range(0, len(batch), provider.max_batch_size):
-                texts = batch.iloc[at : at + provider.max_batch_size].tolist()
+    def vectors(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch, kept in batches:
+            out, asked = kept.tolist(), [i for i, v in enumerate(kept) if v is None]
+            for at in range(0, len(asked), provider.max_batch_size):
+                rows = asked[at : at + provider.max_batch_size]
+                texts = batch.iloc[rows].tolist()
                 answer = with_retries(lambda texts=texts: provider.embed_documents(texts))
                 if len(answer) != len(texts) or any(len(v) != provider.dimensions for v in answer):
                     raise ValueError("the provider's answer has another shape")
-                out += answer
-            yield pd.Series(out, index=batch.index)
+                for i, v in zip(rows, answer):
+                    out[i] = v
+            yield pd.Series(out, index=batch.index, dtype=object)
 
-    return documents.withColumn("embedding", vectors(F.col(text)))
+    none = F.lit(None).cast("array<float>")
+    return documents.withColumn("embedding", vectors(F.col(text), none if known is None else known))
 
 
 def vector_valid(vector: Column, dimensions: int) -> Column:

@@ -187,12 +187,13 @@ def synchronize(index: VectorIndex, namespace: str, chunks: DataFrame, provider:
             if active and counters["status"] == "unchanged":
                 return counters
             counters["status"] = "success"
-            wanted = chunks.join(diff.filter("class in ('new', 'updated')").select("chunk_id"), "chunk_id", "left_semi")
-            rows = embed(wanted.withColumn("namespace", F.lit(namespace)), provider).select(*columns)
-            if active:
-                # A kept chunk keeps its vector alone; what is said of it is that of now.
-                kept = chunks.join(diff.filter("class = 'unchanged'").select("chunk_id"), "chunk_id", "left_semi").withColumn("namespace", F.lit(namespace))
-                rows = kept.join(stored.select("chunk_id", "embedding"), "chunk_id").select(*columns).unionByName(rows)
+            # Contents are dealt once at most: not at all where every chunk is embedded. A kept chunk keeps its vector alone.
+            rows, known = chunks.withColumn("namespace", F.lit(namespace)), None
+            if compatible:
+                kept = stored.select("chunk_id", "embedding").join(diff.filter("class = 'unchanged'").select("chunk_id"), "chunk_id", "left_semi")
+                rows = rows.drop("embedding").join(kept.withColumnRenamed("embedding", "__known"), "chunk_id", "left").withColumn("text", F.when(F.col("__known").isNull(), F.col("text")))
+                known = F.col("__known")
+            rows = embed(rows, provider, known=known).select(*columns)
             generation = index.begin(namespace)
             try:
                 rows.write.parquet(str(index.home(namespace) / generation))

@@ -223,3 +223,13 @@ def test_diff_of_two_hundred(spark):
     side = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("chunk_id"), F.lit("h").alias("content_hash"))
     counts = {r["class"]: r["count"] for r in sync.sync_diff(side(0, 200), side(100, 300)).groupBy("class").count().collect()}
     assert counts == {"unchanged": 100, "new": 100, "deleted": 100}
+
+
+def test_known_vectors_are_kept(spark):
+    """One pass embeds what has no vector and keeps what has one, whose text isn't sent."""
+    from cairn.operators.embed import HashProvider, embed
+
+    provider = HashProvider(2)
+    rows = spark.createDataFrame([(1, "a", None), (2, None, [0.25, 0.5]), (3, "c", None)], "id int, text string, v array<float>").coalesce(1)
+    got = {r["id"]: r["embedding"] for r in embed(rows, provider, known=F.col("v")).collect()}
+    assert got[2] == [0.25, 0.5] and all(got[k] == pytest.approx(provider.embed_query(t)) for k, t in ((1, "a"), (3, "c")))
