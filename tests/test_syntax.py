@@ -220,3 +220,18 @@ def test_long_literals_stay_in_their_file(spark):
     assert "marks" not in vars(f)
     assert f.tokens.agg(F.max(F.octet_length("token"))).first()[0] <= syntax.LONG
     assert [r["default_value_text"] for r in f.parameters.orderBy("position").collect()] == [f'"{long}3"', f"`é{long}4`"]
+
+
+def test_what_stands_before_a_package(spark):
+    """Annotations are no part of its name; an import may end a file without a semicolon."""
+    rows = [("p", "java", "@A package a.b;\nclass C { void f() { g(); } }"), ("i", "javascript", 'import x from "m"')]
+    f = syntax.facts(spark.createDataFrame(rows, "file string, language string, content string"), ["file"])
+    assert sorted(r["qualified_name"] for r in f.symbols.collect()) == ["a.b.C", "a.b.C.f"]
+    assert [(r["module"], r["start"], r["end"]) for r in f.imports.collect()] == [("m", 0, 17)]
+
+
+def test_marks_are_sorted_few_times(spark):
+    """The step of marks costs time by its sorts and by how many tokens they carry: most tokens are dropped before brackets are matched."""
+    files = spark.createDataFrame([("a", "java", "class A { int f() { return a + b * c - d.e / g(h); } }")], "file string, language string, content string")
+    plan = syntax.marks_of(syntax.tokens(files, ["file"], "content", "language", 1, back=11), ["file"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 7 and plan.count("Exchange") <= 1
