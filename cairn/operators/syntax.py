@@ -5,11 +5,11 @@ and square brackets within each block, so an error in one statement doesn't unse
 an issue with a range. Scopes are types, callables and barriers; a scope that an issue touches is a barrier: nothing in
 it is a symbol and its calls have no owner.
 
-Files are dealt by their keys once, as light tokens, in as many partitions as their bytes need; all windows keep to that.
-Texts of literals and comments never travel with the tokens: what a fact needs of a long literal is cut out of its file
-afterwards. What a token and those beside it tell is reduced to a few columns at once, and tokens on which no fact depends are
-dropped before brackets are matched. Only the rows that make facts are written down, and a fact that nobody asks for isn't
-computed. Expressions are spread over steps small enough for Java to compile what Spark generates for each (8,000 bytes).
+Files are dealt by their keys once, as light tokens, in as many partitions as their bytes need. What surrounds a token
+comes from array operations over batches of files (brackets.surround), so tokens are neither sorted nor joined; which
+facts follow is told by columns, and owners by joins and windows over facts. Texts of literals and comments never travel
+with the tokens: what a fact needs of a long literal is cut out of its file afterwards. Only the rows that make facts
+are written down, and a fact that nobody asks for isn't computed.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import MODIFIERS, byte_slice
+from cairn.operators.brackets import surrounded
 from cairn.operators.intervals import ancestors, unsafe
 from cairn.session import materialize
 
@@ -77,11 +78,11 @@ def is_name(token: Column) -> Column:
     return first.between(ord("a"), ord("z")) | first.between(ord("A"), ord("Z")) | first.isin(ord("_"), ord("$"))
 
 
-def tokens(files: DataFrame, keys: list[str], content: str, language: str, parts: int, back: int = 0) -> DataFrame:
-    """keys, java, pos and token of every token; size and total: its bytes, and those with the white space and comments before it.
+def tokens(files: DataFrame, keys: list[str], content: str, language: str, parts: int, kept_only: bool = False) -> DataFrame:
+    """keys, java, and of every token but comments what brackets.FIELDS lists; a byte order mark counts in the offsets.
 
-    A literal of over LONG bytes stands as two quotes, so its token is shorter than its size. Rows are dealt by the keys. A byte
-    order mark is white space. With back, a parenthesis that opens has the array of so many tokens before it, the nearest first.
+    A literal of over LONG bytes stands as two quotes, so its token is shorter than its range. Rows are dealt by the keys. With
+    kept_only, tokens are left out on which no fact of marks_of() depends.
     """
     pieces = F.regexp_extract_all(F.col(content), F.lit(rf"{GAP}(?:{TOKEN}|\z)"), F.lit(0))
     bulky = lambda x: (F.octet_length(x) > LONG) & F.substring(x, 1, 1).isin('"', "'", "`", "/")
@@ -90,11 +91,16 @@ def tokens(files: DataFrame, keys: list[str], content: str, language: str, parts
     dealt = files.select(*keys, (F.col(language) == "java").alias("java"), pieces.alias("pieces"))
     cut = F.transform(F.transform("pieces", lambda x: F.struct(bare(x).alias("token"), F.octet_length(x).alias("total"))), lambda y: F.struct(short(y["token"]).alias("token"), F.octet_length(y["token"]).alias("size"), y["total"].alias("total")))
     dealt = dealt.select(*keys, "java", cut.alias("pieces")).repartition(parts, *keys)
-    each = F.col("pieces")
-    if back:
-        before = lambda i: F.reverse(F.slice("pieces", F.greatest(F.lit(1), i + 1 - back), F.least(i, F.lit(back))))
-        each = F.transform("pieces", lambda x, i: F.struct(x["token"].alias("token"), x["size"].alias("size"), x["total"].alias("total"), F.when(x["token"] == "(", before(i)).alias("back")))
-    return dealt.select(*keys, "java", F.posexplode(each).alias("pos", "piece")).select(*keys, "java", "pos", "piece.*").filter("token <> ''")
+    bit = {w: 1 << k for k, w in enumerate(MODIFIERS)}
+    run = {w: bit[w] for w in LEADING if w not in "*#"} | {"export": bit["export"], "default": bit["default"], "*": bit["generator"]}
+    words = {
+        "link": (".", "<", ">", ",", "?", "&", "..."), "keyword": KEYWORDS, "leading": LEADING, "run": (*LEADING, *BETWEEN),
+        "facts": ("class", "interface", "enum", "record", "namespace", "module", "function", "non", "=", ",", "=>", '"', "'", "`", *JAVA_MODIFIERS),
+    }
+    # Arrow batches end by bytes: a token's row of what surrounds it is wider than the token.
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+    placed = surrounded("pieces", words=words, said={w: bit[w] for w in JAVA_MODIFIERS} | {"non": bit["non-sealed"]}, run=run, kept_only=kept_only)
+    return dealt.select(*keys, "java", F.inline(placed))
 
 
 def spelled(rows: DataFrame, keys: list[str], files: DataFrame, content: str, wanted: Column) -> DataFrame:
@@ -106,264 +112,106 @@ def spelled(rows: DataFrame, keys: list[str], files: DataFrame, content: str, wa
     return rows.join(texts, [*keys, "pos"], "left").withColumn("token", F.coalesce("__whole", "token")).drop("__whole")
 
 
-def neighbours(t: DataFrame, keys: list[str]) -> DataFrame:
-    """tokens() with start and end (bytes), the tokens beside (prev, prev2, next, next2, next3; empty at the ends) and where they begin and end.
+def marks_of(t: DataFrame, keys: list[str]) -> DataFrame:
+    """The tokens that make a fact: keys, pos, token, block, shut (pos) and head, site, fault, packaged.
 
-    last: where the file's last token ends; d: how many braces are open behind a token, less those closed.
-    """
-    token, order = F.col("token"), Window.partitionBy(*keys).orderBy("pos")
-    upto, file = (order.rowsBetween(Window.unboundedPreceding, k) for k in (0, Window.unboundedFollowing))
-    beside = {"prev": F.lag("token", 1, ""), "prev2": F.lag("token", 2, ""), "next": F.lead("token", 1, ""), "next2": F.lead("token", 2, ""), "next3": F.lead("token", 3, ""), "gap": F.lead(F.col("total") - F.col("size")), "size_before": F.lag("size")}
-    braces = F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
-    t = t.withColumns({k: v.over(order) for k, v in beside.items()} | {"end": F.sum("total").over(upto), "last": F.sum("total").over(file), "d": F.sum(braces).over(upto)})
-    t = t.withColumns({"start": F.col("end") - F.col("size"), "prev_end": F.col("end") - F.col("total"), "next_start": F.col("end") + F.col("gap")})
-    return t.withColumn("prev_start", F.col("prev_end") - F.col("size_before")).drop("gap", "size_before", "size", "total")
-
-
-def callee() -> Column:
-    """Of the tokens before a parenthesis, back, a name with the names and dots before it, four at most: callee, start, called (whether that may be called), and leads and leads2, which stand before."""
-    at = lambda k: F.coalesce(F.get("back", F.lit(k))["token"], F.lit(""))
-    one = lambda k: (at(k - 1) == ".") & is_name(at(k)) & ~at(k).isin(*KEYWORDS)
-    chained = F.when(~one(2), 1).when(~one(4), 3).when(~one(6), 5).when(~one(8), 7).otherwise(9)
-    taken = F.slice("back", F.lit(1), chained)
-    # It begins behind what stands before its first token.
-    begin = F.col("prev_end") - F.aggregate(taken, F.lit(0), lambda n, x: n + x["total"]) + F.element_at(taken, -1)["total"] - F.element_at(taken, -1)["size"]
-    beyond = lambda k: F.coalesce(F.get("back", chained + k)["token"], F.lit(""))
-    named = F.array_join(F.reverse(F.transform(taken, lambda x: x["token"])), "")
-    called = is_name(at(0)) & ~at(0).isin(*KEYWORDS) & (~at(0).isin(*CONTROL) | ~F.col("java") & at(0).isin("super", "import"))
-    return F.when(F.size("back") > 0, F.struct(named.alias("callee"), begin.alias("start"), called.alias("called"), beyond(0).alias("leads"), beyond(1).alias("leads2")))
-
-
-def levels() -> dict[str, Column]:
-    """Of d and its least value before a token, least. stray: a closing brace without a partner, as it brings the depth to a new minimum below zero; level: how many braces are open around a token."""
-    least = F.least(F.lit(0), F.coalesce("least", F.lit(0)))
-    inner = F.col("d") - F.least(least, "d")
-    return {"stray": (F.col("token") == "}") & (F.col("d") < least), "level": F.when(F.col("token") == "{", inner - 1).otherwise(inner).cast("int")}
-
-
-def nested(t: DataFrame, keys: list[str]) -> DataFrame:
-    """Tokens, of which some but no bracket may be missing, with what encloses them. Takes pos, token, end, next, level, stray and, of parentheses, made.
-
-    block: pos of the innermost open brace, -1 at the top; round: how many parentheses and square brackets of the block are
-    open before; shut: pos, end and next token of an opening bracket's partner; stray: a bracket without one; made_by: made of
-    a closing parenthesis' partner. Rows come in the order of their blocks.
-    """
-    token = F.col("token")
-    # A token's block is opened by the last brace a level above; an opening brace is met there too, so it is listed twice.
-    member = F.struct((F.col("level") - 1).alias("in_level"), F.lit(False).alias("opens"))
-    t = t.withColumn("role", F.explode(F.when(token == "{", F.array(F.struct(F.col("level").alias("in_level"), F.lit(True).alias("opens")), member)).otherwise(F.array(member))))
-    t = t.select("*", "role.*").drop("role", "level")
-    opened = Window.partitionBy(*keys, "in_level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("block", F.coalesce(F.last(F.when(F.col("opens"), F.col("pos")), ignorenulls=True).over(opened), F.lit(-1))).filter(~F.col("opens")).drop("opens", "in_level")
-    # Within a block the row behind an opening brace is its partner. Parentheses and square brackets: the same depths, block by block.
-    block = Window.partitionBy(*keys, "block").orderBy("pos")
-    opens, shuts = token.isin("(", "["), token.isin(")", "]")
-    upto, before = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(Window.unboundedPreceding, -1)
-    partner = F.struct("pos", "end", "next", "token")
-    t = t.withColumns({"d": F.sum(F.when(opens, 1).when(shuts, -1).otherwise(0)).over(upto), "shut": F.lead(F.when(token == "}", partner)).over(block)})
-    t = t.withColumn("least", F.least(F.lit(0), F.coalesce(F.min("d").over(before), F.lit(0))))
-    t = t.withColumns({"stray": F.col("stray") | shuts & (F.col("d") < F.col("least")), "round": (F.col("d") - F.least("least", "d") - F.when(opens, 1).otherwise(0)).cast("int")}).drop("d", "least")
-    # Among those of a depth that have partners, an opening one and its partner take turns.
-    turn = Window.partitionBy(*keys, "block", "round", "paired").orderBy("pos")
-    t = t.withColumn("paired", (opens | shuts) & ~F.col("stray"))
-    t = t.withColumns({"beside": F.lead(F.when(shuts, partner)).over(turn), "made_by": F.lag("made").over(turn)})
-    beside = F.col("beside")
-    shut = F.when(opens, F.when(beside["token"] == F.when(token == "(", ")").otherwise("]"), beside)).when(token == "{", F.col("shut"))
-    t = t.withColumns({"shut": F.when(shut.isNotNull(), F.struct(shut["pos"], shut["end"], shut["next"])), "made_by": F.when(F.col("paired") & (token == ")"), F.col("made_by"))}).drop("beside", "paired")
-    t = t.withColumn("stray", F.col("stray") | (opens | (token == "{")) & F.col("shut").isNull())
-    # From here `round` counts matched brackets alone, so that what follows an unmatched one is not taken to be within it.
-    matched = F.when(opens & F.col("shut").isNotNull(), 1).when(shuts & ~F.col("stray"), -1).otherwise(0)
-    return t.withColumn("round", F.greatest(F.lit(0), F.sum(matched).over(upto) - F.when(opens & F.col("shut").isNotNull(), 1).otherwise(0)).cast("int"))
-
-
-def told_beside(t: DataFrame) -> DataFrame:
-    """Of neighbours(), what a token and those beside it tell.
-
-    kept: whether facts may depend on it. Such are brackets, what ends or begins a statement (edge), commas, arrows, modifiers,
-    and what may be a head, a call or a fault. head: what a head that begins here would be, if any; chain: the callee() before
-    a parenthesis; wrong: where a fault that begins here ends; said: bits of Java's modifiers.
+    bare: where the region of an arrow's single name begins and ends. All parentheses that open are kept.
     """
     token, java = F.col("token"), F.col("java")
-    prev, prev2, nxt, nxt2, nxt3 = (F.col(c) for c in ("prev", "prev2", "next", "next2", "next3"))
-    # Types and what hides its members.
-    keyword = token.isin("class", "interface", "enum") & (prev != ".") & (java | token.isin("class", "interface"))
-    sound = is_name(nxt) & ~nxt.isin("extends", "implements") & (prev != "@")
-    odd = java & (token == "record") & is_name(nxt) & nxt2.isin("(", "<") | ~java & token.isin("namespace", "module") & nxt.rlike(r"^[\w$'\"]") & nxt2.isin("{", ".")
-    # Functions, by name or bound to one: name = [async] function, name = [async] (...) =>, name = [async] x =>.
-    function = ~java & (token == "function") & F.when(nxt == "*", is_name(nxt2)).otherwise(is_name(nxt))
+    nxt, nxt2, nxt3 = F.col("next"), F.col("next2"), F.col("next3")
     equals, late = token == "=", nxt == "async"
-    first, second = F.when(late, nxt2).otherwise(nxt), F.when(late, nxt3).otherwise(nxt2)
-    plain = ~java & equals & is_name(prev) & ~prev2.isin(".", "|", "&", "?", "*", ":")
-    by_word, by_name = plain & (first == "function"), plain & is_name(first) & (second == "=>")
-    by_round = F.when(plain & (first == "("), F.col("pos") + F.when(late, 2).otherwise(1))
-    # Members: a name and its parentheses directly in a type's body. Constants: final fields in Java, const at the top of a module.
-    member = is_name(token) & ~token.isin(*CONTROL) & (nxt == "(") & ~prev.isin(".", "new", "=", "(", ",", "return", "function", "@", "=>")
-    declarator = is_name(token) & nxt.isin("=", ";", ",", ":") & ~token.isin(*CONTROL)
-    field, const = java & declarator & (is_name(prev) | prev.isin(">", "]", ",")) & (nxt != ":"), ~java & declarator & (prev == "const")
-    decorator = ~java & (token == "(") & is_name(prev) & (prev2 == "@")
-    anonymous = java & (token == "{") & (prev == ")")
-    may = keyword | odd | function | by_word | by_name | by_round.isNotNull() | member | field | const | decorator | anonymous
-    kinds = {"keyword": keyword, "sound": sound, "odd": odd, "function": function, "by_word": by_word, "by_name": by_name, "by_round": by_round, "member": member, "field": field, "const": const, "decorator": decorator, "anonymous": anonymous}
-    # ECMAScript's modifiers are the run of such words before the name or keyword; a name bound to a function stands behind
-    # its modifiers, and what the function says itself behind the equals sign. A member may be named like a modifier.
-    own, ahead = F.when(equals, prev).otherwise(token), F.when(equals, prev2).otherwise(prev)
-    star = equals & (first == "function") & (second == "*") | (token == "function") & (nxt == "*")
-    spoken = {"own": F.when(~java & (own != ahead), own), "late": equals & late, "star": star}
-    named = F.when(nxt == "*", nxt2).otherwise(nxt)
-    head = F.struct(*[v.alias(k) for k, v in (kinds | spoken).items()], "prev", "next", named.alias("named"), "prev_start")
-    # Java's stand anywhere in the statement but in parentheses and blocks.
-    bit = {w: 1 << k for k, w in enumerate(MODIFIERS)}
-    known = F.create_map(*[F.lit(x) for w in JAVA_MODIFIERS for x in (w, bit[w])])
-    dashed = (token == "non") & (nxt == "-") & (nxt2 == "sealed")
-    said = F.when(java, F.when(dashed, bit["non-sealed"]).when(token.isin(*JAVA_MODIFIERS) & ~((prev == "-") & (prev2 == "non")), F.try_element_at(known, token)))
-    # Faults: quotes that open no text, and tokens that can't follow each other.
-    quote, dangling = token.isin('"', "`") | (token == "'") & java, F.lit(False)
-    for a, after in DANGLING.items():
-        dangling = dangling | (token == a) & nxt.isin(*after)
-    wrong = F.when(quote, F.col("end")).when(dangling, F.col("next_start") + F.octet_length("next"))
     # A bound arrow's single name has no parentheses: its owner's next parenthesis stands behind the arrow.
     region = lambda k: F.struct((F.col("pos") + k).alias("from_pos"), (F.col("pos") + k + 2).alias("to_pos"))
     bare = F.when(equals & (nxt2 == "=>"), region(0)).when(equals & late & (nxt3 == "=>"), region(1))
-    edge = prev.isin("", "{", "}", ";") | nxt.isin("", "}")
-    kept = token.isin("{", "}", "(", ")", "[", "]", ";") | ~java & token.isin(",", "=>") | may | said.isNotNull() | wrong.isNotNull() | edge
-    t = t.withColumns({"kept": kept, "head": F.when(may, head), "chain": F.when(token == "(", callee()), "wrong": wrong, "said": said, "bare": bare, "edge": edge})
-    return t.withColumns({"last": F.when(token == "{", F.col("last")), "next": F.when(token.isin(")", "]", "}", "=>"), nxt)}).drop("prev", "prev2", "next2", "next3", "prev_start", "back")
-
-
-def told_before(t: DataFrame, keys: list[str]) -> DataFrame:
-    """Of told_beside(), the tokens that are kept, with levels() and what all tokens before them tell.
-
-    leads: of a head, where its modifiers begin, whether it may begin there, and ECMAScript's modifiers; site: the call whose arguments
-    begin here, if it is one; made: whether `new` and a name stand before a parenthesis; packaged: part of a package's name.
-    """
-    token, java = F.col("token"), F.col("java")
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    upto, before, earlier = (order.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1, -2))
-    latest = lambda cond, value, frame: F.last(F.when(cond, value), ignorenulls=True).over(frame)
-    link = (is_name(token) | F.ascii(token).between(ord("0"), ord("9")) | token.isin(".", "<", ">", ",", "?", "&", "...")) & ~token.isin(*KEYWORDS)
-    run = token.isin(*LEADING, *BETWEEN)
-    words = {w: w for w in LEADING if w not in "*#"} | {"export": "export", "default": "default", "*": "generator"}
-    t = t.withColumns(
-        {
-            "least": F.min("d").over(before),
-            "led": latest(~token.isin(*LEADING), F.struct("token", "next_start"), before),
-            "first": F.first("start").over(upto),
-            "broken": latest(~link, F.struct("token", "start"), before),
-            "names": latest(token.isin("package", ";", "{", "}"), token == "package", before),
-            "run": latest(~java & ~run, F.col("pos"), before),
-            "run2": latest(~java & ~run, F.col("pos"), earlier),
-        }
-        | {f"word{k}": F.max(F.when(~java & (token == w), F.col("pos"))).over(upto) for k, w in enumerate(words)}
-    )
-    packaged = java & yes(F.col("names")) & (token != ";")
-    t = t.filter(F.col("kept") | packaged).withColumns(levels() | {"packaged": packaged, "made": (token == "(") & yes(F.col("broken.token") == "new")})
-    since = F.coalesce(F.when(token == "=", F.col("run2")).otherwise(F.col("run")), F.lit(-1))
-    spoken = F.filter(F.array(*[F.when(F.col(f"word{k}") > since, said) for k, said in enumerate(words.values())]), lambda w: w.isNotNull())
-    spoken = F.when(F.col("head.own").isNull(), spoken).otherwise(F.array_remove(spoken, F.col("head.own")))
-    for flag, said in (("late", "async"), ("star", "generator")):
-        spoken = F.when(F.col(f"head.{flag}"), F.array_append(spoken, F.lit(said))).otherwise(spoken)
-    starts = F.coalesce("led.token", F.lit(";")).isin(";", "{", "}", ")", "export", "default")
-    leads = F.struct(F.coalesce("led.next_start", "first").alias("start"), (java | starts).alias("may"), F.when(~java, spoken).alias("spoken"))
-    site = F.struct("made", F.when(F.col("made"), F.col("broken.start")).alias("made_start"), "chain.callee", "chain.start", "chain.leads", "chain.leads2")
-    t = t.withColumns({"leads": F.when(F.col("head").isNotNull(), leads), "site": F.when(F.col("made") | F.col("chain.called"), site)})
-    return t.select(*keys, "java", "pos", "token", "start", "end", "prev_end", "next", "level", "stray", "made", "said", "site", "head", "leads", "wrong", "bare", "packaged", "edge", "last")
-
-
-def marks_of(t: DataFrame, keys: list[str]) -> DataFrame:
-    """The tokens that make a fact: keys, pos, token, block, shut (pos) and head, site, fault, packaged.
-
-    Statements are numbered within their block. bare: where the region of an arrow's single name begins and ends. A callable's
-    first parenthesis is kept too.
-    """
-    token = F.col("token")
-    t = nested(told_before(told_beside(neighbours(t, keys)), keys), keys)
-    block = Window.partitionBy(*keys, "block").orderBy("pos")
-    # What stands behind the parentheses after a token, and whether an opening brace follows those of `new`.
-    aside = F.struct("pos", F.col("shut.next").alias("after"))
-    ends = token.isin("}", ";") & (F.col("round") == 0)
-    t = t.withColumns({"one": F.lead(aside, 1).over(block), "two": F.lead(aside, 2).over(block), "by": F.lag(F.struct("pos", "made_by")).over(block), "statement": F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")})
-    wanted = F.coalesce("head.by_round", F.col("pos") + 1)
-    after = F.when(F.col("one.pos") == wanted, F.col("one.after")).when(F.col("two.pos") == wanted, F.col("two.after"))
-    t = t.withColumns({"after": F.when(F.col("head").isNotNull(), after), "anonymous": F.coalesce(F.col("head.anonymous") & (F.col("by.pos") == F.col("pos") - 1) & F.col("by.made_by"), F.lit(False)), "packaged": F.col("packaged") & (F.col("block") == -1)})
-    t = t.drop("one", "two", "by", "made", "made_by")
-    flat = (F.col("round") == 0) & token.isin("{", "}", ",", ";", "=>")
-    facts = F.col("head").isNotNull() | F.col("site").isNotNull() | F.col("wrong").isNotNull() | F.col("stray") | F.col("packaged") | (token == "(")
-    t = t.filter(facts | flat | F.col("edge") | F.col("said").isNotNull()).drop("edge")
-    backwards = Window.partitionBy(*keys, "block", "statement").orderBy(F.desc("pos"))
-    whole = backwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    next_flat = lambda cond, *of: F.last(F.when(cond & (F.col("round") == 0), F.struct(*of)), ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumns(
-        {
-            "begins": F.min("start").over(whole),
-            "ends": F.max("end").over(whole),
-            "final": F.max(token == "final").over(whole),
-            "stated": F.bit_or(F.when(F.col("round") == 0, F.col("said"))).over(whole),
-            "body": next_flat(token == "{", "pos", F.col("shut.end").alias("end")),
-            "arrow": next_flat(token == "=>", "next"),
-            "stop": next_flat(token.isin(",", ";"), "prev_end"),
-        }
-    )
-    t = t.filter(facts).withColumn("what", F.when(F.col("head").isNotNull(), what_of()))
-    t = t.withColumns({"head": F.when(F.col("what").isNotNull(), head_of()), "site": site_of(), "fault": fault_of()})
-    kept = F.col("head").isNotNull() | F.col("site").isNotNull() | F.col("fault").isNotNull() | F.col("packaged")
-    t = t.select(*keys, "pos", "token", "block", F.col("shut.pos").alias("shut"), "head", "site", "fault", "packaged", "bare")
-    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    latest = F.last(F.when(F.col("head.role").isin("callable", "member") | (token == "("), token == "("), ignorenulls=True).over(before)
-    return t.withColumn("latest", latest).filter(kept | (token == "(") & ~F.coalesce("latest", F.lit(True))).drop("latest")
+    packaged = java & F.col("in_package") & (token != ";") & (F.col("block") == -1)
+    t = t.withColumns({"what": what_of(), "site": site_of(), "fault": fault_of(), "packaged": packaged, "bare": bare})
+    t = t.withColumn("head", F.when(F.col("what").isNotNull(), head_of()))
+    t = t.filter(F.col("what").isNotNull() | F.col("site").isNotNull() | F.col("fault").isNotNull() | F.col("packaged") | (token == "("))
+    return t.select(*keys, "pos", "token", "block", F.col("shut_pos").alias("shut"), "head", "site", "fault", "packaged", "bare")
 
 
 def what_of() -> Column:
     """The kind of head that begins at a token, if any."""
-    head = lambda c: F.col(f"head.{c}")
-    has_body, closed = F.col("body").isNotNull(), F.col("body.end").isNotNull()
-    flat = F.col("round") == 0
+    token, java = F.col("token"), F.col("java")
+    prev, prev2, nxt, nxt2, nxt3 = (F.col(c) for c in ("prev", "prev2", "next", "next2", "next3"))
+    has_body, closed, flat = F.col("body_pos").isNotNull(), F.col("body_end").isNotNull(), F.col("round") == 0
+    starts = F.col("led_by").isin(";", "{", "}", ")", "export", "default")
+    # Types and what hides its members.
+    keyword = token.isin("class", "interface", "enum") & (prev != ".") & has_body & (java | token.isin("class", "interface"))
+    sound = is_name(nxt) & ~nxt.isin("extends", "implements") & closed & (java | starts) & (prev != "@")
+    odd = (java & (token == "record") & is_name(nxt) & nxt2.isin("(", "<") | ~java & token.isin("namespace", "module") & nxt.rlike(r"^[\w$'\"]") & nxt2.isin("{", ".")) & has_body
+    # Functions, by name or bound to one: name = [async] function, name = [async] (...) =>, name = [async] x =>.
+    function = ~java & (token == "function") & F.when(nxt == "*", is_name(nxt2)).otherwise(is_name(nxt)) & starts & (closed | ~has_body)
+    late = nxt == "async"
+    first, second = F.when(late, nxt2).otherwise(nxt), F.when(late, nxt3).otherwise(nxt2)
+    args = F.coalesce(F.when(late, F.col("after2")).otherwise(F.col("after")), F.lit(""))
+    plain = ~java & (token == "=") & is_name(prev) & ~prev2.isin(".", "|", "&", "?", "*", ":")
+    bound = plain & ((first == "function") & closed | (first == "(") & (args == "=>") | is_name(first) & (second == "=>"))
+    # Members: a name and its parentheses directly in a type's body. Constants: final fields in Java, const at the top of a module.
     after = F.coalesce("after", F.lit(""))
-    bound = head("by_word") & closed | head("by_round").isNotNull() & (after == "=>") | head("by_name")
-    member = head("member") & flat & after.isin("{", "throws", ";", ":", "[", "default")
+    member = is_name(token) & ~token.isin(*CONTROL) & (nxt == "(") & flat & ~prev.isin(".", "new", "=", "(", ",", "return", "function", "@", "=>") & after.isin("{", "throws", ";", ":", "[", "default")
     bodiless = after.isin(";", "default") | ~has_body
+    declarator = is_name(token) & flat & nxt.isin("=", ";", ",", ":") & ~token.isin(*CONTROL)
+    field = java & declarator & F.col("final") & (is_name(prev) | prev.isin(">", "]", ",")) & (nxt != ":")
+    const = ~java & declarator & (F.col("block") == -1) & (prev == "const")
+    decorator = ~java & (token == "(") & is_name(prev) & (prev2 == "@") & F.col("shut_pos").isNotNull()
     return (
-        F.when(head("keyword") & has_body, F.when(head("sound") & F.col("leads.may") & closed, "type").when(closed, "hidden").otherwise("open"))
-        .when(head("odd") & has_body, F.when(closed, "hidden").otherwise("open"))
-        .when(F.col("anonymous"), "anonymous")
-        .when(head("decorator") & F.col("shut").isNotNull(), "decorator")
-        .when(head("function") & F.col("leads.may") & (closed | ~has_body), F.when(closed, "function").otherwise("signature"))
-        .when(bound, F.when(closed & (head("by_word") | (F.col("arrow.next") == "{")), "bound").otherwise("expression"))
+        F.when(keyword, F.when(sound, "type").when(closed, "hidden").otherwise("open"))
+        .when(odd, F.when(closed, "hidden").otherwise("open"))
+        .when(java & F.col("made_by"), "anonymous")
+        .when(decorator, "decorator")
+        .when(function, F.when(closed, "function").otherwise("signature"))
+        .when(bound, F.when(closed & ((first == "function") | (F.col("arrow_next") == "{")), "bound").otherwise("expression"))
         .when(member, F.when(bodiless, "bodiless").when(closed, "member"))
-        .when(head("field") & flat & F.col("final"), "field")
-        .when(head("const") & flat & (F.col("block") == -1), "const")
+        .when(field, "field")
+        .when(const, "const")
     )
 
 
+def modifiers_of() -> Column:
+    """Modifiers of a head, in the vocabulary's order.
+
+    Java's stand anywhere in the statement but in parentheses and blocks. ECMAScript's are the run of such words before the
+    name or keyword; a name bound to a function stands behind its modifiers, and what the function says itself behind the equals
+    sign. A member may be named like a modifier.
+    """
+    java, token, nxt, nxt2, nxt3 = (F.col(c) for c in ("java", "token", "next", "next2", "next3"))
+    equals, late = token == "=", nxt == "async"
+    own, ahead = F.when(equals, F.col("prev")).otherwise(token), F.when(equals, F.col("prev2")).otherwise(F.col("prev"))
+    star = equals & F.when(late, (nxt2 == "function") & (nxt3 == "*")).otherwise((nxt == "function") & (nxt2 == "*")) | (token == "function") & (nxt == "*")
+    said = lambda m, k: (F.getbit("run", k) == 1) & ((m != own) | (own == ahead)) | equals & late & (m == "async") | star & (m == "generator")
+    return F.filter(F.array(*[F.lit(m) for m in MODIFIERS]), lambda m, k: F.when(java, F.getbit("words", k) == 1).otherwise(said(m, k)))
+
+
 def head_of() -> Column:
     """The head that what_of() finds at a token: java, before, role, kind, name, start, end, body, at, modifiers (in the vocabulary's order)."""
     what, token, java = F.col("what"), F.col("token"), F.col("java")
     roles = {"type": "type", "hidden": "barrier", "open": "barrier", "anonymous": "barrier", "decorator": "barrier", "function": "callable", "signature": "callable", "bound": "callable", "expression": "callable", "bodiless": "member", "member": "member", "field": "field", "const": "constant"}
     known = F.create_map(*[F.lit(x) for pair in roles.items() for x in pair])
     kind = F.when(what == "type", token).when(known[what] == "callable", "function").when(known[what] == "member", "method").when(what.isin("field", "const"), "constant")
-    name = F.when(what.isin("type", "hidden", "open"), F.col("head.next")).when(what.isin("function", "signature"), F.col("head.named")).when(what.isin("bound", "expression"), F.col("head.prev")).when(what.isin("bodiless", "member", "field", "const"), token)
+    name = F.when(what.isin("type", "hidden", "open"), F.col("next")).when(what.isin("function", "signature"), F.when(F.col("next") == "*", F.col("next2")).otherwise(F.col("next"))).when(what.isin("bound", "expression"), F.col("prev")).when(what.isin("bodiless", "member", "field", "const"), token)
     led = what.isin("function", "signature") | what.isin("type", "member", "bodiless") & ~java
-    start = F.when(led, F.col("leads.start")).when(what.isin("bound", "expression"), F.col("head.prev_start")).when(what.isin("type", "member", "bodiless", "field"), F.col("begins")).otherwise(F.col("start"))
+    start = F.when(led, F.col("led_from")).when(what.isin("bound", "expression"), F.col("prev_start")).when(what.isin("type", "member", "bodiless", "field"), F.col("begins")).otherwise(F.col("start"))
     end = (
-        F.when(what == "anonymous", F.coalesce("shut.end", F.lit(1 << 40)))
+        F.when(what == "anonymous", F.coalesce("shut_end", F.lit(1 << 40)))
         .when(what == "open", F.lit(1 << 40))
-        .when(what == "decorator", F.col("shut.end"))
+        .when(what == "decorator", F.col("shut_end"))
         .when(what.isin("signature", "bodiless", "field"), F.col("ends"))
-        .when(what.isin("expression", "const"), F.coalesce("stop.prev_end", "ends"))
-        .otherwise(F.col("body.end"))
+        .when(what.isin("expression", "const"), F.coalesce("stop_end", "ends"))
+        .otherwise(F.col("body_end"))
     )
-    inner = F.when(what == "anonymous", F.col("pos")).when(what.isin("type", "hidden", "open"), F.col("body.pos"))
-    modifiers = F.filter(F.array(*[F.lit(m) for m in MODIFIERS]), lambda m, k: F.when(java, F.getbit("stated", k) == 1).otherwise(F.array_contains("leads.spoken", m)))
-    return F.struct("java", F.col("head.prev").alias("before"), known[what].alias("role"), kind.alias("kind"), name.alias("name"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), inner.alias("body"), F.col("pos").alias("at"), modifiers.alias("modifiers"))
+    inner = F.when(what == "anonymous", F.col("pos")).when(what.isin("type", "hidden", "open"), F.col("body_pos"))
+    return F.struct("java", F.col("prev").alias("before"), known[what].alias("role"), kind.alias("kind"), name.alias("name"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), inner.alias("body"), F.col("pos").alias("at"), modifiers_of().alias("modifiers"))
 
 
 def site_of() -> Column:
     """The call whose arguments a token opens: kind (call, constructor), callee, start, end, at (pos of the name), unowned (a decorator's call)."""
-    made, leads = F.col("site.made"), F.col("site.leads")
+    java, prev, leads, made = F.col("java"), F.col("prev"), F.col("leads"), F.col("made_start").isNotNull()
+    plain = is_name(prev) & ~prev.isin(*KEYWORDS) & (~prev.isin(*CONTROL) | ~java & prev.isin("super", "import"))
     # Parentheses and a block behind them declare; parameters of an arrow are no arguments.
-    declares = F.coalesce(F.col("shut.next").isin("{", "=>"), F.lit(False)) & ~made | (leads == "@") & F.col("java") | (leads == "function") | (leads == "*") & (F.col("site.leads2") == "function")
-    site = F.struct(F.when(made, "constructor").otherwise("call").alias("kind"), F.col("site.callee").alias("callee"), F.coalesce("site.made_start", "site.start").alias("start"), F.col("shut.end").alias("end"), (F.col("pos") - 1).alias("at"), (leads == "@").alias("unowned"))
-    return F.when(F.col("site").isNotNull() & F.col("shut").isNotNull() & ~declares, site)
+    declares = F.coalesce(F.col("shut_next").isin("{", "=>"), F.lit(False)) & ~made | (leads == "@") & java | (leads == "function") | (leads == "*") & (F.col("leads2") == "function")
+    site = F.struct(F.when(made, "constructor").otherwise("call").alias("kind"), "callee", F.coalesce("made_start", "callee_start").alias("start"), F.col("shut_end").alias("end"), (F.col("pos") - 1).alias("at"), (leads == "@").alias("unowned"))
+    return F.when((F.col("token") == "(") & (made | plain) & F.col("shut_pos").isNotNull() & ~declares, site)
 
 
 def fault_of() -> Column:
@@ -371,10 +219,14 @@ def fault_of() -> Column:
 
     The end of a file is that of its last token; nothing but open braces needs it.
     """
-    open_, round_ = (F.col("token") == "{") & F.col("stray"), F.col("token").isin("(", "[") & F.col("stray")
+    token, stray = F.col("token"), F.col("stray")
+    quote, dangling = token.isin('"', "`") | (token == "'") & F.col("java"), F.lit(False)
+    for a, after in DANGLING.items():
+        dangling = dangling | (token == a) & F.col("next").isin(*after)
+    open_, round_ = (token == "{") & stray, token.isin("(", "[") & stray
     begin = F.when(open_ | round_, F.col("begins")).otherwise(F.col("start"))
-    end = F.when(open_, F.col("last")).when(round_, F.col("ends")).when(F.col("stray"), F.col("end")).otherwise(F.col("wrong"))
-    return F.when(F.col("stray") | F.col("wrong").isNotNull(), F.struct(begin.alias("start"), end.alias("end"), open_.alias("open"), "last"))
+    end = F.when(open_, F.col("last")).when(round_, F.col("ends")).when(stray | quote, F.col("end")).otherwise(F.col("next_start") + F.octet_length("next"))
+    return F.when(stray | quote | dangling, F.struct(begin.alias("start"), end.alias("end"), open_.alias("open"), "last"))
 
 
 def syntax_issues(marks: DataFrame, keys: list[str]) -> DataFrame:
@@ -421,8 +273,8 @@ def imports_in(t: DataFrame, keys: list[str], files: DataFrame, content: str) ->
     token, java = F.col("token"), F.col("java")
     order = Window.partitionBy(*keys).orderBy("pos")
     text = token.rlike("^['\"]")
-    t = neighbours(t, keys).withColumn("least", F.min("d").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumns(levels() | {"made": F.lit(False)})
-    t = nested(t.drop("d", "least", "last", "prev_end", "prev_start"), keys)
+    columns = ("java", "pos", "token", "start", "end", "prev", "prev2", "next", "next2", "next3", "next_start", "block", "round")
+    t = t.select(*keys, *columns, F.when(F.col("shut_pos").isNotNull(), F.struct(F.col("shut_pos").alias("pos"), F.col("shut_end").alias("end"))).alias("shut"))
     head = (token == "import") & (F.col("block") == -1) & (F.col("round") == 0) & ~F.coalesce(F.col("next").isin("(", "."), F.lit(False))
     t = t.withColumn("import", F.sum(F.when(head, 1).otherwise(0)).over(order))
     stop = F.when(java, token == ";").otherwise(text)
@@ -440,7 +292,7 @@ def imports_in(t: DataFrame, keys: list[str], files: DataFrame, content: str) ->
     # What may stand in a pattern: what lies before the last end of the patterns begun so far.
     reach = F.max(F.when(F.col("opens"), F.col("shut.pos"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("reached", F.coalesce(F.col("pos") < reach, F.lit(False))).filter("written or needs or opens or reached")
-    t = materialize(t.drop("made", "made_by", "stray"), "syntax-imports")
+    t = materialize(t, "syntax-imports")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
     last = F.max(F.struct("pos", "token", "start", "end"))
     rows = t.filter("written").groupBy(*keys, "java", "import").agg(parts.alias("parts"), last.alias("last"), F.min("start").alias("start"), F.max(F.when(stop, F.when(F.col("java") | (F.col("next") != ";"), F.col("end")).otherwise(F.col("next_start") + 1))).alias("end"))
@@ -588,7 +440,7 @@ class Facts:
 
     @cached_property
     def marks(self) -> DataFrame:
-        t = tokens(self.files, self.keys, self.content, self.language, self.parts, back=11)
+        t = tokens(self.files, self.keys, self.content, self.language, self.parts, kept_only=True)
         return materialize(marks_of(t, self.keys), "syntax-marks")
 
     @cached_property
@@ -638,12 +490,12 @@ class Facts:
 
     @cached_property
     def parameters(self) -> DataFrame:
-        found = parameters_of(neighbours(self.tokens, self.keys), self.marks, self.keys, self.declared.filter("role = 'callable'"), self.files, self.content)
+        found = parameters_of(self.tokens, self.marks, self.keys, self.declared.filter("role = 'callable'"), self.files, self.content)
         return self.of_symbols(found, "position", "name", "type_name", "default_value_text")
 
     @cached_property
     def supertypes(self) -> DataFrame:
-        found = supertypes_of(neighbours(self.tokens, self.keys), self.marks, self.keys, self.declared.filter("role = 'type'"), self.files, self.content)
+        found = supertypes_of(self.tokens, self.marks, self.keys, self.declared.filter("role = 'type'"), self.files, self.content)
         return self.of_symbols(found, "relation", "position", "type_name")
 
 
